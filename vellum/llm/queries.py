@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe
+from vellum.llm import bpe, chat, mixing, quality_rules
 from vellum.session import read_table
 
 
@@ -19,5 +19,29 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents, bpe.build_lexicon(documents, tokenizer_path()))
 
 
-QUERIES = {"op1_bpe_codec": op1_bpe_codec}
-ORACLE_SQL: dict[str, str] = {}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    log = chat.events_of_turns(turns.unionByName(added))
+    return chat.digests(chat.render(chat.messages(log)))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_bpe_codec": op1_bpe_codec,
+    "op7_chat_format": op7_chat_format,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_source_mix": op10_source_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE_SQL,
+    "op10_source_mix": mixing.ORACLE_SQL,
+}
