@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, chat, mixing, quality_rules
+from vellum.llm import bpe, chat, mixing, quality_rules, simhash
 from vellum.session import read_table
 
 
@@ -19,6 +19,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents, bpe.build_lexicon(documents, tokenizer_path()))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -37,6 +41,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mix": op10_source_mix,
