@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat, mixing, quality_rules, simhash
+from vellum.llm import bpe, chat, language_id, mil_quality, mixing, quality_rules, simhash
 from vellum.session import read_table
 
 
@@ -23,6 +24,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = mil_quality.train(documents, read_table(spark, sf_dir, "labels"))
+    found = mil_quality.classify(documents, model)
+    return found.select("doc_id", (language_id.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -35,6 +43,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    found = language_id.classify(documents, language_id.train(documents))
+    return found.select("doc_id", (language_id.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(read_table(spark, sf_dir, "documents"))
 
@@ -42,8 +56,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_mil_quality": op3_mil_quality,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {
