@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat, language_id, mil_quality, mixing, quality_rules, simhash
+from vellum.llm import bpe, chat, language_id, licenses, mil_quality, mixing, quality_rules, simhash
 from vellum.session import read_table
 
 
@@ -31,6 +31,10 @@ def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -57,12 +61,14 @@ QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_mil_quality": op3_mil_quality,
+    "op4_license_scan": op4_license_scan,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.oracle_sql(),
     "op7_chat_format": chat.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
 }
