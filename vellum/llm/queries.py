@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat, language_id, licenses, mil_quality, mixing, quality_rules, simhash, warc
+from vellum.llm import bm25, bpe, chat, language_id, licenses, mil_quality, mixing, quality_rules, simhash, warc
 from vellum.session import read_table
 
 
@@ -35,6 +35,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return bm25.search(bm25.build_index(documents), bm25.query_terms(documents.where(F.col("doc_id") % 100 == 0)))
+
+
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.archive(spark, read_table(spark, sf_dir, "pages")))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_mil_quality": op3_mil_quality,
     "op4_license_scan": op4_license_scan,
+    "op5_bm25_topk": op5_bm25_topk,
     "op6_warc_roundtrip": op6_warc_roundtrip,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
@@ -74,6 +80,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
+    "op5_bm25_topk": bm25.ORACLE_SQL,
     "op6_warc_roundtrip": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
