@@ -1,4 +1,564 @@
 """Every registered query of the library, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions import genres as G
+from vellum.functions import metadata as M
+from vellum.functions import names as N
+from vellum.functions import text as T
+from vellum.operators import authors as A
+from vellum.operators import genres as GO
+from vellum.operators import index as I
+from vellum.operators import ingest as ING
+from vellum.operators import series as SE
+from vellum.operators import signature as S
+from vellum.operators.graph import components
+from vellum.plans import fixtures as X
+from vellum.plans import sql as Q
+from vellum.session import cut, read_table
+from vellum.sources import readers, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
+
+
+def joined(values: Column, separator: str = "|") -> Column:
+    return F.coalesce(F.array_join(values, separator), F.lit(""))
+
+
+# ---- text ----
+
+
+@query(f"WITH {Q.WORDS} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words FROM w")
+def tok_word_count(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query(f"WITH {Q.WORDS} SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM w) GROUP BY word ORDER BY n DESC, word LIMIT 50")
+def tok_top_words(spark: SparkSession, sf: str) -> DataFrame:
+    words = read_table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+
+
+@query("SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages)")
+def html_tag_strip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+@query(f"SELECT page_id, {Q.collapse('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title FROM pages")
+def html_title(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "pages").select("page_id", T.collapse(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+@query(f"SELECT doc_id, md5({Q.norm_key('text')}) AS norm_key, md5({Q.collapse('text')}) AS collapsed, md5({Q.deaccent('text')}) AS deaccented FROM documents")
+def norm_key_documents(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return read_table(spark, sf, "documents").select("doc_id", F.md5(T.norm_key(text)).alias("norm_key"), F.md5(T.collapse(text)).alias("collapsed"), F.md5(T.deaccent(text)).alias("deaccented"))
+
+
+@query(f"SELECT p_partkey, {Q.norm_key('p_name')} AS norm_key FROM part")
+def norm_key_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "part").select("p_partkey", T.norm_key(F.col("p_name")).alias("norm_key"))
+
+
+@query(
+    r"SELECT doc_id, n >= 8 AND u / greatest(n, 1) >= 0.95 AS shouty FROM (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS n, len(regexp_extract_all(text, '\p{Lu}')) AS u FROM documents)"
+)
+def is_shouty(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select("doc_id", T.is_shouty(F.col("text")).alias("shouty"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN n > 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n > 1024 THEN printf('%.0f KB', n / 1024.0) ELSE printf('%d B', n) END AS size FROM (SELECT o_orderkey, o_orderkey * 997 AS n FROM orders)"
+)
+def human_size(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * 997).alias("size"))
+
+
+@query("SELECT p_partkey, CASE WHEN x = floor(x) THEN printf('%02d', CAST(x AS BIGINT)) ELSE CAST(x AS VARCHAR) END AS idx, CASE WHEN length(p_name) > 12 THEN p_name[1:12] || '…' ELSE p_name END AS short FROM (SELECT p_partkey, p_name, p_size / CAST(2 AS DOUBLE) AS x FROM part)")
+def fmt_index(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "part").select("p_partkey", T.format_index(F.col("p_size") / 2.0).alias("idx"), T.truncate(F.col("p_name"), 12).alias("short"))
+
+
+@query(Q.golden(X.SHOUTED, "given result", "VARCHAR VARCHAR"))
+def title_case_pt(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.SHOUTED], "given string").select("given", N.unshout(F.col("given")).alias("result"))
+
+
+@query(Q.golden(X.COLONS, "given result", "VARCHAR VARCHAR"))
+def restore_colon(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.COLONS], "given string").select("given", T.restore_colon(F.col("given")).alias("result"))
+
+
+@query(Q.golden(X.FILE_AS, "given result", "VARCHAR VARCHAR"))
+def author_file_as(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.FILE_AS], "given string").select("given", T.author_file_as(F.col("given")).alias("result"))
+
+
+# ---- signatures and similarity ----
+
+
+def _signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return S.signatures(read_table(spark, sf, "documents"))
+
+
+@query(f"WITH {Q.SHINGLES} SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(len(s), -1) AS BIGINT) AS n_shingles FROM x")
+def shingle_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _signatures(spark, sf).select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_shingles"))
+
+
+@query(
+    f"WITH {Q.SHINGLES}, h AS (SELECT doc_id, n, list_sort(list_filter(list_transform(s, lambda v: md5(v)), lambda v: v[1:2] IN ('00', '80'))) AS h FROM x) SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(len(h), -1) AS BIGINT) AS n_sig, md5(coalesce(array_to_string(h, ','), '')) AS digest FROM h"
+)
+def signature_md5_128(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.sampled_md5(read_table(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_sig"), F.md5(joined(F.col("sig"), ",")).alias("digest"))
+
+
+@query()
+def signature_fnv_128(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.sampled_fnv(read_table(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_sig"), F.md5(joined(F.col("sig").cast("array<string>"), ",")).alias("digest"))
+
+
+@query(f"WITH {Q.PAIRS} SELECT a, b, shared, round(similarity, 6) AS similarity FROM j")
+def doc_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar pairs of distinct signatures, each by its smallest document; `doc_signature_classes` has the members."""
+    return S.self_join(S.representatives(_signatures(spark, sf))).select("a", "b", "shared", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {Q.CLASSES} SELECT doc_id, rep FROM c")
+def doc_signature_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return S.classes(_signatures(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    f"WITH RECURSIVE {Q.PAIRS}, g AS (SELECT a, b FROM j UNION SELECT b, a FROM j), m(n, root) AS (SELECT id, id FROM r UNION SELECT g.b, m.root FROM m JOIN g ON m.n = g.a), z AS (SELECT n, min(root) AS root FROM m GROUP BY n) SELECT c.doc_id, z.root AS component FROM c JOIN z ON c.rep = z.n"
+)
+def dup_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's class under similarity and its transitive closure, by its smallest document."""
+    sigs = cut(_signatures(spark, sf))
+    rooted = components(S.self_join(S.representatives(sigs)).select("a", "b"))
+    held = S.classes(sigs).join(rooted, F.col("rep") == F.col("node"), "left")
+    return held.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("component"))
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    sigs = cut(_signatures(spark, sf).select("id", "sig"))
+    return S.cross_join(sigs.where(F.col("id") % 100 == 0), sigs).where("a <> b")
+
+
+@query(f"WITH {Q.MATCHES} SELECT a AS doc_id, b AS match, round(similarity, 6) AS similarity FROM t WHERE rank = 1")
+def doc_best_match(spark: SparkSession, sf: str) -> DataFrame:
+    return S.top_matches(_matches(spark, sf)).select(F.col("a").alias("doc_id"), F.col("b").alias("match"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {Q.MATCHES} SELECT d.doc_id, t.b IS NOT NULL AS exists, CAST(t.rank AS INTEGER) AS rank, t.b AS match, round(t.similarity, 6) AS similarity FROM documents d LEFT JOIN t ON t.a = d.doc_id AND rank <= 3 WHERE d.doc_id % 100 = 0")
+def doc_check_top3(spark: SparkSession, sf: str) -> DataFrame:
+    asked = read_table(spark, sf, "documents").where(F.col("doc_id") % 100 == 0).select("doc_id")
+    found = S.top_matches(_matches(spark, sf), 3).select(F.col("a").alias("doc_id"), "rank", F.col("b").alias("match"), F.round("similarity", 6).alias("similarity"))
+    return asked.join(found, "doc_id", "left").withColumn("exists", F.col("match").isNotNull())
+
+
+@query(
+    f"WITH {Q.SHINGLES}, y AS (SELECT item_id, {Q.tokens('text')} AS w FROM benchmark), i AS (SELECT item_id, CASE WHEN len(w) >= 58 THEN list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ') || ' ')) END AS s FROM y), "
+    "q AS (SELECT item_id, len(s) AS n, unnest(s) AS h FROM i WHERE len(s) > 0), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM x WHERE len(s) > 0), "
+    "p AS (SELECT item_id, doc_id, count(*) AS shared, any_value(q.n) AS na, any_value(e.n) AS nb FROM q JOIN e USING (h) GROUP BY ALL), m AS (SELECT item_id, count(*) AS n FROM p WHERE CAST(shared AS DOUBLE) / (na + nb - shared) >= 0.5 GROUP BY item_id) "
+    "SELECT benchmark.item_id, coalesce(m.n, 0) AS n_matches FROM benchmark LEFT JOIN m USING (item_id)"
+)
+def benchmark_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items held against all documents: how many are similar at 0.5 or above."""
+    items = S.signatures(read_table(spark, sf, "benchmark"), "item_id").select("id", "sig")
+    found = S.cross_join(items, _signatures(spark, sf).select("id", "sig"), 0.5).groupBy(F.col("a").alias("item_id")).agg(F.count("*").alias("n"))
+    return read_table(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_matches"))
+
+
+_COPY = "struct<words:int,size:bigint,series:string,idx:double>"
+
+
+@query(Q.golden([(i, *r[8:]) for i, r in enumerate(X.COPIES)], "i new_wins why", "BIGINT BOOLEAN VARCHAR"))
+def better_copy_cases(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frame(spark, [(i, r[:4], r[4:8]) for i, r in enumerate(X.COPIES)], f"i long, new {_COPY}, old {_COPY}")
+    return rows.select("i", ING.better_copy(F.col("new"), F.col("old")).alias("new_wins"), ING.describe_choice(F.col("new"), F.col("old")).alias("why"))
+
+
+@query(
+    f"WITH {Q.PAIRS}, v AS (SELECT j.a, j.b, len(wa.w) AS na, len(wb.w) AS nb, octet_length(encode(da.text)) AS za, octet_length(encode(db.text)) AS zb FROM j JOIN w wa ON wa.doc_id = a JOIN w wb ON wb.doc_id = b JOIN documents da ON da.doc_id = a JOIN documents db ON db.doc_id = b) "
+    "SELECT a, b, CASE WHEN na > 0 AND nb > 0 AND abs(na - nb) * 100 // greatest(na, nb) >= 2 THEN nb > na ELSE zb > za END AS new_wins FROM v"
+)
+def better_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each similar pair of documents, whether the later one would replace the earlier."""
+    documents = read_table(spark, sf, "documents")
+    sigs = cut(S.signatures(documents))
+    copies = documents.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size")).join(sigs.select("id", "n_words"), "id")
+    side = lambda name, key: copies.select(F.col("id").alias(key), F.struct(F.col("n_words").alias("words"), "size", F.lit("").alias("series"), F.lit(0.0).alias("idx")).alias(name))
+    rows = S.self_join(S.representatives(sigs)).select("a", "b").join(side("old", "a"), "a").join(side("new", "b"), "b")
+    return rows.select("a", "b", ING.better_copy(F.col("new"), F.col("old")).alias("new_wins"))
+
+
+# ---- the index ----
+
+_SNAPSHOTS = """s AS (SELECT CAST(doc_id AS VARCHAR) AS path, n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS size, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS mod_time FROM documents WHERE lang <> 'es'),
+o AS (SELECT CAST(doc_id AS VARCHAR) AS path, n_chars AS size, 1 AS mod_time FROM documents WHERE lang <> 'fr')"""
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A scan of the documents and an older index: Spanish ones are gone, French ones new, German and src3 ones changed."""
+    documents = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "n_chars", "lang", "source")
+    changed = F.when(F.col("lang") == "de", 1).otherwise(0)
+    scan = documents.where("lang <> 'es'").select("path", (F.col("n_chars") + changed).cast("long").alias("size"), F.when(F.col("source") == "src3", 2).otherwise(1).cast("long").alias("mod_time"))
+    old = documents.where("lang <> 'fr'").select("path", F.col("n_chars").cast("long").alias("size"), F.lit(1).cast("long").alias("mod_time"))
+    return scan, old
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT s.path FROM s LEFT JOIN o USING (path) WHERE o.path IS NULL OR s.size <> o.size OR s.mod_time <> o.mod_time")
+def index_stale(spark: SparkSession, sf: str) -> DataFrame:
+    return I.stale(*_snapshots(spark, sf)).select("path")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT count(*) AS n_pruned FROM o WHERE path NOT IN (SELECT path FROM s)")
+def index_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    scan, old = _snapshots(spark, sf)
+    return I.gone(old, scan).agg(F.count("*").alias("n_pruned"))
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT path, CAST(size AS BIGINT) AS size, CAST(mod_time AS BIGINT) AS mod_time FROM s")
+def index_update(spark: SparkSession, sf: str) -> DataFrame:
+    """After pruning and putting the stale rows, the index equals the scan."""
+    scan, old = _snapshots(spark, sf)
+    return I.put(I.prune(old, scan), I.stale(scan, old))
+
+
+# ---- genres ----
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.array("p_type", "p_brand"), F.split("p_name", " ")).alias("tags"))
+
+
+_TAGGED = f"t AS (SELECT CAST(p_partkey AS VARCHAR) AS path, {Q.TAGS} AS tags FROM part)"
+_CLEANED = f"t AS (SELECT CAST(p_partkey AS VARCHAR) AS path, {Q.TAGS} AS tags FROM part), c AS (SELECT path, tags, {Q.clean_pt('tags')} AS clean FROM t), v AS (SELECT genre, count(*) AS freq FROM (SELECT unnest(clean) AS genre FROM c) GROUP BY genre)"
+
+
+@query(f"WITH {_TAGGED} SELECT genre, count(*) AS freq FROM (SELECT unnest(tags) AS genre FROM t) GROUP BY genre")
+def genre_freq(spark: SparkSession, sf: str) -> DataFrame:
+    return I.genre_frequencies(_parts(spark, sf))
+
+
+@query(f"WITH {_CLEANED} SELECT * FROM v")
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.vocabulary(_parts(spark, sf))
+
+
+@query(f"WITH {_CLEANED} SELECT count(*) AS n FROM v WHERE freq >= 3")
+def vocabulary_size(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.vocabulary_size(GO.vocabulary(_parts(spark, sf)))
+
+
+@query(f"WITH {_CLEANED} SELECT * FROM v WHERE freq >= 3 ORDER BY freq DESC, genre LIMIT 40")
+def vocabulary_top(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.top(GO.vocabulary(_parts(spark, sf)), 40, 3)
+
+
+@query(f"WITH {_CLEANED} SELECT count(*) FILTER (WHERE freq = 1) AS singles, count(*) AS genres, round(100.0 * count(*) FILTER (WHERE freq = 1) / greatest(count(*), 1), 4) AS percent FROM v")
+def long_tail(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.long_tail(GO.vocabulary(_parts(spark, sf)))
+
+
+@query(
+    f"WITH {_TAGGED}, r AS (SELECT DISTINCT path, genre FROM (SELECT path, unnest(tags) AS genre FROM t)), f AS (SELECT genre, count(*) AS freq FROM r GROUP BY genre), b AS (SELECT path, max(freq) AS most FROM r JOIN f USING (genre) GROUP BY path) "
+    "SELECT CAST(threshold AS INTEGER) AS threshold, (SELECT count(*) FROM f WHERE freq >= threshold) AS genres, (SELECT count(*) FROM b WHERE most >= threshold) AS books_kept, (SELECT count(*) FROM b WHERE most < threshold) AS books_lost FROM (SELECT unnest([1, 2, 3, 5, 10, 20]) AS threshold)"
+)
+def threshold_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.threshold_curve(_parts(spark, sf))
+
+
+@query(
+    f"WITH {_TAGGED}, g AS (SELECT genre, count(*) AS freq FROM (SELECT unnest(tags) AS genre FROM t) GROUP BY genre), c AS (SELECT genre, freq, unnest({Q.clean_pt('[genre]')}) AS after FROM g) "
+    "SELECT (SELECT CAST(sum(freq) AS BIGINT) FROM g) AS before, (SELECT count(*) FROM g) AS distinct_before, CAST(sum(freq) AS BIGINT) AS after, count(DISTINCT after) AS distinct_after FROM c"
+)
+def genre_analyze(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.analyze(I.genre_frequencies(_parts(spark, sf)))
+
+
+@query(
+    f"WITH {_CLEANED}, k AS (SELECT list(genre) AS names FROM v WHERE freq >= 3), a AS (SELECT path, tags, list_filter(clean, lambda g: list_contains(names, g)) AS after FROM c, k) "
+    "SELECT path, array_to_string(after, '|') AS after, list_sort(tags) <> list_sort(after) AS changed, len(after) = 0 AS emptied FROM a"
+)
+def clean_genres(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.clean_books(_parts(spark, sf)).select("path", joined(F.col("after")).alias("after"), "changed", "emptied")
+
+
+@query(
+    f"WITH {_CLEANED}, k AS (SELECT list(genre) AS names FROM v WHERE freq >= 3), a AS (SELECT path, tags, list_filter(clean, lambda g: list_contains(names, g)) AS after FROM c, k) "
+    "SELECT count(*) AS books, count(*) FILTER (WHERE list_sort(tags) <> list_sort(after)) AS changed, count(*) FILTER (WHERE len(after) = 0) AS emptied, (SELECT count(DISTINCT g) FROM (SELECT unnest(tags) AS g FROM t)) AS labels_before, (SELECT count(DISTINCT g) FROM (SELECT unnest(after) AS g FROM a)) AS labels_after FROM a"
+)
+def clean_genres_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.clean_summary(GO.clean_books(_parts(spark, sf)))
+
+
+@query(Q.golden(X.GENRES_PT, "given cleaned", "VARCHAR VARCHAR"))
+def genre_clean_pt(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.GENRES_PT], "given string").select("given", joined(G.clean_pt(F.split("given", r"\|"))).alias("cleaned"))
+
+
+@query(Q.golden(X.GENRES_EN, "given cleaned", "VARCHAR VARCHAR"))
+def genre_clean_en(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.GENRES_EN], "given string").select("given", joined(G.clean_en(F.array("given"))).alias("cleaned"))
+
+
+@query(Q.golden(X.GENRE_KNOWN, "label known", "VARCHAR BOOLEAN"))
+def genre_known(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.GENRE_KNOWN], "label string").select("label", G.canonical_en(F.col("label"))["known"].alias("known"))
+
+
+@query("SELECT 'book' AS path, 'Culinária|Espiritismo|Romance' AS accepted, 'Numismática' AS refused")
+def genre_admit(spark: SparkSession, sf: str) -> DataFrame:
+    books = frame(spark, [("book", ["Romance", "General", "epubr.club", "Numismática", "Culinária", "Espiritismo"])], "path string, tags array<string>")
+    freq = frame(spark, [("Romance", 500), ("Espiritismo", 40), ("Numismática", 1)], "genre string, freq long")
+    return GO.admit(books, freq).select("path", joined(F.col("accepted")).alias("accepted"), joined(F.col("refused")).alias("refused"))
+
+
+def _plan(spark: SparkSession) -> DataFrame:
+    return GO.plan(frame(spark, X.GENRE_CATALOG, "id long, books int, name string"), frame(spark, X.GENRE_PEOPLE, "name string"), 3, X.GENRE_KEEP)
+
+
+@query(Q.golden(X.GENRE_PLAN, "id target reason", "BIGINT VARCHAR VARCHAR"))
+def genre_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return _plan(spark).select("id", "target", "reason")
+
+
+@query("SELECT * FROM (VALUES ('Fiction', 40), ('Science Fiction', 9), ('Fantasy', 7), ('Numismatics', 8), ('Enology', 1)) AS v(genre, books)")
+def genre_plan_after(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.plan_after(_plan(spark)).select("genre", F.col("books").cast("int"))
+
+
+@query("SELECT CAST(8 AS BIGINT) AS labels, CAST(5 AS BIGINT) AS labels_after, CAST(3 AS BIGINT) AS removed, CAST(37 AS BIGINT) AS associations_lost, CAST(2 AS BIGINT) AS canonised, CAST(3 AS BIGINT) AS unchanged")
+def genre_plan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.plan_summary(_plan(spark))
+
+
+@query()
+def genre_plan_sql(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.plan_sql(_plan(spark))
+
+
+@query("SELECT CAST(floor((rn - 1) / 500) AS BIGINT) AS batch, string_agg(CAST(c_custkey AS VARCHAR), ', ' ORDER BY c_custkey) AS ids FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) GROUP BY batch")
+def sql_batches_500(spark: SparkSession, sf: str) -> DataFrame:
+    return GO.id_batches(read_table(spark, sf, "customer"), 500, "c_custkey")
+
+
+@query("SELECT c_custkey, '''' || replace(replace(c_name || '\\' || c_mktsegment || '''', '\\', '\\\\'), '''', '''''') || '''' AS quoted FROM customer")
+def quote_sql(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "customer").select("c_custkey", T.quote_sql(F.concat("c_name", F.lit("\\"), "c_mktsegment", F.lit("'"))).alias("quoted"))
+
+
+# ---- authors ----
+
+
+@query(Q.golden(X.AUTHOR_TOKENS, "name tokens", "VARCHAR VARCHAR"))
+def author_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [n for n, _ in X.AUTHOR_TOKENS], "name string").select("name", F.array_join(A.tokens(F.col("name")), " ").alias("tokens"))
+
+
+def _author_groups(spark: SparkSession, keep: list[str] | None = None) -> DataFrame:
+    return A.groups(A.resolve(frame(spark, X.AUTHORS, "ord long, id string, books int, name string"), keep=keep))
+
+
+@query(Q.golden(X.AUTHOR_GROUPS, "canonical_id canonical_name other_ids rules books safe", "VARCHAR VARCHAR VARCHAR VARCHAR BIGINT BOOLEAN"))
+def author_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _author_groups(spark).drop("other_names")
+
+
+@query(Q.golden([(*r[:5], r[5]) for r in X.AUTHOR_GROUPS if r[0] != "9"] + [("10", "Bertrand Russell", "9", "typo", 6, False)], "canonical_id canonical_name other_ids rules books safe", "VARCHAR VARCHAR VARCHAR VARCHAR BIGINT BOOLEAN"))
+def author_groups_keep(spark: SparkSession, sf: str) -> DataFrame:
+    return _author_groups(spark, ["10"]).drop("other_names")
+
+
+@query("SELECT CAST(5 AS BIGINT) AS groups, CAST(6 AS BIGINT) AS absorbed, CAST(4 AS BIGINT) AS safe, CAST(1 AS BIGINT) AS review")
+def author_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.summary(_author_groups(spark))
+
+
+@query()
+def author_merge_sql(spark: SparkSession, sf: str) -> DataFrame:
+    return A.merge_sql(_author_groups(spark))
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), F.lit(1).alias("books"), F.col("c_name").alias("name"))
+
+
+_KEYED = f"k AS (SELECT c_custkey AS ord, c_name, {Q.norm_key('c_name')} AS canon FROM customer)"
+
+
+@query(f"WITH {_KEYED} SELECT ord, canon, CAST((CASE WHEN c_name LIKE '%,%' OR c_name LIKE '%;%' THEN 4 ELSE 0 END) + (CASE WHEN c_name LIKE '%  %' THEN 1 ELSE 0 END) AS INTEGER) AS penalty FROM k")
+def author_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return A.keys(_customers(spark, sf)).select("ord", "canon", A.penalty(F.col("name")).alias("penalty"))
+
+
+@query(f"WITH {_KEYED} SELECT a.ord AS a, b.ord AS b FROM k a JOIN k b ON a.ord < b.ord AND length(a.canon) >= 12 AND length(b.canon) - length(a.canon) IN (0, 1) AND a.canon <> b.canon AND levenshtein(a.canon, b.canon) <= CASE WHEN length(a.canon) >= 20 THEN 2 ELSE 1 END")
+def typo_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return A.typo_pairs(A.keys(_customers(spark, sf)))
+
+
+# ---- series ----
+
+
+@query(Q.golden(X.SERIES_MEMBERS, "name score path", "VARCHAR BIGINT VARCHAR"))
+def series_detect(spark: SparkSession, sf: str) -> DataFrame:
+    return SE.detect(frame(spark, X.SERIES_BOOKS, "path string, title string, author string")).select("name", "score", "path")
+
+
+def _titled_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.initcap("p_name").alias("title"), F.col("p_brand").alias("author"))
+
+
+@query(
+    f"WITH w AS (SELECT DISTINCT p_partkey, {Q.norm_key('p_brand')} AS author_key, word FROM (SELECT p_partkey, p_brand, unnest(string_split(lower(p_name), ' ')[2:]) AS word FROM part)) "
+    f"SELECT author_key, word AS term, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN ({', '.join(Q.quote(x) for x in [*SE.STOPWORDS, *SE.GENERIC, *SE.PUBLISHERS])}) GROUP BY ALL HAVING count(*) >= 3"
+)
+def series_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return SE.term_counts(SE.terms(_titled_parts(spark, sf))).select("author_key", "term", "n")
+
+
+@query()
+def series_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return SE.candidates(SE.detect(_titled_parts(spark, sf)))
+
+
+# ---- names, metadata, placement ----
+
+
+@query(Q.golden(X.FILENAMES, "stem title author series idx has_idx new_name", "VARCHAR VARCHAR VARCHAR VARCHAR DOUBLE BOOLEAN VARCHAR"))
+def parse_filename(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frame(spark, [r[0] for r in X.FILENAMES], "stem string").select("stem", N.parse_filename(F.col("stem")).alias("b"))
+    return rows.select("stem", "b.title", "b.author", "b.series", "b.idx", "b.has_idx", N.new_filename(F.col("b")).alias("new_name"))
+
+
+@query(Q.golden(X.TITLES_ONLY, "given title", "VARCHAR VARCHAR"))
+def parse_title_only(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.TITLES_ONLY], "given string").select("given", N.parse_title(F.col("given"))["title"].alias("title"))
+
+
+def _meta(title: Column, author: Column, series: Column, index: Column) -> Column:
+    none = F.lit("")
+    return F.struct(
+        title.alias("title"), author.alias("author"), none.alias("author_sort"), series.alias("series"), index.alias("series_index"), F.array().cast("array<string>").alias("tags"),
+        none.alias("isbn"), none.alias("publisher"), F.lit(False).alias("has_desc"),
+    )
+
+
+@query(Q.golden([(i, r[6]) for i, r in enumerate(X.PLACEMENTS)], "i dir", "BIGINT VARCHAR"))
+def placements(spark: SparkSession, sf: str) -> DataFrame:
+    schema = "i long, target string, stem string, title string, author string, series string, idx double"
+    rows = frame(spark, [(i, *r[:6]) for i, r in enumerate(X.PLACEMENTS)], schema)
+    rows = rows.select("i", "target", N.parse_filename(F.col("stem")).alias("book"), _meta(F.col("title"), F.col("author"), F.col("series"), F.col("idx")).alias("meta"))
+    made = [N.place(rows.where(F.col("target") == t), t).select("i", "placement.dir") for t in sorted(N.TARGETS)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query("SELECT 'Prova de Fogo' AS title, '--title|Prova de Fogo|--series|Maze Runner|--index|2|--author-sort|Dashner, James' AS args")
+def meta_args(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frame(spark, ["Maze Runner 02 - PROVA DE FOGO - James Dashner"], "stem string")
+    rows = rows.select(N.parse_filename(F.col("stem")).alias("book"), _meta(F.lit("PROVA DE FOGO"), F.lit("James Dashner"), F.lit(""), F.lit(0.0)).alias("meta"))
+    return N.place(rows, "kavita").select(N.desired_meta(F.col("book"), F.col("meta"))["title"].alias("title"), joined(F.col("placement.meta_args")).alias("args"))
+
+
+@query("SELECT * FROM (VALUES ('calibre'), ('grimmory'), ('kavita')) AS v(name)")
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sorted(N.TARGETS), "name string")
+
+
+@query(Q.golden([(i, *r[1:]) for i, r in enumerate(X.PACKAGES)], "i title author author_sort series series_index tags isbn publisher has_desc", "BIGINT VARCHAR VARCHAR VARCHAR VARCHAR DOUBLE VARCHAR VARCHAR VARCHAR BOOLEAN"))
+def opf_fields(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frame(spark, [(i, r[0]) for i, r in enumerate(X.PACKAGES)], "i long, xml string").select("i", M.opf(F.col("xml")).alias("m"))
+    return rows.select("i", "m.title", "m.author", "m.author_sort", "m.series", "m.series_index", joined(F.col("m.tags")).alias("tags"), "m.isbn", "m.publisher", "m.has_desc")
+
+
+@query(Q.golden([(i, *r[1:]) for i, r in enumerate(X.ANSWERS)], "i title authors isbn tags comments", "BIGINT VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR"))
+def enrich_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frame(spark, [(i, r[0]) for i, r in enumerate(X.ANSWERS)], "i long, raw string").select("i", M.parse_answer(F.col("raw"), translate=True).alias("a"))
+    return rows.select("i", "a.title", joined(F.col("a.authors")).alias("authors"), "a.isbn", joined(F.col("a.tags")).alias("tags"), "a.comments")
+
+
+@query(Q.golden(X.SIMPLIFIED, "given title", "VARCHAR VARCHAR"))
+def simplify_title(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, [g for g, _ in X.SIMPLIFIED], "given string").select("given", M.simplify_title(F.col("given")).alias("title"))
+
+
+# ---- sources and ingest ----
+
+
+@query(Q.golden(X.CATALOG_ROWS, "id books name", "VARCHAR INTEGER VARCHAR"))
+def catalog_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.parse_catalog(frame(spark, X.CATALOG_LINES, "value string"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS INTEGER) AS books, c_name || chr(9) || c_mktsegment AS name FROM customer")
+def catalog_customers(spark: SparkSession, sf: str) -> DataFrame:
+    lines = read_table(spark, sf, "customer").select(F.concat_ws("\t", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
+    return readers.parse_catalog(lines)
+
+
+@query(Q.golden(X.TAG_ROWS, "path tags", "VARCHAR VARCHAR"))
+def tags_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.parse_tags(frame(spark, X.TAG_LINES, "value string")).select("path", joined(F.col("tags")).alias("tags"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'Terror|conto', 'pending'), ('b', 'X', 'absent'), ('c', 'Y', 'correct')) AS v(path, tags, state)")
+def import_tags(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = frame(spark, [("a", ["Terror"]), ("b", ["X"]), ("c", ["Y"])], "path string, tags array<string>")
+    now = frame(spark, [("a", ["conto", "TERROR "]), ("c", ["Y"])], "path string, tags array<string>")
+    return ING.import_tags(wanted, now, merge=True).select("path", joined(F.col("tags")).alias("tags"), "state")
+
+
+def _library(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read_table(spark, sf, "documents")
+    sigs = S.signatures(documents)
+    base = documents.select(F.col("doc_id").alias("id"), "source", "lang", F.octet_length("text").cast("long").alias("size"))
+    return cut(sigs.join(base, "id").select(F.format_string("d%012d.epub", "id").alias("path"), "id", F.col("n_words").alias("words"), "size", "sig", F.col("source").alias("series"), F.array("lang").alias("tags")))
+
+
+@query(
+    f"WITH {Q.SHINGLES}, y AS (SELECT doc_id AS id, s, len(s) AS n FROM x WHERE len(s) > 0), e AS (SELECT id, n, unnest(s) AS h FROM y), q AS (SELECT * FROM e WHERE id % 100 = 0), "
+    "p AS (SELECT q.id AS a, e.id AS b, count(*) AS shared, any_value(q.n) AS na, any_value(e.n) AS nb FROM q JOIN e ON q.h = e.h GROUP BY ALL), "
+    "t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY CAST(shared AS DOUBLE) / (na + nb - shared) DESC, b) AS rank FROM p WHERE CAST(shared AS DOUBLE) / (na + nb - shared) >= 0.85) "
+    "SELECT printf('in/d%012d.epub', d.doc_id) AS path, CASE WHEN x.s IS NULL OR len(x.s) = 0 THEN 'ERRO' ELSE 'DUPLICATA' END AS status, CASE WHEN t.b IS NOT NULL THEN printf('d%012d.epub', t.b) END AS duplicate FROM documents d JOIN x USING (doc_id) LEFT JOIN t ON t.a = d.doc_id AND rank = 1 WHERE d.doc_id % 100 = 0"
+)
+def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose id is divisible by 100 as incoming books against all as the library: each finds a copy of equal worth, which stays."""
+    library = _library(spark, sf)
+    meta = _meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
+    incoming = library.where(F.col("id") % 100 == 0).select(F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
+    return ING.plan(incoming, library.drop("id")).select("path", "status", "duplicate")
+
+
+@query()
+def ingest_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """The action rows of the same plan under the policy that replaces copies."""
+    library = _library(spark, sf)
+    meta = _meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
+    incoming = library.where(F.col("id") % 100 == 0).select(F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
+    return sinks.unique_paths(sinks.actions(ING.plan(incoming, library.drop("id"), on_duplicate="replace")))
