@@ -47,9 +47,10 @@ def events_of_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         event(2, "delta", F.substring(said, F.lit(1), half)),
         event(3, "delta", F.substring(said, half + 1, F.length(said))),
     )
-    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("whole"), F.explode(F.when(F.col(role) == "assistant", streamed).otherwise(whole)).alias("e"))
-    # the whole text stands in the sequence, so that tied turns do not interleave
-    return rows.select("conv_id", F.struct("turn", "role", F.when(F.col("role") == "assistant", F.md5("whole")).otherwise(F.col("whole")).alias("tie"), F.col("e.step").alias("step")).alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.said").alias("text"))
+    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("whole"), F.monotonically_increasing_id().alias("serial"), F.explode(F.when(F.col(role) == "assistant", streamed).otherwise(whole)).alias("e"))
+    # tied turns must not interleave: text and serial number stand before the step. Only equal rows are told apart by
+    # the number alone, so whichever comes first the messages are the same
+    return rows.select("conv_id", F.struct("turn", "role", F.when(F.col("role") == "assistant", F.md5("whole")).otherwise(F.col("whole")).alias("tie"), "serial", F.col("e.step").alias("step")).alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.said").alias("text"))
 
 
 def messages(log: DataFrame, conv: str = "conv_id", seq: str = "seq", kind: str = "kind", role: str = "role", text: str = "text") -> DataFrame:
