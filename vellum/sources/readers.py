@@ -19,8 +19,18 @@ PAGE_BYTES = 8 << 20
 BOOK_FORMATS = (".epub", ".mobi", ".azw3", ".azw")
 
 
+def _roots(spark: SparkSession, path: str) -> list[str]:
+    """The folder, and those below it whose names start with an underscore, which Spark's own walk leaves out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = [path]
+    for pattern in (f"{path.rstrip('/')}/_*", f"{path.rstrip('/')}/*/_*"):
+        glob = jvm.org.apache.hadoop.fs.Path(pattern)
+        found += [str(s.getPath()) for s in glob.getFileSystem(conf).globStatus(glob) or () if s.isDirectory()]
+    return found
+
+
 def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(_roots(spark, path))
     return files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"))
 
 
