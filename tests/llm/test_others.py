@@ -1,5 +1,6 @@
 """License scans, search, archives, chats, mixing and the pipeline."""
 
+import gzip
 import hashlib
 import math
 import re
@@ -152,7 +153,7 @@ def test_archives_round_trip(spark, tmp_path):
 def test_archives_are_genuine_and_segmented(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(df, str(tmp_path / "a"))
-    data = b"".join(p.read_bytes() for p in (tmp_path / "a").glob("part-*"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("part-*"))
     records = list(warc.parse(data))
     assert all(data.count(b"WARC/1.1\r\nWARC-Type") == len(records) for _ in (1,))
     parts = [(f, bytes(b)) for f, b in records if b"warc-segment-number" in f]
@@ -165,7 +166,7 @@ def test_a_lost_segment_fails_the_read(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:1], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(df, str(tmp_path / "a"))
     path = next((tmp_path / "a").glob("part-*"))
-    data = path.read_bytes()
+    data = gzip.decompress(path.read_bytes())
     at = [m.start() for m in re.finditer(rb"WARC/1\.1\r\nWARC-Type: continuation", data)]
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "part-0").write_bytes(data[: at[1]] + data[at[2] :])

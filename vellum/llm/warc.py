@@ -4,7 +4,7 @@ Writing: each row becomes an HTTP response record with chunked transfer framing.
 equal and of SHORTEST bytes or more have one response, that with the smallest id; the others become
 revisit records that refer to it. A block longer than `segment_bytes` is split into a first record and
 continuation records that name their origin, and the last states the total length. Records are text with
-a fixed terminator, so Spark's own writer puts them into the shared folder as genuine archives, and no
+a fixed terminator, so Spark's own writer puts them into the shared folder as genuine gzipped archives, and no
 more than `records_per_file` of them share a file.
 
 Reading: archives are split into records by their Content-Length. Continuations are grouped by origin
@@ -20,6 +20,7 @@ wrong total length, fail the read rather than give a wrong payload.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -98,14 +99,16 @@ def records(marked: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     made = records(mark_revisits(pages, id_col, url_col, html_col), segment_bytes)
-    made.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    made.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): *([^\r]*)\r\n")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[bytes, bytes], memoryview]]:
-    """The records of one archive: headers by lower-case name, and the block."""
+    """The records of one archive, plain or gzipped: headers by lower-case name, and the block."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     view, at = memoryview(data), 0
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
