@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import ship
+from vellum.session import cut, ship
 
 CHUNK = 1 << 20
 MAGIC = b"VLEX0001"
@@ -324,16 +324,19 @@ def word_counts(df: DataFrame, vocabulary: str, text_col: str = "text", hold: in
     return df.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", max_words: int = 1 << 15, min_count: int = 2) -> tuple[str, str]:
-    """Compile the corpus's `max_words` most frequent words; returns the names of the two published files.
+def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", max_words: int = 1 << 16, min_count: int = 2) -> tuple[str, str]:
+    """Compile the words that are at least 1 / max_words of the corpus; returns the names of the two published files.
 
-    max_words bounds the lexicon and what reaches the driver. It bounds no result: other words are merged exactly.
+    No more than max_words words can be that frequent, which bounds the lexicon and what reaches the driver.
+    It bounds no result: other words are merged exactly.
     """
     spark = df.sparkSession
     ship(spark)
     with open(tokenizer_path, "rb") as f:
         vocabulary = _publish(spark, f.read(), ".json")
-    frequent = word_counts(df, vocabulary, text_col).where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words)
+    counts = cut(word_counts(df, vocabulary, text_col).where(F.col("n") >= min_count))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counts.where(F.col("n") * max_words >= total)
     words = sorted(bytes(r[0]) for r in frequent.select("word").collect())
     opened = Vocabulary(tokenizer_path)
     data = Lexicon.compile((w, opened.merge(w.decode("utf-8", "surrogateescape"))) for w in words)
