@@ -32,6 +32,8 @@ from vellum.session import cut, ship
 
 CHUNK = 1 << 20
 MAGIC = b"VLEX0001"
+WIDE, NEVER = 1 << 20, 1 << 30
+LONGEST_TOGETHER = 64
 #: Below this code point the fast splitter's classes are spelled out; other texts take the library's splitter.
 PLAIN_LIMIT = 0x250
 
@@ -84,10 +86,16 @@ class Vocabulary:
         characters = byte_characters()
         self.inner = [vocab[c] for c in characters]
         self.last = [vocab[c + self.suffix] for c in characters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # a pair's key is its first id times WIDE plus its second; its rank leads to the id that it merges to
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(bpe["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] * WIDE + vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        self.pair_keys = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()], np.int64)
+        self.inner_table, self.last_table, self.made_table = (np.array(x, np.int64) for x in (self.inner, self.last, self.made))
         self.back = {c: b for b, c in enumerate(characters)}
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -114,23 +122,78 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """The ids of one word: lowest rank first, leftmost first."""
         data = word.encode("utf-8", "surrogateescape")
-        ids: list[int | None] = [*[self.inner[b] for b in data[:-1]], self.last[data[-1]]]
-        n, merges = len(ids), self.merges
+        return self._merge_long([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]])
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of many words, none empty. All words take their next merge together, until none has one."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONGEST_TOGETHER]
+        for i, w in enumerate(words):
+            if len(w) > LONGEST_TOGETHER:
+                out[i] = self._merge_long([*map(self.inner.__getitem__, w[:-1]), self.last[w[-1]]])
+        if not short:
+            return out
+        lengths = np.array([len(words[i]) for i in short])
+        data = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+        ids = self.inner_table[data]
+        ends = np.cumsum(lengths) - 1
+        ids[ends] = self.last_table[data[ends]]
+        word = np.repeat(np.array(short), lengths)
+        ranks = self._ranks(ids, word, np.arange(len(ids) - 1)) if len(ids) > 1 else np.zeros(0, np.int64)
+        ranks = np.append(ranks, NEVER)
+        while len(ids):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(ranks, starts)
+            sizes = np.diff(starts, append=len(ids))
+            done = best == NEVER
+            if done.any():  # words without a merge left go out
+                going = np.repeat(done, sizes)
+                at, flat = 0, ids[going].tolist()
+                for w, n in zip(word[starts[done]].tolist(), sizes[done].tolist(), strict=True):
+                    out[w] = flat[at : at + n]
+                    at += n
+                stay = ~going
+                ids, word, ranks = ids[stay], word[stay], ranks[stay]
+                best, sizes = best[~done], sizes[~done]
+                if not len(ids):
+                    break
+            hits = np.flatnonzero(ranks == np.repeat(best, sizes))
+            first = hits[np.diff(word[hits], prepend=-1) != 0]
+            ids[first] = self.made_table[ranks[first]]
+            keep = np.ones(len(ids), bool)
+            keep[first + 1] = False
+            first = first - np.arange(len(first))  # where they stand once the second halves are gone
+            ids, word, ranks = ids[keep], word[keep], ranks[keep]
+            ranks[first] = self._ranks(ids, word, first)
+            before = first[first > 0] - 1
+            ranks[before] = self._ranks(ids, word, before)
+        return out
+
+    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair at each place; NEVER across words and where there is no merge."""
+        after = np.minimum(at + 1, len(ids) - 1)
+        key = ids[at] * WIDE + ids[after]
+        place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[place] == key) & (word[at] == word[after]) & (after > at), self.pair_ranks[place], NEVER)
+
+    def _merge_long(self, ids: list[int | None]) -> list[int]:
+        """One word, with a heap: its length does not tell in the square."""
+        n, get, made = len(ids), self.ranks.get, self.made
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] * WIDE + ids[i + 1], NEVER)) < NEVER]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, None
+            ids[i], ids[j] = made[best], None
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y >= 0 and (r := get(ids[x] * WIDE + ids[y], NEVER)) < NEVER:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x in ids if x is not None]
 
 
@@ -222,40 +285,73 @@ class Lexicon:
         ends[ends] = self.final[state[ends]] > 0
         return np.where(ends & (len(self.keys) > 0), rank, -1)
 
+    def of(self, rank: int) -> list[int]:
+        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist()
+
 
 class Codec:
     """Encodes and decodes with a vocabulary and a lexicon; one for each Python worker."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo: int = 400_000):
         self.vocabulary, self.lexicon, self.memo, self.limit = vocabulary, lexicon, {}, memo
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > self.limit:
-            self.memo.clear()
-        ranks = self.lexicon.ranks([w.encode("utf-8", "surrogateescape") for w in words]) if self.lexicon else np.full(len(words), -1)
-        for w, r in zip(words, ranks.tolist(), strict=True):
-            ids = self.vocabulary.merge(w) if r < 0 else self.lexicon.ids[self.lexicon.offsets[r] : self.lexicon.offsets[r + 1]].tolist()
-            self.memo[w] = " ".join(map(str, ids))
-
-    def encode_parts(self, text: str) -> Iterator[str]:
-        """The decimal ids, joined by spaces, in as many parts as a long text needs; no part is empty."""
+        self.names = [str(i) for i in range(max(map(int, vocabulary.pieces)) + 1)]
+
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Make the memo hold every word of these lists."""
+        known = self.memo
+        new = set().union(*(set(words).difference(known) for words in lists))
+        if not new:
+            return
+        if len(known) + len(new) > self.limit:  # what is at hand always fits: chunks and groups are bounded
+            known.clear()
+            new = set().union(*lists)
+        words = list(new)
+        data = [w.encode("utf-8", "surrogateescape") for w in words]
+        ranks = self.lexicon.ranks(data) if self.lexicon else np.full(len(words), -1)
+        missing = np.flatnonzero(ranks < 0)
+        made = self.vocabulary.merge_many([data[i] for i in missing])
+        names = self.names
+        for i, ids in zip(missing.tolist(), made, strict=True):
+            known[words[i]] = " ".join([names[x] for x in ids])
+        for i in np.flatnonzero(ranks >= 0).tolist():
+            known[words[i]] = " ".join([names[x] for x in self.lexicon.of(int(ranks[i]))])
+
+    def _split(self, text: str) -> Iterator[list[str] | str]:
+        """A text's special ids, as strings, and the words between them, in bounded lists."""
         for segment, special in self.vocabulary.segments(text):
             if special:
                 yield str(self.vocabulary.special_ids[segment])
                 continue
             for chunk in chunks(segment):
-                words = self.vocabulary.words(chunk)
-                if not words:
-                    continue
-                distinct = set(words)
-                known = self.memo
-                new = [w for w in distinct if w not in known]
-                if new:
-                    before = len(known)
-                    self._learn(new)
-                    if len(known) < before + len(new):  # the memo was emptied
-                        self._learn([w for w in distinct if w not in known])
-                yield " ".join(map(known.__getitem__, words))
+                if words := self.vocabulary.words(chunk):
+                    yield words
+
+    def encode_parts(self, text: str) -> Iterator[str]:
+        """The decimal ids, joined by spaces, in as many parts as a long text needs; no part is empty."""
+        for part in self._split(text):
+            if isinstance(part, str):
+                yield part
+            else:
+                self._learn([part])
+                yield " ".join(map(self.memo.__getitem__, part))
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[Iterable[str]]:
+        """`encode_parts` of each text; the new words of texts that fit into one chunk together are learned together."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (size := size + len(texts[end] or "")) <= CHUNK:
+                end += 1
+            if end == at:  # a long text goes part by part
+                yield self.encode_parts(texts[at])
+                at += 1
+                continue
+            group = [list(self._split(text or "")) for text in texts[at:end]]
+            self._learn([part for parts in group for part in parts if not isinstance(part, str)])
+            look = self.memo.__getitem__
+            for parts in group:
+                yield [part if isinstance(part, str) else " ".join(map(look, part)) for part in parts]
+            at = end
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for part in self.encode_parts(text or "") for i in part.split(" ")]
@@ -266,10 +362,10 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_part(" ".join(map(str, ids))) if (ids := list(ids)) else ""
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Of one text: the number of ids, and SHA-256 of the joined ids and of the text that they decode to."""
+    def digests(self, parts: Iterable[str]) -> tuple[int, str, str]:
+        """Of an encoded text: the number of ids, and SHA-256 of the joined ids and of the text that they decode to."""
         n, ids, decoded, gap = 0, hashlib.sha256(), hashlib.sha256(), b""
-        for part in self.encode_parts(text or ""):
+        for part in parts:
             n += part.count(" ") + 1
             ids.update(gap + part.encode())
             decoded.update(gap + self.decode_part(part).encode("utf-8", "replace"))
@@ -343,7 +439,8 @@ def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", ma
     return vocabulary, _publish(spark, data, ".lex")
 
 
-def _map(df: DataFrame, files: tuple[str, str], id_col: str, text_col: str, schema: str, row) -> DataFrame:
+def _map(df: DataFrame, files: tuple[str, str], id_col: str, text_col: str, schema: str, rows) -> DataFrame:
+    """rows(codec, values): a row of results for each value."""
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[k]) for n, k in (x.split(" ") for x in schema.split(", "))])
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -352,8 +449,8 @@ def _map(df: DataFrame, files: tuple[str, str], id_col: str, text_col: str, sche
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [row(codec, x.as_py()) for x in part.column(1)]
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+                made = list(rows(codec, part.column(1).to_pylist()))
+                columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True))], [id_col, *kinds.names])
 
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
@@ -361,14 +458,20 @@ def _map(df: DataFrame, files: tuple[str, str], id_col: str, text_col: str, sche
 
 def encode(df: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids) of every text."""
-    return _map(df, files, id_col, text_col, "n_tokens long, ids array<int>", lambda codec, text: (len(ids := codec.encode(text)), ids))
+
+    def rows(codec: Codec, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        for parts in codec.encode_many(texts):
+            ids = np.array(" ".join(parts).split(), np.int32)
+            yield len(ids), ids
+
+    return _map(df, files, id_col, text_col, "n_tokens long, ids array<int>", rows)
 
 
 def decode(df: DataFrame, files: tuple[str, str], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of encoded rows; null ids decode to the empty text."""
-    return _map(df, files, id_col, ids_col, "text string", lambda codec, ids: (codec.decode(ids or []),))
+    return _map(df, files, id_col, ids_col, "text string", lambda codec, lists: ((codec.decode(ids or []),) for ids in lists))
 
 
 def digests(df: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded, in one pass."""
-    return _map(df, files, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, text: codec.digests(text))
+    return _map(df, files, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, texts: map(codec.digests, codec.encode_many(texts)))
