@@ -72,7 +72,7 @@ def epub_contents(spark: SparkSession, path: str) -> DataFrame:
                     pass
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([opf], pa.string()), pa.array([text], pa.string())], ["path", "opf", "text"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(_roots(spark, path))
     return files.select("path", "content").mapInArrow(run, "path string, opf string, text string")
 
 
