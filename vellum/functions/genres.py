@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,6 +124,3 @@ def admit(labels: Column, frequent: Column, minimum: int, vocabulary: dict[str,
     ok = lambda g: F.lit(minimum <= 1) | F.array_contains(frequent, g) | is_canonical(g, vocabulary)
     return T.bind(clean_pt(labels, vocabulary), lambda c: F.struct(F.filter(c, ok).alias("accepted"), F.filter(c, lambda g: ~ok(g)).alias("refused")))
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -23,8 +23,6 @@ SERIES_VOLUME = r"(?iu)\A(.*?)\s*[-–]\s*(.+?)\s*[-–]?\s*Vol\.?\s*(\d{1,3})\s
 VOLUME = r"(?iu)\A(.*?)\s*[-–]\s*Vol\.?\s*(\d{1,3})\s*\z"
 SERIES_NUMBER = r"\A(.*?[^\d\s])\s+(\d{1,3})\s*[-–]\s*(.+)\z"
 
-PARSED = "struct<title:string,author:string,series:string,idx:double,has_idx:boolean,dup:boolean,prefix:string>"
-
 
 def parse_filename(stem: Column, with_author: bool = True) -> Column:
     """struct of title, author, series, index, duplicate mark and numeric prefix, from a file name without its extension."""
