@@ -251,6 +251,27 @@ def test_typo_blocking_matches_all_pairs(spark):
     assert {tuple(r) for r in A.typo_pairs(rows).collect()} == {(r.a, r.b) for r in expected.collect()}
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_segments_lose_no_pair(spark, hot):
+    rnd = np.random.default_rng(5)
+    names = [f"customer {rnd.integers(0, 3000):05d}" for _ in range(60)] + [f"a very common beginning {rnd.integers(0, 3000):04d}" for _ in range(40)]
+    names += [n[:4] + n[5:] for n in names[::7]] + [n[:2] + n[3] + n[2] + n[4:] for n in names[::9]] + names[:5]
+    rows = A.keys(spark.createDataFrame([(i, str(i), 1, n) for i, n in enumerate(names)], "ord long, id string, books int, name string"))
+    keys = {r.canon for r in rows.collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = {(a, b) for a in keys for b in keys if a != b and len(a) >= 12 and len(b) - len(a) in (0, 1) and edits(a, b) <= (2 if len(a) >= 20 else 1)}
+    found = [tuple(r) for r in A.near_keys(rows, hot=hot).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and any(len(a) < len(b) for a, b in expected)
+
+
 def test_excluded_and_declared_series(spark):
     books = spark.createDataFrame([(f"p{i}", f"O Livro de Sharpe {i}", "B C") for i in range(3)], "path string, title string, author string")
     assert SE.detect(books).count() == 3 and SE.detect(books, exclude=["sharpe"]).count() == 0 and SE.detect(books, minimum=4).count() == 0

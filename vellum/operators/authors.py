@@ -15,6 +15,8 @@ GENERIC = (
     "unknown|desconhecido|anonimo|anonymous|autor desconhecido|unknown author|varios|varios autores|vv aa|n a|sem autor"
 ).split("|")
 RULES = ("grafia", "invertido", "iniciais", "typo")
+#: A segment of more keys than this does not bring them together by itself.
+HOT = 64
 
 
 def tokens(name: Column) -> Column:
@@ -57,33 +59,72 @@ def same_key_edges(rows: DataFrame) -> DataFrame:
     return canon.unionByName(bare.select(F.col("f.ord").alias("a"), F.col("ord").alias("b"), F.lit("iniciais").alias("rule")))
 
 
-def typo_pairs(rows: DataFrame, min_len: int = 12, symmetric: bool = False) -> DataFrame:
-    """(a, b) of records whose keys are a slip apart: of equal length, or b longer by one, in at most one edit (two from 20 characters).
+def _edits(n: Column) -> Column:
+    return F.when(n >= 20, 2).otherwise(1)
+
+
+def _segments(n: Column) -> Column:
+    """Of a key of n characters: as many pieces as edits are allowed and one more, as (i, at, size)."""
+    k = _edits(n)
+    cut_at = lambda i: F.floor(n * i / (k + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut_at(i).alias("at"), (cut_at(i + 1) - cut_at(i)).alias("size")))
+
+
+def _deletions(key: Column, n: Column, k: Column) -> Column:
+    """Hashes of what is left of a key of n characters without k of them, for k from 0 to 2."""
+    one = lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n))
+    two = lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.xxhash64(F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, j - i - 1), F.substring(key, j + 1, n))))
+    return F.array_distinct(
+        F.when(k == 0, F.array(F.xxhash64(key)))
+        .when(k == 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(one(i))))
+        .otherwise(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), two)))
+    )
+
+
+def near_keys(rows: DataFrame, min_len: int = 12, hot: int = HOT) -> DataFrame:
+    """(ka, kb) of different keys a slip apart: of equal length, or kb longer by one, in at most one edit (two from 20 characters).
 
-    Every key is cut into as many segments as edits are allowed and one more; a pair within that many edits
-    has a segment in common, shifted by as many places at most. Pairs meet on equal segments and are then
-    measured, so no length class is compared with itself. b stands after a in the input unless `symmetric`.
+    A pair within k edits has one of ka's k + 1 segments in common, shifted by k places at most, so pairs meet
+    on equal segments. A segment of more than `hot` keys would pair those with each other (`customer` before a
+    number): the keys that hold one meet on what k deletions leave of them instead, which near keys alone share.
+    A pair that shares hot segments only consists of such keys, so none is lost. All are measured at the end.
     """
-    held = rows.select("ord", "canon", F.length("canon").alias("n"))
-    edits = lambda n: F.when(n >= 20, 2).otherwise(1)
+    held = cut(rows.select("canon", F.length("canon").alias("n")).distinct())
+    left = held.where(F.col("n") >= min_len).select(F.col("canon").alias("ka"), F.col("n").alias("na"))
+    right = held.select(F.col("canon").alias("kb"), F.col("n").alias("nb"), F.explode(F.array("n", F.col("n") - 1)).alias("na")).where(F.col("na") >= min_len)
+
+    cuts = left.select("ka", "na", F.explode(_segments(F.col("na"))).alias("s")).select("ka", "na", "s.i", F.expr("substring(ka, s.at + 1, s.size)").alias("piece"))
+    full = cuts.groupBy("na", "i", "piece").count().where(F.col("count") > hot).select("na", "i", "piece", F.lit(True).alias("full"))
+    cuts = cut(cuts.join(full, ["na", "i", "piece"], "left"))
+    shifts = right.select("kb", "nb", "na", F.explode(_segments(F.col("na"))).alias("s"), _edits(F.col("na")).alias("k"))
+    shifts = shifts.select("kb", "nb", "na", "s", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift")).where("s.at + shift >= 0")
+    shifts = shifts.select("kb", "nb", "na", "s.i", F.expr("substring(kb, s.at + shift + 1, s.size)").alias("piece")).distinct()
+    met = cuts.where("full IS NULL").join(shifts, ["na", "i", "piece"]).select("ka", "kb", "na")
+
+    k = _edits(F.col("na"))
+    busy = cuts.where("full").select("ka", "na").distinct()
+    # what is left of both has one length: kb loses k characters, ka as many, or one fewer where kb is longer
+    longer = F.explode(F.array(F.lit(0), F.lit(1))).alias("longer")
+    busy = busy.select("ka", "na", longer).select("ka", "na", "longer", F.explode(_deletions(F.col("ka"), F.col("na"), k - F.col("longer"))).alias("rest"))
+    also = shifts.join(full, ["na", "i", "piece"], "left_semi").select("kb", "nb", "na").distinct()
+    also = also.select("kb", "na", (F.col("nb") - F.col("na")).alias("longer"), F.explode(_deletions(F.col("kb"), F.col("nb"), k)).alias("rest"))
+    met = met.unionByName(busy.join(also, ["na", "longer", "rest"]).select("ka", "kb", "na")).where("ka <> kb").distinct()
+    return met.where(F.when(F.col("na") >= 20, F.levenshtein("ka", "kb", 2)).otherwise(F.levenshtein("ka", "kb", 1)) >= 0).select("ka", "kb")
 
-    def cut_at(n: Column, k: Column, i: Column) -> Column:
-        return F.floor(n * i / (k + 1)).cast("int")
 
-    def segments(n: Column) -> Column:  # of a key of length n: (segment, start, size)
-        k = edits(n)
-        return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut_at(n, k, i).alias("at"), (cut_at(n, k, i + 1) - cut_at(n, k, i)).alias("size")))
+def typo_pairs(rows: DataFrame, min_len: int = 12, symmetric: bool = False) -> DataFrame:
+    """(a, b) of the records whose keys are near; the longer key stands after the other in the input unless `symmetric`."""
+    a, b = rows.select(F.col("canon").alias("ka"), F.col("ord").alias("a")), rows.select(F.col("canon").alias("kb"), F.col("ord").alias("b"))
+    met = near_keys(rows, min_len).join(a, "ka").join(b, "kb").where((F.col("b") != F.col("a")) if symmetric else (F.col("b") > F.col("a")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    left = held.where(F.col("n") >= min_len).select("ord", "canon", "n", F.explode(segments(F.col("n"))).alias("s"))
-    left = left.select(F.col("ord").alias("a"), F.col("canon").alias("ka"), F.col("n").alias("na"), F.col("s.i").alias("i"), F.expr("substring(canon, s.at + 1, s.size)").alias("piece"))
-    right = held.select("ord", "canon", F.explode(F.array("n", F.col("n") - 1)).alias("na")).where(F.col("na") >= min_len)
-    right = right.select("ord", "canon", "na", F.explode(segments(F.col("na"))).alias("s"), edits(F.col("na")).alias("k"))
-    right = right.select("ord", "canon", "na", "s", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift")).where("s.at + shift >= 0")
-    right = right.select(F.col("ord").alias("b"), F.col("canon").alias("kb"), "na", F.col("s.i").alias("i"), F.expr("substring(canon, s.at + shift + 1, s.size)").alias("piece")).distinct()
-    order = (F.col("b") != F.col("a")) if symmetric else (F.col("b") > F.col("a"))
-    met = left.join(right, ["na", "i", "piece"]).where(order & (F.col("ka") != F.col("kb"))).select("a", "b", "ka", "kb", "na").distinct()
-    near = F.when(F.col("na") >= 20, F.levenshtein("ka", "kb", 2)).otherwise(F.levenshtein("ka", "kb", 1))
-    return met.where(near >= 0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def typo_edges(rows: DataFrame, min_len: int = 12, symmetric: bool = False) -> DataFrame:
+    """(a, b): one pair of records for each pair of near keys that `typo_pairs` would join, however often the keys repeat."""
+    ends = rows.groupBy("canon").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    met = near_keys(rows, min_len).join(ends.select(F.col("canon").alias("ka"), F.col("first").alias("a")), "ka")
+    met = met.join(ends.select(F.col("canon").alias("kb"), F.col("last").alias("b")), "kb")
+    return (met if symmetric else met.where("b > a")).select("a", "b")
 
 
 def resolve(records: DataFrame, typos: bool = True, min_len: int = 12, skip: list[str] | None = None, keep: list[str] | None = None, symmetric: bool = False) -> DataFrame:
@@ -96,7 +137,7 @@ def resolve(records: DataFrame, typos: bool = True, min_len: int = 12, skip: lis
     rooted = components(edges.select("a", "b"))
     if typos:
         of = rows.select("ord").join(rooted, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("root", "ord").alias("root"))
-        slips = typo_pairs(rows, min_len, symmetric)
+        slips = typo_edges(rows, min_len, symmetric)
         slips = slips.join(of.select(F.col("ord").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("ord").alias("b"), F.col("root").alias("rb")), "b")
         edges = edges.unionByName(slips.where("ra <> rb").select("a", "b", F.lit("typo").alias("rule")))
         rooted = components(edges.select("a", "b"))
