@@ -32,23 +32,32 @@ def shingles(words: Column, size: int = SHINGLE) -> Column:
     return F.transform(starts, lambda i: F.concat(F.concat_ws(" ", F.slice(words, i, F.lit(size))), F.lit(" ")))
 
 
+def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
+    """A 64-bit hash of each window of `size` words, made from the hashes of its words."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return T.bind(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.transform(starts, lambda i: F.xxhash64(*[F.get(hs, i + k) for k in range(size)])))
+
+
 def _enough(words: Column, values: Column, size: int) -> Column:
     return F.when(F.size(words) >= size + SPARE, values)
 
 
+def _once(df: DataFrame, id_col: str, text_col: str, made) -> DataFrame:
+    """(id, n_words, sig) with sig = made(words). The generator keeps what follows from repeating the work: no filter or projection is folded into it."""
+    words = T.tokens(F.coalesce(F.col(text_col), F.lit("")))
+    held = T.bind(words, lambda w: F.struct(F.size(w).alias("n_words"), made(w).alias("sig")))
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array(held)).alias("m")).select("id", "m.n_words", "m.sig")
+
+
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, n_words, sig): unsampled, 64-bit hashes in order; null for texts that are too short."""
-    words = df.select(F.col(id_col).alias("id"), F.array(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("held"))
-    made = F.transform("held", lambda w: F.struct(F.size(w).alias("n"), _enough(w, F.array_sort(F.array_distinct(F.transform(shingles(w, size), lambda s: F.xxhash64(s)))), size).alias("sig")))
-    return words.select("id", F.get(made, F.lit(0)).alias("m")).select("id", F.col("m.n").alias("n_words"), F.col("m.sig").alias("sig"))
+    return _once(df, id_col, text_col, lambda w: _enough(w, F.array_sort(F.array_distinct(shingle_hashes(w, size))), size))
 
 
 def sampled_md5(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, n_words, sig): shingles whose MD5 starts with 00 or 80, one in 128, as hexadecimal strings."""
-    words = df.select(F.col(id_col).alias("id"), F.array(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("held"))
     hashes = lambda w: F.filter(F.transform(shingles(w, size), lambda s: F.md5(s)), lambda h: F.substring(h, 1, 2).isin("00", "80"))
-    made = F.transform("held", lambda w: F.struct(F.size(w).alias("n"), _enough(w, F.array_sort(F.array_distinct(hashes(w))), size).alias("sig")))
-    return words.select("id", F.get(made, F.lit(0)).alias("m")).select("id", F.col("m.n").alias("n_words"), F.col("m.sig").alias("sig"))
+    return _once(df, id_col, text_col, lambda w: _enough(w, F.array_sort(F.array_distinct(hashes(w))), size))
 
 
 # The parameters of FNV-1a with 64 bits.
@@ -111,18 +120,23 @@ def representatives(sigs: DataFrame) -> DataFrame:
 
 
 def _prefixes(sigs: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, h): each signature's rarest hashes, of those that occur elsewhere."""
-    rows = sigs.select("id", F.size("sig").alias("n"), F.explode("sig").alias("h")).join(frequencies, "h", "left")
-    ordered = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h"))).alias("hs"))
+    """(id, n, h): each signature's rarest hashes, of those that occur elsewhere. frequencies: (h, f) of these.
+
+    Hashes that occur nowhere else come first in the order; they are only counted, so the rows that move
+    after the join are those that can meet.
+    """
+    rows = sigs.select("id", F.size("sig").alias("n"), F.explode("sig").alias("h")).join(frequencies, "h")
+    ordered = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    return ordered.select("id", "n", F.explode(F.slice("hs", F.lit(1), length)).alias("e")).where("e.f > 1").select("id", "n", F.col("e.h").alias("h"))
+    kept = F.slice("hs", F.lit(1), F.greatest(length - (F.col("n") - F.size("hs")), F.lit(0)))
+    return ordered.select("id", "n", F.explode(kept).alias("e")).select("id", "n", F.col("e.h").alias("h"))
 
 
 def self_join(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, shared, similarity) of every pair a < b of distinct signatures at `threshold` or above. reps: (id, sig)."""
     reps = cut(reps)
     frequencies = reps.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    prefix = _prefixes(reps, frequencies, threshold)
+    prefix = cut(_prefixes(reps, frequencies, threshold))
     left, right = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
     return _verified(left.join(right, "h").where(near).select("a", "b").distinct(), reps, reps, threshold)

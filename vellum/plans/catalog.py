@@ -20,7 +20,7 @@ from vellum.operators import signature as S
 from vellum.operators.graph import components
 from vellum.plans import fixtures as X
 from vellum.plans import sql as Q
-from vellum.session import cut, read_table
+from vellum.session import cut, read_table, spread
 from vellum.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,17 +46,21 @@ def joined(values: Column, separator: str = "|") -> Column:
     return F.coalesce(F.array_join(values, separator), F.lit(""))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(read_table(spark, sf, "documents"))
+
+
 # ---- text ----
 
 
 @query(f"WITH {Q.WORDS} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words FROM w")
 def tok_word_count(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"))
+    return _documents(spark, sf).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"))
 
 
 @query(f"WITH {Q.WORDS} SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM w) GROUP BY word ORDER BY n DESC, word LIMIT 50")
 def tok_top_words(spark: SparkSession, sf: str) -> DataFrame:
-    words = read_table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    words = _documents(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
@@ -74,7 +78,7 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id, md5({Q.norm_key('text')}) AS norm_key, md5({Q.collapse('text')}) AS collapsed, md5({Q.deaccent('text')}) AS deaccented FROM documents")
 def norm_key_documents(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return read_table(spark, sf, "documents").select("doc_id", F.md5(T.norm_key(text)).alias("norm_key"), F.md5(T.collapse(text)).alias("collapsed"), F.md5(T.deaccent(text)).alias("deaccented"))
+    return _documents(spark, sf).select("doc_id", F.md5(T.norm_key(text)).alias("norm_key"), F.md5(T.collapse(text)).alias("collapsed"), F.md5(T.deaccent(text)).alias("deaccented"))
 
 
 @query(f"SELECT p_partkey, {Q.norm_key('p_name')} AS norm_key FROM part")
@@ -86,7 +90,7 @@ def norm_key_parts(spark: SparkSession, sf: str) -> DataFrame:
     r"SELECT doc_id, n >= 8 AND u / greatest(n, 1) >= 0.95 AS shouty FROM (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS n, len(regexp_extract_all(text, '\p{Lu}')) AS u FROM documents)"
 )
 def is_shouty(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select("doc_id", T.is_shouty(F.col("text")).alias("shouty"))
+    return _documents(spark, sf).select("doc_id", T.is_shouty(F.col("text")).alias("shouty"))
 
 
 @query(
@@ -120,7 +124,7 @@ def author_file_as(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _signatures(spark: SparkSession, sf: str) -> DataFrame:
-    return S.signatures(read_table(spark, sf, "documents"))
+    return S.signatures(_documents(spark, sf))
 
 
 @query(f"WITH {Q.SHINGLES} SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(len(s), -1) AS BIGINT) AS n_shingles FROM x")
@@ -132,13 +136,13 @@ def shingle_stats(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {Q.SHINGLES}, h AS (SELECT doc_id, n, list_sort(list_filter(list_transform(s, lambda v: md5(v)), lambda v: v[1:2] IN ('00', '80'))) AS h FROM x) SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(len(h), -1) AS BIGINT) AS n_sig, md5(coalesce(array_to_string(h, ','), '')) AS digest FROM h"
 )
 def signature_md5_128(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.sampled_md5(read_table(spark, sf, "documents"))
+    rows = S.sampled_md5(_documents(spark, sf))
     return rows.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_sig"), F.md5(joined(F.col("sig"), ",")).alias("digest"))
 
 
 @query()
 def signature_fnv_128(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.sampled_fnv(read_table(spark, sf, "documents"))
+    rows = S.sampled_fnv(_documents(spark, sf))
     return rows.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_sig"), F.md5(joined(F.col("sig").cast("array<string>"), ",")).alias("digest"))
 
 
@@ -176,7 +180,7 @@ def doc_best_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {Q.MATCHES} SELECT d.doc_id, t.b IS NOT NULL AS exists, CAST(t.rank AS INTEGER) AS rank, t.b AS match, round(t.similarity, 6) AS similarity FROM documents d LEFT JOIN t ON t.a = d.doc_id AND rank <= 3 WHERE d.doc_id % 100 = 0")
 def doc_check_top3(spark: SparkSession, sf: str) -> DataFrame:
-    asked = read_table(spark, sf, "documents").where(F.col("doc_id") % 100 == 0).select("doc_id")
+    asked = _documents(spark, sf).where(F.col("doc_id") % 100 == 0).select("doc_id")
     found = S.top_matches(_matches(spark, sf), 3).select(F.col("a").alias("doc_id"), "rank", F.col("b").alias("match"), F.round("similarity", 6).alias("similarity"))
     return asked.join(found, "doc_id", "left").withColumn("exists", F.col("match").isNotNull())
 
@@ -209,7 +213,7 @@ def better_copy_cases(spark: SparkSession, sf: str) -> DataFrame:
 )
 def better_copy(spark: SparkSession, sf: str) -> DataFrame:
     """Of each similar pair of documents, whether the later one would replace the earlier."""
-    documents = read_table(spark, sf, "documents")
+    documents = _documents(spark, sf)
     sigs = cut(S.signatures(documents))
     copies = documents.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size")).join(sigs.select("id", "n_words"), "id")
     side = lambda name, key: copies.select(F.col("id").alias(key), F.struct(F.col("n_words").alias("words"), "size", F.lit("").alias("series"), F.lit(0.0).alias("idx")).alias(name))
@@ -225,7 +229,7 @@ o AS (SELECT CAST(doc_id AS VARCHAR) AS path, n_chars AS size, 1 AS mod_time FRO
 
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A scan of the documents and an older index: Spanish ones are gone, French ones new, German and src3 ones changed."""
-    documents = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "n_chars", "lang", "source")
+    documents = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("path"), "n_chars", "lang", "source")
     changed = F.when(F.col("lang") == "de", 1).otherwise(0)
     scan = documents.where("lang <> 'es'").select("path", (F.col("n_chars") + changed).cast("long").alias("size"), F.when(F.col("source") == "src3", 2).otherwise(1).cast("long").alias("mod_time"))
     old = documents.where("lang <> 'fr'").select("path", F.col("n_chars").cast("long").alias("size"), F.lit(1).cast("long").alias("mod_time"))
@@ -535,7 +539,7 @@ def import_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _library(spark: SparkSession, sf: str) -> DataFrame:
-    documents = read_table(spark, sf, "documents")
+    documents = _documents(spark, sf)
     sigs = S.signatures(documents)
     base = documents.select(F.col("doc_id").alias("id"), "source", "lang", F.octet_length("text").cast("long").alias("size"))
     return cut(sigs.join(base, "id").select(F.format_string("d%012d.epub", "id").alias("path"), "id", F.col("n_words").alias("words"), "size", "sig", F.col("source").alias("series"), F.array("lang").alias("tags")))

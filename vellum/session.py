@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: The usual size of a row group, which one task reads whole.
+ROW_GROUP = 128 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -33,6 +35,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan too small to hold a row group for every core is dealt out to all of them; a larger one stays as it is.
+
+    For work that is long for each row, as on texts. Only the columns in use move, and of a bounded table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster: spark.checkpoint.dir, or a temporary one where that is unset."""
     context = spark.sparkContext
