@@ -87,6 +87,23 @@ def test_dedup_keeps_the_smallest_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in slow_classes(rows)})
 
 
+def test_dedup_keeps_a_row_of_every_class_whatever_its_id(spark):
+    rnd = random.Random(8)
+    one, two, three, four, five = (" ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(120)) for _ in range(5))
+    shape = "doc_id long, text string, lang string, tags map<string,string>"
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in simhash.dedup(spark.createDataFrame([(*r, None, {"a": "b"}) for r in rows], shape)).collect())
+    # classes of null ids alone, a null id beside a document, an id with two texts, one of them a copy, and equal rows
+    rows = [(None, one), (None, one), (None, two), (1, three), (None, three), (2, four), (2, five), (3, five), (2, three)]
+    assert kept(rows) == sorted([("None", one), ("None", two), ("1", three), ("2", four), ("2", five)])
+    # a single class of null ids must not let other rows without an id through
+    assert kept([(None, one), (1, two), (None, two)]) == sorted([("None", one), ("1", two)])
+
+
+def test_null_columns_do_not_make_rows_equal(spark):
+    df = spark.createDataFrame([(1, "one text", None), (1, None, "one text")], "doc_id long, text string, lang string")
+    assert sorted(map(str, simhash.dedup(df).collect())) == sorted(map(str, df.collect()))
+
+
 def test_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(df).collect() == [] and simhash.dedup(df).collect() == []

@@ -17,8 +17,10 @@ small-star), each round of which is written to the shared folder.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
 texts of fewer than four words have one shingle; exact copies share a fingerprint and a class;
-rows that share an id count as one document in `dedup`; a null id takes part and is never the smallest; an empty table gives an empty
-result; extra columns are carried by `dedup` and ignored by `classes`.
+`dedup` keeps one row of every class, whatever ids are null, repeated or shared between classes: that of
+the smallest id, of several the one whose row hash is smallest, of equal rows one; a null id takes part
+and is never the smallest; an empty table gives an empty result; extra columns are carried by `dedup` and
+ignored by `classes`.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.graph import components
@@ -73,17 +75,19 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(columns[:, i], minlength=256) @ _SPREAD for i in range(8)])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: dict[str, Column] | None = None) -> DataFrame:
+    """(id, the longs of `carried`, fp) of every row; fp holds the 64 bits as a signed long."""
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
+    names = ["id", *(carried or {}), "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(made.view(np.int64))], names)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in (carried or {}).items()])
+    return rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} long" for n in names[1:])]))
 
 
 def block_masks(blocks: int = BLOCKS) -> list[int]:
@@ -197,16 +201,29 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _rooted(marked: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, root) of each fingerprint: an aggregate of its rows, and its class. marked: rows with fp."""
+    firsts = cut(marked.groupBy("fp").agg(least.alias("least")))
+    rooted = components(links(firsts.select("fp")))
+    return firsts.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def _classes(marked: DataFrame, ids: str) -> DataFrame:
     """(fp, component): the smallest id reachable from each fingerprint. marked: rows with fp and an id."""
-    least = cut(marked.groupBy("fp").agg(F.min(ids).alias("least")))
-    rooted = components(links(least.select("fp")))
-    held = least.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    held = _rooted(marked, F.min(ids))
     # only linked fingerprints can have a smaller id than their own
     smallest = held.groupBy("root").agg(F.min("least").alias("component"))
     return held.join(smallest, "root").select("fp", "component")
 
 
+def _row_hashes(df: DataFrame) -> dict[str, Column]:
+    """128 bits of hash of all columns. Nulls are marked, as a hash passes over them; maps cannot be hashed but as JSON."""
+    columns = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields]
+    values = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(columns, df.schema.fields, strict=True)]
+    parts = [x for c, v in zip(columns, values, strict=True) for x in (c.isNull(), v)]
+    return {"one": F.xxhash64(*parts), "two": F.xxhash64(F.lit(7), *parts)}
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row."""
     marked = cut(fingerprints(df, id_col, text_col))
@@ -217,15 +234,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with the columns it came with: that with the smallest id, or one of them."""
     ship(df.sparkSession)
-    kind = df.schema[id_col].dataType
-    marked = cut(fingerprints(df, id_col, text_col))
-    found = _classes(marked, "id")
-    # rows of the smallest id go on; of several, one
-    firsts = marked.join(found.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where(F.col("id").eqNullSafe(F.col("component")))
-    firsts = cut(firsts.groupBy(F.col("component").cast(kind).alias("kept_id")).agg(F.count("*").alias("n")))
+    hashes = _row_hashes(df)
+    # equal rows have equal texts and so one fingerprint: n counts all of them
+    marked = cut(fingerprints(df, id_col, text_col, hashes).groupBy("fp", "id", "one", "two").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "one", "two", "n"))
+    firsts = cut(_rooted(marked, first).groupBy("root").agg(F.min("least").alias("m")).select("m.one", "m.two", "m.n"))
     unique = firsts.where("n > 1").isEmpty()
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("kept_row_id"))
-    held = rows.join(firsts, F.col("kept_row_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if unique:  # as ids are; else the texts have to be brought together
+    rows = df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in hashes.items()])
+    held = rows.join(firsts, ["one", "two"], "left_semi")
+    if unique:  # as rows are; else equal ones have to be brought together
         return held.select("row.*")
-    return held.groupBy("kept_row_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+    return held.groupBy("one", "two").agg(F.any_value("row").alias("row")).select("row.*")
