@@ -53,6 +53,17 @@ def test_code_lengths_match_the_definition():
             assert abs(found[i, k] - slow_length(grams[k], t)) < 0.01 * len(t.encode()) + 0.01
 
 
+def test_a_rare_language_keeps_its_contexts_beside_a_common_one():
+    rnd = np.random.default_rng(4)
+    common = grams_of(["".join(chr(97 + c) for c in rnd.integers(0, 26, 400_000))])
+    grams = [common, grams_of(["wyn hâf ŵyl fach y dŵr", "mae'r hâf yn wyn"])]
+    model = language_id.build(["common", "rare"], grams)
+    text = "mae'r ŵyl fach yn wyn; xyz 12"
+    found = model.lengths([text])[0] / language_id.UNIT
+    for k in range(2):
+        assert abs(found[k] - slow_length(grams[k], text)) < 0.001 * len(text.encode())
+
+
 def test_long_texts_and_batches_agree_with_single_ones(monkeypatch):
     monkeypatch.setattr(language_id, "STRIP", 64)
     model = language_id.build(["de", "en"], [grams_of(["der hund und die katze"]), grams_of(["the cat sat on the mat"])], least=1)

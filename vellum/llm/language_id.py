@@ -4,8 +4,9 @@ For each language, counts of bytes after contexts of up to three bytes form a co
 a byte after a context is the code length that PPM assigns: what the longest known context gives it, or
 an escape to the next shorter one (method C: a context seen n times with d different bytes escapes with
 probability d / (n + d)), down to a uniform byte. Statistics are frozen after training, so the cost is a
-function of a context and a byte; it is tabulated once in 1/1024 bit, and a text's code length is an
-exact sum of integers. The language with the shortest code length is predicted.
+function of a context and a byte, rounded to 1/1024 bit, and a text's code length is an exact sum of
+integers. The language with the shortest code length is predicted. Every language has its own tree, which
+holds all contexts of its sample; a tree is stored sparsely, by the grams that occur.
 
 Bytes are folded: letters to lower case, digits to one class, white space and controls to another, other
 ASCII to a third; every byte from 0x80 on is a class of its own.
@@ -57,34 +58,45 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+@dataclass
+class Tree:
+    """One language's contexts. By order: the grams seen, packed and sorted, with the bits of their last byte; the contexts seen, with those of an escape."""
+
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """The cost of the last of four packed byte classes after the others, in 1/1024 bit."""
+        total, left = np.zeros(len(grams)), np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            at, hit = _find(self.grams[order], grams[left] % SIZE ** (order + 1))
+            total[left[hit]] += self.bits[order][at[hit]]
+            left = left[~hit]
+            at, hit = _find(self.contexts[order], grams[left] // SIZE % SIZE**order)
+            total[left[hit]] += self.escapes[order][at[hit]]
+        total[left] += np.log2(SIZE)
+        return np.rint(total * UNIT).astype(np.int64)
+
+
+def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return at, sorted_values[at] == wanted
+
+
 @dataclass
 class Model:
-    """languages, sorted; the contexts that are nodes, as (order, packed context); costs by language, node and byte class."""
+    """languages, sorted, and the tree of each."""
 
     languages: list[str]
-    nodes: list[np.ndarray]
-    costs: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.table: np.ndarray | None = None
-
-    def places(self) -> np.ndarray:
-        """The node of every context of three byte classes: its longest suffix that is one."""
-        if self.table is None:
-            held, start = np.zeros(1, np.int32), 1
-            for order, contexts in enumerate(self.nodes[1:], 1):
-                held = np.tile(held, SIZE)  # the new class stands before the others
-                held[contexts] = start + np.arange(len(contexts), dtype=np.int32)
-                start += len(contexts)
-                assert len(held) == SIZE**order
-            self.table = held
-        return self.table
+    trees: list[Tree]
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """The code length of each text in each language, in 1/1024 bit."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        table, width = self.places(), self.costs.shape[1]
-        flat = self.costs.reshape(len(self.languages), width * SIZE)
         at = 0
         while at < len(texts):
             group, size = [], 0
@@ -97,16 +109,17 @@ class Model:
             starts = np.cumsum(sizes) - sizes
             for low in range(0, max(len(symbols) - ORDER, 0), STRIP):
                 s = symbols[low : low + STRIP + ORDER]
-                place = table[(s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]] * SIZE + s[3:]
+                gram = ((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:]
                 where = np.arange(low + ORDER, low + len(s))
                 text = np.searchsorted(starts, where, "right") - 1
                 real = where - starts[text] >= ORDER  # not the gaps
-                place, text = place[real], text[real]
+                gram, text = gram[real], text[real]
                 if not len(text):
                     continue
                 cuts = np.flatnonzero(np.diff(text, prepend=-1))
-                for k in range(len(self.languages)):
-                    np.add.at(out[:, k], at + text[cuts], np.add.reduceat(flat[k].take(place), cuts, dtype=np.int64))
+                grams, place = np.unique(gram, return_inverse=True)
+                for k, tree in enumerate(self.trees):
+                    np.add.at(out[:, k], at + text[cuts], np.add.reduceat(tree.costs(grams).take(place), cuts, dtype=np.int64))
             at += len(group)
         return out
 
@@ -148,38 +161,26 @@ def context_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], max_nodes: int = 16_384, least: int = 8) -> Model:
+def plant(packed: np.ndarray, n: np.ndarray, least: int = 1) -> Tree:
+    """The tree of one language. packed: rows of four classes, n: how often each occurs; contexts seen less than `least` times are left out."""
+    tree = Tree([], [], [], [])
+    for order in range(ORDER + 1):
+        grams, inverse = np.unique(packed % SIZE ** (order + 1), return_inverse=True)
+        seen = np.bincount(inverse, n, len(grams))
+        contexts, inverse, kinds = np.unique(grams // SIZE, return_inverse=True, return_counts=True)
+        total = np.bincount(inverse, seen, len(contexts))
+        known = (total >= least) | (order == 0)
+        hit = known[inverse]
+        tree.grams.append(grams[hit])
+        tree.bits.append(np.log2((total + kinds)[inverse] / seen)[hit])
+        tree.contexts.append(contexts[known])
+        tree.escapes.append(np.log2((total + kinds) / kinds)[known])
+    return tree
+
+
+def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], least: int = 1) -> Model:
     """grams: of each language, packed rows of four classes, and how often each occurs."""
-    # contexts by order, counted over all languages; a suffix occurs as often at least, so nodes have their suffixes
-    totals = [(0, np.array([sum(int(n.sum()) for _, n in grams)]), np.zeros(1, np.int64))]
-    contexts = np.concatenate([g // SIZE for g, _ in grams]) if grams else np.zeros(0, np.int64)
-    counts = np.concatenate([n for _, n in grams]) if grams else np.zeros(0, np.int64)
-    for order in range(1, ORDER + 1):
-        values, inverse = np.unique(contexts % SIZE**order, return_inverse=True)
-        totals.append((order, np.bincount(inverse, counts, len(values)).astype(np.int64), values))
-    every = np.sort(np.concatenate([t for _, t, _ in totals[1:]]))[::-1]
-    bound = max(least, int(every[max_nodes - 1]) + 1 if len(every) >= max_nodes else 0)
-    nodes = [v[t >= bound] if order else v for order, t, v in totals]
-    width = sum(map(len, nodes))
-    costs = np.zeros((len(languages), width, SIZE), np.uint16)
-    for k, (packed, n) in enumerate(grams):
-        longer, parents, start = np.full((1, SIZE), 1 / SIZE), np.zeros(1, np.int64), 0
-        for order, known in enumerate(nodes):
-            context, symbol = packed // SIZE % SIZE**order, packed % SIZE
-            at = np.minimum(np.searchsorted(known, context), max(len(known) - 1, 0))
-            hit = known[at] == context if len(known) else np.zeros(len(context), bool)
-            seen = np.zeros((len(known), SIZE))
-            np.add.at(seen, (at[hit], symbol[hit]), n[hit])
-            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            if order:
-                parents = np.searchsorted(nodes[order - 1], known % SIZE ** (order - 1))
-            shorter = longer[parents] if len(known) else np.zeros((0, SIZE))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                here = np.where(seen > 0, seen / (total + kinds), kinds / (total + kinds) * shorter)
-            longer = np.where(total > 0, here, shorter)
-            costs[k, start : start + len(known)] = np.minimum(np.rint(-np.log2(longer) * UNIT), 65_535).astype(np.uint16)
-            start += len(known)
-    return Model(languages, nodes, costs)
+    return Model(languages, [plant(packed, n, least) for packed, n in grams])
 
 
 def _text_of(id_column: Column) -> Column:
