@@ -92,6 +92,16 @@ def test_language_id_on_awkward_rows(awkward, nothing):
     assert {r.lang_pred for r in language_id.classify(awkward, empty).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    letters = [chr(0x4E00 + 80 * i) for i in range(70)]
+    rows = [(4 * i + k, (c + " " + c * 2 + " ") * 9, f"l{i:02}") for i, c in enumerate(letters) for k in range(1 + (i < 35))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, held_out=None)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    found = language_id.classify(df, model).join(df, "doc_id").collect()
+    assert len(found) == len(rows) and all(r.lang_pred == r.lang for r in found)
+
+
 def test_passages_match_slow_counts():
     text = "Alpha beta. BETA!! 12 ### " * 40 + "\n" + "ünï code " * 30
     rows = mil_quality.encode(text)

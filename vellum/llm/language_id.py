@@ -11,8 +11,8 @@ holds all contexts of its sample; a tree is stored sparsely, by the grams that o
 Bytes are folded: letters to lower case, digits to one class, white space and controls to another, other
 ASCII to a third; every byte from 0x80 on is a class of its own.
 
-Training reads about `sample_docs` rows of each language, spread by a hash of the id, and at most
-`max_languages` languages, the commonest; these bounds limit the model and never which texts are scored.
+Training reads about `sample_docs` rows of each language, spread by a hash of the id; this bound limits the
+model and never which texts are scored. Every language that has a row is learned.
 
 Defined results: null and letterless texts are `und` with score 0; repeated rows are classified each; a
 null id belongs to no sample and counts as the empty string for held_out; equal code lengths go to the
@@ -142,6 +142,7 @@ def context_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
+        size = 0
 
         def out(name: str, grams: list[np.ndarray]) -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(grams), return_counts=True)
@@ -152,8 +153,11 @@ def context_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 if value.is_valid:
                     s = np.concatenate([np.zeros(ORDER, np.int64), folded(value.as_py())])
                     held.setdefault(name, []).append(((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:])
-                    if sum(map(len, held[name])) > STRIP:
-                        yield out(name, held.pop(name))
+                    size += len(s) - ORDER
+                    if size > 4 * STRIP:
+                        yield from map(out, held.keys(), held.values())
+                        held.clear()
+                        size = 0
         for name, grams in held.items():
             yield out(name, grams)
 
@@ -191,22 +195,23 @@ def remainder(id_column: Column, divisor: int) -> Column:
     return F.crc32(_text_of(id_column).cast("binary")) % divisor
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2_500, max_languages: int = 64, held_out: int | None = 5) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2_500, held_out: int | None = 5) -> Model:
     """A model of the rows whose language is known; those with crc32(id) mod `held_out` equal to 0 stay out."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     if held_out:
         rows = rows.where(remainder(F.col("id"), held_out) != 0)
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not common:
-        return build([], [])
-    share = F.lit(0.0)
-    for r in common:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))).otherwise(share)
+    shares = rows.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count("*")).alias("share"))
     drawn = F.pmod(F.xxhash64(_text_of(F.col("id"))), F.lit(1 << 30)) / float(1 << 30)
-    counted = context_counts(rows.where(drawn < share)).toArrow()
-    name, gram, n = (counted.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-    languages = sorted(set(name.tolist()), key=lambda x: x.encode())
-    return build(languages, [(gram[name == x].astype(np.int64), n[name == x].astype(np.int64)) for x in languages])
+    # a row for each language, of which the model holds a tree
+    rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(drawn < F.col("share"))
+    counted = context_counts(rows).toArrow()
+    names = counted.column("lang").combine_chunks().dictionary_encode()
+    of, gram, n = names.indices.to_numpy(), counted.column("gram").to_numpy(), counted.column("n").to_numpy()
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+    parts = {name: order[a:b] for name, a, b in zip(names.dictionary.to_pylist(), ends, ends[1:], strict=False)}
+    languages = sorted(parts, key=lambda x: x.encode())
+    return build(languages, [(gram[parts[x]], n[parts[x]]) for x in languages])
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
