@@ -38,3 +38,13 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_copies_of_one_signature_are_judged(spark, tmp_path):
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(1, text), (2, text + " !!"), (3, text.upper()), (4, text + " " + text), (5, "other " + text[::-1])]
+    twice = " ".join([text] * 3)
+    rows += [(6, twice)]  # the shingles of 4, and half as many words again
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, catalog.QUERIES["better_copy_members"](spark, str(tmp_path)).collect()))
+    assert found == [(1, 2, True), (1, 3, False), (4, 6, True)]

@@ -106,6 +106,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
 
 
+def keyed(sigs: DataFrame) -> DataFrame:
+    """(id, n_words, key) of each non-empty signature, with its hash in its place."""
+    return sigs.where(F.size("sig") > 0).select("id", "n_words", F.sha2(F.array_join(F.col("sig").cast("array<string>"), ","), 256).alias("key"))
+
+
 def classes(sigs: DataFrame) -> DataFrame:
     """(id, rep): texts of equal, non-empty signatures share the smallest id."""
     held = sigs.where(F.size("sig") > 0).select("id", F.sha2(F.array_join(F.col("sig").cast("array<string>"), ","), 256).alias("key"))

@@ -212,12 +212,32 @@ def better_copy_cases(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT a, b, CASE WHEN na > 0 AND nb > 0 AND abs(na - nb) * 100 // greatest(na, nb) >= 2 THEN nb > na ELSE zb > za END AS new_wins FROM v"
 )
 def better_copy(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each similar pair of documents, whether the later one would replace the earlier."""
+    """Of each similar pair of distinct signatures, whether the later document would replace the earlier.
+
+    Only the smallest document of each signature is judged here; `better_copy_members` judges the others.
+    """
     documents = _documents(spark, sf)
     sigs = cut(S.signatures(documents))
+    return _judged(documents, sigs, S.self_join(S.representatives(sigs)).select("a", "b"))
+
+
+@query(
+    f"WITH {Q.CLASSES} SELECT c.rep AS a, c.doc_id AS b, CASE WHEN abs(len(wa.w) - len(wb.w)) * 100 // greatest(len(wa.w), len(wb.w)) >= 2 THEN len(wb.w) > len(wa.w) ELSE octet_length(encode(db.text)) > octet_length(encode(da.text)) END AS new_wins "
+    "FROM c JOIN w wa ON wa.doc_id = c.rep JOIN w wb ON wb.doc_id = c.doc_id JOIN documents da ON da.doc_id = c.rep JOIN documents db ON db.doc_id = c.doc_id WHERE c.rep <> c.doc_id"
+)
+def better_copy_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document whose signature an earlier one has, whether it would replace the first of these."""
+    held = cut(S.keyed(S.signatures(_documents(spark, sf))))
+    least = held.groupBy("key").agg(F.min("id").alias("rep"))
+    pairs = held.join(least, "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return _judged(read_table(spark, sf, "documents"), held, pairs)
+
+
+def _judged(documents: DataFrame, sigs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, new_wins) of pairs of documents, b the new one."""
     copies = documents.select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size")).join(sigs.select("id", "n_words"), "id")
     side = lambda name, key: copies.select(F.col("id").alias(key), F.struct(F.col("n_words").alias("words"), "size", F.lit("").alias("series"), F.lit(0.0).alias("idx")).alias(name))
-    rows = S.self_join(S.representatives(sigs)).select("a", "b").join(side("old", "a"), "a").join(side("new", "b"), "b")
+    rows = pairs.join(side("old", "a"), "a").join(side("new", "b"), "b")
     return rows.select("a", "b", ING.better_copy(F.col("new"), F.col("old")).alias("new_wins"))
 
 
