@@ -156,6 +156,17 @@ def test_quality_on_awkward_rows(spark, awkward, nothing):
     assert mil_quality.classify(nothing, none).collect() == [] and none.share == 0.5
 
 
+def test_training_reads_every_passage_of_a_row(spark, monkeypatch):
+    rows = [(i, "word " * 64 * (60 + i)) for i in range(6)]
+    documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    read = []
+    monkeypatch.setattr(mil_quality, "fit", lambda bags, y: read.append(sorted(len(b) for b in bags)))
+    mil_quality.train(documents, labels, held_out=(1, 1))
+    mil_quality.train(documents, labels, held_out=(1, 1), sample_passages=100)
+    assert read[0] == [60, 61, 62, 63, 64, 65]
+    assert len(read[1]) == 2 and set(read[1]) <= set(read[0])  # whole rows, until there are enough
+
+
 def slow_rules(text):
     text = text or ""
     for c in "\t\x0b\x0c\r":

@@ -6,8 +6,9 @@ hashed words), a hidden layer h = tanh(Wx + b) follows, and gated attention give
 softmax(w . (tanh(Vh_i) * sigmoid(Uh_i))). The weighted sum of the passages goes through one logistic
 unit. Only documents have labels; which passages matter is learned from them, by full-batch Adam.
 
-Training reads about `sample_docs` labelled rows and at most `sample_passages` evenly spaced passages of
-each; these bounds limit the model. Scoring encodes every passage of every whole text.
+Training reads about `sample_docs` labelled rows, and fewer where these have more than `sample_passages`
+passages together: rows are taken in the order of a hash until that many are reached. Every passage of a
+row that is taken is read. These bounds limit the model; scoring encodes every passage of every whole text.
 
 Defined results: null, empty and blank texts are a bag of one empty passage; repeated rows are scored
 each; of labels that repeat an id the highest counts; a null id has no label and counts as the empty
@@ -181,7 +182,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, attention:
     return Model(w, mean, scale)
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 5_000, sample_passages: int = 48, held_out: tuple[int, int] = (4, 2)) -> Model:
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 5_000, sample_passages: int = 240_000, held_out: tuple[int, int] = (4, 2)) -> Model:
     """A model of the labelled rows whose crc32(id) mod held_out[0] is not held_out[1]."""
     ship(documents.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(F.col(id_col), held_out[0]) != held_out[1]))
@@ -190,17 +191,28 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     drawn = known.where(F.pmod(F.xxhash64("of", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + (share >= 1))
     rows = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     # sample_docs, on the average, of an id and a label each: bounded whatever the input
-    rows = rows.join(F.broadcast(drawn), F.col("id") == F.col("of")).select("label", "text")
+    rows = rows.join(F.broadcast(drawn), F.col("id") == F.col("of")).select("of", "label", "text")
+
+    def bags(texts: pa.Array) -> Iterator[bytes]:
+        return (encode(text.as_py()).tobytes() for text in texts)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bags(batch.column(2))], pa.int64())], ["of", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = []
-                for text in part.column(1):
-                    bag = encode(text.as_py())
-                    made.append((bag if len(bag) <= sample_passages else bag[np.linspace(0, len(bag) - 1, sample_passages).astype(int)]).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["label", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(bags(part.column(2)), pa.binary())], ["label", "bag"])
+
+    # a row for each drawn id, so as many as above
+    measured = rows.mapInArrow(sizes, "of string, size long").groupBy("of").agg(F.sum("size").alias("size"))
+    measured = measured.orderBy(F.xxhash64("of", F.lit(5)), "of").collect()
+    before = np.cumsum([0, *(r["size"] // (4 * FEATURES) for r in measured)])[:-1]
+    if len(taken := [r["of"] for r, n in zip(measured, before, strict=True) if n < sample_passages]) < len(measured):
+        ids = documents.sparkSession.createDataFrame([(x,) for x in taken], "of string")
+        rows = rows.join(F.broadcast(ids), "of", "left_semi")
 
     got = sorted((r["label"], bytes(r["bag"])) for r in rows.mapInArrow(run, "label int, bag binary").collect())  # in an order that reruns share
     return fit([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, b in got], np.array([y for y, _ in got]))
