@@ -192,7 +192,11 @@ def doc_check_top3(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT benchmark.item_id, coalesce(m.n, 0) AS n_matches FROM benchmark LEFT JOIN m USING (item_id)"
 )
 def benchmark_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items held against all documents: how many are similar at 0.5 or above."""
+    """Benchmark items held against all documents: how many are similar at 0.5 or above, as whole texts.
+
+    An item of under 58 words has no signature and so 0 matches, which says nothing about it; a passage
+    contained in a much longer document is not found.
+    """
     items = S.signatures(read_table(spark, sf, "benchmark"), "item_id").select("id", "sig")
     found = S.cross_join(items, _signatures(spark, sf).select("id", "sig"), 0.5).groupBy(F.col("a").alias("item_id")).agg(F.count("*").alias("n"))
     return read_table(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_matches"))
