@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
@@ -9,9 +10,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: What one Arrow batch on its way to a Python worker may hold, beside its last row.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: The usual size of a row group, which one task reads whole.
 ROW_GROUP = 128 << 20
 
@@ -66,8 +70,29 @@ def shared_path(spark: SparkSession, stem: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def publish(spark: SparkSession, data: bytes, suffix: str) -> tuple[str, str]:
+    """Serve bytes to every executor, present and future; the file's name, made from them, and where the driver has it."""
+    context = spark.sparkContext
+    name = f"vellum-{hashlib.sha256(data).hexdigest()[:24]}{suffix}"
+    if name not in (known := context.__dict__.setdefault("_vellum_files", set())):
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/vellum-files")
+        place = context._jvm.org.apache.hadoop.fs.Path(folder, name)
+        out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+        out.write(bytearray(data))
+        out.close()
+        context.addFile(place.toString())
+        known.add(name)
+    return name, SparkFiles.get(name)
+
+
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, wherever they run; once for each application."""
+    """Give Python workers this package, wherever they run, once for each application; and bound what one Arrow batch holds.
+
+    Texts differ in length by orders of magnitude, so batches are bounded by bytes: a smaller bound of the session stays.
+    """
+    bound = spark.conf.get(ARROW_BYTES)
+    if not bound.rstrip("b").isdigit() or int(bound.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_vellum_shipped", False):
         return
