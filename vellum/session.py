@@ -50,11 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The shared folder of the cluster: spark.checkpoint.dir. Where that is unset: a temporary folder on one machine, an error on a cluster."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return folder or current.get()
@@ -70,14 +72,25 @@ def shared_path(spark: SparkSession, stem: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    """A path of any store that Spark knows, and the store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what a step left in the shared folder, once nothing reads it any more."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
 def publish(spark: SparkSession, data: bytes, suffix: str) -> tuple[str, str]:
     """Serve bytes to every executor, present and future; the file's name, made from them, and where the driver has it."""
     context = spark.sparkContext
     name = f"vellum-{hashlib.sha256(data).hexdigest()[:24]}{suffix}"
     if name not in (known := context.__dict__.setdefault("_vellum_files", set())):
-        folder = context._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/vellum-files")
-        place = context._jvm.org.apache.hadoop.fs.Path(folder, name)
-        out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place, True)
+        place, store = _place(spark, f"{checkpoint_dir(spark).rstrip('/')}/vellum-files/{name}")
+        out = store.create(place, True)
         out.write(bytearray(data))
         out.close()
         context.addFile(place.toString())
@@ -100,9 +113,10 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(PACKAGE.rglob("*.py")):
             z.write(path, str(path.relative_to(PACKAGE.parent)))
-    folder = tempfile.mkdtemp(prefix="vellum-ship-")
-    target = os.path.join(folder, "vellum_package.zip")
-    with open(target, "wb") as out:
-        out.write(buffer.getvalue())
+    target = f"{shared_path(spark, 'vellum-ship')}/vellum_package.zip"
+    place, store = _place(spark, target)
+    out = store.create(place, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
     context.addPyFile(target)
     context._vellum_shipped = True
