@@ -41,7 +41,7 @@ def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.summary(warc.archive(spark, read_table(spark, sf_dir, "pages")))
+    return warc.summary(warc.archive(spark, read_table(spark, sf_dir, "pages"), payloads=False))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
