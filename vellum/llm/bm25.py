@@ -1,23 +1,28 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max dynamic pruning.
+"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND.
 
 Each task turns the rows it reads into shards of at most SHARD_DOCS rows: sorted terms, postings by term,
 lengths. The index is a Parquet table in the shared folder, a row for each shard. Queries come in blocks
 of bounded size, whatever their number: a block's terms get their document counts from all shards, and
 every shard then answers the whole block under those global statistics, so that merging the shards' best
-k by score gives exactly the best k of the corpus.
+k by score gives exactly the best k of the corpus. Each block's answer is appended to one table.
 
-Inside a shard each term keeps its largest contribution to every run of BLOCK_DOCS rows. For a query
-these sum to an upper bound for each run; the runs with the highest bounds are visited first, and then
-only those whose bound reaches the k-th score so far, which a task carries on from shard to shard.
-Contributions are rounded to whole millionths, so sums do not depend on order and bounds are exact.
+Inside a shard each term keeps its largest contribution to every run of BLOCK_DOCS rows, as a list ordered by
+run: its cursor moves over that list. All cursors of a query are merged at once, which gives each run the sum of
+the maxima that stand there. The search then goes through the shard in order of rows: the pivot is the next run
+whose sum reaches the k-th score so far, every cursor skips to it, its rows are scored from the postings, the k-th
+score rises, and so on until no run ahead can reach it. As an interpreter's step for every cursor would cost more
+than the scoring it saves, up to PIVOTS pivots under one threshold are scored together. A first shard, which has
+no score to start from, begins with the runs of the highest sums; a task carries the scores on from shard to
+shard. Contributions are rounded to whole millionths, so sums do not depend on order and bounds are exact.
 
 score(q, d) = sum over q's distinct terms of round(1e6 * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
 / 1e6, with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Terms: runs of 0-9, a-z after lower-casing A-Z, and
 everything outside ASCII. Ties go to the smaller id.
 
-Defined results: null and empty texts have no terms, are found by no query, and find nothing as queries;
-a row that shares no term with a query is not returned; repeated rows are rows of their own, on either
-side; an empty table gives an empty result; null ids are found, and come first among ties; extra columns
+Defined results: ids are whole numbers; null and empty texts have no terms, are found by no query, and find
+nothing as queries; a row that shares no term with a query is not returned; a very long text is indexed and asked
+by all its terms, and takes the memory of its words while that is done; repeated rows are rows of their own, on
+either side; an empty table gives an empty result; null ids are found, and come first among ties; extra columns
 are ignored.
 """
 
@@ -40,11 +45,10 @@ UNIT = 1_000_000
 SHARD_DOCS, SHARD_WORDS = 8_192, 8_000_000
 BLOCK_DOCS = 32
 FIRST_BLOCKS = 8
-COMMON = 1 / 24
+PIVOTS = 16
 QUERIES_AT_ONCE, CHARACTERS_AT_ONCE = 4_096, 16_000_000
-NO_ID = np.iinfo(np.int64).min
 
-_INDEX = "n_docs int, n_words long, ids binary, lengths binary, n_terms int, terms binary, ends binary, offsets binary, docs binary, freqs binary"
+_INDEX = "n_docs int, n_words long, ids binary, known binary, lengths binary, n_terms int, terms binary, ends binary, offsets binary, docs binary, freqs binary"
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -55,7 +59,7 @@ class _Shard:
     """Rows gathered for one shard."""
 
     def __init__(self) -> None:
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.lengths: list[int] = []
         self.numbers: dict[bytes, int] = {}
         self.terms: list[np.ndarray] = []
@@ -69,7 +73,7 @@ class _Shard:
         self.terms.append(np.fromiter((number.setdefault(t, len(number)) for t in counts), np.int32, len(counts)))
         self.freqs.append(np.fromiter(counts.values(), np.int32, len(counts)))
         self.sizes.append(len(counts))
-        self.ids.append(NO_ID if doc is None else doc)
+        self.ids.append(doc)
         self.lengths.append(int(self.freqs[-1].sum()))
         self.words += self.lengths[-1]
 
@@ -83,8 +87,8 @@ class _Shard:
         offsets = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(names)))]).astype(np.int32)
         freqs = np.concatenate(self.freqs)[order] if names else np.zeros(0, np.int32)
         ends = np.cumsum([len(t) for t in names], dtype=np.int32)
-        values = [len(self.ids), self.words, np.array(self.ids, np.int64).tobytes(), np.array(self.lengths, np.int32).tobytes(), len(names), b"".join(names), ends.tobytes(), offsets.tobytes(), docs[order].tobytes(), freqs.tobytes()]
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
+        values = [len(self.ids), self.words, np.array([i or 0 for i in self.ids], np.int64).tobytes(), np.array([i is not None for i in self.ids], np.uint8).tobytes(), np.array(self.lengths, np.int32).tobytes(), len(names), b"".join(names), ends.tobytes(), offsets.tobytes(), docs[order].tobytes(), freqs.tobytes()]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split(" ")[0] for x in _INDEX.split(", ")])
 
 
@@ -143,82 +147,74 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-class Searcher:
-    """One shard, prepared for a block of queries.
+#: No score yet: scores, ids (0 for none), and whether there is an id.
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
-    Terms that stand in COMMON of the shard's rows or more keep a dense row of contributions, and a batch of
-    queries gets its sums over those by one matrix product, exact in doubles; other terms keep postings and
-    their largest contribution to each run of rows.
-    """
+
+class Searcher:
+    """One shard, prepared for a block of queries: postings of their terms, and runs of these that share a block of rows."""
 
     def __init__(self, row: dict, numbers: dict[bytes, int], idf: np.ndarray, average: float):
-        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8).astype(bool)
         lengths = np.frombuffer(row["lengths"], np.int32)
         offsets = np.frombuffer(row["offsets"], np.int32).astype(np.int64)
-        found = [numbers.get(t, -1) for t in _names(row["terms"], np.frombuffer(row["ends"], np.int32))]
-        wanted = np.array(found, np.int64)
+        wanted = np.array([numbers.get(t, -1) for t in _names(row["terms"], np.frombuffer(row["ends"], np.int32))], np.int64)
         here = np.flatnonzero(wanted >= 0)
         sizes = (offsets[1:] - offsets[:-1])[here]
-        here = here[np.argsort(sizes < len(self.ids) * COMMON, kind="stable")]  # common ones first
-        sizes = (offsets[1:] - offsets[:-1])[here]
-        self.n_common = int((sizes >= len(self.ids) * COMMON).sum())
         self.place = np.full(len(idf), -1, np.int64)  # of a block's term: its number in this shard
         self.place[wanted[here]] = np.arange(len(here))
         take = _runs(offsets[:-1][here], sizes)
-        docs = np.frombuffer(row["docs"], np.uint16)[take].astype(np.int64)
+        self.docs = np.frombuffer(row["docs"], np.uint16)[take].astype(np.int64)
         tf = np.frombuffer(row["freqs"], np.int32)[take].astype(np.float64)
         term = np.repeat(np.arange(len(here)), sizes)
-        gain = np.rint(UNIT * idf[wanted[here]][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / average)))
+        self.gain = np.rint(UNIT * idf[wanted[here]][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / average)))
         self.n_blocks = (len(self.ids) + BLOCK_DOCS - 1) // BLOCK_DOCS
-        dense = int(sizes[: self.n_common].sum())
-        self.rows = np.zeros((self.n_common, self.n_blocks * BLOCK_DOCS))
-        self.rows[term[:dense], docs[:dense]] = gain[:dense]
-        self.docs, self.gain, term = docs[dense:], gain[dense:], term[dense:] - self.n_common
-        # runs of postings that share a term and a block
         block = self.docs // BLOCK_DOCS
         starts = np.flatnonzero(np.diff(term * self.n_blocks + block, prepend=-1)) if len(term) else np.zeros(0, np.int64)
         self.run_start, self.run_size = starts, np.diff(starts, append=len(term))
         self.run_block = block[starts]
         self.run_most = np.maximum.reduceat(self.gain, starts) if len(starts) else np.zeros(0)
-        self.term_runs = np.searchsorted(term[starts], np.arange(len(here) - self.n_common + 1))
-
-    def common(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Each query's sums over the common terms, for every row."""
-        chosen = np.zeros((len(queries), self.n_common))
-        for i, terms in enumerate(queries):
-            at = self.place[terms]
-            chosen[i, at[(at >= 0) & (at < self.n_common)]] = 1
-        return chosen @ self.rows
-
-    def best(self, terms: np.ndarray, common: np.ndarray, k: int, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best k of this shard and of (scores, ids), which are ordered and may be shorter than k."""
-        terms = self.place[terms] - self.n_common
+        self.term_runs = np.searchsorted(term[starts], np.arange(len(here) + 1))
+
+    def best(self, terms: np.ndarray, k: int, top: tuple) -> tuple:
+        """The best k of this shard and of `top`, which is ordered and may be shorter than k."""
+        terms = self.place[terms]
         terms = terms[terms >= 0]
         runs = _runs(self.term_runs[terms], self.term_runs[terms + 1] - self.term_runs[terms])
         blocks = self.run_block[runs]
-        bounds = common.reshape(self.n_blocks, BLOCK_DOCS).max(1) + np.bincount(blocks, self.run_most[runs], self.n_blocks)
-        visited = np.zeros(self.n_blocks, bool)
-        for first in (True, False):  # the most promising blocks, then whatever their scores leave open
-            least = scores[-1] if len(scores) == k else 1
-            open_blocks = np.flatnonzero((bounds >= least) & ~visited)
-            if first and len(open_blocks) > FIRST_BLOCKS:
-                open_blocks = open_blocks[np.argpartition(-bounds[open_blocks], FIRST_BLOCKS)[:FIRST_BLOCKS]]
-            if not len(open_blocks):
+        bounds = np.bincount(blocks, self.run_most[runs], self.n_blocks)
+        if len(top[0]) < k:
+            first = np.argpartition(-bounds, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bounds) > FIRST_BLOCKS else np.arange(len(bounds))
+            top = self._score(runs, blocks, first, k, top)
+            bounds[first] = -1
+        at = 0
+        while at < self.n_blocks:
+            least = top[0][-1] if len(top[0]) == k else 1
+            pivots = np.flatnonzero(bounds[at:] >= least)[:PIVOTS] + at
+            if not len(pivots):
                 break
-            inside = np.zeros(self.n_blocks, bool)
-            inside[open_blocks] = True
-            visited |= inside
-            part = runs[inside[blocks]]
-            postings = _runs(self.run_start[part], self.run_size[part])
-            sums = np.where(np.repeat(inside, BLOCK_DOCS), common, 0) + np.bincount(self.docs[postings], self.gain[postings], len(common))
-            docs = np.flatnonzero(sums >= least)
-            if len(docs) > k:  # the k-th largest, and all its ties
-                docs = docs[sums[docs] >= np.partition(sums[docs], len(docs) - k)[len(docs) - k]]
-            if len(docs):
-                scores, ids = np.concatenate([scores, sums[docs].astype(np.int64)]), np.concatenate([ids, self.ids[docs]])
-                keep = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[keep], ids[keep]
-        return scores, ids
+            top = self._score(runs, blocks, pivots, k, top)
+            at = int(pivots[-1]) + 1
+        return top
+
+    def _score(self, runs: np.ndarray, blocks: np.ndarray, chosen: np.ndarray, k: int, top: tuple) -> tuple:
+        """The best k of `top` and the rows of the chosen blocks."""
+        place = np.full(self.n_blocks, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        part = runs[place[blocks] >= 0]
+        postings = _runs(self.run_start[part], self.run_size[part])
+        docs = self.docs[postings]
+        at = place[docs // BLOCK_DOCS] * BLOCK_DOCS + docs % BLOCK_DOCS
+        sums = np.bincount(at, self.gain[postings], len(chosen) * BLOCK_DOCS)
+        at = np.flatnonzero(sums >= (top[0][-1] if len(top[0]) == k else 1))
+        if len(at) > k:  # the k-th largest, and all its ties
+            at = at[sums[at] >= np.partition(sums[at], len(at) - k)[len(at) - k]]
+        if not len(at):
+            return top
+        docs = chosen[at // BLOCK_DOCS] * BLOCK_DOCS + at % BLOCK_DOCS
+        scores, ids, known = (np.concatenate(x) for x in zip(top, (sums[at].astype(np.int64), self.ids[docs], self.known[docs]), strict=True))
+        keep = np.lexsort((ids, known, -scores))[:k]
+        return scores[keep], ids[keep], known[keep]
 
 
 _FOUND = "query int, doc_id long, gain long"
@@ -249,46 +245,44 @@ def _answer(index: DataFrame, queries: list[tuple[int | None, list[bytes]]], n_d
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, idf = statistics.value
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asked)
+        best = [NOTHING] * len(asked)
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Searcher(batch.slice(i, 1).to_pylist()[0], held.value, idf, average)
-                for low in range(0, len(asked), 64):
-                    sums = shard.common(asked[low : low + 64])
-                    for q in range(low, low + len(sums)):
-                        best[q] = shard.best(asked[q], sums[q - low], k, *best[q])
-        query = np.repeat(np.arange(len(asked), dtype=np.int32), [len(s) for s, _ in best])
-        scores, ids = (np.concatenate([x[i] for x in best]) if best else np.zeros(0, np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores)], ["query", "doc_id", "gain"])
+                best = [shard.best(terms, k, top) for terms, top in zip(asked, best, strict=True)]
+        query = np.repeat(np.arange(len(asked), dtype=np.int32), [len(top[0]) for top in best])
+        scores, ids, known = (np.concatenate(x) for x in zip(NOTHING, *best, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids, mask=~known), pa.array(scores)], ["query", "doc_id", "gain"])
 
     return index.mapInArrow(search, _FOUND)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score): the best k rows for each query; queries as `query_terms` gives them."""
+def search(index: DataFrame, queries: DataFrame, k: int = 10, path: str | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): the best k rows for each query; queries as `query_terms` gives them.
+
+    Blocks of queries follow each other, each over all shards at once, and append to a table at `path` (in the
+    shared folder, by default).
+    """
     spark = index.sparkSession
     schema = "query_id long, rank int, doc_id long, score double"
     totals = index.agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).first()
-    queries = cut(queries)
+    # rows are numbered, so that repeated ones are dealt to blocks like others
+    queries = cut(queries.withColumn("at", F.monotonically_increasing_id()))
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum("characters"), F.lit(0)).alias("characters")).first()
     if not totals["docs"] or not totals["words"] or not size["n"]:
         return spark.createDataFrame([], schema)
+    path = path or shared_path(spark, "bm25-found")
     blocks = max(-(-size["n"] // QUERIES_AT_ONCE), -(-size["characters"] // CHARACTERS_AT_ONCE))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "characters"), F.lit(blocks)))
-    every = None
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(blocks)))
     for block in range(blocks):
         rows = sorted(((r["query_id"], [bytes(t) for t in r["terms"]]) for r in dealt.where(F.col("block") == block).collect()), key=lambda r: (r[0] is not None, r))
-        if not rows:
-            continue
         found = _answer(index, rows, totals["docs"], totals["words"] / totals["docs"], k)
         order = Window.partitionBy("query").orderBy(F.desc("gain"), "doc_id")
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         names = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(rows)], "query int, query_id long")  # one block's
         ranked = ranked.join(F.broadcast(names), "query")
-        doc = F.when(F.col("doc_id") == NO_ID, None).otherwise(F.col("doc_id"))
-        ranked = cut(ranked.select("query_id", "rank", doc.alias("doc_id"), (F.col("gain") / float(UNIT)).alias("score")))
-        every = ranked if every is None else every.unionByName(ranked)
-    return every
+        ranked.select("query_id", "rank", "doc_id", (F.col("gain") / float(UNIT)).alias("score")).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 ORACLE_SQL = f"""
