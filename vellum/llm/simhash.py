@@ -9,14 +9,16 @@ most RADIUS bits agree on BLOCKS - RADIUS of them, so every choice of that many
 each link falls inside some key's rows. A key's distinct fingerprints are sorted by population count
 and compared tile by tile, with numpy's exclusive-or and bit counts; a tile pair whose population
 counts differ by more than RADIUS cannot hold a link and is skipped. A key with more than TILE_ROWS
-fingerprints is dealt out as pairs of tiles to many tasks, so no task gets an unbounded group.
+fingerprints is dealt out as pairs of tiles to many tasks, so no task gets an unbounded group; the count that
+decides so is brought to its rows by a salted join, as are the classes of a hot fingerprint and of a large class.
 
 Only a star for each component found in a tile pair leaves a task, never its pairs. The stars are
 joined to components by alternating hooking of neighbours onto their smallest (large-star and
 small-star), each round of which is written to the shared folder.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other;
-texts of fewer than four words have one shingle; exact copies share a fingerprint and a class;
+texts of fewer than four words have one shingle; a very long text is taken in strips of STRIP_BYTES and needs
+no more memory beside its bytes; exact copies share a fingerprint and a class;
 `dedup` keeps one row of every class, whatever ids are null, repeated or shared between classes: that of
 the smallest id, of several the one whose row hash is smallest, of equal rows one; a null id takes part
 and is never the smallest; an empty table gives an empty result; extra columns are carried by `dedup` and
@@ -25,6 +27,7 @@ ignored by `classes`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.graph import components
+from vellum.operators.skew import salted_join
 from vellum.session import cut, ship
 
 SHINGLE = 4
@@ -43,25 +47,37 @@ RADIUS = 4
 BLOCKS = 6
 TILE = 2048
 TILE_ROWS = 16_384
-#: Shingles whose bits are counted at once.
-STRIP = 1 << 15
+#: Bytes of a text that are split into words at once.
+STRIP_BYTES = 1 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def fingerprint(text: str | None) -> int:
     # bytes.split() without arguments splits at space and the controls from tab to carriage return; lower() touches A-Z only
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
+    data, at, n, ones = (text or "").encode("utf-8", "surrogatepass"), 0, 0, np.zeros(64, np.int64)
+    held: list[bytes] = []  # the words before that later shingles need
+    while at < len(data):
+        end = len(data)
+        if end - at > STRIP_BYTES and (space := _SPACE.search(data, at + STRIP_BYTES)):
+            end = space.start()
+        held += data[at:end].lower().split()
+        at = end
+        if len(held) >= SHINGLE:
+            ones += _bit_counts(_shingle_hashes(held))
+            n += len(held) - SHINGLE + 1
+            held = held[1 - SHINGLE :]
+    if not n:
+        if not held:
+            return 0
+        ones, n = _bit_counts(np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], "<u8")), 1
+    return int(np.packbits((2 * ones > n)[::-1]).view(">u8")[0])
+
+
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(1, len(words) - SHINGLE + 1)
-    starts, ends = starts[:last].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, last, STRIP):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + STRIP], ends[at : at + STRIP], strict=True)], "<u8")
-        ones += _bit_counts(hashes)
-    return int(np.packbits((2 * ones > last)[::-1]).view(">u8")[0])
+    starts = [0, *(ends[:-SHINGLE] + 1).tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], "<u8")
 
 
 _SPREAD = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -155,7 +171,7 @@ def links(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])).alias("choice", "bits"))
     keyed = keyed.select("fp", F.xxhash64("choice", "bits").alias("key"))  # keys that collide share tiles, which costs time alone
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key")
+    keyed = salted_join(keyed, sizes, ["key"], ["fp"])
     tiles = F.ceil(F.col("n") / TILE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), tiles).cast("int")
     # a fingerprint of tile t goes to the pairs (t, u) and (u, t) of its key
@@ -213,7 +229,7 @@ def _classes(marked: DataFrame, ids: str) -> DataFrame:
     held = _rooted(marked, F.min(ids))
     # only linked fingerprints can have a smaller id than their own
     smallest = held.groupBy("root").agg(F.min("least").alias("component"))
-    return held.join(smallest, "root").select("fp", "component")
+    return salted_join(held, smallest, ["root"], ["fp"]).select("fp", "component")
 
 
 def _row_hashes(df: DataFrame) -> dict[str, Column]:
@@ -227,8 +243,7 @@ def _row_hashes(df: DataFrame) -> dict[str, Column]:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row."""
     marked = cut(fingerprints(df, id_col, text_col))
-    found = _classes(marked, "id").withColumnRenamed("fp", "of")
-    return marked.join(found, marked["fp"] == found["of"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return salted_join(marked, _classes(marked, "id"), ["fp"], ["id"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
