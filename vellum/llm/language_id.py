@@ -4,20 +4,22 @@ For each language, counts of bytes after contexts of up to three bytes form a co
 a byte after a context is the code length that PPM assigns: what the longest known context gives it, or
 an escape to the next shorter one (method C: a context seen n times with d different bytes escapes with
 probability d / (n + d)), down to a uniform byte. Statistics are frozen after training, so the cost is a
-function of a context and a byte, rounded to 1/1024 bit, and a text's code length is an exact sum of
-integers. The language with the shortest code length is predicted. Every language has its own tree, which
-holds all contexts of its sample; a tree is stored sparsely, by the grams that occur.
-
-Bytes are folded: letters to lower case, digits to one class, white space and controls to another, other
-ASCII to a third; every byte from 0x80 on is a class of its own.
+function of a context and a byte; costs are held in units of 2 ** -20 bit, so that a text's code length is an
+exact sum of integers whatever the order. The language with the shortest code length is predicted. Every
+language has its own tree, which holds all contexts of its sample; a tree is stored sparsely, by the grams
+that occur. Texts are read as their bytes in UTF-8, unchanged.
 
 Training reads about `sample_docs` rows of each language, spread by a hash of the id; this bound limits the
 model and never which texts are scored. Every language that has a row is learned.
 
-Defined results: null and letterless texts are `und` with score 0; repeated rows are classified each; a
-null id belongs to no sample and counts as the empty string for held_out; equal code lengths go to the
-first language by code point; where nothing can be learned all is `und`; an empty table gives an empty
-result; extra columns are carried by `keep` and ignored by `classify`.
+`keep` rejects texts without a letter, and texts that no learned language explains: those whose shortest code
+length is over MOST_BITS a byte. Prose of the learned languages takes 2 to 3.5 and a uniform byte 8.
+
+Defined results: null and letterless texts are `und` with score 0; a very long text is read in strips of STRIP
+bytes and needs little memory beside its bytes; repeated rows are classified each; a null id belongs to no sample
+and counts as the empty string for held_out; equal code lengths go to the first language by code point; where
+nothing can be learned all is `und`, and `keep` keeps what has a letter; an empty table gives an empty result;
+extra columns are carried by `keep` and ignored by `classify`.
 """
 
 from __future__ import annotations
@@ -33,25 +35,22 @@ from pyspark.sql import functions as F
 from vellum.session import ship
 
 ORDER = 3
+SIZE = 256
 UNDETERMINED = "und"
-UNIT = 1024
+UNIT = 1 << 20
 STRIP = 1 << 20
+#: Bits a byte above which no language explains a text.
+MOST_BITS = 7.0
 
 
-def byte_classes() -> np.ndarray:
-    table = np.zeros(256, np.int64)
-    for b in range(256):
-        c = chr(b)
-        table[b] = b - 0x80 + 29 if b >= 0x80 else 1 + ord(c.lower()) - ord("a") if c.isalpha() else 27 if c.isdigit() else 0 if b <= 32 or b == 127 else 28
-    return table
-
+def symbols_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
-CLASSES = byte_classes()
-SIZE = 29 + 128
 
-
-def folded(text: str) -> np.ndarray:
-    return CLASSES[np.frombuffer(text.encode("utf-8", "surrogatepass"), "u1")]
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """Each symbol behind the three before it, as one number; the first three are only contexts."""
+    s = symbols.astype(np.int64)
+    return ((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:]
 
 
 def has_letter(text: str | None) -> bool:
@@ -68,7 +67,7 @@ class Tree:
     escapes: list[np.ndarray]
 
     def costs(self, grams: np.ndarray) -> np.ndarray:
-        """The cost of the last of four packed byte classes after the others, in 1/1024 bit."""
+        """The cost of the last of four packed bytes after the others, in units."""
         total, left = np.zeros(len(grams)), np.arange(len(grams))
         for order in range(ORDER, -1, -1):
             at, hit = _find(self.grams[order], grams[left] % SIZE ** (order + 1))
@@ -95,22 +94,21 @@ class Model:
     trees: list[Tree]
 
     def lengths(self, texts: list[str]) -> np.ndarray:
-        """The code length of each text in each language, in 1/1024 bit."""
+        """The code length of each text in each language, in units."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         at = 0
         while at < len(texts):
             group, size = [], 0
             while at + len(group) < len(texts) and (not group or size < STRIP):
-                group.append(folded(texts[at + len(group)]))
+                group.append(symbols_of(texts[at + len(group)]))
                 size += len(group[-1])
-            gap = np.zeros(ORDER, np.int64)
+            gap = np.zeros(ORDER, np.uint8)
             symbols = np.concatenate([x for one in group for x in (gap, one)])
             sizes = np.array([len(x) + ORDER for x in group])
             starts = np.cumsum(sizes) - sizes
             for low in range(0, max(len(symbols) - ORDER, 0), STRIP):
-                s = symbols[low : low + STRIP + ORDER]
-                gram = ((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:]
-                where = np.arange(low + ORDER, low + len(s))
+                gram = packed(symbols[low : low + STRIP + ORDER])
+                where = np.arange(low + ORDER, low + ORDER + len(gram))
                 text = np.searchsorted(starts, where, "right") - 1
                 real = where - starts[text] >= ORDER  # not the gaps
                 gram, text = gram[real], text[real]
@@ -123,21 +121,28 @@ class Model:
             at += len(group)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [(UNDETERMINED, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """The language, the score, and the bits a byte of the shortest code length, of each text."""
+        found = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         read = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         if read:
             lengths = self.lengths([texts[i] for i in read])
             best = lengths.argmin(1)
             over = (lengths - lengths.min(1, keepdims=True)) / UNIT
             scores = 1 / np.exp2(-np.minimum(over, 1000)).sum(1)
-            for i, b, s in zip(read, best.tolist(), scores.tolist(), strict=True):
-                found[i] = (self.languages[b], s)
+            for i, b, s, least in zip(read, best.tolist(), scores.tolist(), lengths.min(1).tolist(), strict=True):
+                found[i] = (self.languages[b], s, least / UNIT / len(texts[i].encode("utf-8", "surrogatepass")))
         return found
 
+    def explains(self, texts: list[str | None], most_bits: float = MOST_BITS) -> list[bool]:
+        """Whether each text has a letter and a language that explains it."""
+        if not self.languages:
+            return [has_letter(t) for t in texts]
+        return [name != UNDETERMINED and bits <= most_bits for name, _, bits in self.predict(texts)]
+
 
 def context_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) of every four byte classes in a row, summed inside each partition first."""
+    """(lang, gram, n) of every four bytes in a row, summed inside each partition first; a long text goes in strips."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +155,13 @@ def context_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if value.is_valid:
-                    s = np.concatenate([np.zeros(ORDER, np.int64), folded(value.as_py())])
-                    held.setdefault(name, []).append(((s[:-3] * SIZE + s[1:-2]) * SIZE + s[2:-1]) * SIZE + s[3:])
-                    size += len(s) - ORDER
-                    if size > 4 * STRIP:
+                if not value.is_valid:
+                    continue
+                s = np.concatenate([np.zeros(ORDER, np.uint8), symbols_of(value.as_py())])
+                for low in range(0, max(len(s) - ORDER, 0), STRIP):
+                    held.setdefault(name, []).append(packed(s[low : low + STRIP + ORDER]))
+                    size += len(held[name][-1])
+                    if size > 2 * STRIP:
                         yield from map(out, held.keys(), held.values())
                         held.clear()
                         size = 0
@@ -165,11 +172,11 @@ def context_counts(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def plant(packed: np.ndarray, n: np.ndarray, least: int = 1) -> Tree:
-    """The tree of one language. packed: rows of four classes, n: how often each occurs; contexts seen less than `least` times are left out."""
+def plant(rows: np.ndarray, n: np.ndarray, least: int = 1) -> Tree:
+    """The tree of one language. rows: four packed bytes each, n: how often each occurs; contexts seen less than `least` times are left out."""
     tree = Tree([], [], [], [])
     for order in range(ORDER + 1):
-        grams, inverse = np.unique(packed % SIZE ** (order + 1), return_inverse=True)
+        grams, inverse = np.unique(rows % SIZE ** (order + 1), return_inverse=True)
         seen = np.bincount(inverse, n, len(grams))
         contexts, inverse, kinds = np.unique(grams // SIZE, return_inverse=True, return_counts=True)
         total = np.bincount(inverse, seen, len(contexts))
@@ -183,8 +190,8 @@ def plant(packed: np.ndarray, n: np.ndarray, least: int = 1) -> Tree:
 
 
 def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], least: int = 1) -> Model:
-    """grams: of each language, packed rows of four classes, and how often each occurs."""
-    return Model(languages, [plant(packed, n, least) for packed, n in grams])
+    """grams: of each language, packed rows of four bytes, and how often each occurs."""
+    return Model(languages, [plant(rows, n, least) for rows, n in grams])
 
 
 def _text_of(id_column: Column) -> Column:
@@ -225,13 +232,13 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = held.value.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language is determined, with the columns they came with."""
+def keep(df: DataFrame, model: Model, text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows that a learned language explains, with the columns they came with."""
     ship(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
@@ -240,7 +247,6 @@ def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = held.value.predict(part.column(place).to_pylist())
-                yield part.filter(pa.array([x != UNDETERMINED for x, _ in found], pa.bool_()))
+                yield part.filter(pa.array(held.value.explains(part.column(place).to_pylist(), most_bits), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
