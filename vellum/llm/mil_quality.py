@@ -10,8 +10,11 @@ Training reads about `sample_docs` labelled rows, and fewer where these have mor
 passages together: rows are taken in the order of a hash until that many are reached. Every passage of a
 row that is taken is read. These bounds limit the model; scoring encodes every passage of every whole text.
 
-Defined results: null, empty and blank texts are a bag of one empty passage; repeated rows are scored
-each; of labels that repeat an id the highest counts; a null id has no label and counts as the empty
+A long text is encoded in strips of whole passages, so beside its bytes it needs the hash of each word, by which
+repeats are found over the whole text, and a row for each passage.
+
+Defined results: null, empty and blank texts are a bag of one empty passage; a very long text is all its
+passages; repeated rows, ties in score and rows that share an id are scored each; of labels that repeat an id the highest counts; a null id has no label and counts as the empty
 string for held_out; where only one label, or none, can be learned every score is its share (0.5 for
 none); an empty table gives an empty result; extra columns are ignored.
 """
@@ -32,7 +35,10 @@ from vellum.session import ship
 PASSAGE = 64
 PROJECTED = 16
 FEATURES = 16 + PROJECTED
-STRIP = 1 << 20
+#: The feature that counts words in repeated trigrams.
+AGAIN = 12
+#: Bytes of a text that are encoded at once.
+STRIP = 1 << 18
 THRESHOLD = 0.7
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,16 +54,17 @@ def _kinds() -> np.ndarray:
 
 
 KINDS = _kinds()
-_powers: list[np.ndarray] = []
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+
+
+def _powers(n: int, of: np.uint64) -> np.ndarray:
+    """of ** 0 .. of ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, of, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier to the powers 0 .. n - 1, modulo 2 ** 64, and their inverses."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-        size = max(n, STRIP)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, m)]), dtype=np.uint64) for m in (MULTIPLIER, inverse)]
-    return _powers[0][:n], _powers[1][:n]
+_KEPT = [_powers(STRIP + 1, x) for x in (MULTIPLIER, INVERSE)]
 
 
 def _again(trigrams: np.ndarray) -> np.ndarray:
@@ -73,33 +80,60 @@ def _again(trigrams: np.ndarray) -> np.ndarray:
 def encode(text: str | None) -> np.ndarray:
     """The passages of one text, a row each."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    kinds = KINDS[data]
-    inside = kinds != SPACE
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
+    rows, hashes, at, size = [], [], 0, STRIP
+    while at < len(data):
+        strip = data[at : at + size]
+        inside = KINDS[strip] != SPACE
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if at + size < len(data):  # more follows: whole passages only, and no word that the strip may cut
+            n = max(len(starts) - 1, 0) // PASSAGE * PASSAGE
+            if not n:
+                if len(starts) or size >= len(data):
+                    size *= 2  # the words are long
+                else:
+                    at += size  # white space alone
+                continue
+            used, starts, ends = int(starts[n]), starts[:n], ends[:n]
+        else:
+            used = len(strip)
+        if len(starts):
+            made, found = _passages(strip[:used], starts, ends)
+            rows.append(made)
+            hashes.append(found)
+        at, size = at + used, STRIP
+    if not rows:
         return np.zeros((1, FEATURES), np.float32)
-    n = len(starts)
-    up, down = powers(len(data) + 1)
+    words = np.concatenate(hashes)
+    again = np.zeros(len(words), bool)
+    if len(words) > 2:
+        again[:-2] = _again(words[:-2] + words[1:-1] * np.uint64(3) + words[2:] * np.uint64(7))
+    out = np.concatenate(rows)
+    first = np.arange(0, len(words), PASSAGE)
+    out[:, AGAIN] = np.add.reduceat(again, first, dtype=np.float64) / np.diff(first, append=len(words))
+    return out
+
+
+def _passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The passages of a strip that starts with one, but for what depends on the whole text; and its words' hashes."""
+    kinds, n = KINDS[data], len(starts)
+    up, down = (k[: len(data) + 1] if len(data) < len(k) else _powers(len(data) + 1, x) for k, x in zip(_KEPT, (MULTIPLIER, INVERSE), strict=True))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     hashes = (sums[ends] - sums[starts]) * down[starts]
     hashes = (hashes ^ (hashes >> np.uint64(29))) * MULTIPLIER
     lengths = ends - starts
-    counts = {k: np.add.reduceat(kinds == k, starts, dtype=np.int32) for k in (LOWER, UPPER, DIGIT, STOP, SHOUT, SYMBOL, HIGH)} if len(data) else {}
-    # reduceat runs to the next start, and so counts the spaces between; no kind above is a space
-    again = np.zeros(n, bool)
-    if n > 2:
-        again[:-2] = _again(hashes[:-2] + hashes[1:-1] * np.uint64(3) + hashes[2:] * np.uint64(7))
+    # reduceat runs to the next start, and so counts the spaces between; no kind here is a space
+    counts = {k: np.add.reduceat(kinds == k, starts, dtype=np.int32) for k in (LOWER, UPPER, DIGIT, STOP, SHOUT, SYMBOL, HIGH)}
     first = np.arange(0, n, PASSAGE)
     size = np.diff(first, append=n).astype(np.float64)
     letters = counts[LOWER] + counts[UPPER] + counts[HIGH]
     bytes_in = np.add.reduceat(lengths, first).astype(np.float64)
     passage = np.arange(n) // PASSAGE
-    within = np.argsort(hashes + passage.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), kind="stable")
-    key = hashes[within] + passage[within].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    # words in order of passage and hash, to tell the distinct ones of each
+    within = np.lexsort((hashes, passage))
     fresh = np.ones(n, bool)
-    fresh[1:] = key[1:] != key[:-1]
-    distinct = np.bincount(passage[within][fresh], minlength=len(first))
+    fresh[1:] = (hashes[within][1:] != hashes[within][:-1]) | (passage[1:] != passage[:-1])
+    distinct = np.bincount(passage[fresh], minlength=len(first))
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     each = lambda x: np.add.reduceat(x, first) / size
     shares = [np.add.reduceat(counts[k], first) / bytes_in for k in (LOWER, UPPER, DIGIT, STOP, SHOUT, SYMBOL, HIGH)]
@@ -109,14 +143,14 @@ def encode(text: str | None) -> np.ndarray:
         each((counts[SYMBOL] > 0).astype(np.float64)),
         each(((counts[UPPER] > 1) & (counts[LOWER] == 0)).astype(np.float64)),
         1 - distinct / size,
-        each(again.astype(np.float64)),
+        np.zeros(len(first)),
         each((lengths <= 3).astype(np.float64)),
         (lines[ends[np.minimum(first + PASSAGE, n) - 1]] - lines[starts[first]]) / size,
         size / PASSAGE,
     ]
     signs = np.unpackbits((hashes >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
     projected = np.add.reduceat(signs, first, axis=0, dtype=np.int32) / size[:, None] * 2 - 1
-    return np.column_stack([*shares, *shapes, projected]).astype(np.float32)
+    return np.column_stack([*shares, *shapes, projected]).astype(np.float32), hashes
 
 
 @dataclass
