@@ -8,9 +8,13 @@ run of a template is looked for first, so that texts without it never start the
 
 The base phrases are counted beside: every place where their words stand consecutively.
 
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows are scanned
-each; an empty table gives an empty result; extra columns are ignored. Of matches of one template that
-overlap, the first and longest is reported. The score is 1 with a template's match, 0.5 with base phrases
+A text's label needs the whole wording of that text, notices and headers need theirs; a license whose text runs
+over many pages is known by the header or notice that its authors prescribe.
+
+Defined results: a null or empty text has no words, no labels and score 0; a very long text is one line of its
+words while it is scanned, and its words are listed only where a template's longest literal run stands in it;
+repeated rows, rows that share an id and rows without one are scanned each; an empty table gives an empty result;
+extra columns are ignored. Of matches of one template that overlap (ties), the first and longest is reported. The score is 1 with a template's match, 0.5 with base phrases
 alone, else 0.
 """
 
@@ -28,24 +32,83 @@ from vellum.session import ship
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+# The wording of licenses and notices, as words.
+MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"""
+MIT_NOTICE = "the above copyright notice and this permission notice"
+MIT_KEEP = "shall be included in all copies or substantial portions of the software"
+MIT_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+BSD_BINARY = """redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+documentation and or other materials provided with the distribution"""
+BSD_NAMES = "may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_IMPLIED = "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall"
+BSD_LIABLE = """be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute
+goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability
+or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+ISC_TEXT = """distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission
+notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied
+warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages
+whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection
+with the use or performance of this software"""
+ZLIB_TEXT = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising
+from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the
+original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered
+source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered
+from any source distribution"""
+UNLICENSE_TEXT = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute
+this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that
+recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law"""
+APACHE_USE = "the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+APACHE_REST = """www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is
+distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing
+permissions and limitations under the license"""
+GNU_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+GNU_HOPE = """is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a
+particular purpose see the gnu"""
+MPL_TEXT = """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can
+obtain one at"""
+
 _GRANTS = "(released|licensed|distributed|made available|available|published)"
 _SUBJECT = "[this (work|software|program|project|code|document|file|package|library) is]"
-_MIT_BODY = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
-files (the software|the software the software) to deal in the software without restriction including without limitation the rights to use copy modify
-merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so
-subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included
-in all copies or substantial portions of the software"""
+_LATER = "[or [at your option any] later [version]]"
+
+
+def _bsd(more: str) -> str:
+    end = f"this software is provided by (the copyright holders and contributors|{{1,12}}) {BSD_IMPLIED} (the copyright holder or contributors|the copyright owner or contributors|{{1,12}}) {BSD_LIABLE}"
+    return f"{BSD_GRANT} [1|a] {BSD_SOURCE} [2|b] {BSD_BINARY} {more} {end}"
+
+
+def _gnu(name: str) -> str:
+    version = "as published by the free software foundation either version {1,2} of the license or at your option any later version"
+    return f"(this program|this library|this file|{{1,6}}) {GNU_FREE} {name} {version} (this program|this library|{{1,6}}) {GNU_HOPE} {name} for more details"
+
+
 TEMPLATES = {
     "mit-notice": f"{_SUBJECT} {_GRANTS} under [the terms of] the mit license",
-    "mit-text": f"[the] [mit license] [copyright [c] {{1,12}}] {_MIT_BODY}",
+    "mit-text": f"[the] [mit license] [copyright [c] {{1,12}}] {MIT_GRANT} {MIT_NOTICE} [including the next paragraph] {MIT_KEEP} {MIT_WARRANTY}",
     "apache-2.0": f"{_SUBJECT} {_GRANTS} under [the terms of] the apache license [version] 2 0",
-    "gpl-2.0": f"{_SUBJECT} {_GRANTS} under [the terms of] the [gnu] general public license [v|version] 2 [0] [or [at your option any] later [version]]",
-    "gpl-3.0": f"{_SUBJECT} {_GRANTS} under [the terms of] the [gnu] general public license [v|version] 3 [0] [or [at your option any] later [version]]",
-    "gpl-text": "this program is free software [you|: you] can redistribute it and or modify it under the terms of the gnu [lesser|affero] general public license as published by the free software foundation",
+    "apache-2.0-header": f"licensed under the apache license version 2 0 {APACHE_USE} (http|https) {APACHE_REST}",
+    "gpl-2.0": f"{_SUBJECT} {_GRANTS} under [the terms of] the [gnu] general public license [v|version] 2 [0] {_LATER}",
+    "gpl-3.0": f"{_SUBJECT} {_GRANTS} under [the terms of] the [gnu] general public license [v|version] 3 [0] {_LATER}",
+    "gpl-header": _gnu("general public license"),
+    "lgpl-header": _gnu("(lesser|library) general public license"),
+    "agpl-header": _gnu("affero general public license"),
+    "mpl-2.0-header": f"{MPL_TEXT} (http|https) [www] mozilla org mpl 2 0",
     "cc-by-4.0": f"{_SUBJECT} {_GRANTS} under [a|the] (cc by|creative commons attribution) 4 0 [international] [license]",
     "cc-by-nc-4.0": f"{_SUBJECT} {_GRANTS} under [a|the] (cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial) 4 0 [international] [license]",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-2-clause": _bsd(""),
+    "bsd-3-clause": _bsd(f"[3|c] neither the name of {{1,12}} nor the names of {{1,3}} contributors {BSD_NAMES}"),
+    "isc-text": f"permission to use copy modify and [or] {ISC_TEXT}",
+    "zlib-text": ZLIB_TEXT,
+    "unlicense": UNLICENSE_TEXT,
 }
 
 # Words: runs of 0-9, a-z after lower-casing, and everything outside ASCII.
@@ -279,10 +342,47 @@ def summary(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names("base").alias("base_labels"), names("base", "matches").alias("labels"), score.alias("score"))
 
 
+def _sql_patterns() -> dict[str, str]:
+    """The templates once more, written by hand as regular expressions over words that are each followed by a space."""
+    said = lambda text: " ".join(text.split()) + " "
+    few = lambda n: rf"(?:[^ ]+ ){{1,{n}}}"
+    granted = "(?:this (?:work|software|program|project|code|document|file|package|library) is )?(?:released|licensed|distributed|made available|available|published) under "
+    terms = granted + "(?:the terms of )?the "
+    later = "(?:or (?:at your option any )?later (?:version )?)?"
+
+    def gnu(name: str) -> str:
+        version = f"{name}as published by the free software foundation either version {few(2)}of the license or at your option any later version "
+        return f"(?:this program |this library |this file |{few(6)}){said(GNU_FREE)}{version}(?:this program |this library |{few(6)}){said(GNU_HOPE)}{name}for more details "
+
+    def bsd(third: str) -> str:
+        first = f"{said(BSD_GRANT)}(?:1 |a )?{said(BSD_SOURCE)}(?:2 |b )?{said(BSD_BINARY)}{third}this software is provided by "
+        return f"{first}(?:the copyright holders and contributors |{few(12)}){said(BSD_IMPLIED)}(?:the copyright (?:holder|owner) or contributors |{few(12)}){said(BSD_LIABLE)}"
+
+    return {
+        "mit-notice": f"{terms}mit license ",
+        "mit-text": f"{said(MIT_GRANT)}{said(MIT_NOTICE)}(?:including the next paragraph )?{said(MIT_KEEP)}{said(MIT_WARRANTY)}",
+        "apache-2.0": f"{terms}apache license (?:version )?2 0 ",
+        "apache-2.0-header": f"licensed under the apache license version 2 0 {said(APACHE_USE)}https? {said(APACHE_REST)}",
+        "gpl-2.0": f"{terms}(?:gnu )?general public license (?:v |version )?2 (?:0 )?{later}",
+        "gpl-3.0": f"{terms}(?:gnu )?general public license (?:v |version )?3 (?:0 )?{later}",
+        "gpl-header": gnu("general public license "),
+        "lgpl-header": gnu("(?:lesser|library) general public license "),
+        "agpl-header": gnu("affero general public license "),
+        "mpl-2.0-header": f"{said(MPL_TEXT)}https? (?:www )?mozilla org mpl 2 0 ",
+        "cc-by-4.0": f"{granted}(?:a |the )?(?:cc by|creative commons attribution) 4 0 ",
+        "cc-by-nc-4.0": f"{granted}(?:a |the )?(?:cc by nc|creative commons attribution non ?commercial) 4 0 ",
+        "bsd-2-clause": bsd(""),
+        "bsd-3-clause": bsd(f"(?:3 |c )?neither the name of {few(12)}nor the names of {few(3)}contributors {said(BSD_NAMES)}"),
+        "isc-text": f"permission to use copy modify and (?:or )?{said(ISC_TEXT)}",
+        "zlib-text": said(ZLIB_TEXT),
+        "unlicense": said(UNLICENSE_TEXT),
+    }
+
+
 def oracle_sql() -> str:
     """The same rows from regular expressions over the joined words."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    matched = ",\n         ".join(f"CASE WHEN regexp_matches(line, ' {pattern(parse(m))}') THEN '{label}' END" for label, m in TEMPLATES.items())
+    matched = ",\n         ".join(f"CASE WHEN regexp_matches(line, ' {regex}') THEN '{label}' END" for label, regex in _sql_patterns().items())
     places = []
     for phrase, label in BASE.items():
         tests = " AND ".join(f"w[i{f' + {k}' if k else ''}] = '{x}'" for k, x in enumerate(phrase.split(" ")))
