@@ -10,6 +10,8 @@ Template: `<turn>role<text>text</turn>` for turns outside the loss mask and `<tu
 for assistant turns. In roles and texts `\\` is written `\\b` and `<` is written `\\l`, so no control
 string can stand inside a text, and both come back exactly.
 
+One conversation is one text, so its turns meet in one task, and a very long text is carried whole.
+
 Defined results: null roles and texts are empty; events before a conversation's first message open one
 with an empty role; ties in the sequence go by event kind, role and text; repeated rows are repeated
 events; a null conversation id is a conversation; an empty log gives no rows; extra columns are ignored.
@@ -34,20 +36,21 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Finished turns as the log that streams them: assistants in two deltas after a discarded attempt, others whole."""
+    """Finished turns as the log that streams them: assistants in two deltas after a discarded attempt, users as a draft and its edit, others whole."""
     said, half = F.coalesce(F.col(text), F.lit("")), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 2).cast("int")
 
     def event(step: int, kind: str, value: Column) -> Column:
         return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), value.alias("said"))
 
     whole = F.array(event(0, "message", said))
+    edited = F.array(event(0, "message", F.substring(said, 1, 4)), event(1, "edit", said))
     streamed = F.array(
         event(0, "message", F.substring(said, 1, 8)),
         event(1, "regenerate", F.lit("")),
         event(2, "delta", F.substring(said, F.lit(1), half)),
         event(3, "delta", F.substring(said, half + 1, F.length(said))),
     )
-    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("whole"), F.monotonically_increasing_id().alias("serial"), F.explode(F.when(F.col(role) == "assistant", streamed).otherwise(whole)).alias("e"))
+    rows = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("whole"), F.monotonically_increasing_id().alias("serial"), F.explode(F.when(F.col(role) == "assistant", streamed).when(F.col(role) == "user", edited).otherwise(whole)).alias("e"))
     # tied turns must not interleave: text and serial number stand before the step. Only equal rows are told apart by
     # the number alone, so whichever comes first the messages are the same
     return rows.select("conv_id", F.struct("turn", "role", F.when(F.col("role") == "assistant", F.md5("whole")).otherwise(F.col("whole")).alias("tie"), "serial", F.col("e.step").alias("step")).alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.said").alias("text"))

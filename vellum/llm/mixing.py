@@ -5,8 +5,11 @@ find the bucket in which its budget ends; only that bucket's rows are summed aga
 and so on. A row is then taken once more than its source's whole copies where its hash is below the
 source's threshold. Nothing is sorted but buckets, and a rerun finds the same thresholds.
 
-Defined results: a null text has size 0; null is a source of its own, last in order; rows with equal
-ids share a hash and are taken alike; an empty table gives an empty result; a source without words
+Sources are put in order, and their targets found, in windows over a row for each source; one source's buckets,
+4,096 at most a level, meet in one task. Texts never do.
+
+Defined results: a null text has size 0; a very long text is split into its words in one row; null is a source of
+its own, last in order; rows with equal ids, or without one, share a hash and are taken alike (ties); an empty table gives an empty result; a source without words
 has target 0; extra columns are carried by `apply_mix` and ignored by `plan_mix`.
 """
 
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.llm import texts
+from vellum.operators.skew import salted_join
 from vellum.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -52,8 +56,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _beside(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
-    held = sources.withColumnRenamed("source", "of")
-    return rows.join(F.broadcast(held) if few else held, rows["source"].eqNullSafe(held["of"])).drop("of")
+    """Rows with what is known of their source: broadcast where the sources are counted to be few, else by a join that deals a hot source out."""
+    if few:
+        held = sources.withColumnRenamed("source", "of")
+        return rows.join(F.broadcast(held), rows["source"].eqNullSafe(held["of"])).drop("of")
+    mark = lambda df: df.withColumn("_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    return salted_join(mark(rows), mark(sources).drop("source"), ["_key"], ["h"]).drop("_key")
 
 
 def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> tuple[DataFrame, bool]:
