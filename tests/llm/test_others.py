@@ -3,14 +3,16 @@
 import gzip
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import AWKWARD
-from vellum.llm import bm25, chat, licenses, mixing, queries, simhash, warc
+from vellum.llm import bm25, chat, language_id, licenses, mixing, queries, simhash, warc
 from vellum.llm.language_id import has_letter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -45,6 +47,46 @@ def test_license_spans_and_labels():
     assert found == [("mit-notice", 17, 22), ("gpl-3.0", 1, 13)]
 
 
+def written(words, rnd):
+    """Words as a text that has them: capitals and punctuation between."""
+    return " ".join((w.upper() if rnd.random() < 0.2 else w) + rnd.choice(["", "", "", ",", ".", " --"]) for w in words.split())
+
+
+def test_a_label_of_a_text_needs_the_whole_text_and_sql_agrees(spark, tmp_path):
+    rnd = random.Random(5)
+    L = licenses
+    mit = f"copyright c 2020 jane doe {L.MIT_GRANT} {L.MIT_NOTICE} {L.MIT_KEEP} {L.MIT_WARRANTY}"
+    bsd = f"{L.BSD_GRANT} 1 {L.BSD_SOURCE} 2 {L.BSD_BINARY}"
+    end = f"this software is provided by the regents {L.BSD_IMPLIED} the copyright holder or contributors {L.BSD_LIABLE}"
+    third = f"3 neither the name of jane doe nor the names of its contributors {L.BSD_NAMES}"
+    gnu = lambda name: f"foobar {L.GNU_FREE} {name} as published by the free software foundation either version 3 of the license or at your option any later version this program {L.GNU_HOPE} {name} for more details"
+    whole = {
+        "mit-text": mit, "bsd-2-clause": f"{bsd} {end}", "bsd-3-clause": f"{bsd} {third} {end}", "isc-text": f"permission to use copy modify and or {L.ISC_TEXT}", "zlib-text": L.ZLIB_TEXT,
+        "unlicense": L.UNLICENSE_TEXT, "apache-2.0,apache-2.0-header": f"licensed under the apache license version 2 0 {L.APACHE_USE} http {L.APACHE_REST}",
+        "gpl-header": gnu("general public license"), "lgpl-header": gnu("lesser general public license"), "agpl-header": gnu("affero general public license"),
+        "mpl-2.0-header": f"{L.MPL_TEXT} https mozilla org mpl 2 0", "cc-by-nc-4.0": "released under a creative commons attribution non commercial 4 0 license", "cc-by-4.0": "available under cc by 4 0",
+        "gpl-2.0": "this is distributed under the terms of the gnu general public license version 2 or later", "gpl-3.0": "software licensed under the general public license v 3 0", "mit-notice": "code is released under the mit license",
+    }
+    rows, expected = [], {}
+    for label, text in whole.items():
+        expected[len(rows)] = label
+        rows.append((len(rows), "Before. " + written(text, rnd) + " After."))
+        if label.count("-") and not label.endswith("notice") and "4.0" not in label and not label.startswith(("gpl-2", "gpl-3", "apache")):
+            expected[len(rows)] = ""
+            words = text.split()
+            rows.append((len(rows), "Before. " + written(" ".join(words[: len(words) // 4] + ["missing"] + words[len(words) // 4 + 1 :]), rnd)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.summary(licenses.scan(df)).collect()}
+    base = set(licenses.BASE.values())
+    assert {i: ",".join(x for x in r.labels.split(",") if x not in base) for i, r in got.items()} == expected
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    made = con.execute(licenses.oracle_sql())
+    names = [d[0] for d in made.description]
+    assert sorted(made.fetchall()) == sorted(tuple(r[n] for n in names) for r in got.values())
+
+
 def test_licenses_on_awkward_rows(awkward, nothing):
     rows = licenses.summary(licenses.scan(awkward)).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(a[0]), len(WORD.findall(plain(a[1])))) for a in AWKWARD)
@@ -100,10 +142,9 @@ def test_a_shard_prunes_without_loss():
             df[numbers[w]] += 1
     idf = np.log(1 + (700 - df + 0.5) / (df + 0.5))
     s = bm25.Searcher(row, numbers, idf, row["n_words"] / 700)
-    none = np.zeros(0, np.int64)
     for q in range(0, 700, 13):
         terms = np.array(sorted({numbers[w] for w in bm25.terms_of(texts[q]) if w}), np.int64)
-        scores, ids = s.best(terms, s.common([terms])[0], 10, none, none)
+        scores, ids, _ = s.best(terms, 10, bm25.NOTHING)
         expected = slow_search(list(enumerate(texts)), [(q, texts[q])])
         assert sorted(((q, r, int(i), int(x) / 1e6) for r, (i, x) in enumerate(zip(ids, scores, strict=True), 1)), key=str) == expected
 
@@ -113,6 +154,9 @@ def test_search_on_awkward_rows(spark, awkward, nothing):
     got = found(bm25.search(bm25.build_index(awkward), bm25.query_terms(awkward.where("doc_id in (2, 3, 5, 8)"))))
     assert got == slow_search(rows, [r for r in rows if r[0] in (2, 3, 5, 8)])
     assert bm25.search(bm25.build_index(nothing), bm25.query_terms(awkward)).collect() == []
+    tied = [(None, "alpha beta"), (-(1 << 63), "alpha beta"), (None, "alpha beta"), (7, "alpha beta")]
+    df = spark.createDataFrame(tied, "doc_id long, text string")
+    assert found(bm25.search(bm25.build_index(df), bm25.query_terms(df.where("doc_id = 7")))) == slow_search(tied, [tied[3]])
     assert bm25.search(bm25.build_index(awkward), bm25.query_terms(nothing)).collect() == []
 
 
@@ -144,6 +188,8 @@ def test_archives_round_trip(spark, tmp_path):
     for r in rows:
         if r.record_type == "response":
             assert bytes(r.payload) in held[r.id] and hashlib.sha256(r.payload).hexdigest() == r.digest
+    assert warc.unresolved(read).isEmpty() and read.where("record_type = 'revisit'").count() == 4
+    assert len({r.record_id for r in rows}) == len(rows)
     kinds = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.summary(read).collect())
     assert kinds == sorted(
         (str(i), len((h or "").encode()), "revisit" if len(h or "") == 203 and i != 0 else "response", 0 if len(h or "") == 203 and i != 0 else None) for i, _, h in PAGES
@@ -155,13 +201,38 @@ def test_archives_are_genuine_and_segmented(spark, tmp_path):
     warc.write_archives(df, str(tmp_path / "a"))
     data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("part-*"))
     records = list(warc.parse(data))
-    assert all(data.count(b"WARC/1.1\r\nWARC-Type") == len(records) for _ in (1,))
+    assert data.count(b"WARC/1.1\r\nWARC-Type") == len(records)
+    assert records[0][0][b"warc-type"] == b"warcinfo"
+    assert b"http://a/b%20c%0D%0AX:%20y" in {f.get(b"warc-target-uri") for f, _ in records}
     parts = [(f, bytes(b)) for f, b in records if b"warc-segment-number" in f]
     assert [int(f[b"warc-segment-number"]) for f, _ in parts] == list(range(1, len(parts) + 1)) and len(parts) > 5
     assert int(parts[-1][0][b"warc-segment-total-length"]) == sum(len(b) for _, b in parts)
     assert warc.decode_body(b"".join(b for _, b in parts)) == PAGES[0][2].encode()
 
 
+def test_each_record_can_be_read_from_its_offset(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"<p>{i}" + "x" * 40_000) for i in range(5)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"), records_per_file=7)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 1
+    for path in files:
+        data = path.read_bytes()
+        starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", data)]
+        first = next(warc.members(data[starts[-1] :]))
+        assert first.startswith(b"WARC/1.1") and first.endswith(b"\r\n\r\n")
+        assert all(len(list(warc.parse(m))) == 1 for m in warc.members(data))
+        assert next(warc.parse(data))[0][b"warc-type"] == b"warcinfo"
+
+
+def test_a_wrong_payload_fails_the_read(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame(PAGES[1:2], "page_id long, url string, html string"), str(tmp_path / "a"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("part-*"))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "part-0").write_bytes(data.replace(b"xxx", b"xyx", 1))
+    with pytest.raises(Exception, match="digest is wrong"):
+        warc.read_records(spark.read.format("binaryFile").load(str(tmp_path / "b"))).collect()
+
+
 def test_a_lost_segment_fails_the_read(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:1], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(df, str(tmp_path / "a"))
@@ -269,7 +340,9 @@ def test_stages_obey_their_contract(spark):
     columns = docs.columns
     stages = corpus_pipeline.STAGES
     by_language = stages[0][1](spark, docs, "")
-    assert by_language.columns == columns and by_language.count() == sum(has_letter(r.text) for r in docs.collect())
+    model = language_id.train(docs)
+    explained = {r.doc_id for r in docs.collect() if has_letter(r.text) and model.predict([r.text])[0][2] <= language_id.MOST_BITS}
+    assert by_language.columns == columns and {r.doc_id for r in by_language.collect()} == explained
     by_rules = stages[1][1](spark, by_language, "")
     assert by_rules.columns == columns and by_rules.count() <= by_language.count()
     rows = by_rules.collect()
