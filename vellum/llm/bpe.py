@@ -2,12 +2,18 @@
 
 The words that are frequent in the corpus are merged once, on the driver, and compiled into a
 minimal acyclic automaton: equal suffixes share states, and the counts stored on the transitions
-sum to a word's rank, which points at its ids. The automaton is one flat file that executors fetch
-from the driver and map into memory. A word that it lacks is merged exactly, by rank, so what the
-lexicon holds changes the speed of an encoding and never its ids.
+sum to a word's rank, which points at its ids. A word that the automaton rejects is merged exactly, by
+rank, so what the lexicon holds changes the speed of an encoding and never its ids.
+
+The vocabulary (merge table, pieces) and the lexicon are one flat file each, published through the shared
+folder; a Python worker maps both into memory and holds no more beside them than the pieces, a memo of
+MEMO_BYTES, and the words of CHUNK characters. A text of any length goes through in chunks that end at
+white space; one word is never split, so the longest word bounds what a chunk can exceed.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty
-text; repeated rows are encoded each; only the id and text columns are read, whatever others exist.
+text; a very long text gives what the library gives for it whole; repeated rows, and rows that share an id,
+are encoded each; ties in frequency need no order, as the lexicon changes no result; an empty table gives an
+empty result; only the id and text columns are read, whatever others exist.
 """
 
 from __future__ import annotations
@@ -17,22 +23,27 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vellum.session import cut, ship
+from vellum.session import cut, publish, ship
 
-CHUNK = 1 << 20
-MAGIC = b"VLEX0001"
+#: Characters that are split into words at once.
+CHUNK = 1 << 18
+#: What a worker's memo, or its counts of words, may take, by an estimate of each entry.
+MEMO_BYTES = 8 << 20
+COUNT_BYTES = 16 << 20
+MAGIC, MAGIC_VOCABULARY = b"VLEX0001", b"VBPE0001"
 WIDE, NEVER = 1 << 20, 1 << 30
+#: Bytes up to which words are merged many at once; the heap merges longer ones to the same ids.
 LONGEST_TOGETHER = 64
 #: Below this code point the fast splitter's classes are spelled out; other texts take the library's splitter.
 PLAIN_LIMIT = 0x250
@@ -70,44 +81,76 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[start:]
 
 
+def pack(magic: bytes, arrays: list[np.ndarray]) -> bytes:
+    """Arrays behind each other, each from a multiple of 8 bytes on, after the number of items of each."""
+    head = np.array([*map(len, arrays)], "<i8").tobytes()
+    return magic + head + b"".join(x.tobytes() + bytes(-x.nbytes % 8) for x in arrays)
+
+
+def unpack(path: str, magic: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of a packed file, mapped into memory."""
+    data = np.memmap(path, "u1", "r")
+    if bytes(data[:8]) != magic:
+        raise ValueError(f"{path} does not start with {magic.decode()}")
+    at, out = 8 + 8 * len(kinds), []
+    for kind, n in zip(kinds, data[8:at].view("<i8").tolist(), strict=True):
+        size = np.dtype(kind).itemsize * n
+        out.append(data[at : at + size].view(kind))
+        at += size + -size % 8
+    return out
+
+
 class Vocabulary:
-    """A word-level BPE vocabulary file of the tokenizers library, opened for exact merging."""
+    """A word-level BPE vocabulary, compiled from a file of the tokenizers library and mapped for exact merging.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    A pair's key is its first id times WIDE plus its second; `pair_keys` is sorted, `pair_ranks` stands beside
+    it, and a rank leads through `made` to the id that the pair merges to.
+    """
 
+    KINDS = ("<i8", "<i4", "<i4", "<i4", "<i4", "<i4", "u1", "u1")
+
+    @staticmethod
+    def compile(path: str) -> bytes:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         bpe = model["model"]
-        self.suffix = bpe["end_of_word_suffix"] or ""
+        suffix = bpe["end_of_word_suffix"] or ""
         vocab: dict[str, int] = bpe["vocab"]
-        added = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self.pieces = {str(i): t for t, i in [*vocab.items(), *added.items()]}
         characters = byte_characters()
-        self.inner = [vocab[c] for c in characters]
-        self.last = [vocab[c + self.suffix] for c in characters]
-        # a pair's key is its first id times WIDE plus its second; its rank leads to the id that it merges to
-        self.ranks: dict[int, int] = {}
-        self.made: list[int] = []
-        for rank, pair in enumerate(bpe["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a] * WIDE + vocab[b]] = rank
-            self.made.append(vocab[a + b])
-        self.pair_keys = np.array(sorted(self.ranks), np.int64)
-        self.pair_ranks = np.array([self.ranks[k] for k in self.pair_keys.tolist()], np.int64)
-        self.inner_table, self.last_table, self.made_table = (np.array(x, np.int64) for x in (self.inner, self.last, self.made))
-        self.back = {c: b for b, c in enumerate(characters)}
-        library = Tokenizer.from_file(path)
-        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.special = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
-        self.special_ids = added
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in bpe["merges"]]
+        keys = np.array([vocab[a] * WIDE + vocab[b] for a, b in pairs], np.int64)
+        made = np.array([vocab[a + b] for a, b in pairs])
+        order = np.argsort(keys, kind="stable")
+        names = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in model["added_tokens"]}
+        pieces = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        # what splits and normalises a text, without the tables
+        shell = json.dumps(model | {"model": bpe | {"vocab": {}, "merges": []}, "added_tokens": []})
+        rest = json.dumps({"special": {x["content"]: x["id"] for x in model["added_tokens"]}, "shell": shell})
+        arrays = [keys[order], order, made, [vocab[c] for c in characters], [vocab[c + suffix] for c in characters], np.cumsum([0, *map(len, pieces)]), list(b"".join(pieces)), list(rest.encode())]
+        return pack(MAGIC_VOCABULARY, [np.array(x, kind) for x, kind in zip(arrays, Vocabulary.KINDS, strict=True)])
+
+    def __init__(self, path: str):
+        self.pair_keys, self.pair_ranks, self.made_table, self.inner_table, self.last_table, ends, pieces, rest = unpack(path, MAGIC_VOCABULARY, self.KINDS)
+        data, ends = bytes(pieces), ends.tolist()
+        self.pieces = [data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)]
+        held = json.loads(bytes(rest))
+        self.special_ids: dict[str, int] = held["special"]
+        self.special = re.compile("|".join(re.escape(x) for x in sorted(self.special_ids, key=len, reverse=True))) if self.special_ids else None
+        self.shell, self.library = held["shell"], None
+        self.back = {c: b for b, c in enumerate(byte_characters())}
+
+    def _by_library(self, text: str) -> list[str]:
+        """The words as the library splits them; loaded where the first text needs it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.shell)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.back[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in pieces]
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special strings, normalised."""
-        if not _ODD.search(text):
-            return _PLAIN.findall(text.lower())
-        pieces = self.split(self.normalize(text))
-        return [bytes(self.back[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in pieces]
+        return self._by_library(text) if _ODD.search(text) else _PLAIN.findall(text.lower())
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of ordinary text, and special strings, in order."""
@@ -121,8 +164,7 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: lowest rank first, leftmost first."""
-        data = word.encode("utf-8", "surrogateescape")
-        return self._merge_long([*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]])
+        return self._merge_long(word.encode("utf-8", "surrogateescape"))
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
         """The ids of many words, none empty. All words take their next merge together, until none has one."""
@@ -130,12 +172,12 @@ class Vocabulary:
         short = [i for i, w in enumerate(words) if len(w) <= LONGEST_TOGETHER]
         for i, w in enumerate(words):
             if len(w) > LONGEST_TOGETHER:
-                out[i] = self._merge_long([*map(self.inner.__getitem__, w[:-1]), self.last[w[-1]]])
+                out[i] = self._merge_long(w)
         if not short:
             return out
         lengths = np.array([len(words[i]) for i in short])
         data = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
-        ids = self.inner_table[data]
+        ids = self.inner_table[data].astype(np.int64)
         ends = np.cumsum(lengths) - 1
         ids[ends] = self.last_table[data[ends]]
         word = np.repeat(np.array(short), lengths)
@@ -176,25 +218,42 @@ class Vocabulary:
         place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[place] == key) & (word[at] == word[after]) & (after > at), self.pair_ranks[place], NEVER)
 
-    def _merge_long(self, ids: list[int | None]) -> list[int]:
-        """One word, with a heap: its length does not tell in the square."""
-        n, get, made = len(ids), self.ranks.get, self.made
+    def _rank(self, a: int, b: int) -> int:
+        key = a * WIDE + b
+        at = bisect_left(self.pair_keys, key)
+        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else NEVER
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """One word, with a heap: its length does not tell in the square. A heap's entry is a rank and a place in one number."""
+        data = np.frombuffer(word, np.uint8)
+        start = self.inner_table[data].astype(np.int64)
+        start[-1] = self.last_table[data[-1]]
+        n = len(start)
+        first = self._ranks(start, np.zeros(n, np.int8), np.arange(n)).astype(np.int64)
+        ids, ranks = start.tolist(), first.tolist()  # a rank: of the pair that starts there
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] * WIDE + ids[i + 1], NEVER)) < NEVER]
+        known: dict[tuple[int, int], int] = {}
+        heap = ((first << 32) + np.arange(n))[first < NEVER].tolist()
         heapq.heapify(heap)
         while heap:
-            best, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            best, i = divmod(heapq.heappop(heap), 1 << 32)
+            if ids[i] < 0 or ranks[i] != best:
                 continue
-            ids[i], ids[j] = made[best], None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (r := get(ids[x] * WIDE + ids[y], NEVER)) < NEVER:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [x for x in ids if x is not None]
+            j = right[i]
+            ids[i], ids[j] = int(self.made_table[best]), -1
+            right[i] = after = right[j]
+            if after >= 0:
+                left[after] = i
+            for x, y in ((left[i], i), (i, after)):
+                if x < 0:
+                    continue
+                rank = NEVER
+                if y >= 0 and (rank := known.get(pair := (ids[x], ids[y]), -1)) < 0:
+                    rank = known[pair] = self._rank(*pair)
+                ranks[x] = rank
+                if rank < NEVER:
+                    heapq.heappush(heap, (rank << 32) + x)
+        return [x for x in ids if x >= 0]
 
 
 class Lexicon:
@@ -206,8 +265,7 @@ class Lexicon:
     `ids` hold the ids by rank.
     """
 
-    NAMES = ("keys", "targets", "skips", "final", "offsets", "ids")
-    KINDS = ("<i8", "<i4", "<i4", "u1", "<i4", "<i4")
+    KINDS = ("<i8", "<i8", "<i4", "<i4", "u1", "<i4", "<i4")
 
     @staticmethod
     def compile(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -249,21 +307,12 @@ class Lexicon:
                 skips.append(total)
                 total += below[target]
             below.append(total)
-        arrays = [np.array(x, kind) for x, kind in zip((keys, targets, skips, [s[0] for s in states], offsets, flat), Lexicon.KINDS, strict=True)]
-        head = np.array([root, *map(len, arrays)], "<i8").tobytes()
-        return MAGIC + head + b"".join(x.tobytes() + bytes(-x.nbytes % 8) for x in arrays)
+        arrays = ([root], keys, targets, skips, [s[0] for s in states], offsets, flat)
+        return pack(MAGIC, [np.array(x, kind) for x, kind in zip(arrays, Lexicon.KINDS, strict=True)])
 
     def __init__(self, path: str):
-        data = np.memmap(path, "u1", "r")
-        if bytes(data[:8]) != MAGIC:
-            raise ValueError(f"{path} is no lexicon")
-        self.root, *sizes = map(int, data[8 : 8 + 56].view("<i8"))
-        at = 64
-        for name, kind, n in zip(self.NAMES, self.KINDS, sizes, strict=True):
-            size = np.dtype(kind).itemsize * n
-            setattr(self, name, data[at : at + size].view(kind))
-            at += size + -size % 8
-        self.states = len(self.final)
+        root, self.keys, self.targets, self.skips, self.final, self.offsets, self.ids = unpack(path, MAGIC, self.KINDS)
+        self.root, self.states = int(root[0]), len(self.final)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 if the automaton rejects it; all words step together."""
@@ -292,18 +341,20 @@ class Lexicon:
 class Codec:
     """Encodes and decodes with a vocabulary and a lexicon; one for each Python worker."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo: int = 400_000):
-        self.vocabulary, self.lexicon, self.memo, self.limit = vocabulary, lexicon, {}, memo
-        self.names = [str(i) for i in range(max(map(int, vocabulary.pieces)) + 1)]
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo: int = MEMO_BYTES):
+        self.vocabulary, self.lexicon, self.memo, self.limit, self.held = vocabulary, lexicon, {}, memo, 0
+        self.names = [str(i) for i in range(len(vocabulary.pieces))]
+        self.piece_of = dict(zip(self.names, vocabulary.pieces, strict=True))
 
     def _learn(self, lists: list[list[str]]) -> None:
-        """Make the memo hold every word of these lists."""
+        """Make the memo hold every word of these lists, which are of bounded size together; before them it holds at most `limit` bytes."""
         known = self.memo
         new = set().union(*(set(words).difference(known) for words in lists))
         if not new:
             return
-        if len(known) + len(new) > self.limit:  # what is at hand always fits: chunks and groups are bounded
+        if self.held > self.limit:
             known.clear()
+            self.held = 0
             new = set().union(*lists)
         words = list(new)
         data = [w.encode("utf-8", "surrogateescape") for w in words]
@@ -315,6 +366,8 @@ class Codec:
             known[words[i]] = " ".join([names[x] for x in ids])
         for i in np.flatnonzero(ranks >= 0).tolist():
             known[words[i]] = " ".join([names[x] for x in self.lexicon.of(int(ranks[i]))])
+        # two strings and a place in the table for each
+        self.held += sum(200 + 2 * len(d) + len(known[w]) for d, w in zip(data, words, strict=True))
 
     def _split(self, text: str) -> Iterator[list[str] | str]:
         """A text's special ids, as strings, and the words between them, in bounded lists."""
@@ -357,7 +410,7 @@ class Codec:
         return [int(i) for part in self.encode_parts(text or "") for i in part.split(" ")]
 
     def decode_part(self, part: str) -> str:
-        return " ".join(map(self.vocabulary.pieces.__getitem__, part.split(" ")))
+        return " ".join(map(self.piece_of.__getitem__, part.split(" ")))
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_part(" ".join(map(str, ids))) if (ids := list(ids)) else ""
@@ -384,23 +437,11 @@ def _open(vocabulary: str, lexicon: str | None) -> Codec:
     return _OPEN[vocabulary, lexicon]
 
 
-def _publish(spark, data: bytes, suffix: str) -> str:
-    """Serve bytes to every executor, present and future, under a name made from them."""
-    name = f"vellum-{hashlib.sha256(data).hexdigest()[:24]}{suffix}"
-    path = os.path.join(tempfile.mkdtemp(prefix="vellum-"), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    if name not in getattr(spark.sparkContext, "_vellum_files", ()):
-        spark.sparkContext.addFile(path)
-        spark.sparkContext._vellum_files = {*getattr(spark.sparkContext, "_vellum_files", ()), name}
-    return name
-
-
-def word_counts(df: DataFrame, vocabulary: str, text_col: str = "text", hold: int = 200_000) -> DataFrame:
+def word_counts(df: DataFrame, vocabulary: str, text_col: str = "text", hold: int = COUNT_BYTES) -> DataFrame:
     """(word, n) over all texts, counted inside each partition before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, seen = _open(vocabulary, None).vocabulary, Counter()
+        opened, seen, sizes = _open(vocabulary, None).vocabulary, Counter(), 0
 
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogateescape") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -410,11 +451,15 @@ def word_counts(df: DataFrame, vocabulary: str, text_col: str = "text", hold: in
         for batch in batches:
             for value in batch.column(0):
                 for segment, special in opened.segments(value.as_py() or ""):
-                    if not special:
-                        for chunk in chunks(segment):
-                            seen.update(opened.words(chunk))
-                if len(seen) >= hold:
-                    yield out()
+                    for chunk in chunks(segment) if not special else ():
+                        before = len(seen)
+                        words = opened.words(chunk)
+                        seen.update(words)
+                        new = len(seen) - before
+                        sizes += 150 * new + (sum(map(len, words)) * new // len(words) if words else 0)
+                        if sizes >= hold:
+                            yield out()
+                            sizes = 0
         yield out()
 
     return df.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -428,15 +473,16 @@ def build_lexicon(df: DataFrame, tokenizer_path: str, text_col: str = "text", ma
     """
     spark = df.sparkSession
     ship(spark)
-    with open(tokenizer_path, "rb") as f:
-        vocabulary = _publish(spark, f.read(), ".json")
-    counts = cut(word_counts(df, vocabulary, text_col).where(F.col("n") >= min_count))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counts.where(F.col("n") * max_words >= total)
+    compiled = Vocabulary.compile(tokenizer_path)
+    vocabulary, path = publish(spark, compiled, ".bpe")
+    total = Observation()
+    counts = word_counts(df, vocabulary, text_col).observe(total, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    counts = cut(counts.where(F.col("n") >= min_count))
+    frequent = counts.where(F.col("n") * max_words >= total.get["n"])
     words = sorted(bytes(r[0]) for r in frequent.select("word").collect())
-    opened = Vocabulary(tokenizer_path)
-    data = Lexicon.compile((w, opened.merge(w.decode("utf-8", "surrogateescape"))) for w in words)
-    return vocabulary, _publish(spark, data, ".lex")
+    opened = Vocabulary(path)
+    lexicon = Lexicon.compile(zip(words, opened.merge_many(words), strict=True))
+    return vocabulary, publish(spark, lexicon, ".lex")[0]
 
 
 def _map(df: DataFrame, files: tuple[str, str], id_col: str, text_col: str, schema: str, rows) -> DataFrame:
