@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 from vellum.session import cut, publish, ship
 
 #: Characters that are split into words at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 #: What a worker's memo, or its counts of words, may take, by an estimate of each entry.
-MEMO_BYTES = 8 << 20
+MEMO_BYTES = 24 << 20
 COUNT_BYTES = 16 << 20
 MAGIC, MAGIC_VOCABULARY = b"VLEX0001", b"VBPE0001"
 WIDE, NEVER = 1 << 20, 1 << 30
+MARK = "|"
 #: Bytes up to which words are merged many at once; the heap merges longer ones to the same ids.
 LONGEST_TOGETHER = 64
 #: Below this code point the fast splitter's classes are spelled out; other texts take the library's splitter.
@@ -89,7 +90,7 @@ def pack(magic: bytes, arrays: list[np.ndarray]) -> bytes:
 
 def unpack(path: str, magic: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The arrays of a packed file, mapped into memory."""
-    data = np.memmap(path, "u1", "r")
+    data = np.memmap(path, "u1", "r").view(np.ndarray)  # mapped still, without the subclass's cost at every slice
     if bytes(data[:8]) != magic:
         raise ValueError(f"{path} does not start with {magic.decode()}")
     at, out = 8 + 8 * len(kinds), []
@@ -167,39 +168,48 @@ class Vocabulary:
         return self._merge_long(word.encode("utf-8", "surrogateescape"))
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of many words, none empty. All words take their next merge together, until none has one."""
-        out: list[list[int]] = [[]] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONGEST_TOGETHER]
-        for i, w in enumerate(words):
-            if len(w) > LONGEST_TOGETHER:
-                out[i] = self._merge_long(w)
-        if not short:
-            return out
-        lengths = np.array([len(words[i]) for i in short])
-        data = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
-        ids = self.inner_table[data].astype(np.int64)
-        ends = np.cumsum(lengths) - 1
-        ids[ends] = self.last_table[data[ends]]
-        word = np.repeat(np.array(short), lengths)
-        ranks = self._ranks(ids, word, np.arange(len(ids) - 1)) if len(ids) > 1 else np.zeros(0, np.int64)
-        ranks = np.append(ranks, NEVER)
+        """The ids of many words, none empty."""
+        ids, sizes = self.merge_flat(words)
+        ends, flat = np.cumsum(sizes).tolist(), ids.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, one word's after another's, and how many each has. All take their next merge together, until none has one."""
+        done_ids, done_words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def finish(ids: np.ndarray, word: np.ndarray) -> None:
+            done_ids.append(ids)
+            done_words.append(word)
+
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lengths > LONGEST_TOGETHER).tolist():
+            made = np.array(self._merge_long(words[i]))
+            finish(made, np.full(len(made), i))
+        short = np.flatnonzero(lengths <= LONGEST_TOGETHER)
+        if len(short):
+            lengths = lengths[short]
+            data = np.frombuffer(b"".join([words[i] for i in short.tolist()]), np.uint8)
+            ids = self.inner_table[data].astype(np.int64)
+            ends = np.cumsum(lengths) - 1
+            ids[ends] = self.last_table[data[ends]]
+            self._merge_rounds(ids, np.repeat(short, lengths), finish)
+        ids, word = np.concatenate(done_ids), np.concatenate(done_words)
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _merge_rounds(self, ids: np.ndarray, word: np.ndarray, finish) -> None:
+        ranks = self._ranks(ids, word, np.arange(len(ids)))
         while len(ids):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             best = np.minimum.reduceat(ranks, starts)
             sizes = np.diff(starts, append=len(ids))
-            done = best == NEVER
-            if done.any():  # words without a merge left go out
-                going = np.repeat(done, sizes)
-                at, flat = 0, ids[going].tolist()
-                for w, n in zip(word[starts[done]].tolist(), sizes[done].tolist(), strict=True):
-                    out[w] = flat[at : at + n]
-                    at += n
-                stay = ~going
-                ids, word, ranks = ids[stay], word[stay], ranks[stay]
-                best, sizes = best[~done], sizes[~done]
+            best = np.repeat(best, sizes)
+            stay = best < NEVER
+            if not stay.all():  # words without a merge left go out
+                finish(ids[~stay], word[~stay])
+                ids, word, ranks, best = ids[stay], word[stay], ranks[stay], best[stay]
                 if not len(ids):
                     break
-            hits = np.flatnonzero(ranks == np.repeat(best, sizes))
+            hits = np.flatnonzero(ranks == best)
             first = hits[np.diff(word[hits], prepend=-1) != 0]
             ids[first] = self.made_table[ranks[first]]
             keep = np.ones(len(ids), bool)
@@ -209,7 +219,6 @@ class Vocabulary:
             ranks[first] = self._ranks(ids, word, first)
             before = first[first > 0] - 1
             ranks[before] = self._ranks(ids, word, before)
-        return out
 
     def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The rank of the pair at each place; NEVER across words and where there is no merge."""
@@ -334,8 +343,11 @@ class Lexicon:
         ends[ends] = self.final[state[ends]] > 0
         return np.where(ends & (len(self.keys) > 0), rank, -1)
 
-    def of(self, rank: int) -> list[int]:
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist()
+    def flat(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of these ranks, one word's after another's, and how many each has."""
+        starts, sizes = self.offsets[ranks].astype(np.int64), np.diff(self.offsets)[ranks].astype(np.int64)
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return self.ids[at].astype(np.int64), sizes
 
 
 class Codec:
@@ -343,8 +355,8 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo: int = MEMO_BYTES):
         self.vocabulary, self.lexicon, self.memo, self.limit, self.held = vocabulary, lexicon, {}, memo, 0
-        self.names = [str(i) for i in range(len(vocabulary.pieces))]
-        self.piece_of = dict(zip(self.names, vocabulary.pieces, strict=True))
+        self.names = [*map(str, range(len(vocabulary.pieces))), MARK]
+        self.piece_of = dict(zip(self.names, vocabulary.pieces, strict=False))
 
     def _learn(self, lists: list[list[str]]) -> None:
         """Make the memo hold every word of these lists, which are of bounded size together; before them it holds at most `limit` bytes."""
@@ -359,15 +371,17 @@ class Codec:
         words = list(new)
         data = [w.encode("utf-8", "surrogateescape") for w in words]
         ranks = self.lexicon.ranks(data) if self.lexicon else np.full(len(words), -1)
-        missing = np.flatnonzero(ranks < 0)
-        made = self.vocabulary.merge_many([data[i] for i in missing])
-        names = self.names
-        for i, ids in zip(missing.tolist(), made, strict=True):
-            known[words[i]] = " ".join([names[x] for x in ids])
-        for i in np.flatnonzero(ranks >= 0).tolist():
-            known[words[i]] = " ".join([names[x] for x in self.lexicon.of(int(ranks[i]))])
+        found, missing = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+        parts = [self.vocabulary.merge_flat([data[i] for i in missing.tolist()])]
+        if len(found):
+            parts.append(self.lexicon.flat(ranks[found]))
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # all ids as one text with a mark behind each word, which falls apart into the words'
+        marked = np.insert(ids, np.cumsum(sizes), len(self.names) - 1)
+        text = " ".join(map(self.names.__getitem__, marked.tolist()))
+        known.update(zip([words[i] for i in np.concatenate([missing, found]).tolist()], text[: -len(MARK) - 1].split(f" {MARK} "), strict=True))
         # two strings and a place in the table for each
-        self.held += sum(200 + 2 * len(d) + len(known[w]) for d, w in zip(data, words, strict=True))
+        self.held += 200 * len(words) + 2 * sum(map(len, data)) + len(text)
 
     def _split(self, text: str) -> Iterator[list[str] | str]:
         """A text's special ids, as strings, and the words between them, in bounded lists."""
