@@ -10,9 +10,10 @@ There are 3 to the number of rules patterns at most, whatever the input: that bo
 that reaches the driver, and the posteriors go back as a broadcast of as many rows. Texts stay in the
 JVM throughout.
 
-Defined results: null, empty and blank texts have no words, fail the base rules and are not kept;
-repeated rows get the same verdict each; an empty table gives an empty result; any other columns are
-carried by `keep` and ignored by `judge`.
+Defined results: null, empty and blank texts have no words, fail the base rules and are not kept; a very
+long text is one row's array of words in one task, and counts like any other; repeated rows, and rows that
+share an id or have none, get a verdict each, by their text alone; ties (a posterior of just the threshold)
+are kept; an empty table gives an empty result; any other columns are carried by `keep` and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊËÎÏÔÙÛÑÁÍÓÚ"
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_plain", "n_common")
 #: Function words of the languages that the rules know; prose has them whatever its subject.
 COMMON = ("the of and to in is it that for was with as be on by at this are an or der die das und ist den des zu ein eine mit von im nicht"
@@ -36,7 +38,11 @@ COMMON = ("the of and to in is it that for was with as be on by at this are an o
 
 
 def repeat_words(words: Column) -> Column:
-    """Words that stand in a 3-word window which the text has twice or more; a word counts once."""
+    """Words that stand in a 3-word window which the text has twice or more; a word counts once.
+
+    Windows are compared by 64 bits of hash of their words' hashes, so two that differ pass for one in a text of
+    n words with a probability of about n squared over 2 to the 65th.
+    """
 
     def covered(windows: Column) -> Column:
         placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -48,27 +54,39 @@ def repeat_words(words: Column) -> Column:
         windows = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
         return texts.bind(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
-    return texts.bind(words, of).cast("long")
+    return texts.bind(F.transform(words, lambda w: F.xxhash64(w)), of).cast("long")
 
 
-def signals(text: Column) -> dict[str, Column]:
-    """The counts that the rules look at."""
+def signals(text: Column) -> Column:
+    """The counts that the rules look at, as one struct: the text is split once, and rid of its plain characters once."""
     text = F.coalesce(text, F.lit(""))
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeat_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.rlike(x, F.lit(r"^\p{L}+[,.;:!?]?$")))).cast("long").alias("n_plain"),
+            F.size(F.filter(w, lambda x: x.isin(*sorted(set(COMMON))))).cast("long").alias("n_common"),
+        )
+
+    def of_marks(m: Column) -> Column:
+        return F.struct(texts.count_of(m, SYMBOLS).alias("n_symbols"), texts.count_of(m, UPPER).alias("n_upper"), texts.count_of(m, "!").alias("n_shouts"))
+
+    def of_lines(x: Column) -> Column:
+        return F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines"))
+
     lines = F.filter(F.split(text, "\n"), lambda x: texts.trimmed(x) != "")
-    pair = texts.bind(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊËÎÏÔÙÛÑÁÍÓÚ"
-    return {
-        "n_words": texts.n_words(text),
-        "word_chars": F.length(F.translate(text, texts.SPACES, "")).cast("long"),
-        "n_symbols": texts.count_of(text, SYMBOLS),
-        "n_dup_lines": (pair["n"] - pair["distinct"]).cast("long"),
-        "n_repeat_words": repeat_words(texts.words(text)),
-        "n_lines": pair["n"].cast("long"),
-        "n_upper": texts.count_of(text, upper),
-        "n_shouts": texts.count_of(text, "!"),
-        "n_plain": F.size(F.filter(texts.words(text), lambda w: F.rlike(w, F.lit(r"^\p{L}+[,.;:!?]?$")))).cast("long"),
-        "n_common": F.size(F.filter(texts.words(text), lambda w: w.isin(*sorted(set(COMMON))))).cast("long"),
-    }
+    marks = F.regexp_replace(text, f"[^{SYMBOLS}!{UPPER}]+", "")
+    made = {"w": texts.bind(texts.words(text), of_words), "m": texts.bind(marks, of_marks), "l": texts.bind(lines, of_lines)}
+    return F.struct(*(c.alias(n) for n, c in made.items()))
+
+
+def with_signals(df: DataFrame, row: Column, text_col: str) -> DataFrame:
+    """(row, the signals) of every row."""
+    places = {"n_words": "w", "word_chars": "w", "n_symbols": "m", "n_dup_lines": "l", "n_repeat_words": "w", "n_lines": "l", "n_upper": "m", "n_shouts": "m", "n_plain": "w", "n_common": "w"}
+    held = df.select(row.alias("row"), signals(F.col(text_col)).alias("s"))
+    return held.select("row", *(F.col(f"s.{places[n]}.{n}").alias(n) for n in SIGNALS))
 
 
 def _share(part: str, of: str) -> Column:
@@ -154,12 +172,10 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, the base counts, base_failed, kept, posterior) of every row."""
-    text = F.col(text_col)
-    rows = cut(df.select(F.col(id_col).alias("row"), *(c.alias(n) for n, c in signals(text).items())))
+    rows = cut(with_signals(df, F.col(id_col), text_col))
     return _judged(rows).select(F.col("row").alias(id_col), *SIGNALS[:5], "base_failed", "kept", "posterior")
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that are kept, with the columns they came with."""
-    rows = df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in signals(F.col(text_col)).items()))
-    return _judged(cut(rows)).where("kept").select("row.*")
+    return _judged(cut(with_signals(df, F.struct("*"), text_col))).where("kept").select("row.*")
