@@ -38,7 +38,7 @@ def usable(label: Column) -> Column:
     symbols = F.length(F.regexp_replace(label, rf"[\p{{L}}\p{{Nd}}{T.WS}'-]", ""))
     return (
         length.between(3, LONGEST)
-        & ~low.isin(*vocab.EMPTY_LABELS, *vocab.PEOPLE)
+        & ~F.array_contains(T.listed([*vocab.EMPTY_LABELS, *vocab.PEOPLE]), low)
         & ~F.rlike(label, F.lit(CODE))
         & ~F.rlike(label, F.lit(SITE))
         & ~F.rlike(label, F.lit(LANGUAGE))
@@ -59,11 +59,8 @@ def title_case(label: Column) -> Column:
 
 
 def lookup(key: Column, vocabulary: dict[str, str]) -> Column:
-    """The canonical form of a key, null if it has none. A map for a table of a few hundred; `operators.genres` joins larger ones."""
-    if not vocabulary:
-        return F.lit(None).cast("string")
-    literal = F.create_map(*(F.lit(x) for pair in vocabulary.items() for x in pair))
-    return F.try_element_at(literal, key)
+    """The canonical form of a key, null if it has none: a constant map of the vocabulary, which is a table of a few hundred labels."""
+    return F.try_element_at(T.table(vocabulary), key) if vocabulary else F.lit(None).cast("string")
 
 
 def canonical_pt(label: Column, vocabulary: dict[str, str] | None = None) -> Column:
@@ -77,7 +74,7 @@ def canonical_en(label: Column, vocabulary: dict[str, str] | None = None) -> Col
     plain = F.lower(T.deaccent_any_case(key))
     held = F.coalesce(lookup(key, table), lookup(plain, table))
     patterns = F.rlike(label, F.lit(HEADING)) | F.rlike(T.strip(label), F.lit(FRANCHISE)) | F.rlike(key, F.lit(CENTURY))
-    discard = patterns | key.isin(*vocab.PLACES) | plain.isin(*vocab.PLACES)
+    discard = patterns | F.array_contains(T.listed(vocab.PLACES), key) | F.array_contains(T.listed(vocab.PLACES), plain)
     return F.struct(F.coalesce(held, F.when(discard, F.lit("")), title_case(label)).alias("value"), (held.isNotNull() | discard).alias("known"))
 
 
@@ -104,7 +101,7 @@ def clean_en(tags: Column, vocabulary: dict[str, str] | None = None) -> Column:
 
 def is_canonical(label: Column, vocabulary: dict[str, str] | None = None) -> Column:
     table = vocab.CANON_PT if vocabulary is None else vocabulary
-    return F.lower(label).isin(*sorted({v.lower() for v in table.values() if v}))
+    return F.array_contains(T.listed(sorted({v.lower() for v in table.values() if v})), F.lower(label))
 
 
 def translate_tags(tags: Column, table: dict[str, str] | None = None) -> Column:

@@ -78,7 +78,7 @@ def parse_title(s: Column) -> Column:
 
 
 def unshout(title: Column) -> Column:
-    return F.when(T.is_shouty(title), T.title_case_pt(title)).otherwise(title)
+    return T.bind(title, lambda t: F.when(T.is_shouty(t), T.title_case_pt(t)).otherwise(t))
 
 
 def new_filename(book: Column) -> Column:
@@ -131,9 +131,12 @@ def _first_set(*columns: Column) -> Column:
     return F.coalesce(*(F.when(c != "", c) for c in columns), F.lit(""))
 
 
+def _named(folder: Column) -> Column:
+    return F.coalesce(F.nullif(folder, F.lit("")), F.lit("_sem-titulo"))
+
+
 def _by_series(book: Column, want: Column) -> Column:
-    folder = T.safe_dir(_first_set(want["series"], book["series"], want["title"], book["title"]))
-    return F.when(folder == "", F.lit("_sem-titulo")).otherwise(folder)
+    return _named(T.safe_dir(_first_set(want["series"], book["series"], want["title"], book["title"])))
 
 
 def _by_author(book: Column, want: Column) -> Column:
@@ -141,8 +144,7 @@ def _by_author(book: Column, want: Column) -> Column:
     title = _first_set(want["title"], book["title"])
     numbered = (want["series"] != "") & (want["series_index"] > 0)
     title = F.when(numbered, T.collapse(F.concat(want["series"], F.lit(" "), T.format_index(want["series_index"]), F.lit(" - "), title))).otherwise(title)
-    folder = F.concat_ws("/", *(F.when(c != "", c) for c in (T.safe_dir(author), T.safe_dir(title))))
-    return F.when(folder == "", F.lit("_sem-titulo")).otherwise(folder)
+    return _named(T.bind(F.array(T.safe_dir(author), T.safe_dir(title)), lambda parts: F.array_join(F.filter(parts, lambda c: c != ""), "/")))
 
 
 #: Layouts by name: a function of the parsed name and the desired metadata to a folder, and a description.
@@ -162,8 +164,6 @@ def target(name: str) -> Callable[[Column, Column], Column]:
 
 def place(df: DataFrame, name: str, book: str = "book", meta: str = "meta") -> DataFrame:
     """Adds placement: struct<dir, filename, meta_args>."""
-    made = T.bind(
-        desired_meta(F.col(book), F.col(meta)),
-        lambda want: F.struct(target(name)(F.col(book), want).alias("dir"), new_filename(F.col(book)).alias("filename"), meta_args(want, F.col(meta)).alias("meta_args")),
-    )
-    return df.withColumn("placement", made)
+    want = desired_meta(F.col(book), F.col(meta))
+    made = lambda w: F.struct(target(name)(F.col(book), w).alias("dir"), new_filename(F.col(book)).alias("filename"), meta_args(w, F.col(meta)).alias("meta_args"))
+    return df.withColumn("_want", want).withColumn("placement", made(F.col("_want"))).drop("_want")

@@ -6,6 +6,8 @@ word boundaries, because those are the semantics that the operators promise what
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def table(values: dict[str, str]) -> Column:
+    """A constant map, as one literal however many entries it has."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def listed(values) -> Column:
+    """A constant list, as one literal."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
 def strip(s: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(s, rf"\A[{WS}]+|[{WS}]+\z", "")
@@ -120,9 +132,11 @@ def restore_colon(s: Column) -> Column:
 
 def author_file_as(name: Column) -> Column:
     """`First Last` as `Last, First`; names of several people, of one word, or with a comma stay."""
-    c = collapse(name)
-    stays = (c == "") | F.contains(c, F.lit(",")) | F.rlike(F.lower(c), F.lit("( e | & |;| and )")) | ~F.contains(c, F.lit(" "))
-    return F.when(stays, c).otherwise(F.regexp_replace(c, r"(?iu)\A(.+?) ((?:(?:de|da|do|dos|das|van|von|del|la) )*\S+)\z", "$2, $1"))
+    def turned(c: Column) -> Column:
+        stays = (c == "") | F.contains(c, F.lit(",")) | F.rlike(F.lower(c), F.lit("( e | & |;| and )")) | ~F.contains(c, F.lit(" "))
+        return F.when(stays, c).otherwise(F.regexp_replace(c, r"(?iu)\A(.+?) ((?:(?:de|da|do|dos|das|van|von|del|la) )*\S+)\z", "$2, $1"))
+
+    return bind(collapse(name), turned)
 
 
 def looks_like_author(s: Column) -> Column:
@@ -143,21 +157,24 @@ def format_index(number: Column) -> Column:
 
 def left_bytes(s: Column, n: int) -> Column:
     """At most n bytes of UTF-8, cut at a character."""
-    width = F.transform(F.split(s, ""), lambda c: F.octet_length(c))
-    fits = bind(width, lambda w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.aggregate(F.slice(w, F.lit(1), i), F.lit(0), lambda a, x: a + x) <= n)))
-    return F.when(F.octet_length(s) <= n, s).when(F.octet_length(s) == F.length(s), F.substring(s, 1, n)).otherwise(F.substring(s, F.lit(1), fits))
+    def held(s: Column) -> Column:
+        width = F.transform(F.split(s, ""), lambda c: F.octet_length(c))
+        fits = bind(width, lambda w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.aggregate(F.slice(w, F.lit(1), i), F.lit(0), lambda a, x: a + x) <= n)))
+        return F.when(F.octet_length(s) <= n, s).when(F.octet_length(s) == F.length(s), F.substring(s, 1, n)).otherwise(F.substring(s, F.lit(1), fits))
+
+    return bind(s, held)
 
 
 def sanitize(s: Column) -> Column:
     """A file name: no reserved or control characters, at most 200 bytes."""
     held = collapse(F.regexp_replace(s, r'[/\\:*?"<>|\x00-\x1f]', ""))
-    return F.when(F.octet_length(held) > 200, strip(left_bytes(held, 200))).otherwise(held)
+    return bind(held, lambda h: F.when(F.octet_length(h) > 200, strip(left_bytes(h, 200))).otherwise(h))
 
 
 def safe_dir(s: Column) -> Column:
     """A folder name: sanitised without accents, no ` .-_` at the ends, at most 120 bytes."""
     held = F.regexp_replace(sanitize(deaccent_any_case(s)), r"\A[ .\-_]+|[ .\-_]+\z", "")
-    return F.when(F.octet_length(held) > 120, F.regexp_replace(left_bytes(held, 120), r"\A[ .\-_]+|[ .\-_]+\z", "")).otherwise(held)
+    return bind(held, lambda h: F.when(F.octet_length(h) > 120, F.regexp_replace(left_bytes(h, 120), r"\A[ .\-_]+|[ .\-_]+\z", "")).otherwise(h))
 
 
 def human_size(n: Column) -> Column:

@@ -1,8 +1,9 @@
 """Vocabularies of genre labels.
 
-The small tables are fixed values. The canonical vocabularies are parameters: those here are defaults
-that cover the commonest labels, and `load` reads a fuller one from a file of `label<TAB>canonical` lines
-(an empty canonical form discards the label).
+The small tables and the Portuguese forms are fixed values. The English vocabulary of a library has many hundred
+entries, grown from its own labels, so it is a parameter: `load` reads it from a file of `label<TAB>canonical`
+lines (an empty canonical form discards the label). The default here has the commonest labels alone; a plan that
+removes rare labels should be given the library's own.
 """
 
 from __future__ import annotations
@@ -35,32 +36,35 @@ def _pairs(lines: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines.strip().split("\n"))}
 
 
-# The default Portuguese forms.
+# The Portuguese forms; an empty one discards the label.
 CANON_PT = _pairs("""
 fiction: Ficção
 ficcao: Ficção
 ficção: Ficção
 nonfiction: Não-ficção
 non-fiction: Não-ficção
+nao-ficcao: Não-ficção
 fantasy: Fantasia
 fantasia: Fantasia
 science fiction: Ficção Científica
 sci-fi: Ficção Científica
 ficcao cientifica: Ficção Científica
 ficção científica: Ficção Científica
+ficção científica e fantasia: Ficção Científica
+science fiction & fantasy: Ficção Científica
 horror: Terror
 terror: Terror
 thriller: Suspense
-thrillers: Suspense
 suspense: Suspense
+thrillers: Suspense
 mystery: Mistério
 misterio: Mistério
 mistério: Mistério
 crime: Policial
 policial: Policial
-detective: Policial
-detetive: Policial
 true crime: Crime Real
+detective: Policial
+crime fiction: Policial
 romance: Romance
 romances: Romance
 love stories: Romance
@@ -71,25 +75,29 @@ historia: História
 história: História
 biography: Biografia
 biografia: Biografia
+biography & autobiography: Biografia
 autobiography: Autobiografia
 memoir: Memórias
 memoirs: Memórias
 young adult: Jovem Adulto
+young adult fiction: Jovem Adulto
+ya: Jovem Adulto
 juvenile fiction: Infantojuvenil
 infanto-juvenil: Infantojuvenil
 infantojuvenil: Infantojuvenil
 children: Infantil
 children's: Infantil
+juvenile nonfiction: Infantojuvenil
 classics: Clássicos
 classicos: Clássicos
 clássicos: Clássicos
 literary: Literatura
 literature: Literatura
 literatura: Literatura
+literature & fiction: Literatura
 literary criticism: Crítica Literária
 poetry: Poesia
 poesia: Poesia
-poemas: Poesia
 drama: Drama
 teatro: Teatro
 adventure: Aventura
@@ -106,11 +114,11 @@ religion: Religião
 religiao: Religião
 religião: Religião
 self-help: Autoajuda
-self help: Autoajuda
 autoajuda: Autoajuda
-auto-ajuda: Autoajuda
+self help: Autoajuda
 business: Negócios
 negocios: Negócios
+business & economics: Negócios
 economics: Economia
 economia: Economia
 political science: Política
@@ -125,6 +133,7 @@ computers: Computação
 computing: Computação
 health: Saúde
 saude: Saúde
+health & fitness: Saúde
 cooking: Culinária
 culinaria: Culinária
 cookbooks: Culinária
@@ -144,16 +153,19 @@ medical: Medicina
 medicina: Medicina
 short stories: Contos
 contos: Contos
-conto: Contos
 essays: Ensaios
 ensaios: Ensaios
+crônicas: Crônicas
+cronicas: Crônicas
 war: Guerra
 guerra: Guerra
 military: Militar
 dystopian: Distopia
 distopia: Distopia
+utopian: Utopia
 erotica: Erótico
 erotico: Erótico
+erótico: Erótico
 comics: Quadrinhos
 quadrinhos: Quadrinhos
 graphic novels: Graphic Novel
@@ -163,16 +175,65 @@ comedy: Comédia
 social science: Ciências Sociais
 sociology: Sociologia
 sociologia: Sociologia
+anthropology: Antropologia
 family: Família
 familia: Família
 paranormal: Paranormal
 supernatural: Sobrenatural
 literatura brasileira: Literatura Brasileira
 literatura estrangeira: Literatura Estrangeira
+romance histórico: Romance Histórico
+romance historico: Romance Histórico
+contos e crônicas: Contos
 espiritismo: Espiritismo
+administração: Administração
+administracao: Administração
+gastronomia: Gastronomia
+fotografia: Fotografia
+cinema: Cinema
+conto: Contos
+auto-ajuda: Autoajuda
+clássico: Clássicos
+classico: Clássicos
+poemas: Poesia
+poema: Poesia
+romantico: Romance
+romântico: Romance
+romance sobrenatural: Sobrenatural
+ficção histórica: Romance Histórico
+ficcao historica: Romance Histórico
+juvenil: Infantojuvenil
+chick lit: Chick-lit
+chick-lit: Chick-lit
+espiritualismo: Espiritismo
 espírita: Espiritismo
+espirita: Espiritismo
+livro espírita: Espiritismo
+doutrina espírita: Espiritismo
+codificação espírita: Espiritismo
+codificação: Espiritismo
 espiritual: Espiritualidade
+mind & spirit: Espiritualidade
+detetive: Policial
+assassinato: Policial
+mystery & detective: Mistério
+thriller & mystery: Suspense
+short stories (single author: Contos
+other languages:
+personal memoirs: Memórias
+biographies & memoirs: Biografia
+personal growth: Autoajuda
+personal development & self-help: Autoajuda
+motivational & inspirational: Autoajuda
+politics & social sciences: Política
+religion & spirituality: Religião
+latin america:
+south america:
+portugal:
+brasil:
 contemporary:
+ebook company:
+by anjo_high_tech:
 european:
 american:
 africa:
@@ -184,13 +245,12 @@ france:
 germany:
 women:
 men:
-portugal:
-brasil:
+general interest:
 world:
 international:
 """)
 
-# The default English forms.
+# The commonest English forms, a default: a library gives its own vocabulary, of any size, as a file.
 CANON_EN = _pairs("""
 fiction: Fiction
 ficcao: Fiction

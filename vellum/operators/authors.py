@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions import text as T
 from vellum.operators.graph import components
+from vellum.operators.number import numbered
 from vellum.session import cut
 
 # Names that mark a missing author.
@@ -180,9 +181,8 @@ def merge_sql(found: DataFrame) -> DataFrame:
     """(step, ord, sql): the statements that merge the groups, to be read in order."""
     some = found.where("other_ids <> ''")
     updates = some.select(F.lit(1).alias("step"), F.col("canonical_name").alias("ord"), F.concat(F.lit("UPDATE book_metadata_author_mapping SET author_id = "), "canonical_id", F.lit(" WHERE author_id IN ("), F.replace("other_ids", F.lit(","), F.lit(", ")), F.lit(");")).alias("sql"))
-    ids = some.select(F.explode(F.split("other_ids", ",")).alias("id"))
-    batch = F.floor((F.row_number().over(Window.orderBy("id")) - 1) / 500)
-    deletes = ids.select("id", batch.alias("batch")).groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("list"))
+    ids = numbered(some.select(F.explode(F.split("other_ids", ",")).alias("id")), "id")
+    deletes = ids.select("id", F.floor(F.col("number") / 500).alias("batch")).groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("id")), ", ").alias("list"))
     deletes = deletes.select(F.lit(3).alias("step"), F.format_string("%012d", F.col("batch").cast("long")).alias("ord"), F.concat(F.lit("DELETE FROM author WHERE id IN ("), "list", F.lit(");")).alias("sql"))
     repeated = some.limit(1).select(F.lit(2).alias("step"), F.lit("").alias("ord"), F.lit("DELETE m1 FROM book_metadata_author_mapping m1 JOIN book_metadata_author_mapping m2 ON m1.book_id = m2.book_id AND m1.author_id = m2.author_id AND m1.sort_order > m2.sort_order;").alias("sql"))
     return updates.unionByName(repeated).unionByName(deletes)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vellum.functions import genres as G
 from vellum.functions import text as T
+from vellum.operators.number import numbered
 
 MIN_FREQ = 3
 
@@ -125,13 +125,24 @@ def plan_summary(planned: DataFrame) -> DataFrame:
 
 
 def plan_reasons(planned: DataFrame) -> DataFrame:
-    return planned.where("target = ''").groupBy("reason").agg(F.count("*").alias("n"))
+    """(reason, n) of the labels to remove, by reason."""
+    return planned.where("target = ''").groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")
+
+
+def plan_top(planned: DataFrame, n: int = 30) -> DataFrame:
+    """The largest labels after the clean-up, as its report shows them."""
+    return plan_after(planned).orderBy(F.desc("books"), "genre").limit(n)
+
+
+def plan_detail(planned: DataFrame) -> DataFrame:
+    """(books, name, target, reason) of every label that changes, the largest first."""
+    return planned.where("reason <> ''").select("books", "name", "target", "reason").orderBy(F.desc("books"), "name")
 
 
 def id_batches(ids: DataFrame, size: int = 500, column: str = "id") -> DataFrame:
     """(batch, ids): ids in order, so many to a statement."""
-    numbered = ids.select(F.col(column).alias("id"), F.floor((F.row_number().over(Window.orderBy(column)) - 1) / size).alias("batch"))
-    return numbered.groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ", ").alias("ids"))
+    placed = numbered(ids.select(F.col(column).alias("id")), "id").select("id", F.floor(F.col("number") / size).alias("batch"))
+    return placed.groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ", ").alias("ids"))
 
 
 def plan_sql(planned: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import drop_path, read_small, write_small
+
 FORMAT = 2
 ENTRY = "path string, size long, mod_time long, words int, sig array<bigint>, title string, author string, series string, tags array<string>"
 
@@ -49,20 +55,30 @@ def genre_frequencies(index: DataFrame) -> DataFrame:
 
 
 def save(index: DataFrame, path: str, root: str = "") -> None:
-    """Entries and a manifest; the manifest is written last, so a torn save is no index."""
+    """Entries in a folder of their own, and a manifest that names it, moved into its place last.
+
+    So a torn save leaves the index that was, and an index can be saved to where it was loaded from. The entries
+    before the last stay for those who still read them; older ones go.
+    """
     spark = index.sparkSession
-    index.write.mode("overwrite").parquet(f"{path}/entries")
-    spark.range(1).select(F.lit(FORMAT).alias("version"), F.lit(root).alias("root"), F.current_timestamp().alias("updated")).write.mode("overwrite").json(f"{path}/manifest")
+    old = _manifest(spark, path)
+    place = f"entries-{uuid.uuid4().hex}"
+    index.write.parquet(f"{path}/{place}")
+    write_small(spark, f"{path}/manifest", json.dumps({"version": FORMAT, "root": root, "updated": int(time.time()), "entries": place, "before": old.get("entries")}))
+    if old.get("before"):
+        drop_path(spark, f"{path}/{old['before']}")
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """What the manifest says; nothing if there is none, or it is of another version or no manifest at all."""
+    try:
+        held = json.loads(read_small(spark, f"{path}/manifest") or "{}")
+    except ValueError:
+        return {}
+    return held if isinstance(held, dict) and held.get("version") == FORMAT else {}
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The saved entries; an empty index if there are none, or they are of another version."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        version = spark.read.schema("version int").json(f"{path}/manifest").first()
-    except AnalysisException:
-        version = None
-    if version is None or version["version"] != FORMAT:
-        return spark.createDataFrame([], ENTRY)
-    return spark.read.schema(ENTRY).parquet(f"{path}/entries")
+    held = _manifest(spark, path)
+    return spark.read.schema(ENTRY).parquet(f"{path}/{held['entries']}") if held else spark.createDataFrame([], ENTRY)

@@ -10,7 +10,9 @@ from vellum.functions import metadata as M
 from vellum.functions import names as N
 from vellum.functions import text as T
 from vellum.operators import genres as genre_ops
+from vellum.operators.enrich import enriched
 from vellum.operators import signature as S
+from vellum.session import cut
 
 ON_DUPLICATE = ("best", "skip", "quarantine", "replace")
 
@@ -38,6 +40,7 @@ def describe_choice(new: Column, old: Column) -> Column:
     """The same choice in words; volume numbers are not told."""
     text = lambda pattern, *values: F.format_string(pattern, *values)
     size = lambda c: T.human_size(c["size"])
+    # The reasons.
     return (
         F.when(_has_series(new) & ~_has_series(old), "o novo tem série no metadado")
         .when(_has_series(old) & ~_has_series(new), "o da biblioteca tem série no metadado")
@@ -49,12 +52,12 @@ def describe_choice(new: Column, old: Column) -> Column:
     )
 
 
-def plan(inputs: DataFrame, index: DataFrame, target: str = "grimmory", similarity: float = S.THRESHOLD, on_duplicate: str = "best", min_genre_freq: int = 3, convert: bool = True, answers: DataFrame | None = None) -> DataFrame:
+def plan(inputs: DataFrame, index: DataFrame, target: str = "grimmory", similarity: float = S.THRESHOLD, on_duplicate: str = "best", min_genre_freq: int = 3, convert: bool = True, answers: DataFrame | None = None, again: DataFrame | None = None) -> DataFrame:
     """A row of outcome for each input.
 
     inputs: (path, stem, ext, words, size, sig, meta); index: (path, words, size, sig, series, tags);
-    answers: (path, raw) of an outside metadata tool. Returns (path, status, dest, duplicate, similarity,
-    new_wins, why, meta_args, enrich_args, genre_note, action). status: NOVO, DUPLICATA, SUBSTITUI, ERRO.
+    answers, again: what an outside metadata tool said, as `operators.enrich` has it. Returns (path, status, dest,
+    duplicate, similarity, new_wins, why, meta_args, enrich_args, enrich_note, genre_note, action). status: NOVO, DUPLICATA, SUBSTITUI, ERRO.
     Inputs are held against the index and not against each other.
     """
     if on_duplicate not in ON_DUPLICATE:
@@ -66,13 +69,7 @@ def plan(inputs: DataFrame, index: DataFrame, target: str = "grimmory", similari
     new = F.struct("words", "size", F.col("meta.series").alias("series"), F.col("meta.series_index").alias("idx"))
     rows = rows.withColumn("new", new).withColumn("wins", F.coalesce(F.lit(on_duplicate == "best") & better_copy(F.col("new"), F.col("old")) | F.lit(on_duplicate == "replace"), F.lit(False)))
     rows = N.place(rows, target)
-    if answers is None:
-        rows = rows.withColumn("enrich_args", F.array().cast("array<string>"))
-    else:
-        asked = answers.select(F.col("path").alias("_path"), M.parse_answer(F.col("raw"), translate=True).alias("answer"))
-        rows = rows.join(asked, F.col("path") == F.col("_path"), "left").drop("_path")
-        useful = F.coalesce(F.col("answer.found"), F.lit(False)) & M.lacks_metadata(F.col("meta"))
-        rows = rows.withColumn("enrich_args", F.when(useful, M.gap_args(F.col("answer"), F.col("meta"))).otherwise(F.array().cast("array<string>")))
+    rows = enriched(rows, answers, again)
     duplicate = F.col("duplicate").isNotNull()
     error = F.when((F.col("ext") != ".epub") & F.lit(not convert), F.concat(F.lit("formato "), "ext", F.lit(" exige conversão"))).when(
         (F.col("ext") == ".epub") & (F.coalesce(F.size("sig"), F.lit(0)) <= 0), "não foi possível ler o texto do arquivo"
@@ -103,7 +100,7 @@ def plan(inputs: DataFrame, index: DataFrame, target: str = "grimmory", similari
         "path", status.alias("status"), dest.alias("dest"), "duplicate", "similarity", F.when(duplicate, F.col("wins")).alias("new_wins"),
         F.when(error.isNotNull(), error).when(duplicate, describe_choice(F.col("new"), F.col("old"))).alias("why"),
         F.when(fresh, F.concat("placement.meta_args", F.coalesce(extra, none))).when(duplicate & F.col("wins"), F.col("placement.meta_args")).otherwise(none).alias("meta_args"),
-        F.when(fresh, enrich).otherwise(none).alias("enrich_args"), F.when(fresh, note).alias("genre_note"), action.alias("action"),
+        F.when(fresh, enrich).otherwise(none).alias("enrich_args"), F.when(fresh, F.col("enrich_note")).alias("enrich_note"), F.when(fresh, note).alias("genre_note"), action.alias("action"),
     )
 
 
@@ -118,17 +115,40 @@ def check(queries: DataFrame, index: DataFrame, similarity: float = S.THRESHOLD,
     return queries.select("path").join(found.select(F.col("a").alias("path"), "rank", F.col("b").alias("match"), "similarity"), "path", "left").withColumn("exists", F.col("match").isNotNull())
 
 
-def needs_work(books: DataFrame, target: str = "grimmory", enrich: bool = False, relayout: bool = False) -> DataFrame:
-    """books (path, stem, meta) that an edit would change: lacking metadata, misplaced, or with changed fields."""
-    rows = N.place(books.withColumn("book", N.parse_filename(F.col("stem"))), target)
+def needs_work(books: DataFrame, target: str = "grimmory", enrich: bool = False, relayout: bool = False, limit: int = 0) -> DataFrame:
+    """books (path, stem, meta) that an edit would change, each path once, in order: lacking metadata, misplaced, or with changed fields.
+
+    Both switches may be on. limit: how many an edit takes at most, 0 for all.
+    """
+    # placed once, and filtered as rows: a condition pushed below would place them again
+    rows = cut(N.place(books.dropDuplicates(["path"]).withColumn("book", N.parse_filename(F.col("stem"))), target))
     local = F.size("placement.meta_args") > 0
+    wanted = local if relayout or not enrich else F.lit(False)
     if enrich:
-        wanted = M.lacks_metadata(F.col("meta"))
-    elif relayout:
-        wanted = local | (F.col("path") != F.concat_ws("/", "placement.dir", "placement.filename"))
-    else:
-        wanted = local
-    return rows.where(wanted).orderBy("path")
+        wanted = wanted | M.lacks_metadata(F.col("meta"))
+    if relayout:
+        wanted = wanted | (F.col("path") != _place_of())
+    found = rows.where(wanted).orderBy("path")
+    return found.limit(limit) if limit > 0 else found
+
+
+def _place_of() -> Column:
+    return F.concat_ws("/", "placement.dir", "placement.filename")
+
+
+def edit_plan(found: DataFrame, enrich: bool = False, relayout: bool = False) -> DataFrame:
+    """(path, missing, args, dst) of the books that `needs_work` finds: fields to look up, local changes, and where a book moves."""
+    meta = F.col("meta")
+    # The names of the fields.
+    lacks = F.array(F.when(F.size(meta["tags"]) == 0, "gêneros"), F.when(meta["isbn"] == "", "ISBN"), F.when(meta["publisher"] == "", "editora"), F.when(~meta["has_desc"], "sinopse"))
+    missing = F.filter(lacks, lambda x: x.isNotNull()) if enrich else F.array().cast("array<string>")
+    dst = F.when(F.lit(relayout) & (_place_of() != F.col("path")), _place_of())
+    return found.select("path", missing.alias("missing"), F.col("placement.meta_args").alias("args"), dst.alias("dst"))
+
+
+def preview(planned: DataFrame, n: int = 12) -> DataFrame:
+    """The first rows of an edit's plan, as its report shows them."""
+    return planned.orderBy("path").limit(n)
 
 
 def import_tags(requested: DataFrame, current: DataFrame, merge: bool = False) -> DataFrame:

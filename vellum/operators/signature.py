@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import text as T
+from vellum.operators.graph import components
+from vellum.operators.skew import salted_join
 from vellum.session import cut, ship
 
 SHINGLE = 8
@@ -78,26 +80,35 @@ def fnv1a(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def sampled_fnv(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
-    """(id, n_words, sig): FNV-1a hashes divisible by `sample`, as the bits of signed longs, in unsigned order."""
+    """(id, n_words, sig): FNV-1a hashes divisible by `sample`, as the bits of signed longs, in unsigned order.
+
+    Words come from the JVM joined, each before a space, and all shingles of a batch are hashed together.
+    """
     ship(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def one(words: list[str]) -> list[int] | None:
-        if len(words) < size + SPARE:
-            return None
-        data = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
-        ends = np.flatnonzero(data == 32) + 1
-        starts = np.concatenate([[0], ends[:-1]])[: len(words) - size + 1]
-        hashes = fnv1a(data, starts, ends[size - 1 :])
-        return np.unique(hashes[hashes % np.uint64(sample) == 0]).view(np.int64).tolist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.as_py() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in found], pa.int32()), pa.array([one(w) for w in found], pa.list_(pa.int64()))], ["id", "n_words", "sig"])
-
-    words = df.select(F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    return words.mapInArrow(run, f"id {kind}, n_words int, sig array<bigint>")
+            lines = [x or b"" for x in batch.column(1).to_pylist()]
+            data = np.frombuffer(b"".join(lines), np.uint8)
+            ends = np.flatnonzero(data == 32) + 1
+            line_ends = np.cumsum([len(x) for x in lines])
+            last = np.searchsorted(ends, line_ends, "right")  # of each line: the words up to its end
+            n_words = np.diff(last, prepend=0)
+            enough = n_words >= size + SPARE
+            # a shingle starts at each word but the last ones of its line
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(len(lines)), n_words)
+            first = np.flatnonzero(enough[of] & (np.arange(len(ends)) <= last[of] - size))
+            hashes = fnv1a(data, starts[first], ends[first + size - 1])
+            hit = hashes % np.uint64(sample) == 0
+            hashes, of = hashes[hit], of[first][hit]
+            cuts = np.searchsorted(of, np.arange(len(lines) + 1))
+            sigs = [np.unique(hashes[a:b]).view(np.int64) if ok else None for a, b, ok in zip(cuts, cuts[1:], enough, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "n_words", "sig"])
+
+    line = T.bind(T.tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise(""))
+    return df.select(F.col(id_col).alias("id"), line.cast("binary").alias("line")).mapInArrow(run, f"id {kind}, n_words int, sig array<bigint>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -115,7 +126,7 @@ def classes(sigs: DataFrame) -> DataFrame:
     """(id, rep): texts of equal, non-empty signatures share the smallest id."""
     held = sigs.where(F.size("sig") > 0).select("id", F.sha2(F.array_join(F.col("sig").cast("array<string>"), ","), 256).alias("key"))
     least = held.groupBy("key").agg(F.min("id").alias("rep"))
-    return held.join(least, "key").select("id", "rep")
+    return salted_join(held, least, ["key"], ["id"]).select("id", "rep")
 
 
 def representatives(sigs: DataFrame) -> DataFrame:
@@ -147,6 +158,28 @@ def self_join(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return _verified(left.join(right, "h").where(near).select("a", "b").distinct(), reps, reps, threshold)
 
 
+def linked(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): similar pairs that connect whatever `self_join` would, without all pairs of a cluster.
+
+    Signatures are first held against the smallest that shares a rare hash with them, which ties a cluster of near
+    copies to few hubs; then only pairs that these links leave in different components are compared.
+    """
+    reps = cut(reps)
+    frequencies = reps.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    prefix = cut(_prefixes(reps, frequencies, threshold).select("h", "id", "n"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    hubs = prefix.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub")).select("h", F.col("hub.id").alias("a"), F.col("hub.n").alias("na"))
+    stars = salted_join(prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb")), hubs, ["h"], ["b"]).where((F.col("a") < F.col("b")) & near)
+    first = cut(_verified(stars.select("a", "b").distinct(), reps, reps, threshold).select("a", "b"))
+    rooted = components(first)
+    held = prefix.join(rooted, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
+    apart = held.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    held = cut(held.join(apart, "h", "left_semi"))
+    left, right = held.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), held.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    rest = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    return first.unionByName(_verified(rest, reps, reps, threshold).select("a", "b"))
+
+
 def cross_join(queries: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, shared, similarity): every library row b similar to query row a. Both: (id, sig)."""
     queries, library = cut(queries.where(F.size("sig") > 0)), cut(library.where(F.size("sig") > 0))

@@ -84,6 +84,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and renamed onto it, so that readers see the old one or the new one."""
+    place, store = _place(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = store.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, place, options)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """What a small file holds; None where there is no such file."""
+    place, store = _place(spark, path)
+    if not store.exists(place) or store.getFileStatus(place).isDirectory():
+        return None
+    opened = store.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+    finally:
+        opened.close()
+
+
 def publish(spark: SparkSession, data: bytes, suffix: str) -> tuple[str, str]:
     """Serve bytes to every executor, present and future; the file's name, made from them, and where the driver has it."""
     context = spark.sparkContext

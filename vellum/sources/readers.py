@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,26 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.session import ship
+from vellum.session import shared_path, ship
 
 OPF_BYTES = 96 * 1024
 PAGE_BYTES = 8 << 20
 BOOK_FORMATS = (".epub", ".mobi", ".azw3", ".azw")
 
 
-def _roots(spark: SparkSession, path: str) -> list[str]:
-    """The folder, and those below it whose names start with an underscore, which Spark's own walk leaves out."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = [path]
-    for pattern in (f"{path.rstrip('/')}/_*", f"{path.rstrip('/')}/*/_*"):
-        glob = jvm.org.apache.hadoop.fs.Path(pattern)
-        found += [str(s.getPath()) for s in glob.getFileSystem(conf).globStatus(glob) or () if s.isDirectory()]
-    return found
+def _walk(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, str, int, int]]]:
+    """The folders to read: this one, and those below it that start with an underscore, which Spark's own walk leaves out;
+    and (path, encoded path, size, time) of the books that start with one, which Spark does not read at all.
+
+    One look at each depth, until no folder is that deep; hidden folders are left out, as everywhere.
+    """
+    folders, books, pattern = [path], [], path.rstrip("/")
+    while True:
+        pattern += "/*"
+        glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        held = [(s.getPath().getName(), s) for s in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or () if "/." not in s.getPath().toUri().getPath()[len(path) :]]
+        for name, s in held:
+            if name.startswith("_") and s.isDirectory():
+                folders.append(str(s.getPath()))
+            elif name.startswith("_") and name.lower().endswith(BOOK_FORMATS):
+                books.append((str(s.getPath()), s.getPath().toUri().toString(), s.getLen(), s.getModificationTime() // 1000))
+        if not any(s.isDirectory() for _, s in held):
+            return folders, books
 
 
 def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(_roots(spark, path))
-    return files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"))
+    folders, books = _walk(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folders)
+    files = files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"))
+    more = [(name, size, time) for name, _, size, time in books if glob == "*" or name.lower().endswith(".epub")]
+    return files.unionByName(spark.createDataFrame(more, "path string, size long, mod_time long")) if more else files
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +83,22 @@ def epub_contents(spark: SparkSession, path: str) -> DataFrame:
                             with z.open(n) as f:
                                 pages.append(re.sub(r"<[^>]*>", " ", f.read(PAGE_BYTES).decode("utf-8", "replace")))
                         text = " ".join(pages)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
-                    pass
+                except (zipfile.BadZipFile, zlib.error, struct.error, OSError, ValueError, NotImplementedError, RuntimeError, EOFError):
+                    opf = text = None  # torn, locked or no archive at all
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([opf], pa.string()), pa.array([text], pa.string())], ["path", "opf", "text"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(_roots(spark, path))
-    return files.select("path", "content").mapInArrow(run, "path string, opf string, text string")
+    folders, books = _walk(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(folders).select("path", "content")
+    if named := [name for _, name, _, _ in books if name.lower().endswith(".epub")]:
+        # under names that Spark reads, in the shared folder; copied as streams
+        place, jvm, conf = shared_path(spark, "books"), spark._jvm, spark._jsc.hadoopConfiguration()
+        for i, name in enumerate(named):
+            source, target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), jvm.org.apache.hadoop.fs.Path(f"{place}/{i}.epub")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        copies = spark.read.format("binaryFile").load(place).select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("int").alias("i"), "content")
+        copies = copies.join(F.broadcast(spark.createDataFrame(list(enumerate(named)), "i int, path string")), "i")
+        files = files.unionByName(copies.select("path", "content"))
+    return files.mapInArrow(run, "path string, opf string, text string")
 
 
 def parse_catalog(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.operators import index as I
+from vellum.session import drop_path, read_small, write_small
+
+#: Epochs that are read together before they are merged into one.
+MERGE_AFTER = 16
+
+
+def _state(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_small(spark, f"{path}/current") or '{"parts": [], "gone": []}')
+
+
+def _rows(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """The latest entry of each path; a part counts before those that follow it."""
+    if not parts:
+        return spark.createDataFrame([], I.ENTRY)
+    every = None
+    for order, part in enumerate(parts):
+        rows = spark.read.schema(I.ENTRY).parquet(f"{path}/{part}").withColumn("_order", F.lit(order))
+        every = rows if every is None else every.unionByName(rows)
+    if len(parts) == 1:
+        return every.drop("_order")  # a part has each path once
+    columns = [c for c in every.columns if c != "_order"]
+    return every.groupBy("path").agg(F.max_by(F.struct(*columns), "_order").alias("r")).select("r.*")
 
 
 def upsert(batch: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], epoch: int) -> None:
-    """Computes a batch's stale rows and saves the index with them; repeating a batch changes nothing.
+    """Appends the entries of a batch's stale rows; repeating a batch changes nothing.
 
-    Each epoch is written beside the others and a pointer moves to it last, so a failure leaves the old index.
+    An epoch writes its own entries alone. A small file names the parts that count and is moved into its place last,
+    so a failure leaves the index that was. After MERGE_AFTER epochs the parts are merged into one; those that were
+    merged stay until the next merge, for those who still read them.
     """
     spark = batch.sparkSession
-    pointer = f"{path}/current"
-    held = None
-    try:
-        row = spark.read.schema("at string").json(pointer).first()
-        held = row and row["at"]
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    index = I.load(spark, held) if held else spark.createDataFrame([], I.ENTRY)
+    state, part = _state(spark, path), f"epoch-{epoch}"
+    if part in state["parts"] or epoch <= state.get("epoch", -1):
+        return
     # a path may come twice in a batch: its latest scan counts
     latest = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), "mod_time").alias("r")).select("r.*")
-    at = f"{path}/epoch-{epoch}"
-    I.save(I.put(index, compute(I.stale(latest, index))), at)
-    spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").json(pointer)
+    held = _rows(spark, path, state["parts"]).select("path", "size", "mod_time")
+    compute(I.stale(latest, held)).select([c.split(" ")[0] for c in I.ENTRY.split(", ")]).write.mode("overwrite").parquet(f"{path}/{part}")
+    parts, gone, drop = [*state["parts"], part], state["gone"], []
+    if len(parts) > MERGE_AFTER:
+        merged = f"merged-{epoch}"
+        _rows(spark, path, parts).write.mode("overwrite").parquet(f"{path}/{merged}")
+        parts, gone, drop = [merged], parts, gone
+    write_small(spark, f"{path}/current", json.dumps({"parts": parts, "gone": gone, "epoch": epoch}))
+    for old in drop:
+        drop_path(spark, f"{path}/{old}")
 
 
 def start(scans: DataFrame, path: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], once: bool = True) -> StreamingQuery:
@@ -39,5 +65,5 @@ def start(scans: DataFrame, path: str, checkpoint: str, compute: Callable[[DataF
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def current(spark, path: str) -> DataFrame:
-    return I.load(spark, spark.read.schema("at string").json(f"{path}/current").first()["at"])
+def current(spark: SparkSession, path: str) -> DataFrame:
+    return _rows(spark, path, _state(spark, path)["parts"])
