@@ -1,6 +1,7 @@
 """Operators that the catalogue's queries do not reach: files, storage, streams, options and edge cases."""
 
 import io
+import os
 import subprocess
 import sys
 import zipfile
@@ -22,6 +23,8 @@ from vellum.operators import ingest as ING
 from vellum.operators import series as SE
 from vellum.operators import signature as S
 from vellum.operators.graph import components
+from vellum.operators.number import numbered
+from vellum.operators.skew import salted_join
 from vellum.sources import readers, sinks
 from vellum.streaming import incremental
 
@@ -115,6 +118,28 @@ def test_self_join_loses_no_pair(spark):
         assert crossed == expected | {(b, a) for a, b in expected} | {(i, i) for i in range(len(sets))}
 
 
+def test_links_connect_what_all_pairs_connect(spark):
+    rnd = np.random.default_rng(6)
+    sets = []
+    for b in range(8):
+        base = sorted({*rnd.integers(1000 * b, 1000 * b + 900, 60).tolist()})
+        sets += [sorted({*base, *rnd.integers(10**6, 10**7, rnd.integers(0, 9)).tolist()}) for _ in range(10)]
+        chain = [base[i : i + 40] + [9000 + 100 * b + i] for i in range(0, 12, 2)]
+        sets += chain
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, sig array<bigint>")
+    for threshold in (0.6, 0.85):
+        every, some = S.self_join(df, threshold).select("a", "b"), S.linked(df, threshold)
+        assert {tuple(r) for r in some.collect()} <= {tuple(r) for r in every.collect()}
+        assert sorted(map(tuple, components(some).collect())) == sorted(map(tuple, components(every).collect()))
+
+
+def test_a_large_cluster_of_near_copies_makes_few_links(spark):
+    base, n = list(range(200)), 3000
+    df = spark.range(0, n).select("id", F.concat(F.array(*map(F.lit, base)).cast("array<bigint>"), F.array(F.col("id") + 10_000, F.col("id") + 20_000)).alias("sig"))
+    links = S.linked(df)
+    assert links.count() == n - 1 and {r.root for r in components(links).collect()} == {0}
+
+
 def test_jaccard_bounds(spark):
     rows = spark.createDataFrame([([1, 2], [2, 3]), ([1], [1]), ([], [1]), (None, [1])], "a array<bigint>, b array<bigint>")
     assert [r[0] for r in rows.select(S.jaccard(F.col("a"), F.col("b"))).collect()] == [1 / 3, 1.0, 0.0, 0.0]
@@ -153,6 +178,37 @@ def test_index_build_saves_and_loads(spark, tmp_path):
     assert I.load(spark, path).count() == 0 and I.load(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_an_index_saves_over_itself_and_a_torn_save_leaves_it(spark, tmp_path):
+    path = str(tmp_path / "index")
+    I.save(entries(spark, [("a", 1, 1), ("b", 2, 2)]), path, "root")
+    I.save(I.load(spark, path).where("path = 'a'"), path)
+    assert [r.path for r in I.load(spark, path).collect()] == ["a"]
+    with pytest.raises(Exception, match="boom"):
+        I.save(I.load(spark, path).withColumn("title", F.raise_error(F.lit("boom")).cast("string")), path)
+    assert [r.path for r in I.load(spark, path).collect()] == ["a"]
+    for _ in range(3):
+        I.save(I.load(spark, path), path)
+    assert sum(p.name.startswith("entries-") for p in (tmp_path / "index").iterdir()) <= 3  # the last two, and the torn one
+
+
+def test_streaming_epochs_are_merged_and_repeat_without_effect(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MERGE_AFTER", 3)
+    path, computed = str(tmp_path / "index"), []
+
+    def compute(rows):
+        held = [tuple(r) for r in rows.collect()]
+        computed.append(len(held))
+        return entries(spark, held)
+
+    for epoch in range(9):
+        rows = spark.createDataFrame([("same", 1, 1), ("grows", epoch, epoch), (f"new{epoch}", 1, 1)], "path string, size long, mod_time long")
+        for _ in range(2):
+            incremental.upsert(rows, path, compute, epoch)
+    assert computed == [3] + [2] * 8
+    assert sorted((r.path, r.size) for r in incremental.current(spark, path).collect()) == sorted([("same", 1), ("grows", 8), *((f"new{i}", 1) for i in range(9))])
+    assert len(list((tmp_path / "index").glob("[em]*-*"))) <= 8
+
+
 def test_streaming_index(spark, tmp_path):
     source = tmp_path / "scans"
     schema = "path string, size long, mod_time long"
@@ -197,6 +253,33 @@ def test_library_files(spark, tmp_path):
     assert books["broken.epub"].text is None
 
 
+def test_folders_and_files_with_underscores_at_any_depth(spark, tmp_path):
+    for folder in ("_a", "x/y/_b/z/_c", "x/.hidden/_d", "x/y/w"):
+        (tmp_path / folder).mkdir(parents=True)
+        epub(tmp_path / folder / "book.epub", "", {})
+        epub(tmp_path / folder / "_under.EPUB", "", {})
+    found = sorted(r.path.split(str(tmp_path) + "/")[1] for r in readers.library(spark, str(tmp_path)).collect())
+    assert found == sorted(f"{d}/{n}" for d in ("_a", "x/y/_b/z/_c", "x/y/w") for n in ("book.epub", "_under.EPUB"))
+    read = sorted(r.path.split(str(tmp_path) + "/")[1] for r in readers.epub_contents(spark, str(tmp_path)).where("opf = ''").collect())
+    assert read == found
+
+
+def test_torn_archives_do_not_fail_the_read(spark, tmp_path):
+    rnd = np.random.default_rng(0)
+    for i in range(12):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("content.opf", "<dc:title>T</dc:title>" * 500)
+            z.writestr("a.html", "".join(map(chr, rnd.integers(97, 123, 3000))))
+        data = bytearray(buffer.getvalue())
+        if i:
+            at = 30 + 40 * i
+            data[at : at + 60] = rnd.bytes(60)
+        (tmp_path / f"{i:02}.epub").write_bytes(data if i % 4 != 3 else data[: len(data) // 2])
+    rows = sorted((r.path, r.opf is not None) for r in readers.epub_contents(spark, str(tmp_path)).collect())
+    assert len(rows) == 12 and rows[0][1] and not all(ok for _, ok in rows)
+
+
 def test_lists_from_files(spark, tmp_path):
     (tmp_path / "c.tsv").write_text('id\tbooks\tname\n1\t2\t"A" b\tc\n')
     (tmp_path / "n.txt").write_text(" Ana \nANA\n\nRui\n")
@@ -222,6 +305,20 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.src, r.dst) for r in sinks.unique_paths(planned).collect()) == [("a", "d/x.epub"), ("b", "d/x (1).epub"), ("c", "y.epub")]
 
 
+def test_rows_are_numbered_in_order_over_all_partitions(spark):
+    rows = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
+    found = sorted((r.k, r.number) for r in numbered(rows, "k").collect())
+    assert [n for _, n in found] == list(range(5000))
+    assert numbered(rows.where("k < 0"), "k").collect() == []
+
+
+def test_salted_joins_are_plain_joins(spark):
+    rows = spark.range(0, 400).select((F.col("id") % 5).alias("k"), "id")
+    single = spark.createDataFrame([(0, "a"), (3, "b"), (9, "c")], "k long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, salted_join(rows, single, ["k"], ["id"], how).collect())) == sorted(map(str, rows.join(single, "k", how).select("k", "id", "v").collect()))
+
+
 # ---- authors, series, genres ----
 
 
@@ -308,6 +405,7 @@ def test_ingest_outcomes(spark):
     assert new.meta_args[-2:] == ["--tags", "Romance"] and new.genre_note == "gêneros: Romance (descartados: Numismática)"
     assert tuple(ING.summary(ING.plan(inputs, index)).first()) == (4, 1, 1, 1, 1)
     assert {r.action for r in ING.plan(inputs, index, on_duplicate="quarantine").collect()} == {"quarantine", "move", "none"}
+    assert new.enrich_note == "completa: tags, publisher" or new.enrich_note == "completa: publisher"
     checked = {(r.path, r.exists) for r in ING.check(inputs.select("path", "sig"), index).collect()}
     assert checked == {("in/a", True), ("in/b", True), ("in/new", False), ("in/bad", False)}
     assert [tuple(r) for r in sinks.failures(ING.plan(inputs, index)).collect()] == [("in/bad", "não foi possível ler o texto do arquivo")]
@@ -338,15 +436,21 @@ def test_answers_fill_gaps_only(spark):
 # ---- the entry ----
 
 
-def test_the_entry_stands_without_the_training_data_part(tmp_path):
-    """Without vellum/llm and the pipeline the entry still imports, and has every other query."""
+@pytest.mark.parametrize(("llm", "pipeline"), [(False, False), (False, True), (True, False)])
+def test_the_entry_stands_without_the_training_data_part(tmp_path, llm, pipeline):
+    """Without vellum/llm, the pipeline or both the entry still imports, and has every other query."""
+    if llm and not (REPO / "vellum" / "llm").exists() or pipeline and not (REPO / "corpus_pipeline.py").exists():
+        pytest.skip("not here")
     code = (
-        "import sys, shutil, pathlib; repo = pathlib.Path(sys.argv[1]); to = pathlib.Path(sys.argv[2]);"
-        "shutil.copytree(repo / 'vellum', to / 'vellum', ignore=lambda d, n: ['llm', '__pycache__']); shutil.copy(repo / '__spark_entry__.py', to);"
-        "sys.path.insert(0, str(to)); import __spark_entry__ as e; q = e.queries(); assert 'doc_near_dups' in q and not any(n.startswith('op') or n == 'pipeline' for n in q if n != 'opf_fields'), list(q)"
+        "import sys, shutil, pathlib; repo, to, leave, names = pathlib.Path(sys.argv[1]), pathlib.Path(sys.argv[2]), eval(sys.argv[3]), eval(sys.argv[4]);"
+        "shutil.copytree(repo / 'vellum', to / 'vellum', ignore=lambda d, n: [*leave, '__pycache__']); [shutil.copy(repo / n, to) for n in names];"
+        "sys.path.insert(0, str(to)); import __spark_entry__ as e; q = e.queries(); assert 'doc_near_dups' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q);"
+        "print(sum(n.startswith('op') and n[2].isdigit() for n in q))"
     )
-    done = subprocess.run([sys.executable, "-c", code, str(REPO), str(tmp_path)], cwd=tmp_path, capture_output=True, text=True)
+    names = ["__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])]
+    done = subprocess.run([sys.executable, "-c", code, str(REPO), str(tmp_path), repr([] if llm else ["llm"]), repr(names)], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == ("10" if llm else "0")
 
 
 def test_nothing_else_imports_the_training_data_part():

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions import genres as G
-from vellum.functions import metadata as M
-from vellum.functions import names as N
 from vellum.functions import text as T
 from vellum.operators import authors as A
 from vellum.operators import genres as GO
@@ -18,30 +13,12 @@ from vellum.operators import ingest as ING
 from vellum.operators import series as SE
 from vellum.operators import signature as S
 from vellum.operators.graph import components
-from vellum.plans import fixtures as X
+from vellum.plans import composed  # noqa: F401  (registers its queries)
 from vellum.plans import sql as Q
-from vellum.session import cut, read_table, spread
+from vellum.plans.registry import ORACLE_SQL, QUERIES, query
+from vellum.session import cut, read_table, shared_path, spread
 from vellum.sources import readers, sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
-
-
 def joined(values: Column, separator: str = "|") -> Column:
     return F.coalesce(F.array_join(values, separator), F.lit(""))
 
@@ -105,21 +82,6 @@ def fmt_index(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "part").select("p_partkey", T.format_index(F.col("p_size") / 2.0).alias("idx"), T.truncate(F.col("p_name"), 12).alias("short"))
 
 
-@query(Q.golden(X.SHOUTED, "given result", "VARCHAR VARCHAR"))
-def title_case_pt(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.SHOUTED], "given string").select("given", N.unshout(F.col("given")).alias("result"))
-
-
-@query(Q.golden(X.COLONS, "given result", "VARCHAR VARCHAR"))
-def restore_colon(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.COLONS], "given string").select("given", T.restore_colon(F.col("given")).alias("result"))
-
-
-@query(Q.golden(X.FILE_AS, "given result", "VARCHAR VARCHAR"))
-def author_file_as(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.FILE_AS], "given string").select("given", T.author_file_as(F.col("given")).alias("result"))
-
-
 # ---- signatures and similarity ----
 
 
@@ -163,7 +125,7 @@ def doc_signature_classes(spark: SparkSession, sf: str) -> DataFrame:
 def dup_components(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's class under similarity and its transitive closure, by its smallest document."""
     sigs = cut(_signatures(spark, sf))
-    rooted = components(S.self_join(S.representatives(sigs)).select("a", "b"))
+    rooted = components(S.linked(S.representatives(sigs)))
     held = S.classes(sigs).join(rooted, F.col("rep") == F.col("node"), "left")
     return held.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("component"))
 
@@ -202,15 +164,6 @@ def benchmark_check(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_matches"))
 
 
-_COPY = "struct<words:int,size:bigint,series:string,idx:double>"
-
-
-@query(Q.golden([(i, *r[8:]) for i, r in enumerate(X.COPIES)], "i new_wins why", "BIGINT BOOLEAN VARCHAR"))
-def better_copy_cases(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, [(i, r[:4], r[4:8]) for i, r in enumerate(X.COPIES)], f"i long, new {_COPY}, old {_COPY}")
-    return rows.select("i", ING.better_copy(F.col("new"), F.col("old")).alias("new_wins"), ING.describe_choice(F.col("new"), F.col("old")).alias("why"))
-
-
 @query(
     f"WITH {Q.PAIRS}, v AS (SELECT j.a, j.b, len(wa.w) AS na, len(wb.w) AS nb, octet_length(encode(da.text)) AS za, octet_length(encode(db.text)) AS zb FROM j JOIN w wa ON wa.doc_id = a JOIN w wb ON wb.doc_id = b JOIN documents da ON da.doc_id = a JOIN documents db ON db.doc_id = b) "
     "SELECT a, b, CASE WHEN na > 0 AND nb > 0 AND abs(na - nb) * 100 // greatest(na, nb) >= 2 THEN nb > na ELSE zb > za END AS new_wins FROM v"
@@ -278,6 +231,27 @@ def index_update(spark: SparkSession, sf: str) -> DataFrame:
     return I.put(I.prune(old, scan), I.stale(scan, old))
 
 
+@query(f"WITH {_SNAPSHOTS}, n AS (SELECT s.path FROM s LEFT JOIN o USING (path) WHERE o.path IS NULL OR s.size <> o.size OR s.mod_time <> o.mod_time) SELECT (SELECT count(*) FROM s) AS total, (SELECT count(*) FROM n) AS updated, (SELECT count(*) FROM o WHERE path NOT IN (SELECT path FROM s)) AS pruned")
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """How many entries an incremental build has, computes and prunes."""
+    return I.build(*_snapshots(spark, sf), lambda rows: rows)[1]
+
+
+@query(f"WITH {Q.SHINGLES} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(n AS INTEGER) AS words, CAST(coalesce(len(s), -1) AS INTEGER) AS n_sig, lang AS tag FROM x JOIN documents USING (doc_id)")
+def index_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as an index, saved, saved over, and loaded again."""
+    path = shared_path(spark, "index")
+    documents = _documents(spark, sf)
+    rows = S.signatures(documents).join(documents.select(F.col("doc_id").alias("id"), "lang", "n_chars"), "id")
+    index = rows.select(
+        F.col("id").cast("string").alias("path"), F.col("n_chars").cast("long").alias("size"), F.lit(1).cast("long").alias("mod_time"), F.col("n_words").cast("int").alias("words"), "sig",
+        F.lit("").alias("title"), F.lit("").alias("author"), F.lit("").alias("series"), F.array("lang").alias("tags"),
+    )
+    I.save(index, path)
+    I.save(I.load(spark, path), path)
+    return I.load(spark, path).select("path", "words", F.coalesce(F.size("sig"), F.lit(-1)).alias("n_sig"), F.get("tags", F.lit(0)).alias("tag"))
+
+
 # ---- genres ----
 
 
@@ -346,52 +320,6 @@ def clean_genres_summary(spark: SparkSession, sf: str) -> DataFrame:
     return GO.clean_summary(GO.clean_books(_parts(spark, sf)))
 
 
-@query(Q.golden(X.GENRES_PT, "given cleaned", "VARCHAR VARCHAR"))
-def genre_clean_pt(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.GENRES_PT], "given string").select("given", joined(G.clean_pt(F.split("given", r"\|"))).alias("cleaned"))
-
-
-@query(Q.golden(X.GENRES_EN, "given cleaned", "VARCHAR VARCHAR"))
-def genre_clean_en(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.GENRES_EN], "given string").select("given", joined(G.clean_en(F.array("given"))).alias("cleaned"))
-
-
-@query(Q.golden(X.GENRE_KNOWN, "label known", "VARCHAR BOOLEAN"))
-def genre_known(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.GENRE_KNOWN], "label string").select("label", G.canonical_en(F.col("label"))["known"].alias("known"))
-
-
-@query("SELECT 'book' AS path, 'Culinária|Espiritismo|Romance' AS accepted, 'Numismática' AS refused")
-def genre_admit(spark: SparkSession, sf: str) -> DataFrame:
-    books = frame(spark, [("book", ["Romance", "General", "epubr.club", "Numismática", "Culinária", "Espiritismo"])], "path string, tags array<string>")
-    freq = frame(spark, [("Romance", 500), ("Espiritismo", 40), ("Numismática", 1)], "genre string, freq long")
-    return GO.admit(books, freq).select("path", joined(F.col("accepted")).alias("accepted"), joined(F.col("refused")).alias("refused"))
-
-
-def _plan(spark: SparkSession) -> DataFrame:
-    return GO.plan(frame(spark, X.GENRE_CATALOG, "id long, books int, name string"), frame(spark, X.GENRE_PEOPLE, "name string"), 3, X.GENRE_KEEP)
-
-
-@query(Q.golden(X.GENRE_PLAN, "id target reason", "BIGINT VARCHAR VARCHAR"))
-def genre_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark).select("id", "target", "reason")
-
-
-@query("SELECT * FROM (VALUES ('Fiction', 40), ('Science Fiction', 9), ('Fantasy', 7), ('Numismatics', 8), ('Enology', 1)) AS v(genre, books)")
-def genre_plan_after(spark: SparkSession, sf: str) -> DataFrame:
-    return GO.plan_after(_plan(spark)).select("genre", F.col("books").cast("int"))
-
-
-@query("SELECT CAST(8 AS BIGINT) AS labels, CAST(5 AS BIGINT) AS labels_after, CAST(3 AS BIGINT) AS removed, CAST(37 AS BIGINT) AS associations_lost, CAST(2 AS BIGINT) AS canonised, CAST(3 AS BIGINT) AS unchanged")
-def genre_plan_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return GO.plan_summary(_plan(spark))
-
-
-@query()
-def genre_plan_sql(spark: SparkSession, sf: str) -> DataFrame:
-    return GO.plan_sql(_plan(spark))
-
-
 @query("SELECT CAST(floor((rn - 1) / 500) AS BIGINT) AS batch, string_agg(CAST(c_custkey AS VARCHAR), ', ' ORDER BY c_custkey) AS ids FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) GROUP BY batch")
 def sql_batches_500(spark: SparkSession, sf: str) -> DataFrame:
     return GO.id_batches(read_table(spark, sf, "customer"), 500, "c_custkey")
@@ -405,35 +333,6 @@ def quote_sql(spark: SparkSession, sf: str) -> DataFrame:
 # ---- authors ----
 
 
-@query(Q.golden(X.AUTHOR_TOKENS, "name tokens", "VARCHAR VARCHAR"))
-def author_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [n for n, _ in X.AUTHOR_TOKENS], "name string").select("name", F.array_join(A.tokens(F.col("name")), " ").alias("tokens"))
-
-
-def _author_groups(spark: SparkSession, keep: list[str] | None = None) -> DataFrame:
-    return A.groups(A.resolve(frame(spark, X.AUTHORS, "ord long, id string, books int, name string"), keep=keep))
-
-
-@query(Q.golden(X.AUTHOR_GROUPS, "canonical_id canonical_name other_ids rules books safe", "VARCHAR VARCHAR VARCHAR VARCHAR BIGINT BOOLEAN"))
-def author_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _author_groups(spark).drop("other_names")
-
-
-@query(Q.golden([(*r[:5], r[5]) for r in X.AUTHOR_GROUPS if r[0] != "9"] + [("10", "Bertrand Russell", "9", "typo", 6, False)], "canonical_id canonical_name other_ids rules books safe", "VARCHAR VARCHAR VARCHAR VARCHAR BIGINT BOOLEAN"))
-def author_groups_keep(spark: SparkSession, sf: str) -> DataFrame:
-    return _author_groups(spark, ["10"]).drop("other_names")
-
-
-@query("SELECT CAST(5 AS BIGINT) AS groups, CAST(6 AS BIGINT) AS absorbed, CAST(4 AS BIGINT) AS safe, CAST(1 AS BIGINT) AS review")
-def author_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return A.summary(_author_groups(spark))
-
-
-@query()
-def author_merge_sql(spark: SparkSession, sf: str) -> DataFrame:
-    return A.merge_sql(_author_groups(spark))
-
-
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("id"), F.lit(1).alias("books"), F.col("c_name").alias("name"))
 
@@ -454,11 +353,6 @@ def typo_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # ---- series ----
 
 
-@query(Q.golden(X.SERIES_MEMBERS, "name score path", "VARCHAR BIGINT VARCHAR"))
-def series_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return SE.detect(frame(spark, X.SERIES_BOOKS, "path string, title string, author string")).select("name", "score", "path")
-
-
 def _titled_parts(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.initcap("p_name").alias("title"), F.col("p_brand").alias("author"))
 
@@ -471,97 +365,15 @@ def series_terms(spark: SparkSession, sf: str) -> DataFrame:
     return SE.term_counts(SE.terms(_titled_parts(spark, sf))).select("author_key", "term", "n")
 
 
-@query()
-def series_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return SE.candidates(SE.detect(_titled_parts(spark, sf)))
-
-
-# ---- names, metadata, placement ----
-
-
-@query(Q.golden(X.FILENAMES, "stem title author series idx has_idx new_name", "VARCHAR VARCHAR VARCHAR VARCHAR DOUBLE BOOLEAN VARCHAR"))
-def parse_filename(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, [r[0] for r in X.FILENAMES], "stem string").select("stem", N.parse_filename(F.col("stem")).alias("b"))
-    return rows.select("stem", "b.title", "b.author", "b.series", "b.idx", "b.has_idx", N.new_filename(F.col("b")).alias("new_name"))
-
-
-@query(Q.golden(X.TITLES_ONLY, "given title", "VARCHAR VARCHAR"))
-def parse_title_only(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.TITLES_ONLY], "given string").select("given", N.parse_title(F.col("given"))["title"].alias("title"))
-
-
-def _meta(title: Column, author: Column, series: Column, index: Column) -> Column:
-    none = F.lit("")
-    return F.struct(
-        title.alias("title"), author.alias("author"), none.alias("author_sort"), series.alias("series"), index.alias("series_index"), F.array().cast("array<string>").alias("tags"),
-        none.alias("isbn"), none.alias("publisher"), F.lit(False).alias("has_desc"),
-    )
-
-
-@query(Q.golden([(i, r[6]) for i, r in enumerate(X.PLACEMENTS)], "i dir", "BIGINT VARCHAR"))
-def placements(spark: SparkSession, sf: str) -> DataFrame:
-    schema = "i long, target string, stem string, title string, author string, series string, idx double"
-    rows = frame(spark, [(i, *r[:6]) for i, r in enumerate(X.PLACEMENTS)], schema)
-    rows = rows.select("i", "target", N.parse_filename(F.col("stem")).alias("book"), _meta(F.col("title"), F.col("author"), F.col("series"), F.col("idx")).alias("meta"))
-    made = [N.place(rows.where(F.col("target") == t), t).select("i", "placement.dir") for t in sorted(N.TARGETS)]
-    return made[0].unionByName(made[1]).unionByName(made[2])
-
-
-@query("SELECT 'Prova de Fogo' AS title, '--title|Prova de Fogo|--series|Maze Runner|--index|2|--author-sort|Dashner, James' AS args")
-def meta_args(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, ["Maze Runner 02 - PROVA DE FOGO - James Dashner"], "stem string")
-    rows = rows.select(N.parse_filename(F.col("stem")).alias("book"), _meta(F.lit("PROVA DE FOGO"), F.lit("James Dashner"), F.lit(""), F.lit(0.0)).alias("meta"))
-    return N.place(rows, "kavita").select(N.desired_meta(F.col("book"), F.col("meta"))["title"].alias("title"), joined(F.col("placement.meta_args")).alias("args"))
-
-
-@query("SELECT * FROM (VALUES ('calibre'), ('grimmory'), ('kavita')) AS v(name)")
-def targets(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sorted(N.TARGETS), "name string")
-
-
-@query(Q.golden([(i, *r[1:]) for i, r in enumerate(X.PACKAGES)], "i title author author_sort series series_index tags isbn publisher has_desc", "BIGINT VARCHAR VARCHAR VARCHAR VARCHAR DOUBLE VARCHAR VARCHAR VARCHAR BOOLEAN"))
-def opf_fields(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, [(i, r[0]) for i, r in enumerate(X.PACKAGES)], "i long, xml string").select("i", M.opf(F.col("xml")).alias("m"))
-    return rows.select("i", "m.title", "m.author", "m.author_sort", "m.series", "m.series_index", joined(F.col("m.tags")).alias("tags"), "m.isbn", "m.publisher", "m.has_desc")
-
-
-@query(Q.golden([(i, *r[1:]) for i, r in enumerate(X.ANSWERS)], "i title authors isbn tags comments", "BIGINT VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR"))
-def enrich_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, [(i, r[0]) for i, r in enumerate(X.ANSWERS)], "i long, raw string").select("i", M.parse_answer(F.col("raw"), translate=True).alias("a"))
-    return rows.select("i", "a.title", joined(F.col("a.authors")).alias("authors"), "a.isbn", joined(F.col("a.tags")).alias("tags"), "a.comments")
-
-
-@query(Q.golden(X.SIMPLIFIED, "given title", "VARCHAR VARCHAR"))
-def simplify_title(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, [g for g, _ in X.SIMPLIFIED], "given string").select("given", M.simplify_title(F.col("given")).alias("title"))
-
-
 # ---- sources and ingest ----
 
 
-@query(Q.golden(X.CATALOG_ROWS, "id books name", "VARCHAR INTEGER VARCHAR"))
-def catalog_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.parse_catalog(frame(spark, X.CATALOG_LINES, "value string"))
-
-
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS INTEGER) AS books, c_name || chr(9) || c_mktsegment AS name FROM customer")
 def catalog_customers(spark: SparkSession, sf: str) -> DataFrame:
     lines = read_table(spark, sf, "customer").select(F.concat_ws("\t", F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
     return readers.parse_catalog(lines)
 
 
-@query(Q.golden(X.TAG_ROWS, "path tags", "VARCHAR VARCHAR"))
-def tags_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.parse_tags(frame(spark, X.TAG_LINES, "value string")).select("path", joined(F.col("tags")).alias("tags"))
-
-
-@query("SELECT * FROM (VALUES ('a', 'Terror|conto', 'pending'), ('b', 'X', 'absent'), ('c', 'Y', 'correct')) AS v(path, tags, state)")
-def import_tags(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = frame(spark, [("a", ["Terror"]), ("b", ["X"]), ("c", ["Y"])], "path string, tags array<string>")
-    now = frame(spark, [("a", ["conto", "TERROR "]), ("c", ["Y"])], "path string, tags array<string>")
-    return ING.import_tags(wanted, now, merge=True).select("path", joined(F.col("tags")).alias("tags"), "state")
-
-
 def _library(spark: SparkSession, sf: str) -> DataFrame:
     documents = _documents(spark, sf)
     sigs = S.signatures(documents)
@@ -578,7 +390,7 @@ def _library(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose id is divisible by 100 as incoming books against all as the library: each finds a copy of equal worth, which stays."""
     library = _library(spark, sf)
-    meta = _meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
+    meta = composed.book_meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
     incoming = library.where(F.col("id") % 100 == 0).select(F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
     return ING.plan(incoming, library.drop("id")).select("path", "status", "duplicate")
 
@@ -587,6 +399,16 @@ def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_actions(spark: SparkSession, sf: str) -> DataFrame:
     """The action rows of the same plan under the policy that replaces copies."""
     library = _library(spark, sf)
-    meta = _meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
+    meta = composed.book_meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
     incoming = library.where(F.col("id") % 100 == 0).select(F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
     return sinks.unique_paths(sinks.actions(ING.plan(incoming, library.drop("id"), on_duplicate="replace")))
+
+
+@query(
+    f"WITH {Q.SHINGLES} SELECT count(*) AS inputs, CAST(0 AS BIGINT) AS novo, count(*) FILTER (WHERE len(s) > 0) AS duplicata, CAST(0 AS BIGINT) AS substitui, count(*) FILTER (WHERE s IS NULL OR len(s) = 0) AS erro FROM x WHERE doc_id % 100 = 0"
+)
+def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    library = _library(spark, sf)
+    meta = composed.book_meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
+    incoming = library.where(F.col("id") % 100 == 0).select(F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
+    return ING.summary(ING.plan(incoming, library.drop("id")))

@@ -19,13 +19,6 @@ def quote(value: object) -> str:
     return repr(value)
 
 
-def golden(rows: list[tuple], columns: str, kinds: str) -> str:
-    """A table of known rows. columns and kinds: separated by spaces."""
-    names, types = columns.split(" "), kinds.split(" ")
-    values = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
-    return f"SELECT {', '.join(f'CAST({c} AS {k}) AS {c}' for c, k in zip(names, types, strict=True))} FROM (VALUES {values}) AS v({', '.join(names)})"
-
-
 def deaccent(s: str) -> str:
     return f"translate({s}, '{T.ACCENTED}', '{T.FOLDED}')"
 
