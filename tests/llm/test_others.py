@@ -144,7 +144,7 @@ def test_a_shard_prunes_without_loss():
     s = bm25.Searcher(row, numbers, idf, row["n_words"] / 700)
     for q in range(0, 700, 13):
         terms = np.array(sorted({numbers[w] for w in bm25.terms_of(texts[q]) if w}), np.int64)
-        scores, ids, _ = s.best(terms, 10, bm25.NOTHING)
+        scores, ids, _ = s.best([terms], 10, [bm25.NOTHING])[0]
         expected = slow_search(list(enumerate(texts)), [(q, texts[q])])
         assert sorted(((q, r, int(i), int(x) / 1e6) for r, (i, x) in enumerate(zip(ids, scores, strict=True), 1)), key=str) == expected
 

@@ -6,14 +6,16 @@ of bounded size, whatever their number: a block's terms get their document count
 every shard then answers the whole block under those global statistics, so that merging the shards' best
 k by score gives exactly the best k of the corpus. Each block's answer is appended to one table.
 
-Inside a shard each term keeps its largest contribution to every run of BLOCK_DOCS rows, as a list ordered by
-run: its cursor moves over that list. All cursors of a query are merged at once, which gives each run the sum of
-the maxima that stand there. The search then goes through the shard in order of rows: the pivot is the next run
-whose sum reaches the k-th score so far, every cursor skips to it, its rows are scored from the postings, the k-th
-score rises, and so on until no run ahead can reach it. As an interpreter's step for every cursor would cost more
-than the scoring it saves, up to PIVOTS pivots under one threshold are scored together. A first shard, which has
-no score to start from, begins with the runs of the highest sums; a task carries the scores on from shard to
-shard. Contributions are rounded to whole millionths, so sums do not depend on order and bounds are exact.
+Inside a shard each term keeps its largest contribution to every block of BLOCK_DOCS rows. For a query these sum
+to an upper bound for each block. The search goes through the shard in order of rows, a stretch of blocks at a
+time: a query's pivots are the blocks whose bound reaches its k-th score so far, a stretch without one is skipped by
+all its cursors, and in the others the rows of pivot blocks alone are scored; then the k-th score rises. A task
+carries the scores on from shard to shard. Queries are whole texts of hundreds of terms, so a step of an interpreter
+for each cursor would cost far more than the scoring it saves, and cursors move together: QUERIES_TOGETHER queries
+pass a stretch at once. Terms in COMMON of the shard's rows or more keep their postings as arrays with a place for
+every row, others as lists; the former's part in bounds, and in the scores of a stretch, is one matrix product for
+the queries that have a pivot there. Contributions are rounded to whole millionths, so sums do not depend on order
+and bounds are exact.
 
 score(q, d) = sum over q's distinct terms of round(1e6 * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
 / 1e6, with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Terms: runs of 0-9, a-z after lower-casing A-Z, and
@@ -44,8 +46,9 @@ K1, B = 1.2, 0.75
 UNIT = 1_000_000
 SHARD_DOCS, SHARD_WORDS = 8_192, 8_000_000
 BLOCK_DOCS = 32
-FIRST_BLOCKS = 8
-PIVOTS = 16
+STRETCH = 64
+QUERIES_TOGETHER = 64
+COMMON = 1 / 24
 QUERIES_AT_ONCE, CHARACTERS_AT_ONCE = 4_096, 16_000_000
 
 _INDEX = "n_docs int, n_words long, ids binary, known binary, lengths binary, n_terms int, terms binary, ends binary, offsets binary, docs binary, freqs binary"
@@ -152,7 +155,7 @@ NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 class Searcher:
-    """One shard, prepared for a block of queries: postings of their terms, and runs of these that share a block of rows."""
+    """One shard, prepared for a block of queries: postings of their terms, and the runs of these that share a block of rows."""
 
     def __init__(self, row: dict, numbers: dict[bytes, int], idf: np.ndarray, average: float):
         self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8).astype(bool)
@@ -161,57 +164,69 @@ class Searcher:
         wanted = np.array([numbers.get(t, -1) for t in _names(row["terms"], np.frombuffer(row["ends"], np.int32))], np.int64)
         here = np.flatnonzero(wanted >= 0)
         sizes = (offsets[1:] - offsets[:-1])[here]
+        here = here[np.argsort(sizes < len(self.ids) * COMMON, kind="stable")]  # common ones first
+        sizes = (offsets[1:] - offsets[:-1])[here]
+        self.n_common = int((sizes >= len(self.ids) * COMMON).sum())
         self.place = np.full(len(idf), -1, np.int64)  # of a block's term: its number in this shard
         self.place[wanted[here]] = np.arange(len(here))
         take = _runs(offsets[:-1][here], sizes)
-        self.docs = np.frombuffer(row["docs"], np.uint16)[take].astype(np.int64)
+        docs = np.frombuffer(row["docs"], np.uint16)[take].astype(np.int64)
         tf = np.frombuffer(row["freqs"], np.int32)[take].astype(np.float64)
         term = np.repeat(np.arange(len(here)), sizes)
-        self.gain = np.rint(UNIT * idf[wanted[here]][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / average)))
+        gain = np.rint(UNIT * idf[wanted[here]][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / average)))
         self.n_blocks = (len(self.ids) + BLOCK_DOCS - 1) // BLOCK_DOCS
+        dense = int(sizes[: self.n_common].sum())
+        self.rows = np.zeros((self.n_common, self.n_blocks * BLOCK_DOCS))
+        self.rows[term[:dense], docs[:dense]] = gain[:dense]
+        self.most = self.rows.reshape(self.n_common, self.n_blocks, BLOCK_DOCS).max(2)
+        self.docs, self.gain, term = docs[dense:], gain[dense:], term[dense:] - self.n_common
         block = self.docs // BLOCK_DOCS
         starts = np.flatnonzero(np.diff(term * self.n_blocks + block, prepend=-1)) if len(term) else np.zeros(0, np.int64)
         self.run_start, self.run_size = starts, np.diff(starts, append=len(term))
         self.run_block = block[starts]
         self.run_most = np.maximum.reduceat(self.gain, starts) if len(starts) else np.zeros(0)
-        self.term_runs = np.searchsorted(term[starts], np.arange(len(here) + 1))
-
-    def best(self, terms: np.ndarray, k: int, top: tuple) -> tuple:
-        """The best k of this shard and of `top`, which is ordered and may be shorter than k."""
-        terms = self.place[terms]
-        terms = terms[terms >= 0]
-        runs = _runs(self.term_runs[terms], self.term_runs[terms + 1] - self.term_runs[terms])
-        blocks = self.run_block[runs]
-        bounds = np.bincount(blocks, self.run_most[runs], self.n_blocks)
-        if len(top[0]) < k:
-            first = np.argpartition(-bounds, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(bounds) > FIRST_BLOCKS else np.arange(len(bounds))
-            top = self._score(runs, blocks, first, k, top)
-            bounds[first] = -1
-        at = 0
-        while at < self.n_blocks:
-            least = top[0][-1] if len(top[0]) == k else 1
-            pivots = np.flatnonzero(bounds[at:] >= least)[:PIVOTS] + at
-            if not len(pivots):
-                break
-            top = self._score(runs, blocks, pivots, k, top)
-            at = int(pivots[-1]) + 1
-        return top
-
-    def _score(self, runs: np.ndarray, blocks: np.ndarray, chosen: np.ndarray, k: int, top: tuple) -> tuple:
-        """The best k of `top` and the rows of the chosen blocks."""
-        place = np.full(self.n_blocks, -1, np.int64)
-        place[chosen] = np.arange(len(chosen))
-        part = runs[place[blocks] >= 0]
-        postings = _runs(self.run_start[part], self.run_size[part])
-        docs = self.docs[postings]
-        at = place[docs // BLOCK_DOCS] * BLOCK_DOCS + docs % BLOCK_DOCS
-        sums = np.bincount(at, self.gain[postings], len(chosen) * BLOCK_DOCS)
-        at = np.flatnonzero(sums >= (top[0][-1] if len(top[0]) == k else 1))
+        self.term_runs = np.searchsorted(term[starts], np.arange(len(here) - self.n_common + 1))
+
+    def best(self, queries: list[np.ndarray], k: int, tops: list[tuple]) -> list[tuple]:
+        """For each query the best k of this shard and of its `top`, which is ordered and may be shorter than k."""
+        tops, chosen, lists = list(tops), np.zeros((len(queries), self.n_common)), []
+        bounds = np.zeros((len(queries), self.n_blocks))
+        for q, terms in enumerate(queries):
+            at = self.place[terms]
+            chosen[q, at[(at >= 0) & (at < self.n_common)]] = 1
+            rare = at[at >= self.n_common] - self.n_common
+            runs = _runs(self.term_runs[rare], self.term_runs[rare + 1] - self.term_runs[rare])
+            blocks = self.run_block[runs]
+            lists.append((runs, blocks))
+            bounds[q] = np.bincount(blocks, self.run_most[runs], self.n_blocks)
+        bounds += chosen @ self.most
+        least = np.array([top[0][-1] if len(top[0]) == k else 1 for top in tops])
+        for low in range(0, self.n_blocks, STRETCH):
+            pivots = bounds[:, low : low + STRETCH] >= least[:, None]
+            asked = np.flatnonzero(pivots.any(1))
+            if not len(asked):
+                continue
+            first, last = low * BLOCK_DOCS, min(low + STRETCH, self.n_blocks) * BLOCK_DOCS
+            sums = chosen[asked] @ self.rows[:, first:last]
+            for q, common in zip(asked.tolist(), sums, strict=True):
+                tops[q] = self._score(lists[q], low, pivots[q], common, k, tops[q])
+                least[q] = tops[q][0][-1] if len(tops[q][0]) == k else 1
+        return tops
+
+    def _score(self, postings: tuple, low: int, pivots: np.ndarray, sums: np.ndarray, k: int, top: tuple) -> tuple:
+        """The best k of `top` and the rows of a stretch's pivot blocks; sums: what common terms give its rows."""
+        runs, blocks = postings
+        inside = np.zeros(self.n_blocks, bool)
+        inside[low : low + len(pivots)] = pivots
+        part = runs[inside[blocks]]
+        taken = _runs(self.run_start[part], self.run_size[part])
+        sums = sums + np.bincount(self.docs[taken] - low * BLOCK_DOCS, self.gain[taken], len(sums))
+        at = np.flatnonzero((sums >= (top[0][-1] if len(top[0]) == k else 1)) & np.repeat(pivots, BLOCK_DOCS))
         if len(at) > k:  # the k-th largest, and all its ties
             at = at[sums[at] >= np.partition(sums[at], len(at) - k)[len(at) - k]]
         if not len(at):
             return top
-        docs = chosen[at // BLOCK_DOCS] * BLOCK_DOCS + at % BLOCK_DOCS
+        docs = at + low * BLOCK_DOCS
         scores, ids, known = (np.concatenate(x) for x in zip(top, (sums[at].astype(np.int64), self.ids[docs], self.known[docs]), strict=True))
         keep = np.lexsort((ids, known, -scores))[:k]
         return scores[keep], ids[keep], known[keep]
@@ -249,7 +264,8 @@ def _answer(index: DataFrame, queries: list[tuple[int | None, list[bytes]]], n_d
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Searcher(batch.slice(i, 1).to_pylist()[0], held.value, idf, average)
-                best = [shard.best(terms, k, top) for terms, top in zip(asked, best, strict=True)]
+                for low in range(0, len(asked), QUERIES_TOGETHER):
+                    best[low : low + QUERIES_TOGETHER] = shard.best(asked[low : low + QUERIES_TOGETHER], k, best[low : low + QUERIES_TOGETHER])
         query = np.repeat(np.arange(len(asked), dtype=np.int32), [len(top[0]) for top in best])
         scores, ids, known = (np.concatenate(x) for x in zip(NOTHING, *best, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids, mask=~known), pa.array(scores)], ["query", "doc_id", "gain"])
