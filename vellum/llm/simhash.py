@@ -171,7 +171,11 @@ def links(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])).alias("choice", "bits"))
     keyed = keyed.select("fp", F.xxhash64("choice", "bits").alias("key"))  # keys that collide share tiles, which costs time alone
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = salted_join(keyed, sizes, ["key"], ["fp"])
+    # a hot key's rows learn its count by a salted join, and go by their own hashes while the others meet by key
+    hot = sizes.where(F.col("n") > TILE_ROWS).select("key", F.col("n").alias("many"))
+    keyed = salted_join(keyed, hot, ["key"], ["fp"], "left").withColumn("by", F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("fp", F.lit(13))))
+    few = sizes.where(F.col("n") <= TILE_ROWS).select(F.col("key").alias("by"), "n")
+    keyed = keyed.join(few, "by", "left").select("fp", "key", F.coalesce("many", "n").alias("n")).where("n IS NOT NULL")
     tiles = F.ceil(F.col("n") / TILE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), tiles).cast("int")
     # a fingerprint of tile t goes to the pairs (t, u) and (u, t) of its key
