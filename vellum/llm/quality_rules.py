@@ -173,9 +173,50 @@ def _judged(rows: DataFrame) -> DataFrame:
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, the base counts, base_failed, kept, posterior) of every row."""
     rows = cut(with_signals(df, F.col(id_col), text_col))
-    return _judged(rows).select(F.col("row").alias(id_col), *SIGNALS[:5], "base_failed", "kept", "posterior")
+    return _judged(rows).select(F.col("row").alias(id_col), *SIGNALS[:5], "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that are kept, with the columns they came with."""
     return _judged(cut(with_signals(df, F.struct("*"), text_col))).where("kept").select("row.*")
+
+
+def oracle_sql(rounds: int = 60) -> str:
+    """The same rows by relational means: words and windows as rows, the votes as columns, and the estimation as a recursion over its parameters."""
+    n = range(1, 9)
+    spread = lambda form, joint=", ": joint.join(form.format(i=i) for i in n)
+    odds = "ln(good) - ln(1 - good) + " + spread("CASE v{i} WHEN 1 THEN ln(a{i}) - ln(1 - b{i}) WHEN -1 THEN ln(1 - a{i}) - ln(b{i}) ELSE 0 END", " + ")
+    posterior = f"1 / (1 + exp(-greatest(-500.0, least(500.0, {odds}))))"
+    good = "greatest(0.7, least(0.995, (coalesce(sum(n * p) FILTER (WHERE v{i} = 1), 0) + 9.7) / (coalesce(sum(n * p) FILTER (WHERE v{i} <> 0), 0) + 10)))"
+    bad = "greatest(1 - " + good + ", least(0.995, (coalesce(sum(n * (1 - p)) FILTER (WHERE v{i} = -1), 0) + 5) / (coalesce(sum(n * (1 - p)) FILTER (WHERE v{i} <> 0), 0) + 10)))"
+    below = lambda part, of, low, high: f"CASE WHEN {of} > 0 AND {part} < {low} THEN 1 WHEN {of} > 0 AND {part} > {high} THEN -1 ELSE 0 END"
+    share = lambda part, of, low, high: below(f"{part} / CAST({of} AS DOUBLE)", of, low, high)
+    length = "word_chars / CAST(n_words AS DOUBLE)"
+    votes = [
+        below("1 - n_plain / CAST(n_words AS DOUBLE)", "n_words", 0.15, 0.4), below("1 - n_common / CAST(n_words AS DOUBLE)", "n_words", 0.9, 0.96), share("n_symbols", "n_words", 0.02, 0.1),
+        f"CASE WHEN n_words > 0 AND {length} BETWEEN 3 AND 9 THEN 1 WHEN n_words > 0 AND ({length} < 2.5 OR {length} > 12) THEN -1 ELSE 0 END",
+        share("n_repeat_words", "n_words", 0.15, 0.4), share("n_dup_lines", "n_lines", 0.1, 0.3), share("n_upper", "word_chars", 0.1, 0.3), share("n_shouts", "n_words", 0.05, 0.2),
+    ]
+    counted = lambda letters: f"length(t) - length(regexp_replace(t, '[{letters}]', '', 'g'))"
+    common = ", ".join(f"'{w}'" for w in COMMON)
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+o AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+h AS (SELECT r, i, x, lead(x, 1) OVER (PARTITION BY r ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY r ORDER BY i) AS z FROM o),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS times FROM h WHERE z IS NOT NULL),
+q AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM g WHERE times > 1) GROUP BY r),
+s AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({counted(SYMBOLS)} AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, {counted(UPPER)} AS n_upper, {counted('!')} AS n_shouts,
+  len(list_filter(w, lambda x: regexp_matches(x, '^\\pL+[,.;:!?]?$'))) AS n_plain, len(list_filter(w, lambda x: x IN ({common}))) AS n_common FROM d LEFT JOIN q USING (r)),
+v AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, {', '.join(f'{x} AS v{i}' for i, x in zip(n, votes, strict=True))} FROM s),
+c AS (SELECT {spread('v{i}')}, CAST(count(*) AS DOUBLE) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+em AS (
+  SELECT 1 AS k, CAST(0.9 AS DOUBLE) AS good, {spread('CAST(0.97 AS DOUBLE) AS a{i}, CAST(0.5 AS DOUBLE) AS b{i}')}
+  UNION ALL
+  SELECT k + 1, least(0.99, greatest(0.5, (sum(n * p) + 9) / (sum(n) + 10))), {', '.join(good.format(i=i) + ', ' + bad.format(i=i) for i in n)}
+  FROM (SELECT em.*, c.*, {posterior} AS p FROM em, c WHERE k < {rounds}) GROUP BY k),
+f AS (SELECT c.*, {posterior} AS p FROM em, c WHERE k = {rounds})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(f.p, 0) >= {KEEP_FROM} AS kept, round(f.p, 6) AS posterior
+FROM v LEFT JOIN f USING ({spread('v{i}')})
+"""

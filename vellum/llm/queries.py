@@ -83,5 +83,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_bm25_topk": bm25.ORACLE_SQL,
     "op6_warc_roundtrip": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.oracle_sql(),
     "op10_source_mix": mixing.ORACLE_SQL,
 }
