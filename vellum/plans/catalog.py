@@ -102,7 +102,17 @@ def signature_md5_128(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_sig"), F.md5(joined(F.col("sig"), ",")).alias("digest"))
 
 
-@query()
+#: FNV-1a with 64 bits, byte by byte in whole numbers of 128, of each distinct shingle; those divisible by 128 as signed longs.
+_FNV = (
+    f"WITH {Q.SHINGLES}, e AS (SELECT doc_id, unnest(s) AS g FROM x WHERE s IS NOT NULL), "
+    "h AS (SELECT g, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(g, ''), lambda c: CAST(ord(c) AS HUGEINT))), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616) AS v FROM (SELECT DISTINCT g FROM e)), "
+    "k AS (SELECT doc_id, list_sort(list_distinct(list(v))) AS v FROM e JOIN h USING (g) WHERE v % 128 = 0 GROUP BY doc_id) "
+    "SELECT x.doc_id, CAST(n AS BIGINT) AS n_words, CAST(CASE WHEN s IS NULL THEN -1 ELSE coalesce(len(v), 0) END AS BIGINT) AS n_sig, "
+    "md5(coalesce(array_to_string(list_transform(v, lambda y: CASE WHEN y >= 9223372036854775808 THEN y - 18446744073709551616 ELSE y END), ','), '')) AS digest FROM x LEFT JOIN k USING (doc_id)"
+)
+
+
+@query(_FNV)
 def signature_fnv_128(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.sampled_fnv(_documents(spark, sf))
     return rows.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), F.coalesce(F.size("sig"), F.lit(-1)).cast("long").alias("n_sig"), F.md5(joined(F.col("sig").cast("array<string>"), ",")).alias("digest"))
@@ -395,7 +405,16 @@ def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
     return ING.plan(incoming, library.drop("id")).select("path", "status", "duplicate")
 
 
-@query()
+@query(
+    f"WITH {Q.SHINGLES}, y AS (SELECT doc_id AS id, s, len(s) AS n FROM x WHERE len(s) > 0), e AS (SELECT id, n, unnest(s) AS h FROM y), q AS (SELECT * FROM e WHERE id % 100 = 0), "
+    "p AS (SELECT q.id AS a, e.id AS b, count(*) AS shared, any_value(q.n) AS na, any_value(e.n) AS nb FROM q JOIN e ON q.h = e.h GROUP BY ALL), "
+    "t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY CAST(shared AS DOUBLE) / (na + nb - shared) DESC, b) AS rank FROM p WHERE CAST(shared AS DOUBLE) / (na + nb - shared) >= 0.85), "
+    "m AS (SELECT a, b, wa.n AS nw, wb.n AS ow, octet_length(encode(da.text)) AS nz, octet_length(encode(db.text)) AS oz, row_number() OVER (PARTITION BY b ORDER BY a) AS turn FROM t JOIN x wa ON wa.doc_id = a JOIN x wb ON wb.doc_id = b JOIN documents da ON da.doc_id = a JOIN documents db ON db.doc_id = b WHERE rank = 1), "
+    "v AS (SELECT *, nw > 0 AND ow > 0 AND abs(nw - ow) * 100 // greatest(nw, ow, 1) >= 2 AS words, list_transform([nz, oz], lambda z: CASE WHEN z > 1048576 THEN printf('%.1f MB', z / 1048576.0) WHEN z > 1024 THEN printf('%d KB', CAST(round_even(z / 1024.0, 0) AS BIGINT)) ELSE printf('%d B', z) END) AS z FROM m) "
+    "SELECT 'replace' AS action, printf('in/d%012d.epub', a) AS src, printf('d%012d', b) || CASE WHEN turn > 1 THEN printf(' (%d)', turn - 1) ELSE '' END || '.epub' AS dst, printf('--title d%012d', a) AS args, "
+    "CASE WHEN words AND nw > ow THEN printf('o novo tem mais texto (%d vs %d palavras)', nw, ow) WHEN words THEN printf('o da biblioteca tem mais texto (%d vs %d palavras)', ow, nw) WHEN nz > oz THEN 'mesmo texto, novo é maior (' || z[1] || ' vs ' || z[2] || ')' "
+    "WHEN nz < oz THEN 'mesmo texto, o da biblioteca é maior (' || z[2] || ' vs ' || z[1] || ')' ELSE 'empate; mantém o da biblioteca' END AS reason FROM v"
+)
 def ingest_actions(spark: SparkSession, sf: str) -> DataFrame:
     """The action rows of the same plan under the policy that replaces copies."""
     library = _library(spark, sf)
