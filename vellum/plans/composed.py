@@ -21,8 +21,8 @@ from vellum.operators import index as I
 from vellum.operators import ingest as ING
 from vellum.operators import series as SE
 from vellum.plans.registry import query
-from vellum.session import read_table
-from vellum.sources import readers
+from vellum.session import read_table, shared_path
+from vellum.sources import readers, sinks
 
 AUTHORS = ("Ana Lima", "Rui Matos Neto", "J. R. Rowe", "Machado de Barros", "Lia Sá")
 FILE_AS = ("Lima, Ana", "Neto, Rui Matos", "Rowe, J. R.", "de Barros, Machado", "Sá, Lia")
@@ -522,3 +522,99 @@ def import_tags(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {BOOKS} SELECT count(*) FILTER (WHERE id % 3 = 1) AS correct, count(*) FILTER (WHERE id % 3 = 0) AS absent, count(*) FILTER (WHERE id % 3 = 2) AS pending FROM b")
 def import_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ING.import_summary(_imported(spark, sf))
+
+
+# ---- pieces of names and texts ----
+
+
+@query(f"WITH {BOOKS} SELECT id, 'ACAO Sao ' || title AS folded, title || ' x y' || CAST(n AS VARCHAR) AS safe, 'Acoes ' || title || ' ' || CAST(n AS VARCHAR) AS dir FROM b")
+def file_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Accents of either case, reserved characters and the ends of folder names."""
+    books = _books(spark, sf)
+    return books.select(
+        "id", T.deaccent_any_case(_form("id", "AÇÃO São {title}")).alias("folded"), T.sanitize(_form("id", '{title}:  x* y"{n}?\t')).alias("safe"),
+        T.safe_dir(_form("id", "_Ações {title}/ {n}.-_")).alias("dir"),
+    )
+
+
+@query(f"WITH {BOOKS} SELECT id, rtrim(repeat(title || ' ', 30)[1:200]) AS name FROM b")
+def long_names(spark: SparkSession, sf: str) -> DataFrame:
+    """File names end after 200 bytes, without the space that stands there."""
+    return _books(spark, sf).select("id", T.sanitize(F.repeat(F.concat("title", F.lit(" ")), 30)).alias("name"))
+
+
+@query(
+    f"WITH {BOOKS} SELECT id, CASE WHEN id % 4 = 3 THEN 'erro desconhecido' ELSE title END AS last, CAST(id AS VARCHAR) || '|' || CAST(id + 1 AS VARCHAR) || '|x' AS ids, ['viii', 'ci', 'xlvii', 'mix', 'livro'][id % 5 + 1] AS word, id % 5 IN (0, 2, 3) AS roman FROM b"
+)
+def small_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Last lines of messages, lists of ids, and numerals against words."""
+    words = F.get(F.array(*map(F.lit, ("viii", "ci", "xlvii", "mix", "livro"))), (F.col("id") % 5).cast("int"))
+    books = _books(spark, sf).withColumn("next", F.col("id") + 1).withColumn("word", words)
+    last = T.last_line(_form("id", "{series}\n {title} \n\n", "{title}", "a\n\n{title}\n", " \n\n"))
+    return books.select("id", last.alias("last"), _joined(T.id_list(_form("id", " {id}, {next},,{id} ,x"))).alias("ids"), "word", T.is_roman(F.col("word")).alias("roman"))
+
+
+@query(
+    f"WITH {BOOKS} SELECT id, CASE id % 4 WHEN 0 THEN 'gêneros: Romance (descartados: ' || title || ')' WHEN 1 THEN 'gêneros descartados por serem raros/ruído: ' || title WHEN 2 THEN 'gêneros normalizados: Romance, ' || series END AS note FROM b"
+)
+def genre_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """What the genre policy says about accepted and refused labels, beside a book's own."""
+    none, some = F.array().cast("array<string>"), F.array(F.lit("Romance"))
+    form = F.col("id") % 4
+    accepted = F.when(form == 0, some).when(form == 2, F.array(F.lit("Romance"), F.col("series"))).when(form == 3, F.array("title")).otherwise(none)
+    refused = F.when(form <= 1, F.array("title")).otherwise(none)
+    return _books(spark, sf).select("id", GO.note(accepted, refused, F.array("title")).alias("note"))
+
+
+# ---- files ----
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS INTEGER) AS books, c_name AS name FROM customer")
+def catalog_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalogue written as a list and read again."""
+    path = shared_path(spark, "catalogue")
+    sinks.write_log(read_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name"), path)
+    return readers.catalog(spark, path)
+
+
+@query("SELECT DISTINCT lower(c_mktsegment) AS name FROM customer")
+def names_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "names")
+    sinks.write_log(read_table(spark, sf, "customer").select(F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")).alias("name")), path)
+    return readers.names(spark, path)
+
+
+@query(f"WITH {BOOKS} SELECT CAST(id AS VARCHAR) || '.epub' AS path, array_to_string(list_sort([series, title]), '|') AS tags FROM b")
+def tags_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "tags")
+    sinks.write_log(_books(spark, sf).select(F.concat(F.col("id").cast("string"), F.lit(".epub")).alias("path"), F.concat_ws(", ", "title", F.upper("title"), "series").alias("tags")), path)
+    return readers.tags(spark, path).select("path", _joined(F.col("tags")).alias("tags"))
+
+
+@query(f"WITH {_MEMBERS} SELECT name || chr(9) || path AS line FROM s")
+def series_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of detected series, written and read again."""
+    path = shared_path(spark, "series")
+    sinks.write_log(sinks.series_log(SE.detect(_titled(spark, sf))), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(f"WITH {_author_sql()}, l AS (SELECT 'UPDATE book_metadata_author_mapping SET author_id = ' || canonical_id || ' WHERE author_id IN (' || replace(other_ids, ',', ', ') || ');' AS line FROM r) SELECT line FROM l UNION ALL SELECT 'START TRANSACTION;' UNION ALL SELECT 'COMMIT;'")
+def author_script(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge script as a file: its frame and its updates."""
+    path = shared_path(spark, "script")
+    sinks.write_sql(A.merge_sql(A.groups(A.resolve(_records(spark, sf)))), path)
+    return spark.read.text(path).withColumnRenamed("value", "line").where("line NOT LIKE 'DELETE %'")
+
+
+@query(f"WITH {BOOKS}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY CAST(id AS VARCHAR)) AS turn FROM b) SELECT CAST(id AS VARCHAR) AS src, series || CASE WHEN turn > 1 THEN ' (' || CAST(turn - 1 AS VARCHAR) || ')' ELSE '' END || '.epub' AS dst FROM p")
+def unique_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Books that would all go to one path a series."""
+    return sinks.unique_paths(_books(spark, sf).select(F.col("id").cast("string").alias("src"), F.concat("series", F.lit(".epub")).alias("dst"))).select("src", "dst")
+
+
+@query(f"WITH {BOOKS} SELECT CAST(id AS VARCHAR) AS arquivo, CASE WHEN id % 2 = 0 THEN title ELSE 'erro desconhecido' END AS motivo FROM b WHERE id % 3 = 0")
+def failures(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of failures: the last line of what went wrong."""
+    why = F.when(F.col("id") % 2 == 0, F.concat(F.lit("trace\n"), "title", F.lit("\n")))
+    return sinks.failures(_books(spark, sf).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 3 == 0, "ERRO").otherwise("NOVO").alias("status"), why.alias("why")))
