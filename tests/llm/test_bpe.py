@@ -51,6 +51,14 @@ def test_merging_together_is_merging_alone():
     assert VOCABULARY.merge_many([]) == []
 
 
+def test_every_pair_stands_in_one_of_its_two_places():
+    rnd = np.random.default_rng(1)
+    keys = rnd.integers(0, 1 << 40, 5000).tolist()
+    held, numbers = bpe.Vocabulary.table(keys)
+    assert sorted((int(k), int(n)) for k, n in zip(held, numbers, strict=True) if k >= 0) == sorted(zip(keys, range(5000), strict=True))
+    assert bpe.Vocabulary.table([])[0].max() == -1
+
+
 def test_the_lexicon_is_minimal_and_ranks_its_words(tmp_path):
     words = sorted(w.encode() for w in ("walking", "talking", "walked", "talked", "walk", "talk", "é", "a"))
     path = tmp_path / "x.lex"

@@ -24,7 +24,6 @@ import json
 import os
 import re
 import unicodedata
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -44,6 +43,8 @@ COUNT_BYTES = 16 << 20
 MAGIC, MAGIC_VOCABULARY = b"VLEX0001", b"VBPE0001"
 WIDE, NEVER = 1 << 20, 1 << 30
 MARK = "|"
+#: Odd multipliers that spread keys over the places of a table.
+SPREAD, MASK = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (1 << 64) - 1
 #: Bytes up to which words are merged many at once; the heap merges longer ones to the same ids.
 LONGEST_TOGETHER = 64
 #: Below this code point the fast splitter's classes are spelled out; other texts take the library's splitter.
@@ -104,12 +105,35 @@ def unpack(path: str, magic: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 class Vocabulary:
     """A word-level BPE vocabulary, compiled from a file of the tokenizers library and mapped for exact merging.
 
-    A pair's key is its first id times WIDE plus its second; `pair_keys` is sorted, `pair_ranks` stands beside
-    it, and a rank leads through `made` to the id that the pair merges to.
+    A pair's key is its first id times WIDE plus its second. It stands in one of two places of a hash table, in the
+    first or the second half of `pair_keys`, with its rank in `pair_ranks`; a rank leads through `made` to the id that
+    the pair merges to.
     """
 
     KINDS = ("<i8", "<i4", "<i4", "<i4", "<i4", "<i4", "u1", "u1")
 
+    @staticmethod
+    def table(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys by place, -1 where none is, and their numbers. A key that finds its place taken sends the other to its second one."""
+        bits = max(4, len(keys).bit_length() + 1)
+        for _ in range(8):
+            half = 1 << bits
+            held, numbers = [-1] * (2 * half), [0] * (2 * half)
+            for number, key in enumerate(keys):
+                side = 0
+                for _ in range(200):
+                    at = side * half + ((key * SPREAD[side] & MASK) >> 64 - bits)
+                    held[at], key, numbers[at], number = key, held[at], number, numbers[at]
+                    if key < 0:
+                        break
+                    side = 1 - at // half  # the one that stood here goes to its other place
+                else:
+                    break
+            else:
+                return np.array(held, np.int64), np.array(numbers, np.int64)
+            bits += 1
+        raise ValueError("the pairs find no places")
+
     @staticmethod
     def compile(path: str) -> bytes:
         with open(path, encoding="utf-8") as f:
@@ -121,17 +145,19 @@ class Vocabulary:
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in bpe["merges"]]
         keys = np.array([vocab[a] * WIDE + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs])
-        order = np.argsort(keys, kind="stable")
+        table, ranks = Vocabulary.table(keys.tolist())
         names = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in model["added_tokens"]}
         pieces = [names.get(i, "").encode() for i in range(max(names) + 1)]
         # what splits and normalises a text, without the tables
         shell = json.dumps(model | {"model": bpe | {"vocab": {}, "merges": []}, "added_tokens": []})
         rest = json.dumps({"special": {x["content"]: x["id"] for x in model["added_tokens"]}, "shell": shell})
-        arrays = [keys[order], order, made, [vocab[c] for c in characters], [vocab[c + suffix] for c in characters], np.cumsum([0, *map(len, pieces)]), list(b"".join(pieces)), list(rest.encode())]
+        arrays = [table, ranks, made, [vocab[c] for c in characters], [vocab[c + suffix] for c in characters], np.cumsum([0, *map(len, pieces)]), list(b"".join(pieces)), list(rest.encode())]
         return pack(MAGIC_VOCABULARY, [np.array(x, kind) for x, kind in zip(arrays, Vocabulary.KINDS, strict=True)])
 
     def __init__(self, path: str):
         self.pair_keys, self.pair_ranks, self.made_table, self.inner_table, self.last_table, ends, pieces, rest = unpack(path, MAGIC_VOCABULARY, self.KINDS)
+        self.half = len(self.pair_keys) // 2
+        self.shift = 65 - self.half.bit_length()
         data, ends = bytes(pieces), ends.tolist()
         self.pieces = [data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)]
         held = json.loads(bytes(rest))
@@ -224,13 +250,18 @@ class Vocabulary:
         """The rank of the pair at each place; NEVER across words and where there is no merge."""
         after = np.minimum(at + 1, len(ids) - 1)
         key = ids[at] * WIDE + ids[after]
-        place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        wide, shift = key.view(np.uint64), np.uint64(self.shift)
+        one, two = ((wide * np.uint64(SPREAD[0])) >> shift).astype(np.int64), ((wide * np.uint64(SPREAD[1])) >> shift).astype(np.int64) + self.half
+        place = np.where(self.pair_keys[one] == key, one, two)
         return np.where((self.pair_keys[place] == key) & (word[at] == word[after]) & (after > at), self.pair_ranks[place], NEVER)
 
     def _rank(self, a: int, b: int) -> int:
         key = a * WIDE + b
-        at = bisect_left(self.pair_keys, key)
-        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else NEVER
+        for side in (0, 1):
+            at = side * self.half + ((key * SPREAD[side] & MASK) >> self.shift)
+            if self.pair_keys[at] == key:
+                return int(self.pair_ranks[at])
+        return NEVER
 
     def _merge_long(self, word: bytes) -> list[int]:
         """One word, with a heap: its length does not tell in the square. A heap's entry is a rank and a place in one number."""
