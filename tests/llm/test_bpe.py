@@ -45,6 +45,12 @@ def test_long_texts_go_in_parts(monkeypatch):
     assert list(map(CODEC.digests, CODEC.encode_many([*short, text, *short]))) == list(map(expected, [*short, text, *short]))
 
 
+@pytest.mark.parametrize("mark", [chr(c) for c in (*range(0x1C, 0x21), 0x85, 0xA0, 0x180E, 0x200B, 0x2028, 0x3000, 0xFEFF)])
+def test_a_cut_falls_on_the_tokenizers_white_space_alone(mark):
+    text = "a" * (bpe.CHUNK - 1) + f"!{mark}!" * 3 + " end"
+    assert CODEC.digests(CODEC.encode_parts(text)) == expected(text)
+
+
 def test_merging_together_is_merging_alone():
     words = [w for w in "a aa aaa the therefore unbelievable ### é漢字 x".split()] + ["ab" * 200, "!" * 64, "!" * 65]
     assert VOCABULARY.merge_many([w.encode() for w in words]) == [VOCABULARY.merge(w) for w in words] == [LIBRARY.encode(w, add_special_tokens=False).ids for w in words]

@@ -68,18 +68,17 @@ def _class(prefix: str) -> str:
 
 _SPACE = "\t-\r \x85\xa0"
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
+#: White space as the tokenizer has it; str.isspace() also holds for U+001C to U+001F, which are parts of words.
+_WHITE = re.compile(f"[{_SPACE}\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD = re.compile(f"[^\x00-{chr(PLAIN_LIMIT - 1)}]")
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     """Pieces of about `size` characters that end at white space, which no token spans."""
-    start, n = 0, len(text)
-    while n - start > size:
-        at = start + size
-        while at < n and not text[at].isspace():
-            at += 1
-        yield text[start:at]
-        start = at
+    start = 0
+    while len(text) - start > size and (cut_at := _WHITE.search(text, start + size)):
+        yield text[start : cut_at.start()]
+        start = cut_at.start()
     yield text[start:]
 
 
