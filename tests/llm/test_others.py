@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import AWKWARD
@@ -325,6 +326,22 @@ def test_mix_on_awkward_rows(awkward, nothing):
     assert mixing.plan_mix(nothing).collect() == [] and mixing.apply_mix(nothing).collect() == []
 
 
+@pytest.mark.parametrize("ids", [None, 7])
+@pytest.mark.parametrize("text", ["{} some words of its own", "some words of all"])
+def test_mix_meets_its_targets_where_ids_are_null_or_repeat(spark, tmp_path, ids, text):
+    rows = [(ids, text.format(i), None, s, 1) for s in ("a", "b", "c") for i in range(1000)] + [(ids, None, None, "a", 0)] * 50 + [(ids, "", None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    made = mixing.plan_mix(df)
+    taken = {round(r.target, 3): r.taken for r in made.groupBy("target").agg(F.sum("taken").alias("taken")).collect()}
+    assert all(abs(target - n) <= 5 for target, n in taken.items()) and len(taken) == 4
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert found(made.select("doc_id", "size", "taken", "copies")) == sorted(con.execute(f"SELECT doc_id, size, taken, copies FROM ({mixing.ORACLE_SQL})").fetchall(), key=str)
+    mixed = mixing.apply_mix(df).groupBy("source", "text").count()
+    assert {(r.source, r.n) for r in mixed.where("text != ''").groupBy("source").agg(F.sum("count").alias("n")).collect()} == {("a", 2000), ("b", 1667), ("c", 833)}
+
+
 def test_one_way_with_few_and_with_many_sources(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     few = found(mixing.plan_mix(df))

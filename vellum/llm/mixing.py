@@ -8,8 +8,12 @@ source's threshold. Nothing is sorted but buckets, and a rerun finds the same th
 Sources are put in order, and their targets found, in windows over a row for each source; one source's buckets,
 4,096 at most a level, meet in one task. Texts never do.
 
+A row's hash is made from its id and its text, so rows without an id, or with one that repeats, are taken one by
+one. Rows that have words and are equal in id, text and source are counted from 0, and the count enters their hash: which of
+them is taken more often does not matter, how many are is the same in every run.
+
 Defined results: a null text has size 0; a very long text is split into its words in one row; null is a source of
-its own, last in order; rows with equal ids, or without one, share a hash and are taken alike (ties); an empty table gives an empty result; a source without words
+its own, last in order; an empty table gives an empty result; a source without words
 has target 0; extra columns are carried by `apply_mix` and ignored by `plan_mix`.
 """
 
@@ -33,8 +37,42 @@ LEVELS = 3
 BROADCAST_SOURCES = 20_000
 
 
-def hash60(id_column: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(id_column.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def hash60(id_column: Column, text: Column) -> Column:
+    """Of an id and a text; equal rows share it until `tell_apart`."""
+    return _hash(F.concat_ws("|", F.coalesce(id_column.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def _key() -> Column:
+    return F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "h")
+
+
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """The (source, h) that several rows with words have; None where there are none."""
+    found = cut(rows.where("size > 0").groupBy(_key().alias("_key")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return None if found.isEmpty() else found
+
+
+def tell_apart(held: DataFrame, again: DataFrame | None) -> DataFrame:
+    """held, a written table with (source, h), where rows of a repeated (source, h) get a hash for each by their number.
+
+    A key's rows are numbered within each partition of the table and start after those of the partitions before it, so
+    a key with a third of all rows meets in no task; only a count for each partition does.
+    """
+    if again is None:
+        return held
+    place = held.withColumn("_place", F.monotonically_increasing_id()).withColumn("_key", _key())
+    marked = salted_join(place, again.withColumn("_again", F.lit(True)), ["_key"], ["_place"], "left").withColumn("_part", F.shiftright("_place", 33))
+    many = marked.where("_again")
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = many.groupBy("_key", "_part").agg(F.count("*").alias("_n")).select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = many.withColumn("_at", F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_place")) - 1)
+    number = F.col("_start") + F.col("_at")
+    numbered = within.join(starts, ["_key", "_part"]).withColumn("h", F.when(number > 0, _hash(F.concat_ws("#", "h", number))).otherwise(F.col("h")))
+    return numbered.select(*held.columns).unionByName(marked.where("_again IS NULL").select(*held.columns))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -94,30 +132,39 @@ def thresholds(rows: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> tuple[
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), hash60(F.col(id_col)).alias("h"), texts.n_words(F.col(text_col)).alias("size"))
+    id_, text = F.col(id_col), F.col(text_col)
+    return df.select(id_.alias("id"), F.col(source_col).cast("string").alias("source"), hash60(id_, text).alias("h"), texts.n_words(text).alias("size"))
 
 
 def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
     """(id, size, source_size, target, taken, copies) of every row."""
     rows = cut(_rows(df, id_col, text_col, source_col))
+    rows = tell_apart(rows, repeated(rows))
     sources, few = thresholds(rows, weights, share, cap)
     copies = (F.col("copies") + (F.col("h") < F.col("threshold")).cast("int")).cast("long")
     return _beside(rows, sources, few).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
-    """The mixed table: the input's columns, each row as often as the mix takes it."""
-    sources, few = thresholds(cut(_rows(df, id_col, text_col, source_col)), weights, share, cap)
-    rows = df.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), hash60(F.col(id_col)).alias("h"))
+    """The mixed table: the input's columns, each row as often as the mix takes it. Where rows are equal the input is written once, for their numbers to stay."""
+    plain = cut(_rows(df, id_col, text_col, source_col))
+    again = repeated(plain)
+    sources, few = thresholds(tell_apart(plain, again), weights, share, cap)
+    rows = df.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), hash60(F.col(id_col), F.col(text_col)).alias("h"))
+    rows = rows if again is None else tell_apart(cut(rows), again)
     copies = F.col("copies") + (F.col("h") < F.col("threshold")).cast("int")
     return _beside(rows, sources, few).select(F.explode(F.array_repeat(F.col("row"), copies.cast("int"))).alias("row")).select("row.*")
 
 
 ORACLE_SQL = """
-WITH d AS (
-  SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+WITH g AS (
+  SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents),
+-- rows that are equal are counted, and the count enters their hash
+k AS (SELECT *, row_number() OVER (PARTITION BY source, h, size > 0 ORDER BY doc_id, size) - 1 AS number FROM g),
+d AS (SELECT doc_id, source, size,
+             CASE WHEN size > 0 AND number > 0 THEN CAST('0x' || substr(md5(h || '#' || number), 1, 15) AS BIGINT) ELSE h END AS h FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 r AS (SELECT *, 2 * source_size AS room, (2 * source_size) / CAST(weight AS DOUBLE) AS level FROM w),
