@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: whole tables, production parameters."""
+"""The registered queries of the thirteen operators: whole tables, production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bm25, bpe, chat, language_id, licenses, mil_quality, mixing, quality_rules, simhash, warc
+from vellum.llm import bm25, bpe, chat, language_id, licenses, mil_quality, mixing, pieces, quality_rules, simhash, warc
 from vellum.session import read_table
 
 
@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     return bpe.digests(documents, bpe.build_lexicon(documents, tokenizer_path()))
@@ -66,6 +72,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read_table(spark, sf_dir, "documents"), pieces.prepare(spark, piece_model_path()))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -77,6 +87,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,
+    "op12_sentencepiece_codec": op12_sentencepiece_codec,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
