@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bm25, bpe, chat, language_id, licenses, mil_quality, mixing, pieces, quality_rules, simhash, warc
+from vellum.llm import annuli, bm25, bpe, chat, language_id, licenses, mil_quality, mixing, pieces, quality_rules, simhash, warc
 from vellum.session import read_table
 
 
@@ -72,6 +72,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annuli.summary(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"), pieces.prepare(spark, piece_model_path()))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,
+    "op11_vector_codes": op11_vector_codes,
     "op12_sentencepiece_codec": op12_sentencepiece_codec,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -96,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": chat.ORACLE_SQL,
     "op8_quality_rules": quality_rules.oracle_sql(),
     "op10_source_mix": mixing.ORACLE_SQL,
+    "op11_vector_codes": annuli.oracle_sql(),
 }
