@@ -181,15 +181,15 @@ def oracle_sql(rounds: int = ROUNDS) -> str:
     head = f"""
 WITH kept AS (
   SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, len(embedding) // {PARTS} AS w,
-         list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+         list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 parts AS (SELECT rid, CAST(p AS INTEGER) AS part, list_slice(v, p * w + 1, (p + 1) * w) AS q FROM kept, range({PARTS}) t(p)),
 book0 AS (SELECT part, CAST(rid - 1 AS INTEGER) AS entry, q AS c FROM parts WHERE rid <= {ENTRIES}),"""
     nearest = """
 near{r} AS (
   SELECT rid, part, min(d) AS d, arg_min(entry, d * 64 + entry) AS entry
-  FROM (SELECT rid, parts.part, entry, CAST(list_sum(list_transform(list_zip(q, c), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM (SELECT rid, parts.part, entry, CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
         FROM parts JOIN book{r} ON parts.part = book{r}.part)
   GROUP BY rid, part),"""
     renew = """
