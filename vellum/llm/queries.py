@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import annuli, bm25, bpe, chat, language_id, licenses, mil_quality, mixing, pieces, quality_rules, simhash, warc
+from vellum.llm import annuli, bm25, bpe, chat, collocations, language_id, licenses, mil_quality, mixing, pieces, quality_rules, simhash, warc
 from vellum.session import read_table
 
 
@@ -80,6 +80,10 @@ def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"), pieces.prepare(spark, piece_model_path()))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -93,6 +97,7 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
     "op11_vector_codes": op11_vector_codes,
     "op12_sentencepiece_codec": op12_sentencepiece_codec,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
@@ -102,4 +107,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality_rules.oracle_sql(),
     "op10_source_mix": mixing.ORACLE_SQL,
     "op11_vector_codes": annuli.oracle_sql(),
+    "op13_collocations": collocations.ORACLE_SQL,
 }
