@@ -111,7 +111,12 @@ def summary(outcomes: DataFrame) -> DataFrame:
 
 def check(queries: DataFrame, index: DataFrame, similarity: float = S.THRESHOLD, k: int = 3) -> DataFrame:
     """(path, exists, rank, match, similarity): up to k similar entries of each input, and whether there are any. Both: (path, sig)."""
-    found = S.top_matches(S.cross_join(queries.select(F.col("path").alias("id"), "sig"), index.select(F.col("path").alias("id"), "sig"), similarity), k)
+    return checked(queries, S.cross_join(queries.select(F.col("path").alias("id"), "sig"), index.select(F.col("path").alias("id"), "sig"), similarity), k)
+
+
+def checked(queries: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:
+    """The same from similar pairs (a, b, similarity), as `postings.look_up` gives them."""
+    found = S.top_matches(pairs, k)
     return queries.select("path").join(found.select(F.col("a").alias("path"), "rank", F.col("b").alias("match"), "similarity"), "path", "left").withColumn("exists", F.col("match").isNotNull())
 
 

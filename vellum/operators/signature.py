@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from vellum.functions import text as T
 from vellum.operators.graph import components
-from vellum.operators.skew import salted_join
+from vellum.operators.skew import SALTS, salted_join
 from vellum.session import cut, ship
 
 SHINGLE = 8
@@ -141,10 +141,9 @@ def _prefixes(sigs: DataFrame, frequencies: DataFrame, threshold: float) -> Data
     Hashes that occur nowhere else come first in the order; they are only counted, so the rows that move
     after the join are those that can meet.
     """
-    rows = sigs.select("id", F.size("sig").alias("n"), F.explode("sig").alias("h")).join(frequencies, "h")
+    rows = salted_join(sigs.select("id", F.size("sig").alias("n"), F.explode("sig").alias("h")), frequencies, ["h"], ["id"])
     ordered = rows.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    kept = F.slice("hs", F.lit(1), F.greatest(length - (F.col("n") - F.size("hs")), F.lit(0)))
+    kept = F.slice("hs", F.lit(1), F.greatest(prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("hs")), F.lit(0)))
     return ordered.select("id", "n", F.explode(kept).alias("e")).select("id", "n", F.col("e.h").alias("h"))
 
 
@@ -154,8 +153,8 @@ def self_join(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     frequencies = reps.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     prefix = cut(_prefixes(reps, frequencies, threshold))
     left, right = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    return _verified(left.join(right, "h").where(near).select("a", "b").distinct(), reps, reps, threshold)
+    near = (F.col("a") < F.col("b")) & near_sizes(threshold)
+    return verified(dealt_join(left, right, "a").where(near).select("a", "b").distinct(), reps, reps, threshold)
 
 
 def linked(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,30 +166,56 @@ def linked(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = cut(reps)
     frequencies = reps.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     prefix = cut(_prefixes(reps, frequencies, threshold).select("h", "id", "n"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    near = near_sizes(threshold)
     hubs = prefix.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub")).select("h", F.col("hub.id").alias("a"), F.col("hub.n").alias("na"))
     stars = salted_join(prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb")), hubs, ["h"], ["b"]).where((F.col("a") < F.col("b")) & near)
-    first = cut(_verified(stars.select("a", "b").distinct(), reps, reps, threshold).select("a", "b"))
+    first = cut(verified(stars.select("a", "b").distinct(), reps, reps, threshold).select("a", "b"))
     rooted = components(first)
     held = prefix.join(rooted, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
     apart = held.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
     held = cut(held.join(apart, "h", "left_semi"))
     left, right = held.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), held.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
-    return first.unionByName(_verified(rest, reps, reps, threshold).select("a", "b"))
+    rest = dealt_join(left, right, "a").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    return first.unionByName(verified(rest, reps, reps, threshold).select("a", "b"))
 
 
 def cross_join(queries: DataFrame, library: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, shared, similarity): every library row b similar to query row a. Both: (id, sig)."""
+    """(a, b, shared, similarity): every library row b similar to query row a. Both: (id, sig).
+
+    Only library hashes that some query has go on; they tell how rare a query's hashes are in the library. So many
+    of its rarest that a similar row must have one lead to candidates; those that the library lacks come first and lead to none.
+    """
     queries, library = cut(queries.where(F.size("sig") > 0)), cut(library.where(F.size("sig") > 0))
-    frequencies = queries.select("sig").unionByName(library.select("sig")).select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    left = _prefixes(queries, frequencies, threshold).select("h", F.col("id").alias("a"), F.col("n").alias("na"))
-    right = _prefixes(library, frequencies, threshold).select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
-    return _verified(left.join(right, "h").where(near).select("a", "b").distinct(), queries, library, threshold)
+    asked = queries.select(F.col("id").alias("a"), F.size("sig").alias("na"), F.explode("sig").alias("h"))
+    held = library.select(F.col("id").alias("b"), F.size("sig").alias("nb"), F.explode("sig").alias("h"))
+    met = cut(held.join(asked.select("h").distinct(), "h", "left_semi"))
+    frequencies = met.groupBy("h").agg(F.count("*").alias("f"))
+    known = salted_join(asked, frequencies, ["h"], ["a"])
+    ordered = known.groupBy("a", "na").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    absent = F.col("na") - F.size("hs")
+    rare = F.slice("hs", F.lit(1), F.greatest(prefix_length(F.col("na"), threshold) - absent, F.lit(0)))
+    prefix = ordered.select("a", "na", F.explode(rare).alias("e")).select("a", "na", F.col("e.h").alias("h"))
+    return verified(dealt_join(met, prefix, "b").where(near_sizes(threshold)).select("a", "b").distinct(), queries, library, threshold)
+
+
+def dealt_join(rows: DataFrame, others: DataFrame, salt_of: str, key: str = "h", salts: int = SALTS) -> DataFrame:
+    """rows joined with others on a key: a key's rows are dealt to several tasks, and the others of the key go to each."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
+    copied = others.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
+def prefix_length(n: Column, threshold: float) -> Column:
+    """So many hashes of n that a similar signature must have one of them."""
+    return (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+
+
+def near_sizes(threshold: float) -> Column:
+    """Signatures of na and nb hashes can be similar."""
+    return F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
 
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     rows = pairs.join(left.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(right.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     rows = rows.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
     return rows.withColumn("similarity", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("similarity") >= threshold).select("a", "b", "shared", "similarity")

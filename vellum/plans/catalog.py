@@ -10,13 +10,14 @@ from vellum.operators import authors as A
 from vellum.operators import genres as GO
 from vellum.operators import index as I
 from vellum.operators import ingest as ING
+from vellum.operators import postings as P
 from vellum.operators import series as SE
 from vellum.operators import signature as S
 from vellum.operators.graph import components
 from vellum.plans import composed  # noqa: F401  (registers its queries)
 from vellum.plans import sql as Q
 from vellum.plans.registry import ORACLE_SQL, QUERIES, query
-from vellum.session import cut, read_table, shared_path, spread
+from vellum.session import cut, deal, drop_path, read_table, shared_path
 from vellum.sources import readers, sinks
 
 def joined(values: Column, separator: str = "|") -> Column:
@@ -24,7 +25,7 @@ def joined(values: Column, separator: str = "|") -> Column:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents"))
+    return deal(read_table(spark, sf, "documents"))
 
 
 # ---- text ----
@@ -157,6 +158,28 @@ def doc_check_top3(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(found, "doc_id", "left").withColumn("exists", F.col("match").isNotNull())
 
 
+_CHECKED = f"WITH {Q.MATCHES.replace('AND q.id <> e.id ', '')} SELECT d.doc_id, t.b IS NOT NULL AS exists, CAST(t.rank AS INTEGER) AS rank, t.b AS match, round(t.similarity, 6) AS similarity FROM documents d LEFT JOIN t ON t.a = d.doc_id AND rank <= 3 WHERE d.doc_id % 100 = 0"
+
+
+@query(_CHECKED)
+def check_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose id is divisible by 100 checked against all by a stored inverted index, of which they read only their own folders."""
+    path = shared_path(spark, "postings")
+    sigs = cut(_signatures(spark, sf).select("id", "sig"))
+    P.save(sigs, path, buckets=32)
+    asked = sigs.where(F.col("id") % 100 == 0)
+    found = cut(ING.checked(asked.select(F.col("id").alias("path")), P.look_up(asked, path), 3))
+    drop_path(spark, path)
+    return found.select(F.col("path").alias("doc_id"), "exists", "rank", "match", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_CHECKED)
+def check_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same check without a stored index: all signatures are held against those asked for."""
+    library = cut(_signatures(spark, sf).select(F.col("id").alias("path"), "sig"))
+    return ING.check(library.where(F.col("path") % 100 == 0), library).select(F.col("path").alias("doc_id"), "exists", "rank", "match", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     f"WITH {Q.SHINGLES}, y AS (SELECT item_id, {Q.tokens('text')} AS w FROM benchmark), i AS (SELECT item_id, CASE WHEN len(w) >= 58 THEN list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ') || ' ')) END AS s FROM y), "
     "q AS (SELECT item_id, len(s) AS n, unnest(s) AS h FROM i WHERE len(s) > 0), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM x WHERE len(s) > 0), "

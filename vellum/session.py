@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parent
 #: What one Arrow batch on its way to a Python worker may hold, beside its last row.
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-#: The usual size of a row group, which one task reads whole.
-ROW_GROUP = 128 << 20
+#: To how many partitions `deal` deals rows.
+SCAN_PARTITIONS = "spark.vellum.scan.partitions"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -31,6 +31,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(SCAN_PARTITIONS, str(partitions))
         .getOrCreate()
     )
 
@@ -39,14 +40,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan too small to hold a row group for every core is dealt out to all of them; a larger one stays as it is.
+def deal(df: DataFrame) -> DataFrame:
+    """The rows dealt out to as many partitions as the session's setting says, whatever their size; where it is unset a scan's own partitions stay.
 
-    For work that is long for each row, as on texts. Only the columns in use move, and of a bounded table.
+    For files of one row group, which one task would read whole, before work that is long for each row. `local_session` sets it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * ROW_GROUP else df
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -84,6 +84,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """The size of all files below a folder; 0 where there is none."""
+    place, store = _place(spark, path)
+    return store.getContentSummary(place).getLength() if store.exists(place) else 0
+
+
 def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written beside its place and renamed onto it, so that readers see the old one or the new one."""
     place, store = _place(spark, path)
