@@ -85,9 +85,22 @@ def parts(tags: Column) -> Column:
     return F.transform(split, lambda p: T.collapse(F.regexp_replace(T.strip(p), rf"\A{edges}|{edges}\z", "")))
 
 
+def usable_forms(tags: Column, vocabulary: dict[str, str] | None = None) -> Column:
+    """Usable labels in canonical Portuguese, in the order that they came in, repeats among them."""
+    return _forms(tags, lambda p: canonical_pt(p, vocabulary))
+
+
+def _forms(tags: Column, canonical) -> Column:
+    return F.filter(F.transform(F.filter(parts(tags), usable), canonical), lambda c: c != "")
+
+
+def merged(forms: Column) -> Column:
+    """The first of each form by its lower case, sorted."""
+    return F.array_sort(T.first_by_lower(forms))
+
+
 def _clean(tags: Column, canonical) -> Column:
-    made = F.filter(F.transform(F.filter(parts(tags), usable), canonical), lambda c: c != "")
-    return F.array_sort(T.first_by_lower(made))
+    return merged(_forms(tags, canonical))
 
 
 def clean_pt(tags: Column, vocabulary: dict[str, str] | None = None) -> Column:

@@ -164,6 +164,17 @@ def target(name: str) -> Callable[[Column, Column], Column]:
 
 def place(df: DataFrame, name: str, book: str = "book", meta: str = "meta") -> DataFrame:
     """Adds placement: struct<dir, filename, meta_args>."""
-    want = desired_meta(F.col(book), F.col(meta))
-    made = lambda w: F.struct(target(name)(F.col(book), w).alias("dir"), new_filename(F.col(book)).alias("filename"), meta_args(w, F.col(meta)).alias("meta_args"))
-    return df.withColumn("_want", want).withColumn("placement", made(F.col("_want"))).drop("_want")
+    return place_all(df, [name], book, meta).withColumn("placement", F.get("placements", F.lit(0)).dropFields("target")).drop("placements")
+
+
+def place_all(df: DataFrame, names: list[str], book: str = "book", meta: str = "meta") -> DataFrame:
+    """Adds placements: an array of struct<target, dir, filename, meta_args>. What a book should be is found once, and then a folder for each target."""
+    want = T.bind(F.struct(desired_meta(F.col(book), F.col(meta)).alias("want"), new_filename(F.col(book)).alias("filename")), lambda x: x)
+    held = df.select("*", F.explode(F.array(want)).alias("_made"))  # a generator, into which nothing that follows is folded
+    want = F.col("_made.want")
+    args = meta_args(want, F.col(meta))
+    dirs = {}  # targets of one layout share its folder
+    for n in names:
+        dirs.setdefault(target(n), target(n)(F.col(book), want))
+    made = [F.struct(F.lit(n).alias("target"), dirs[target(n)].alias("dir"), F.col("_made.filename").alias("filename"), args.alias("meta_args")) for n in names]
+    return held.withColumn("placements", F.array(*made)).drop("_made")

@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 from vellum.functions import genres as G
 from vellum.functions import text as T
 from vellum.operators.number import numbered
+from vellum.operators.skew import salted_join
+from vellum.session import cut
 
 MIN_FREQ = 3
 
 
-def vocabulary(books: DataFrame, tags: str = "tags", cleaned: bool = False) -> DataFrame:
-    """(genre, freq): books by genre, of lists that are cleaned already or are cleaned here."""
-    labels = F.col(tags) if cleaned else G.clean_pt(F.col(tags))
-    return books.select(F.explode(labels).alias("genre")).groupBy("genre").agg(F.count("*").alias("freq"))
+def cleaned(books: DataFrame, path: str = "path", tags: str = "tags", vocabulary: dict[str, str] | None = None) -> DataFrame:
+    """(path, before, clean) of each row with tags: its labels in canonical form, without repeats, sorted.
+
+    A label is cleaned once, however many rows have it: the distinct labels are, and each row's come back to it in
+    their order. A label of a third of all rows is dealt out where the cleaned forms are put beside it.
+    """
+    held = books.where(F.size(tags) > 0).select(F.col(path).alias("path"), F.col(tags).alias("before"))
+    rows = held.select("path", "before", F.posexplode("before").alias("position", "label"))
+    forms = cut(rows.select("label").distinct()).select("label", F.explode(F.array(G.usable_forms(F.array("label"), vocabulary))).alias("forms"))
+    made = salted_join(rows, forms.where(F.size("forms") > 0), ["label"], ["path", "position"], "left")
+    listed = F.array_sort(F.collect_list(F.when(F.col("forms").isNotNull(), F.struct("position", "forms"))))
+    return made.groupBy("path", "before").agg(listed.alias("all")).select("path", "before", G.merged(F.flatten(F.transform("all", lambda x: x["forms"]))).alias("clean"))
+
+
+def vocabulary(books: DataFrame, tags: str = "tags", clean: bool = False, path: str = "path") -> DataFrame:
+    """(genre, freq): books by genre, of lists that are clean already or are cleaned here."""
+    rows = books.select(F.col(tags).alias("clean")) if clean else cleaned(books, path, tags)
+    return rows.select(F.explode("clean").alias("genre")).groupBy("genre").agg(F.count("*").alias("freq"))
 
 
 def kept(vocab: DataFrame, minimum: int = MIN_FREQ) -> DataFrame:
@@ -34,9 +50,9 @@ def top(vocab: DataFrame, n: int, minimum: int = 1) -> DataFrame:
 
 def clean_books(books: DataFrame, minimum: int = MIN_FREQ, path: str = "path", tags: str = "tags") -> DataFrame:
     """(path, before, after, changed, emptied): each book's tags cleaned, then cut by how many books use them."""
-    held = books.where(F.size(tags) > 0).select(F.col(path).alias("path"), F.col(tags).alias("before"), G.clean_pt(F.col(tags)).alias("clean"))
-    keep = kept(vocabulary(held, "clean", cleaned=True), minimum).select("genre")
-    rows = held.select("path", "before", F.explode_outer("clean").alias("genre")).join(keep.withColumn("ok", F.lit(True)), "genre", "left")
+    held = cut(cleaned(books, path, tags))
+    keep = kept(vocabulary(held, "clean", clean=True), minimum).select("genre", F.lit(True).alias("ok"))
+    rows = salted_join(held.select("path", "before", F.explode_outer("clean").alias("genre")), keep, ["genre"], ["path"], "left")
     after = rows.groupBy("path", "before").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("genre")))).alias("after"))
     return after.select("path", "before", "after", (~T.same_set(F.col("before"), F.col("after"))).alias("changed"), (F.size("after") == 0).alias("emptied"))
 
@@ -73,7 +89,9 @@ def long_tail(vocab: DataFrame) -> DataFrame:
 
 def admit(books: DataFrame, frequencies: DataFrame, minimum: int = MIN_FREQ, path: str = "path", tags: str = "tags") -> DataFrame:
     """(path, accepted, refused): cleaned labels that the library uses enough or that are canonical, and the rest."""
-    rows = books.select(F.col(path).alias("path"), F.explode_outer(G.clean_pt(F.col(tags))).alias("genre")).join(frequencies.select("genre", "freq"), "genre", "left")
+    bare = books.where(F.coalesce(F.size(tags), F.lit(0)) <= 0).select(F.col(path).alias("path"), F.lit(None).cast("string").alias("genre"))
+    rows = cleaned(books, path, tags).select("path", F.explode_outer("clean").alias("genre")).unionByName(bare)
+    rows = salted_join(rows, frequencies.select("genre", "freq"), ["genre"], ["path"], "left")
     ok = F.lit(minimum <= 1) | (F.coalesce("freq", F.lit(0)) >= minimum) | G.is_canonical(F.col("genre"))
     lists = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("genre"))))
     return rows.groupBy("path").agg(lists(ok).alias("accepted"), lists(~ok).alias("refused"))

@@ -137,9 +137,8 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT id, target, CASE WHEN target = 'calibre' THEN folder || '/' || leaf WHEN id % 2 = 0 THEN series ELSE title END AS dir, leaf || ' - ' || author || '.epub' AS filename FROM t, (VALUES ('calibre'), ('grimmory'), ('kavita')) AS v(target)"
 )
 def placements(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _placed(spark, sf).withColumn("book", N.parse_filename(F.col("stem")))
-    made = [N.place(rows, t).select("id", F.lit(t).alias("target"), "placement.dir", "placement.filename") for t in sorted(N.TARGETS)]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    rows = _placed(spark, sf).select("*", F.explode(F.array(N.parse_filename(F.col("stem")))).alias("book"))
+    return N.place_all(rows, sorted(N.TARGETS)).select("id", F.explode("placements").alias("p")).select("id", "p.target", "p.dir", "p.filename")
 
 
 @query(f"WITH {BOOKS} SELECT id, '--title|' || title || ' of the ' || series || '|--series|' || series || '|--index|' || CAST(n AS VARCHAR) || '|--author-sort|' || file_as AS args FROM b")
