@@ -198,6 +198,31 @@ def cross_join(queries: DataFrame, library: DataFrame, threshold: float = THRESH
     return verified(dealt_join(met, prefix, "b").where(near_sizes(threshold)).select("a", "b").distinct(), queries, library, threshold)
 
 
+def first_come(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, kept): taken in the order of their ids, a signature is kept if no kept one before it is similar. sigs: (id, sig), ids unique.
+
+    Rounds settle many at once. Whoever comes first among all that hold one of its rare hashes has no similar one before it
+    and is kept; all others of these hashes are held against it, and the similar ones go. Each round compares a
+    signature with the first of each of its hashes alone, so near copies cost a round and a row each, not all pairs.
+    """
+    sigs = cut(sigs.where(F.size("sig") > 0).select("id", "sig"))
+    frequencies = sigs.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    open_ = cut(_prefixes(sigs, frequencies, threshold).select("h", "id", "n"))
+    settled = None
+    while not open_.isEmpty():
+        least = open_.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"))
+        stars = cut(salted_join(open_, least, ["h"], ["id"]))
+        ready = stars.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first.id")).alias("ready")).where("ready").select("id")
+        near = stars.select(F.col("first.id").alias("a"), F.col("first.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).where(F.col("a") < F.col("b")).where(near_sizes(threshold))
+        met = near.select("a", "b").distinct().join(ready.withColumnRenamed("id", "a"), "a", "left_semi")
+        gone = verified(met, sigs, sigs, threshold).select(F.col("b").alias("id")).distinct()
+        now = cut(ready.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))))
+        settled = now if settled is None else settled.unionByName(now)
+        open_ = cut(open_.join(now.select("id"), "id", "left_anti"))
+    alone = sigs.select("id")
+    return alone.withColumn("kept", F.lit(True)) if settled is None else alone.join(settled, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
 def dealt_join(rows: DataFrame, others: DataFrame, salt_of: str, key: str = "h", salts: int = SALTS) -> DataFrame:
     """rows joined with others on a key: a key's rows are dealt to several tasks, and the others of the key go to each."""
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
