@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.functions import text as T
+from vellum.operators.skew import salted_join
+from vellum.session import cut
 
 # Words that name no series.
 STOPWORDS = (
@@ -53,28 +55,28 @@ def term_counts(found: DataFrame, minimum: int = 3) -> DataFrame:
 def detect(books: DataFrame, minimum: int = 3, exclude: list[str] | None = None) -> DataFrame:
     """(author_key, name, score, path, title): the members of each series found.
 
-    Within an author, terms go from the commonest down and take the books that no earlier term took, so a
-    term depends on those before it. Only terms that reach `minimum` are brought together, by author; the
-    greedy choice among one author's is sequential by definition.
+    Within an author, terms go from the commonest down and take the books that no earlier term took, so a term
+    depends only on earlier terms that share a free book with it. Rounds settle many at once: a term that is the first in all
+    its free books takes them, if they are enough and none is named by the term alone, or it goes. A term that has
+    too few free books left goes at once. Authors and terms are keys of shuffles, never one task's work.
     """
-    found = terms(books)
-    counted = term_counts(found, minimum)
-    rows = found.join(counted, ["author_key", "term"]).select("author_key", "term", "n", "display", "path", "title", "title_key")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        order = pdf[["term", "n"]].drop_duplicates().sort_values(["n", "term"], ascending=[False, True])
-        by_term = dict(tuple(pdf.groupby("term", sort=False)))
-        for term in order["term"]:
-            held = by_term[term]
-            free = held[~held["path"].isin(taken)]
-            if len(free) >= minimum and not (free["title_key"] == term).any():
-                taken.update(held["path"])
-                out.append(free)
-        return pd.concat(out)[["author_key", "display", "n", "path", "title"]] if out else pdf.iloc[:0][["author_key", "display", "n", "path", "title"]]
-
-    chosen = rows.groupBy("author_key").applyInPandas(choose, "author_key string, display string, n long, path string, title string")
+    counted = cut(term_counts(terms(books), minimum))
+    open_ = salted_join(terms(books), counted, ["author_key", "term"], ["path"])
+    open_ = cut(open_.select("author_key", "term", F.struct(-F.col("n"), F.col("term")).alias("order"), "n", "display", "path", "title", "title_key"))
+    chosen = None
+    while not open_.isEmpty():
+        first = open_.withColumn("first", F.min("order").over(Window.partitionBy("author_key", "path")))
+        state = first.groupBy("author_key", "term").agg(
+            F.count("*").alias("free"), F.bool_and(F.col("order") == F.col("first")).alias("ready"), F.bool_or(F.col("title_key") == F.col("term")).alias("alone")
+        )
+        takes = F.col("ready") & (F.col("free") >= minimum) & ~F.col("alone")
+        state = cut(state.select("author_key", "term", takes.alias("takes"), (F.col("ready") | (F.col("free") < minimum)).alias("settled")))
+        marked = cut(salted_join(open_, state, ["author_key", "term"], ["path"]))
+        now = marked.where("takes").select("author_key", "display", "n", "path", "title")
+        chosen = now if chosen is None else chosen.unionByName(now)
+        open_ = cut(marked.where("NOT settled").drop("takes", "settled").join(now.select("author_key", "path").distinct(), ["author_key", "path"], "left_anti"))
+    if chosen is None:
+        chosen = open_.select("author_key", "display", "n", "path", "title")
     if exclude:
         chosen = chosen.where(~F.lower("display").isin(*[x.lower() for x in exclude]))
     return chosen.select("author_key", F.col("display").alias("name"), F.col("n").alias("score"), "path", "title")
