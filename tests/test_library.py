@@ -206,7 +206,9 @@ def test_streaming_epochs_are_merged_and_repeat_without_effect(spark, tmp_path,
             incremental.upsert(rows, path, compute, epoch)
     assert computed == [3] + [2] * 8
     assert sorted((r.path, r.size) for r in incremental.current(spark, path).collect()) == sorted([("same", 1), ("grows", 8), *((f"new{i}", 1) for i in range(9))])
-    assert len(list((tmp_path / "index").glob("[em]*-*"))) <= 8
+    held = {p.name for p in (tmp_path / "index").glob("*/bucket=*")}
+    assert len(held) >= 9 and all(len(list((tmp_path / "index").glob(f"*/{b}"))) <= 8 for b in held)
+    assert len(list((tmp_path / "index").glob("counts-*"))) <= 8
 
 
 def test_streaming_index(spark, tmp_path):
@@ -223,6 +225,24 @@ def test_streaming_index(spark, tmp_path):
     assert sorted((r.path, r.size) for r in incremental.current(spark, str(tmp_path / "index")).collect()) == [("a", 2), ("b", 5), ("c", 1)]
 
 
+def test_an_epoch_reads_the_buckets_that_it_touches_alone(spark, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "index"), []
+    compute = lambda rows: entries(spark, [tuple(r) for r in rows.select("path", "size", "mod_time").collect()])
+    scan = lambda rows: spark.createDataFrame(rows, "path string, size long, mod_time long, deleted boolean")
+    incremental.upsert(scan([(f"p{i}", 1, 1, None) for i in range(200)]), path, compute, 0)
+    rows = incremental._rows
+    monkeypatch.setattr(incremental, "_rows", lambda s, p, state, buckets: (read.append(buckets), rows(s, p, state, buckets))[1])
+    incremental.upsert(scan([("p7", 2, 2, None), ("p8", 1, 3, True), ("p9", 1, 1, None), ("p8", 1, 2, None), ("none", 1, 1, True)]), path, compute, 1)
+    assert len(read) == 1 and 1 <= len(read[0]) <= 4
+    held = {r.path: r.size for r in incremental.current(spark, path).collect()}
+    assert len(held) == 199 and "p8" not in held and held["p7"] == 2
+    incremental.upsert(incremental.vanish(spark, path, spark.createDataFrame([("p1",), ("p7",)], "path string")), path, compute, 2)
+    incremental.upsert(scan([("p8", 5, 9, False)]), path, compute, 3, merge_after=1)
+    assert sorted((r.path, r.size) for r in incremental.current(spark, path).collect()) == [("p1", 1), ("p7", 2), ("p8", 5)]
+    counted = {r.genre: r.freq for r in I.genre_frequencies(incremental.current(spark, path)).collect()}
+    assert {r.genre: r.freq for r in incremental.genre_frequencies(spark, path).collect()} == counted
+
+
 # ---- files ----
 
 

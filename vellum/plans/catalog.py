@@ -19,6 +19,7 @@ from vellum.plans import sql as Q
 from vellum.plans.registry import ORACLE_SQL, QUERIES, query
 from vellum.session import cut, deal, drop_path, read_table, shared_path
 from vellum.sources import readers, sinks
+from vellum.streaming import incremental
 
 def joined(values: Column, separator: str = "|") -> Column:
     return F.coalesce(F.array_join(values, separator), F.lit(""))
@@ -285,6 +286,41 @@ def index_saved(spark: SparkSession, sf: str) -> DataFrame:
     return I.load(spark, path).select("path", "words", F.coalesce(F.size("sig"), F.lit(-1)).alias("n_sig"), F.get("tags", F.lit(0)).alias("tag"))
 
 
+#: Four epochs of the documents as books: all but French ones; German ones changed and French ones new; Spanish ones deleted;
+#: and a scan of the German ones again, which changes nothing.
+_EPOCHS = """e AS (SELECT CAST(doc_id AS VARCHAR) AS path, n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS size, CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS mod_time,
+CASE WHEN lang = 'de' THEN ['alemão', source] WHEN lang = 'fr' THEN ['fr', source, source] ELSE [lang, source] END AS tags FROM documents WHERE lang <> 'es')"""
+
+
+def _epochs(spark: SparkSession, sf: str) -> str:
+    """The index after these epochs, with merges from two runs on; its path."""
+    path = shared_path(spark, "epochs")
+    books = _documents(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("long").alias("size"), "lang", "source")
+    none = F.lit("")
+
+    def entries(rows: DataFrame) -> DataFrame:
+        return rows.select("path", "size", "mod_time", F.lit(0).alias("words"), F.array().cast("array<bigint>").alias("sig"), none.alias("title"), none.alias("author"), none.alias("series"), "tags")
+
+    scan = lambda rows, more, at, *tags: rows.select("path", (F.col("size") + more).alias("size"), F.lit(at).cast("long").alias("mod_time"), F.array(*tags).alias("tags"))
+    german, french = scan(books.where("lang = 'de'"), 1, 2, F.lit("alemão"), "source"), scan(books.where("lang = 'fr'"), 0, 2, "lang", "source", "source")
+    gone = scan(books.where("lang = 'es'"), 0, 3, "lang").withColumn("deleted", F.lit(True))
+    for epoch, batch in enumerate([scan(books.where("lang <> 'fr'"), 0, 1, "lang", "source"), german.unionByName(french), gone, german]):
+        incremental.upsert(batch, path, entries, epoch, merge_after=2)
+    return path
+
+
+@query(f"WITH {_EPOCHS} SELECT path, CAST(size AS BIGINT) AS size, CAST(mod_time AS BIGINT) AS mod_time, array_to_string(tags, '|') AS tags FROM e")
+def index_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """The index after epochs of new, changed and deleted books, of which each read only the buckets that it touched."""
+    return incremental.current(spark, _epochs(spark, sf)).select("path", "size", "mod_time", joined(F.col("tags")).alias("tags"))
+
+
+@query(f"WITH {_EPOCHS} SELECT genre, count(*) AS freq FROM (SELECT unnest(tags) AS genre FROM e) GROUP BY genre")
+def genre_freq_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Books by genre after the same epochs, kept by signed differences and never recounted."""
+    return incremental.genre_frequencies(spark, _epochs(spark, sf))
+
+
 # ---- genres ----
 
 
