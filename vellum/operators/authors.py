@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from vellum.functions import text as T
 from vellum.operators.graph import components
 from vellum.operators.number import numbered
+from vellum.operators.skew import salted_join
 from vellum.session import cut
 
 # Names that mark a missing author.
@@ -18,6 +19,8 @@ GENERIC = (
 RULES = ("grafia", "invertido", "iniciais", "typo")
 #: A segment of more keys than this does not bring them together by itself.
 HOT = 64
+#: How often the groups of hot segments are narrowed.
+LEVELS = 6
 
 
 def tokens(name: Column) -> Column:
@@ -39,9 +42,14 @@ def penalty(name: Column) -> Column:
     )
 
 
-def keys(records: DataFrame, skip: list[str] | None = None) -> DataFrame:
-    """records (ord, id, books, name) with their keys; vetoed, empty and generic ones left out."""
-    rows = records.where(~F.col("id").isin(*skip)) if skip else records
+def ids_of(spark, ids: DataFrame | list[str] | None) -> DataFrame:
+    """(id) of a table that has it, or of a list."""
+    return ids.select("id").distinct() if isinstance(ids, DataFrame) else spark.createDataFrame([(i,) for i in sorted(set(ids or ()))], "id string")
+
+
+def keys(records: DataFrame, skip: DataFrame | list[str] | None = None) -> DataFrame:
+    """records (ord, id, books, name) with their keys; vetoed (a list or a table of ids), empty and generic ones left out."""
+    rows = records if skip is None else records.join(ids_of(records.sparkSession, skip), "id", "left_anti")
     rows = rows.withColumn("toks", tokens(F.col("name"))).where(F.size("toks") > 0)
     rows = rows.withColumn("plain", F.array_join("toks", " ")).where(~F.col("plain").isin(*GENERIC))
     ordered = F.array_sort("toks")
@@ -53,10 +61,11 @@ def keys(records: DataFrame, skip: list[str] | None = None) -> DataFrame:
 
 def same_key_edges(rows: DataFrame) -> DataFrame:
     """(a, b, rule): each record with the first of its canonical key, and of its key without initials."""
-    first = lambda key: F.min(F.struct("ord", "plain", "canon")).over(Window.partitionBy(key))
-    canon = rows.select("ord", "plain", first("canon").alias("f")).where("ord <> f.ord")
+    # a key of many records is dealt out beside its first
+    first = lambda held, key: salted_join(held, held.groupBy(key).agg(F.min(F.struct("ord", "plain", "canon")).alias("f")), [key], ["ord"])
+    canon = first(rows.select("ord", "plain", "canon"), "canon").where("ord <> f.ord")
     canon = canon.select(F.col("f.ord").alias("a"), F.col("ord").alias("b"), F.when(F.col("plain") == F.col("f.plain"), "grafia").otherwise("invertido").alias("rule"))
-    bare = rows.where(F.contains("bare", F.lit(" "))).select("ord", "canon", first("bare").alias("f")).where("ord <> f.ord and canon <> f.canon")
+    bare = first(rows.where(F.contains("bare", F.lit(" "))).select("ord", "plain", "canon", "bare"), "bare").where("ord <> f.ord and canon <> f.canon")
     return canon.unionByName(bare.select(F.col("f.ord").alias("a"), F.col("ord").alias("b"), F.lit("iniciais").alias("rule")))
 
 
@@ -64,53 +73,50 @@ def _edits(n: Column) -> Column:
     return F.when(n >= 20, 2).otherwise(1)
 
 
-def _segments(n: Column) -> Column:
-    """Of a key of n characters: as many pieces as edits are allowed and one more, as (i, at, size)."""
-    k = _edits(n)
+def _segments(n: Column, k: Column) -> Column:
+    """Of n characters: k + 1 pieces, one more than edits are allowed, as (i, at, size)."""
     cut_at = lambda i: F.floor(n * i / (k + 1)).cast("int")
     return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut_at(i).alias("at"), (cut_at(i + 1) - cut_at(i)).alias("size")))
 
 
-def _deletions(key: Column, n: Column, k: Column) -> Column:
-    """Hashes of what is left of a key of n characters without k of them, for k from 0 to 2."""
-    one = lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n))
-    two = lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.xxhash64(F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, j - i - 1), F.substring(key, j + 1, n))))
-    return F.array_distinct(
-        F.when(k == 0, F.array(F.xxhash64(key)))
-        .when(k == 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(one(i))))
-        .otherwise(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), two)))
-    )
-
-
-def near_keys(rows: DataFrame, min_len: int = 12, hot: int = HOT) -> DataFrame:
+def near_keys(rows: DataFrame, min_len: int = 12, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
     """(ka, kb) of different keys a slip apart: of equal length, or kb longer by one, in at most one edit (two from 20 characters).
 
-    A pair within k edits has one of ka's k + 1 segments in common, shifted by k places at most, so pairs meet
-    on equal segments. A segment of more than `hot` keys would pair those with each other (`customer` before a
-    number): the keys that hold one meet on what k deletions leave of them instead, which near keys alone share.
-    A pair that shares hot segments only consists of such keys, so none is lost. All are measured at the end.
+    A pair within k edits has one of ka's k + 1 segments in common, shifted by k places at most, so pairs meet on equal
+    segments. A segment of more than `hot` keys (`customer` before a number) does not pair them: it is cut out, and
+    what is left of them, still within k edits, is cut into segments again, under the path of pieces so far. So a
+    group narrows until it is small, or too little is left to cut. All pairs are measured at the end.
     """
     held = cut(rows.select("canon", F.length("canon").alias("n")).distinct())
-    left = held.where(F.col("n") >= min_len).select(F.col("canon").alias("ka"), F.col("n").alias("na"))
-    right = held.select(F.col("canon").alias("kb"), F.col("n").alias("nb"), F.explode(F.array("n", F.col("n") - 1)).alias("na")).where(F.col("na") >= min_len)
-
-    cuts = left.select("ka", "na", F.explode(_segments(F.col("na"))).alias("s")).select("ka", "na", "s.i", F.expr("substring(ka, s.at + 1, s.size)").alias("piece"))
-    full = cuts.groupBy("na", "i", "piece").count().where(F.col("count") > hot).select("na", "i", "piece", F.lit(True).alias("full"))
-    cuts = cut(cuts.join(full, ["na", "i", "piece"], "left"))
-    shifts = right.select("kb", "nb", "na", F.explode(_segments(F.col("na"))).alias("s"), _edits(F.col("na")).alias("k"))
-    shifts = shifts.select("kb", "nb", "na", "s", F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("shift")).where("s.at + shift >= 0")
-    shifts = shifts.select("kb", "nb", "na", "s.i", F.expr("substring(kb, s.at + shift + 1, s.size)").alias("piece")).distinct()
-    met = cuts.where("full IS NULL").join(shifts, ["na", "i", "piece"]).select("ka", "kb", "na")
-
+    start = F.lit(0).cast("long").alias("path")
+    left = held.where(F.col("n") >= min_len).select(F.col("canon").alias("ka"), F.col("n").alias("na"), F.col("canon").alias("rest"), start)
+    right = held.select(F.col("canon").alias("kb"), F.col("n").alias("nb"), F.explode(F.array("n", F.col("n") - 1)).alias("na"), F.col("canon").alias("rest"), start).where(F.col("na") >= min_len)
     k = _edits(F.col("na"))
-    busy = cuts.where("full").select("ka", "na").distinct()
-    # what is left of both has one length: kb loses k characters, ka as many, or one fewer where kb is longer
-    longer = F.explode(F.array(F.lit(0), F.lit(1))).alias("longer")
-    busy = busy.select("ka", "na", longer).select("ka", "na", "longer", F.explode(_deletions(F.col("ka"), F.col("na"), k - F.col("longer"))).alias("rest"))
-    also = shifts.join(full, ["na", "i", "piece"], "left_semi").select("kb", "nb", "na").distinct()
-    also = also.select("kb", "na", (F.col("nb") - F.col("na")).alias("longer"), F.explode(_deletions(F.col("kb"), F.col("nb"), k)).alias("rest"))
-    met = met.unionByName(busy.join(also, ["na", "longer", "rest"]).select("ka", "kb", "na")).where("ka <> kb").distinct()
-    return met.where(F.when(F.col("na") >= 20, F.levenshtein("ka", "kb", 2)).otherwise(F.levenshtein("ka", "kb", 1)) >= 0).select("ka", "kb")
+    path = F.xxhash64("na", "path", "s.i", "piece").alias("path")
+    met = None
+    for level in range(levels):
+        m = F.length("rest")
+        cuts = left.select("ka", "na", "rest", "path", F.explode(_segments(m, k)).alias("s")).withColumn("piece", F.expr("substring(rest, s.at + 1, s.size)"))
+        narrower = F.concat(F.expr("substring(rest, 1, s.at)"), F.expr("substring(rest, s.at + s.size + 1)")).alias("rest")
+        cuts = cut(cuts.select("ka", "na", path, narrower))
+        room = F.min(F.length("rest") > _edits(F.col("na")))
+        full = cuts.groupBy("path").agg(F.count("*").alias("n"), room.alias("room")).where((F.col("n") > hot) & F.col("room") & F.lit(level < levels - 1))
+        full = cut(full.select("path", F.lit(True).alias("full")))
+        cuts = salted_join(cuts, full, ["path"], ["ka"], "left")
+        shifts = right.select("kb", "nb", "na", "rest", "path", F.explode(_segments(m - F.col("nb") + F.col("na"), k)).alias("s"))
+        shifts = shifts.select("*", F.explode(F.sequence(-k, k)).alias("shift")).where("s.at + shift >= 0").withColumn("piece", F.expr("substring(rest, s.at + shift + 1, s.size)"))
+        shifts = shifts.where(F.length("piece") == F.col("s.size"))
+        narrower = F.concat(F.expr("substring(rest, 1, s.at + shift)"), F.expr("substring(rest, s.at + shift + s.size + 1)")).alias("rest")
+        shifts = salted_join(shifts.select("kb", "nb", "na", path, narrower).distinct(), full, ["path"], ["kb"], "left")
+        shifts = cut(shifts)
+        found = cuts.where("full IS NULL").select("path", "ka", "na").join(shifts.where("full IS NULL").select("path", "kb"), "path")
+        found = found.where("ka <> kb").select("ka", "kb", "na").distinct()
+        found = found.where(F.when(F.col("na") >= 20, F.levenshtein("ka", "kb", 2)).otherwise(F.levenshtein("ka", "kb", 1)) >= 0).select("ka", "kb")
+        met = found if met is None else met.unionByName(found)
+        left, right = cuts.where("full").drop("full"), shifts.where("full").drop("full")
+        if full.isEmpty():
+            break
+    return met.distinct()
 
 
 def typo_pairs(rows: DataFrame, min_len: int = 12, symmetric: bool = False) -> DataFrame:
@@ -128,7 +134,7 @@ def typo_edges(rows: DataFrame, min_len: int = 12, symmetric: bool = False) -> D
     return (met if symmetric else met.where("b > a")).select("a", "b")
 
 
-def resolve(records: DataFrame, typos: bool = True, min_len: int = 12, skip: list[str] | None = None, keep: list[str] | None = None, symmetric: bool = False) -> DataFrame:
+def resolve(records: DataFrame, typos: bool = True, min_len: int = 12, skip: DataFrame | list[str] | None = None, keep: DataFrame | list[str] | None = None, symmetric: bool = False) -> DataFrame:
     """Groups of two records or more: canonical and other records, the rules that joined them, books.
 
     One row for each member: (root, id, books, name, is_canonical, rules, group_books, position), others by books.
@@ -147,10 +153,10 @@ def resolve(records: DataFrame, typos: bool = True, min_len: int = 12, skip: lis
     rules = edges.join(placed, F.col("a") == F.col("node")).groupBy("root").agg(F.collect_set("rule").alias("seen"))
     rules = rules.select(F.col("root").alias("of"), F.array_join(F.filter(F.array(*map(F.lit, RULES)), lambda r: F.array_contains("seen", r)), "+").alias("rules"))
     members = rows.join(placed, F.col("ord") == F.col("node")).drop("node")
-    forced = F.col("id").isin(*keep) if keep else F.lit(False)
+    forced = ids_of(records.sparkSession, keep).withColumn("forced", F.lit(True))
     best = Window.partitionBy("root").orderBy(F.desc("forced"), F.when(F.col("forced"), F.col("id")), "penalty", F.desc("books"), F.desc("n_toks"), "name", "id")
     others = Window.partitionBy("root").orderBy(F.desc("is_canonical"), F.desc("books"), "name", "id")
-    ranked = members.withColumn("penalty", penalty(F.col("name"))).withColumn("forced", forced)
+    ranked = members.withColumn("penalty", penalty(F.col("name"))).join(forced, "id", "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
     ranked = ranked.withColumn("best", F.first("id").over(best)).withColumn("first", F.row_number().over(best) == 1)
     # records that repeat the canonical id are neither canonical nor others
     ranked = ranked.withColumn("group_books", F.sum("books").over(Window.partitionBy("root"))).where(F.col("first") | (F.col("id") != F.col("best")))
