@@ -316,7 +316,7 @@ def test_lists_from_files(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     found = A.groups(A.resolve(spark.createDataFrame([(1, "1", 2, "ANA LIMA"), (2, "2", 1, "Ana Lima")], "ord long, id string, books int, name string")))
     sinks.write_sql(A.merge_sql(found), str(tmp_path / "sql"))
-    lines = "".join(p.read_text() for p in (tmp_path / "sql").glob("part-*")).splitlines()
+    lines = [r.sql for r in sinks.read_sql(spark, str(tmp_path / "sql")).orderBy("part", "line").collect()]
     assert lines[0] == "START TRANSACTION;" and lines[-1] == "COMMIT;"
     assert lines[1] == "UPDATE book_metadata_author_mapping SET author_id = 2 WHERE author_id IN (1);" and lines[3] == "DELETE FROM author WHERE id IN (1);"
     sinks.write_log(sinks.series_log(spark.createDataFrame([("S\t", "p\nq")], "name string, path string")), str(tmp_path / "log"))
@@ -325,6 +325,57 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.src, r.dst) for r in sinks.unique_paths(planned).collect()) == [("a", "d/x.epub"), ("b", "d/x (1).epub"), ("c", "y.epub")]
 
 
+def test_a_script_is_written_in_ordered_parts_and_a_torn_write_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "sql")
+    rows = spark.range(0, 3000).repartition(6).select(F.lit(1).alias("step"), F.format_string("%06d", "id").alias("ord"), F.format_string("S%06d;", "id").alias("sql"))
+    read = lambda: [r.sql for r in sinks.read_sql(spark, path).orderBy("part", "line").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_sql(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert read() == ["START TRANSACTION;", *(f"S{i:06};" for i in range(3000)), "COMMIT;"]
+    assert len(list((tmp_path / "sql").glob("script-*/part-*"))) > 1
+    with pytest.raises(Exception, match="torn"):
+        sinks.write_sql(rows.withColumn("sql", F.when(F.col("ord") == "000007", F.raise_error(F.lit("torn"))).otherwise(F.col("sql"))), path)
+    assert len(read()) == 3002
+    for n in (10, 20):
+        sinks.write_sql(rows.limit(n), path)
+    assert len(read()) == 22
+
+
+def test_a_book_is_read_by_ranges(spark, tmp_path):
+    rnd = np.random.default_rng(2)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("image.jpg", rnd.bytes(3_000_000))
+        z.writestr("content.opf", "<dc:title>T</dc:title>")
+        z.writestr("a.html", "<p>" + "word " * 20_000 + "</p>")
+    (tmp_path / "x.epub").write_bytes(buffer.getvalue())
+    (tmp_path / "y.epub").write_bytes(b"no archive")
+    one = lambda **kw: {r.path[-6:]: r for r in readers.epub_contents(spark, str(tmp_path), **kw).collect()}["x.epub"]
+    small, whole = one(text=False), one()
+    assert small.opf == whole.opf == "<dc:title>T</dc:title>" and small.text is None and len(whole.text.split()) == 20_000
+    assert small.bytes_read < 80_000 < 100_000 < whole.bytes_read < 300_000
+
+
+def test_a_walk_leaves_files_with_the_executors(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"d{i % 5}" / f"e{i}").mkdir(parents=True)
+        (tmp_path / f"d{i % 5}" / f"e{i}" / "é b+%20.epub").write_bytes(b"x" * i)
+    seen = []
+    collect = type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: (seen.append(self.columns), collect(self))[1])
+    found = readers.library(spark, str(tmp_path))
+    assert seen == []
+    monkeypatch.undo()
+    rows = found.collect()
+    assert sorted(r["size"] for r in rows) == list(range(30)) and all(r.path.startswith("file:///") and r.path.endswith("/é b+%20.epub") for r in rows)
+    assert all(r.mod_time > 1_600_000_000 for r in rows)
+    (tmp_path / "none").mkdir()
+    assert readers.library(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_rows_are_numbered_in_order_over_all_partitions(spark):
     rows = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
     found = sorted((r.k, r.number) for r in numbered(rows, "k").collect())

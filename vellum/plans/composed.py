@@ -141,6 +141,15 @@ def placements(spark: SparkSession, sf: str) -> DataFrame:
     return N.place_all(rows, sorted(N.TARGETS)).select("id", F.explode("placements").alias("p")).select("id", "p.target", "p.dir", "p.filename")
 
 
+@query(
+    f"WITH {BOOKS}, t AS (SELECT *, CASE WHEN id % 2 = 0 THEN series || ' ' || lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || title ELSE title END AS leaf FROM b) "
+    "SELECT name, count(*) AS books, count(DISTINCT CASE WHEN name = 'calibre' THEN folder || '/' || leaf WHEN id % 2 = 0 THEN series ELSE title END) AS folders FROM t, (VALUES ('calibre'), ('grimmory'), ('kavita')) AS v(name) GROUP BY name"
+)
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every registered target, with the folders that it would make of the books."""
+    return placements(spark, sf).groupBy(F.col("target").alias("name")).agg(F.count("*").alias("books"), F.countDistinct("dir").alias("folders"))
+
+
 @query(f"WITH {BOOKS} SELECT id, '--title|' || title || ' of the ' || series || '|--series|' || series || '|--index|' || CAST(n AS VARCHAR) || '|--author-sort|' || file_as AS args FROM b")
 def meta_args(spark: SparkSession, sf: str) -> DataFrame:
     """Shouted titles, and series and sort names that only the file name knows."""
@@ -149,11 +158,6 @@ def meta_args(spark: SparkSession, sf: str) -> DataFrame:
     return N.place(rows, "kavita").select("id", _joined(F.col("placement.meta_args")).alias("args"))
 
 
-@query("SELECT * FROM (VALUES ('calibre'), ('grimmory'), ('kavita')) AS v(name)")
-def targets(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in sorted(N.TARGETS)], "name string")
-
-
 # ---- package documents and answers ----
 
 
@@ -247,10 +251,10 @@ def needs_work(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_DISTINCT} SELECT CASE WHEN id % 3 = 2 THEN 'in' ELSE series END || '/' || name AS path, 'gêneros|ISBN|editora|sinopse' AS missing, CASE WHEN id % 3 = 1 THEN '--author-sort|' || file_as ELSE '' END AS args, CASE WHEN id % 3 = 2 THEN series || '/' || name END AS dst FROM s ORDER BY path LIMIT 40"
+    f"WITH {_DISTINCT} SELECT CASE WHEN id % 3 = 2 THEN 'in' ELSE series END || '/' || name AS path, 'gêneros|ISBN|editora|sinopse' AS missing, CASE WHEN id % 3 = 1 THEN '--author-sort|' || file_as ELSE '' END AS args, CASE WHEN id % 3 = 2 THEN series || '/' || name END AS dst FROM s"
 )
 def edit_plan(spark: SparkSession, sf: str) -> DataFrame:
-    found = ING.needs_work(_distinct_books(spark, sf), enrich=True, relayout=True, limit=40)
+    found = ING.needs_work(_distinct_books(spark, sf), enrich=True, relayout=True)
     return ING.edit_plan(found, enrich=True, relayout=True).select("path", _joined(F.col("missing")).alias("missing"), _joined(F.col("args")).alias("args"), "dst")
 
 
@@ -603,7 +607,7 @@ def author_script(spark: SparkSession, sf: str) -> DataFrame:
     """The merge script as a file: its frame and its updates."""
     path = shared_path(spark, "script")
     sinks.write_sql(A.merge_sql(A.groups(A.resolve(_records(spark, sf)))), path)
-    return spark.read.text(path).withColumnRenamed("value", "line").where("line NOT LIKE 'DELETE %'")
+    return sinks.read_sql(spark, path).select(F.col("sql").alias("line")).where("line NOT LIKE 'DELETE %'")
 
 
 @query(f"WITH {BOOKS}, p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY CAST(id AS VARCHAR)) AS turn FROM b) SELECT CAST(id AS VARCHAR) AS src, series || CASE WHEN turn > 1 THEN ' (' || CAST(turn - 1 AS VARCHAR) || ')' ELSE '' END || '.epub' AS dst FROM p")

@@ -14,91 +14,146 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.session import shared_path, ship
+from vellum.session import cut, ship
 
 OPF_BYTES = 96 * 1024
 PAGE_BYTES = 8 << 20
 BOOK_FORMATS = (".epub", ".mobi", ".azw3", ".azw")
+#: Files that a batch of a listing holds, and books that a task reads.
+LISTED, READ = 8192, 64
+TORN = (zipfile.BadZipFile, zlib.error, struct.error, OSError, ValueError, NotImplementedError, RuntimeError, EOFError)
 
 
-def _walk(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, str, int, int]]]:
-    """The folders to read: this one, and those below it that start with an underscore, which Spark's own walk leaves out;
-    and (path, encoded path, size, time) of the books that start with one, which Spark does not read at all.
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as `file:///books`."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub(r"^file:/+", "file:///", full)
 
-    One look at each depth, until no folder is that deep; hidden folders are left out, as everywhere.
+
+def _store(uri: str):
+    """The store of a path, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:///"):
+        return fs.LocalFileSystem(), uri.removeprefix("file://"), "file://"
+    store, inside = fs.FileSystem.from_uri(uri)
+    return store, inside, uri[: len(uri) - len(inside)]
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is in folders: (path, folder, size, mod_time), hidden names left out. A folder that has gone meanwhile is empty."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            store, inside, prefix = _store(uri)
+            found = [x for x in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)) if not x.base_name.startswith(".") and x.type in (fs.FileType.File, fs.FileType.Directory)]
+            for at in range(0, len(found), LISTED):
+                part = found[at : at + LISTED]
+                columns = [[prefix + x.path for x in part], [x.type == fs.FileType.Directory for x in part], [x.size or 0 for x in part], [int((x.mtime_ns or 0) // 10**9) for x in part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["path", "folder", "size", "mod_time"])
+
+
+def walk(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, mod_time) of every file below a folder, hidden ones and hidden folders left out.
+
+    Executors list the folders, a level at a time, and what they find stays with them: the driver asks whether there is a
+    next level, no more. Stores are those that pyarrow opens; names keep their characters.
     """
-    folders, books, pattern = [path], [], path.rstrip("/")
+    ship(spark)
+    level = spark.createDataFrame([(_qualified(spark, path),)], "path string")
+    files = None
     while True:
-        pattern += "/*"
-        glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        held = [(s.getPath().getName(), s) for s in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or () if "/." not in s.getPath().toUri().getPath()[len(path) :]]
-        for name, s in held:
-            if name.startswith("_") and s.isDirectory():
-                folders.append(str(s.getPath()))
-            elif name.startswith("_") and name.lower().endswith(BOOK_FORMATS):
-                books.append((str(s.getPath()), s.getPath().toUri().toString(), s.getLen(), s.getModificationTime() // 1000))
-        if not any(s.isDirectory() for _, s in held):
-            return folders, books
-
-
-def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    folders, books = _walk(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folders)
-    files = files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mod_time"))
-    more = [(name, size, time) for name, _, size, time in books if glob == "*" or name.lower().endswith(".epub")]
-    return files.unionByName(spark.createDataFrame(more, "path string, size long, mod_time long")) if more else files
+        listed = cut(level.mapInArrow(_list_folders, "path string, folder boolean, size long, mod_time long"))
+        now = listed.where("NOT folder").drop("folder")
+        files = now if files is None else files.unionByName(now)
+        level = listed.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism)
+        if listed.where("folder").isEmpty():
+            return files
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, mod_time) of every EPUB below a folder, hidden ones left out; contents are not read."""
-    found = _listing(spark, path, "*.[eE][pP][uU][bB]")
-    return found.where(~F.startswith(F.element_at(F.split("path", "/"), -1), F.lit(".")))
+    return walk(spark, path).where(F.endswith(F.lower("path"), F.lit(".epub")))
 
 
 def inputs(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, mod_time, stem, ext) of books in any known format, outside quarantine folders, in order."""
-    rows = _listing(spark, path, "*")
+    rows = walk(spark, path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.withColumn("ext", F.lower(F.regexp_extract(name, r"(\.[^.]*)\z", 1))).withColumn("stem", F.regexp_replace(name, r"\.[^.]*\z", ""))
-    return rows.where(F.col("ext").isin(*BOOK_FORMATS) & ~F.startswith(name, F.lit(".")) & ~F.contains("path", F.lit("/_duplicatas/"))).orderBy("path")
+    return rows.where(F.col("ext").isin(*BOOK_FORMATS) & ~F.contains("path", F.lit("/_duplicatas/"))).orderBy("path")
+
+
+class _Counted(io.RawIOBase):
+    """A file of a store, read where it is asked for; `taken` counts the bytes."""
 
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.taken = file, 0
 
-def epub_contents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, opf, text): each EPUB's package document, and its pages' words without tags; nulls for files that are no EPUB."""
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        return self.file.seek(offset, whence)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        self.taken += len(data)
+        return len(data)
+
+
+def read_book(file: pa.NativeFile, opf: bool = True, text: bool = True) -> tuple[str | None, str | None, int]:
+    """The package document and the pages' words of an archive, and the bytes read: its directory, and of the entries those asked for."""
+    held, package, words = _Counted(file), None, None
+    try:
+        with zipfile.ZipFile(held) as z:
+            entries = z.namelist()
+            if opf and (name := next((n for n in entries if re.search(r"(?i)\.opf$", n)), None)):
+                with z.open(name) as f:
+                    package = f.read(OPF_BYTES).decode("utf-8", "replace")
+            if text:
+                pages = []
+                for n in sorted(n for n in entries if re.search(r"(?i)\.(?:x?html?|xhtm)$", n)):
+                    with z.open(n) as f:
+                        pages.append(re.sub(r"<[^>]*>", " ", f.read(PAGE_BYTES).decode("utf-8", "replace")))
+                words = " ".join(pages)
+    except TORN:
+        package = words = None  # torn, locked or no archive at all
+    return package, words, held.taken
+
+
+def read_books(files: DataFrame, opf: bool = True, text: bool = True) -> DataFrame:
+    """files (path) -> (path, opf, text, bytes_read): what is not asked for is null, and its entries are not read."""
+    spark = files.sparkSession
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                opf = text = None
+            for uri in batch.column(0).to_pylist():
+                store, inside, _ = _store(uri)
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                        entries = z.namelist()
-                        package = next((n for n in entries if re.search(r"(?i)\.opf$", n)), None)
-                        if package:
-                            with z.open(package) as f:
-                                opf = f.read(OPF_BYTES).decode("utf-8", "replace")
-                        pages = []
-                        for n in sorted(n for n in entries if re.search(r"(?i)\.(?:x?html?|xhtm)$", n)):
-                            with z.open(n) as f:
-                                pages.append(re.sub(r"<[^>]*>", " ", f.read(PAGE_BYTES).decode("utf-8", "replace")))
-                        text = " ".join(pages)
-                except (zipfile.BadZipFile, zlib.error, struct.error, OSError, ValueError, NotImplementedError, RuntimeError, EOFError):
-                    opf = text = None  # torn, locked or no archive at all
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([opf], pa.string()), pa.array([text], pa.string())], ["path", "opf", "text"])
-
-    folders, books = _walk(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(folders).select("path", "content")
-    if named := [name for _, name, _, _ in books if name.lower().endswith(".epub")]:
-        # under names that Spark reads, in the shared folder; copied as streams
-        place, jvm, conf = shared_path(spark, "books"), spark._jvm, spark._jsc.hadoopConfiguration()
-        for i, name in enumerate(named):
-            source, target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), jvm.org.apache.hadoop.fs.Path(f"{place}/{i}.epub")
-            jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
-        copies = spark.read.format("binaryFile").load(place).select(F.regexp_extract("path", r"(\d+)\.epub$", 1).cast("int").alias("i"), "content")
-        copies = copies.join(F.broadcast(spark.createDataFrame(list(enumerate(named)), "i int, path string")), "i")
-        files = files.unionByName(copies.select("path", "content"))
-    return files.mapInArrow(run, "path string, opf string, text string")
+                    with store.open_input_file(inside) as file:
+                        made = read_book(file, opf, text)
+                except OSError:  # gone meanwhile
+                    made = (None, None, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([made[0]], pa.string()), pa.array([made[1]], pa.string()), pa.array([made[2]], pa.int64())], ["path", "opf", "text", "bytes_read"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.count() // READ))
+    return files.select("path").repartition(tasks, "path").mapInArrow(run, "path string, opf string, text string, bytes_read long")
+
+
+def epub_contents(spark: SparkSession, path: str, opf: bool = True, text: bool = True) -> DataFrame:
+    """(path, opf, text, bytes_read): each EPUB's package document, and its pages' words without tags; nulls for files that are no EPUB."""
+    return read_books(library(spark, path), opf, text)
 
 
 def parse_catalog(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vellum.functions import text as T
+from vellum.operators.number import numbered
+from vellum.operators.skew import salted_join
+from vellum.session import drop_path, read_small, write_small
 
 
 def write_sql(statements: DataFrame, path: str) -> None:
-    """(step, ord, sql) as one script, in order, inside a transaction."""
+    """(step, ord, sql) as a script in ordered parts, inside a transaction.
+
+    Statements are dealt out by ranges and each range writes its part, so none gathers them all. The parts' folder is
+    named by a manifest, which is moved into its place last: a torn write leaves the script that was, and the one before
+    the last stays for those who still read it.
+    """
     spark = statements.sparkSession
     frame = spark.createDataFrame([(-1, "", "START TRANSACTION;"), (9, "", "COMMIT;")], "step int, ord string, sql string")
-    statements.select("step", "ord", "sql").unionByName(frame).orderBy("step", "ord").select("sql").coalesce(1).write.mode("overwrite").text(path)
+    old, place = script(spark, path), f"script-{uuid.uuid4().hex}"
+    statements.select("step", "ord", "sql").unionByName(frame).orderBy("step", "ord").select("sql").write.text(f"{path}/{place}")
+    write_small(spark, f"{path}/manifest", json.dumps({"script": place, "before": old.get("script")}))
+    if old.get("before"):
+        drop_path(spark, f"{path}/{old['before']}")
+
+
+def script(spark: SparkSession, path: str) -> dict:
+    """What a script's manifest says; nothing where there is none."""
+    return json.loads(read_small(spark, f"{path}/manifest") or "{}")
+
+
+def read_sql(spark: SparkSession, path: str) -> DataFrame:
+    """(part, line, sql): the script's statements; in the order of part and line they are the script."""
+    rows = spark.read.option("wholetext", True).text(f"{path}/{script(spark, path)['script']}").select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("part"), "value")
+    lines = rows.select("part", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line", "sql"))
+    return lines.where("sql <> ''")
 
 
 def write_log(rows: DataFrame, path: str) -> None:
@@ -37,7 +63,13 @@ def actions(outcomes: DataFrame) -> DataFrame:
 
 
 def unique_paths(planned: DataFrame, path: str = "dst") -> DataFrame:
-    """Destinations that repeat get ` (n)` before the extension, in order of source."""
-    n = F.row_number().over(Window.partitionBy(path).orderBy("src"))
-    numbered = F.concat(F.regexp_replace(F.col(path), r"\.[^./]*\z", ""), F.format_string(" (%d)", n - 1), F.regexp_extract(F.col(path), r"(\.[^./]*)\z", 1))
-    return planned.select(*[c for c in planned.columns if c != path], F.when(n > 1, numbered).otherwise(F.col(path)).alias(path))
+    """Destinations that repeat get ` (n)` before the extension, in order of source.
+
+    All rows are numbered by ranges of destination and source, so one that a third of all go to is in no single task.
+    """
+    placed = numbered(planned.withColumn("_order", F.struct(path, "src")), "_order", "_number")
+    first = placed.where(F.col(path).isNotNull()).groupBy(path).agg(F.min("_number").alias("_first"))
+    n = F.col("_number") - F.col("_first")
+    renamed = F.concat(F.regexp_replace(F.col(path), r"\.[^./]*\z", ""), F.format_string(" (%d)", n), F.regexp_extract(F.col(path), r"(\.[^./]*)\z", 1))
+    found = salted_join(placed, first, [path], ["src"], "left")
+    return found.select(*[c for c in planned.columns if c != path], F.when(n > 0, renamed).otherwise(F.col(path)).alias(path))
