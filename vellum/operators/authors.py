@@ -183,6 +183,13 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
+def report(resolved: DataFrame) -> DataFrame:
+    """(root, line, mark, what, id, books, name, rules, group_books): each group as its report lists it, the record to keep first; `?` asks for a human eye."""
+    what = F.when(F.col("is_canonical"), "manter").otherwise("juntar")
+    mark = F.when(F.contains("rules", F.lit("typo")), "?").otherwise(" ")
+    return resolved.select("root", F.col("position").alias("line"), mark.alias("mark"), what.alias("what"), "id", "books", "name", "rules", "group_books")
+
+
 def merge_sql(found: DataFrame) -> DataFrame:
     """(step, ord, sql): the statements that merge the groups, to be read in order."""
     some = found.where("other_ids <> ''")

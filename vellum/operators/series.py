@@ -85,3 +85,16 @@ def detect(books: DataFrame, minimum: int = 3, exclude: list[str] | None = None)
 def candidates(members: DataFrame) -> DataFrame:
     """(author_key, name, members, score), the largest first."""
     return members.groupBy("author_key", "name", "score").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "name")
+
+
+def report(members: DataFrame, n: int = 25, titles: int = 4) -> DataFrame:
+    """(author_key, name, members, titles, more): the n largest series, each with its first titles by path and how many more there are.
+
+    The largest are found from counts, so only their own volumes are put in order.
+    """
+    largest = members.groupBy("author_key", "name").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "name", "author_key").limit(n)
+    rows = members.join(F.broadcast(largest), ["author_key", "name"])  # n rows
+    order = Window.partitionBy("author_key", "name").orderBy("path", "title")
+    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= titles)
+    listed = first.groupBy("author_key", "name", "members").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: T.truncate(x["title"], 64)).alias("titles"))
+    return listed.withColumn("more", F.greatest(F.col("members") - titles, F.lit(0)))

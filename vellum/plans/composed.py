@@ -15,11 +15,13 @@ from vellum.functions import metadata as M
 from vellum.functions import names as N
 from vellum.functions import text as T
 from vellum.operators import authors as A
+from vellum.operators import edit as ED
 from vellum.operators import enrich as E
 from vellum.operators import genres as GO
 from vellum.operators import index as I
 from vellum.operators import ingest as ING
 from vellum.operators import series as SE
+from vellum.plans import sql as Q
 from vellum.plans.registry import query
 from vellum.session import read_table, shared_path
 from vellum.sources import readers, sinks
@@ -258,6 +260,15 @@ def edit_plan(spark: SparkSession, sf: str) -> DataFrame:
     return ING.edit_plan(found, enrich=True, relayout=True).select("path", _joined(F.col("missing")).alias("missing"), _joined(F.col("args")).alias("args"), "dst")
 
 
+@query(
+    f"WITH {_DISTINCT}, r AS (SELECT CASE WHEN id % 3 = 2 THEN 'in' ELSE series END || '/' || name AS path, CASE WHEN id % 3 = 1 THEN '--author-sort|' || file_as ELSE '' END AS args, CASE WHEN id % 3 = 2 THEN series || '/' || name END AS dst FROM s) SELECT * FROM r ORDER BY path LIMIT 12"
+)
+def edit_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """What the report of an edit shows: its first twelve books."""
+    planned = ING.edit_plan(ING.needs_work(_distinct_books(spark, sf), enrich=True, relayout=True), enrich=True, relayout=True)
+    return ING.preview(planned).select("path", _joined(F.col("args")).alias("args"), "dst")
+
+
 @query(f"WITH {BOOKS} SELECT CAST(id AS VARCHAR) AS path, title, author FROM b WHERE id % 2 = 1")
 def series_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Books that declare no series."""
@@ -354,6 +365,12 @@ def genre_plan_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return GO.plan_reasons(_plan(spark, sf))
 
 
+@query(f"WITH {_PLAN} SELECT books, name, target, reason FROM plan WHERE reason <> ''")
+def genre_plan_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label that changes, as the plan's listing has it."""
+    return GO.plan_detail(_plan(spark, sf))
+
+
 @query(
     f"WITH {_PLAN} SELECT count(*) AS labels, count(DISTINCT CASE WHEN target <> '' THEN target END) AS labels_after, count(*) FILTER (WHERE target = '') AS removed, CAST(coalesce(sum(books) FILTER (WHERE target = ''), 0) AS BIGINT) AS associations_lost, "
     "count(*) FILTER (WHERE target <> '' AND reason <> '') AS canonised, count(*) FILTER (WHERE target <> '' AND reason = '') AS unchanged FROM plan"
@@ -427,6 +444,12 @@ def author_groups(spark: SparkSession, sf: str) -> DataFrame:
     return A.groups(A.resolve(_records(spark, sf))).drop("other_names")
 
 
+@query(f"WITH {_author_sql()} SELECT CAST(CASE WHEN place = 1 THEN 1 ELSE row_number() OVER (PARTITION BY g ORDER BY place > 1, books DESC, name, id) END AS INTEGER) AS line, CASE WHEN safe THEN ' ' ELSE '?' END AS mark, CASE WHEN place = 1 THEN 'manter' ELSE 'juntar' END AS what, id, CAST(o.books AS INTEGER) AS books, name, rules, r.books AS group_books FROM o JOIN r USING (g)".replace("books DESC, name, id) END", "o.books DESC, name, id) END"))
+def author_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of duplicate authors, line by line."""
+    return A.report(A.resolve(_records(spark, sf))).drop("root")
+
+
 @query(f"WITH {_author_sql(_KEEP)} SELECT canonical_id, canonical_name, other_ids, rules, books, safe FROM r")
 def author_groups_keep(spark: SparkSession, sf: str) -> DataFrame:
     """Some records are wanted as canonical whatever their spelling."""
@@ -468,6 +491,8 @@ def _titled(spark: SparkSession, sf: str) -> DataFrame:
     return _books(spark, sf).select(F.col("id").cast("string").alias("path"), title.alias("title"), F.col("brand").alias("author"))
 
 
+_WORDS = _SPELLED
+_PARTS_CLEANED = f"t2 AS (SELECT CAST(p_partkey AS VARCHAR) AS path, {Q.TAGS} AS tags FROM part), c AS (SELECT path, tags, {Q.clean_pt('tags')} AS clean FROM t2), v AS (SELECT genre, count(*) AS freq FROM (SELECT unnest(clean) AS genre FROM c) GROUP BY genre)"
 _MEMBERS = f"{BOOKS}, t AS (SELECT *, lower(replace(brand, '#', '')) AS author_key, count(*) OVER (PARTITION BY brand, series) AS score, bool_and(id % 5 = 0) OVER (PARTITION BY brand, series) AS loud FROM b), s AS (SELECT author_key, CASE WHEN loud THEN upper(series) ELSE series END AS name, score, CAST(id AS VARCHAR) AS path, series FROM t WHERE score >= 3)"
 
 
@@ -486,6 +511,43 @@ def series_excluded(spark: SparkSession, sf: str) -> DataFrame:
     return SE.detect(_titled(spark, sf), exclude=["ECONOMY", "promo"]).select("author_key", "name", "score", "path")
 
 
+@query(
+    f"WITH {_MEMBERS}, w AS (SELECT s.*, {_cap(f'({_WORDS})')} AS word FROM s, LATERAL (SELECT CAST(path AS BIGINT) AS c_custkey)), n AS (SELECT *, row_number() OVER (PARTITION BY author_key, name ORDER BY path) AS place, count(*) OVER (PARTITION BY author_key, name) AS members FROM w), "
+    "u AS (SELECT author_key, name, members, array_to_string(list('The ' || word || ' of ' || CASE WHEN CAST(path AS BIGINT) % 5 = 0 THEN upper(series) ELSE series END ORDER BY place), '|') AS titles FROM n WHERE place <= 4 GROUP BY ALL) "
+    "SELECT author_key, name, members, titles, greatest(members - 4, 0) AS more FROM u ORDER BY members DESC, name, author_key LIMIT 25"
+)
+def series_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of detected series: the largest with their first titles."""
+    return SE.report(SE.detect(_titled(spark, sf))).withColumn("titles", _joined(F.col("titles")))
+
+
+def _shelved(spark: SparkSession, sf: str) -> DataFrame:
+    """The titles of `_titled` as books without a series, under the labels of their parts."""
+    tags = read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.array("p_type", "p_brand"), F.split("p_name", " ")).alias("tags"))
+    rows = _titled(spark, sf).join(tags, "path")
+    meta = book_meta(F.col("title"), F.col("author"), F.lit(""), F.lit(0.0)).withField("tags", F.col("tags"))
+    return rows.select("path", F.concat_ws(" - ", "title", "author").alias("stem"), meta.alias("meta"))
+
+
+@query(
+    f"WITH {_MEMBERS}, {_PARTS_CLEANED}, k AS (SELECT list(genre) AS names FROM v WHERE freq >= 3), a AS (SELECT path, tags, list_filter(clean, lambda g: list_contains(names, g)) AS after FROM c, k) "
+    "SELECT CAST(id AS VARCHAR) AS path, 'import' AS mode, '--tags|' || series AS args FROM t WHERE id % 3 = 2 "
+    "UNION ALL SELECT path, 'series', '--series|' || name FROM s UNION ALL SELECT path, 'genres', '--tags|' || array_to_string(after, ',') FROM a WHERE list_sort(tags) <> list_sort(after) UNION ALL SELECT CAST(id AS VARCHAR), 'fields', '--author-sort|' || brand FROM t"
+)
+def edit_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Four runs of the command over the same books: each does the first thing that it is asked for, however much more it is."""
+    books = _shelved(spark, sf)
+    number = F.col("path").cast("long") % 3
+    same, new = books.where(number == 1).select("path", F.col("meta.tags").alias("tags")), _books(spark, sf).where("id % 3 = 2").select(F.col("id").cast("string").alias("path"), F.array("series").alias("tags"))
+    absent = spark.createDataFrame([("nowhere", ["X"])], "path string, tags array<string>")
+    requested = same.unionByName(new).unionByName(absent)
+    runs = [ED.edit(books, requested=requested, detect_series=True, clean_genres=True, enrich=True), ED.edit(books, detect_series=True, clean_genres=True), ED.edit(books, clean_genres=True, enrich=True), ED.edit(books, enrich=True)]
+    every = runs[0]
+    for run in runs[1:]:
+        every = every.unionByName(run)
+    return every.select("path", "mode", _joined(F.col("args")).alias("args"))
+
+
 # ---- lists ----
 
 
