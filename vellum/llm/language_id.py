@@ -10,7 +10,9 @@ language has its own tree, which holds all contexts of its sample; a tree is sto
 that occur. Texts are read as their bytes in UTF-8, unchanged.
 
 Training reads about `sample_docs` rows of each language, spread by a hash of the id; this bound limits the
-model and never which texts are scored. Every language that has a row is learned.
+model and never which texts are scored. Every language that has a row is learned. A language's counts meet in one task, which makes its tree; trees become files
+in the shared folder, one after another, and Python workers map them into memory, so neither the driver nor a
+worker holds more than one tree's arrays, however many languages there are.
 
 `keep` rejects texts without a letter, and texts that no learned language explains: those whose shortest code
 length is over MOST_BITS a byte. Prose of the learned languages takes 2 to 3.5 and a uniform byte 8.
@@ -29,16 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import ship
+from vellum.llm.bpe import pack, unpack
+from vellum.session import cut, publish, ship
 
 ORDER = 3
 SIZE = 256
 UNDETERMINED = "und"
 UNIT = 1 << 20
 STRIP = 1 << 20
+MAGIC, KINDS = b"VPPM0001", ("<i8",) * 4 + ("<f8",) * 4 + ("<i8",) * 4 + ("<f8",) * 4
 #: Bits a byte above which no language explains a text.
 MOST_BITS = 7.0
 
@@ -66,6 +71,13 @@ class Tree:
     contexts: list[np.ndarray]
     escapes: list[np.ndarray]
 
+    def open(self) -> Tree:
+        return self
+
+    def to_bytes(self) -> bytes:
+        """One file: the arrays of each order behind each other."""
+        return pack(MAGIC, [x.astype(k) for x, k in zip([*self.grams, *self.bits, *self.contexts, *self.escapes], KINDS, strict=True)])
+
     def costs(self, grams: np.ndarray) -> np.ndarray:
         """The cost of the last of four packed bytes after the others, in units."""
         total, left = np.zeros(len(grams)), np.arange(len(grams))
@@ -79,6 +91,23 @@ class Tree:
         return np.rint(total * UNIT).astype(np.int64)
 
 
+_OPEN: dict[str, Tree] = {}
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A published tree, by the name of its file, which changes with what it holds."""
+
+    name: str
+
+    def open(self) -> Tree:
+        """The tree, mapped into memory."""
+        if self.name not in _OPEN:
+            arrays = unpack(SparkFiles.get(self.name), MAGIC, KINDS)
+            _OPEN[self.name] = Tree(*(arrays[at : at + ORDER + 1] for at in range(0, len(arrays), ORDER + 1)))
+        return _OPEN[self.name]
+
+
 def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(sorted_values):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
@@ -91,7 +120,7 @@ class Model:
     """languages, sorted, and the tree of each."""
 
     languages: list[str]
-    trees: list[Tree]
+    trees: list[Tree | Stored]
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """The code length of each text in each language, in units."""
@@ -117,7 +146,7 @@ class Model:
                 cuts = np.flatnonzero(np.diff(text, prepend=-1))
                 grams, place = np.unique(gram, return_inverse=True)
                 for k, tree in enumerate(self.trees):
-                    np.add.at(out[:, k], at + text[cuts], np.add.reduceat(tree.costs(grams).take(place), cuts, dtype=np.int64))
+                    np.add.at(out[:, k], at + text[cuts], np.add.reduceat(tree.open().costs(grams).take(place), cuts, dtype=np.int64))
             at += len(group)
         return out
 
@@ -211,27 +240,29 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = F.pmod(F.xxhash64(_text_of(F.col("id"))), F.lit(1 << 30)) / float(1 << 30)
     # a row for each language, of which the model holds a tree
     rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(drawn < F.col("share"))
-    counted = context_counts(rows).toArrow()
-    names = counted.column("lang").combine_chunks().dictionary_encode()
-    of, gram, n = names.indices.to_numpy(), counted.column("gram").to_numpy(), counted.column("n").to_numpy()
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
-    parts = {name: order[a:b] for name, a, b in zip(names.dictionary.to_pylist(), ends, ends[1:], strict=False)}
-    languages = sorted(parts, key=lambda x: x.encode())
-    return build(languages, [(gram[parts[x]], n[parts[x]]) for x in languages])
+    planted = cut(context_counts(rows).groupBy("lang").applyInArrow(_planted, "lang string, tree binary"))
+    # a row for each language; one tree at a time comes through the driver
+    names = {r["lang"]: publish(df.sparkSession, bytes(r["tree"]), ".tree")[0] for r in planted.toLocalIterator()}
+    languages = sorted(names, key=lambda x: x.encode())
+    return Model(languages, [Stored(names[x]) for x in languages])
+
+
+def _planted(counted: pa.Table) -> pa.Table:
+    """The tree of one language's (lang, gram, n)."""
+    tree = plant(counted.column("gram").to_numpy(), counted.column("n").to_numpy())
+    return pa.table({"lang": counted.column("lang").slice(0, 1), "tree": pa.array([tree.to_bytes()], pa.binary())})
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
     ship(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = held.value.predict(part.column(1).to_pylist())
+                found = model.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64())], [id_col, "lang_pred", "score"])
 
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
@@ -240,13 +271,12 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep(df: DataFrame, model: Model, text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
     """The rows that a learned language explains, with the columns they came with."""
     ship(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield part.filter(pa.array(held.value.explains(part.column(place).to_pylist(), most_bits), pa.bool_()))
+                yield part.filter(pa.array(model.explains(part.column(place).to_pylist(), most_bits), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
