@@ -35,7 +35,7 @@ from vellum.llm.bpe import SPREAD, Vocabulary, pack, unpack
 from vellum.session import publish, ship
 
 CHUNK = 1 << 19
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 96 << 20
 #: Characters up to which words are joined many at once; the heap joins longer ones to the same ids.
 LONGEST_TOGETHER = 64
 MAGIC = b"VSPM0001"
