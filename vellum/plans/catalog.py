@@ -498,16 +498,21 @@ m AS (SELECT a, b, similarity, true AS old FROM l UNION ALL SELECT a, b, similar
 v AS (SELECT d.doc_id AS id, x.s, m.b, m.old, similarity, coalesce(old AND CASE WHEN abs(x.n - xb.n) * 100 // greatest(x.n, xb.n, 1) >= 2 THEN x.n > xb.n
              ELSE octet_length(encode(d.text)) > octet_length(encode(db.text)) - CASE WHEN m.b % 8 = 1 THEN 1 ELSE 0 END END, false) AS wins
       FROM documents d JOIN x USING (doc_id) LEFT JOIN m ON m.a = d.doc_id LEFT JOIN x xb ON xb.doc_id = m.b LEFT JOIN documents db ON db.doc_id = m.b WHERE d.doc_id % 4 <> 1),
-f AS (SELECT id, CASE WHEN s IS NULL OR len(s) = 0 THEN 'ERRO' WHEN wins THEN 'SUBSTITUI' WHEN b IS NOT NULL THEN 'DUPLICATA' ELSE 'NOVO' END AS status, b, old, similarity FROM v)
+f AS (SELECT id, CASE WHEN s IS NULL OR len(s) = 0 THEN 'ERRO' WHEN wins THEN 'SUBSTITUI' WHEN b IS NOT NULL THEN 'DUPLICATA' ELSE 'NOVO' END AS status, b, old, similarity, wins FROM v)
 """
 
 
-def _mixed(spark: SparkSession, sf: str, on_duplicate: str = "best") -> DataFrame:
-    """A batch with every outcome, held against a quarter of the documents and against itself."""
+def _batch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A library of a quarter of the documents, and the others coming in."""
     library = _library(spark, sf)
     meta = composed.book_meta(F.lit(""), F.lit(""), F.col("series"), F.lit(0.0))
-    incoming = library.where(F.col("id") % 4 != 1).select(F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
-    held = library.where(F.col("id") % 4 == 1).withColumn("size", F.col("size") - F.when(F.col("id") % 8 == 1, 1).otherwise(0)).drop("id")
+    incoming = library.where(F.col("id") % 4 != 1).select("id", F.concat(F.lit("in/"), "path").alias("path"), F.regexp_replace("path", r"\.epub$", "").alias("stem"), F.lit(".epub").alias("ext"), "words", "size", "sig", meta.alias("meta"))
+    return library.where(F.col("id") % 4 == 1).withColumn("size", F.col("size") - F.when(F.col("id") % 8 == 1, 1).otherwise(0)).drop("id"), incoming
+
+
+def _mixed(spark: SparkSession, sf: str, on_duplicate: str = "best") -> DataFrame:
+    """A batch with every outcome, held against the library and against itself."""
+    held, incoming = _batch(spark, sf)
     return ING.plan(incoming, held, on_duplicate=on_duplicate, dedupe_within_batch=True)
 
 
@@ -532,3 +537,32 @@ def ingest_skipped(spark: SparkSession, sf: str) -> DataFrame:
 @query(_MIXED + "SELECT count(*) AS inputs, count(*) FILTER (WHERE status = 'NOVO') AS novo, count(*) FILTER (WHERE status = 'DUPLICATA') AS duplicata, count(*) FILTER (WHERE status = 'SUBSTITUI') AS substitui, count(*) FILTER (WHERE status = 'ERRO') AS erro FROM f")
 def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ING.summary(_mixed(spark, sf))
+
+
+@query(
+    _MIXED + "SELECT printf('in/d%012d', id) || e.ext AS path, CASE WHEN NOT convert AND e.ext <> '.epub' THEN 'ERRO' ELSE status END AS status, CASE WHEN NOT convert AND e.ext <> '.epub' THEN 'formato ' || e.ext || ' exige conversão' WHEN status = 'ERRO' THEN 'não foi possível ler o texto do arquivo' ELSE '' END AS why, "
+    "CASE WHEN (NOT convert AND e.ext <> '.epub') OR status = 'ERRO' THEN 'none' WHEN e.ext <> '.epub' AND b IS NULL THEN 'convert' WHEN b IS NULL THEN 'move' WHEN old AND wins THEN 'replace' ELSE 'skip' END AS action, convert "
+    "FROM (SELECT f.id, e.ext, convert, b, old, wins, CASE WHEN e.ext <> '.epub' AND status = 'ERRO' THEN 'NOVO' ELSE status END AS status FROM f JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '.mobi' ELSE '.epub' END AS ext FROM documents) e USING (id), (VALUES (true), (false)) c(convert)) e"
+)
+def ingest_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of which every fifth book is in another format, with and without conversion."""
+    library, incoming = _batch(spark, sf)
+    ext = F.when(F.col("id") % 5 == 0, ".mobi").otherwise(".epub")
+    incoming = incoming.withColumn("ext", ext).withColumn("path", F.concat(F.lit("in/"), "stem", "ext"))
+    made = [ING.plan(incoming, library, dedupe_within_batch=True, convert=c).withColumn("convert", F.lit(c)) for c in (True, False)]
+    own = F.when(F.col("status") == "ERRO", F.col("why")).otherwise("")
+    return made[0].unionByName(made[1]).select("path", "status", own.alias("why"), "action", "convert")
+
+
+@query(
+    _MIXED + ", g AS (SELECT source, count(*) AS freq FROM documents WHERE doc_id % 4 = 1 GROUP BY source), n AS (SELECT f.id, status, d.source[1].upper() || d.source[2:] AS label, coalesce(freq, 0) >= 3 AS often FROM f JOIN documents d ON d.doc_id = f.id LEFT JOIN g ON g.source = d.source WHERE status IN ('NOVO', 'SUBSTITUI')) "
+    "SELECT printf('in/d%012d.epub', id) AS path, CASE WHEN status = 'SUBSTITUI' THEN '' WHEN often THEN 'gêneros: ' || label || ', Terror (descartados: Zzzz)' ELSE 'gêneros: Terror (descartados: ' || label || ', Zzzz)' END AS note, "
+    "printf('--title|d%012d', id) || CASE WHEN status = 'SUBSTITUI' THEN '' WHEN often THEN '|--tags|' || label || ',Terror' ELSE '|--tags|Terror' END AS args FROM n"
+)
+def ingest_genres(spark: SparkSession, sf: str) -> DataFrame:
+    """The genre policy of new books: labels that the library uses, and canonical ones, are written; rare ones are told."""
+    library, incoming = _batch(spark, sf)
+    library = library.withColumn("tags", F.array(F.initcap("series")))
+    tags = F.array(F.upper("meta.series"), F.lit("zzzz; terror"))
+    made = ING.plan(incoming.withColumn("meta", F.col("meta").withField("tags", tags)), library, dedupe_within_batch=True)
+    return made.where("status IN ('NOVO', 'SUBSTITUI')").select("path", F.coalesce("genre_note", F.lit("")).alias("note"), joined(F.col("meta_args")).alias("args"))

@@ -548,6 +548,61 @@ def edit_commands(spark: SparkSession, sf: str) -> DataFrame:
     return every.select("path", "mode", _joined(F.col("args")).alias("args"))
 
 
+# ---- books as files ----
+
+#: A book for each page, below folders that start with an underscore, a dot, or neither; some in another format, some put aside.
+_FILED = (
+    "b AS (SELECT page_id AS id, page_id % 5 AS k, html, CASE page_id % 5 WHEN 0 THEN 'a/b c' WHEN 1 THEN '_em dia' WHEN 2 THEN 'x/_duplicatas' WHEN 3 THEN '.oculta' ELSE 'é+/%20' END AS folder, "
+    "CASE WHEN page_id % 7 = 3 THEN '.mobi' WHEN page_id % 7 = 4 THEN '.EPUB' WHEN page_id % 7 = 5 THEN '.txt' ELSE '.epub' END AS ext, 'p' || page_id AS stem FROM pages)"
+)
+
+
+def _filed(spark: SparkSession, sf: str) -> str:
+    """The folder that these books were written to."""
+    path = shared_path(spark, "library")
+    choice = lambda key, *values: F.get(F.array(*map(F.lit, values)), key.cast("int"))
+    folder = choice(F.col("page_id") % 5, "a/b c", "_em dia", "x/_duplicatas", ".oculta", "é+/%20")
+    ext = choice(F.col("page_id") % 7, ".epub", ".epub", ".epub", ".mobi", ".EPUB", ".txt", ".epub")
+    opf = F.concat(F.lit("<package><dc:title>Livro "), F.col("page_id").cast("string"), F.lit(' &amp; c</dc:title><dc:creator opf:role="aut" opf:file-as="Lima, Ana">Ana Lima</dc:creator></package>'))
+    name = F.concat(folder, F.lit("/p"), F.col("page_id").cast("string"), ext)
+    sinks.write_books(read_table(spark, sf, "pages").select(name.alias("name"), opf.alias("opf"), F.array("html").alias("pages")), path)
+    return path
+
+
+def _below(path: str) -> Column:
+    """A file's path without the folder that it was written to."""
+    return F.element_at(F.split("path", path.rstrip("/").rsplit("/", 1)[1] + "/"), -1)
+
+
+@query(f"WITH {_FILED} SELECT folder || '/' || stem || ext AS path FROM b WHERE k <> 3 AND ext IN ('.epub', '.EPUB')")
+def library_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The EPUBs of a library, found by the executors level by level."""
+    path = _filed(spark, sf)
+    return readers.library(spark, path).select(_below(path).alias("path"))
+
+
+@query(f"WITH {_FILED} SELECT folder || '/' || stem || ext AS path, stem, lower(ext) AS ext FROM b WHERE k NOT IN (2, 3) AND ext <> '.txt'")
+def library_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Books in any known format outside quarantine folders."""
+    path = _filed(spark, sf)
+    return readers.inputs(spark, path).select(_below(path).alias("path"), "stem", "ext")
+
+
+@query(f"WITH {_FILED} SELECT id, 'Livro ' || id || ' & c' AS title, 'Ana Lima' AS author, 'Lima, Ana' AS author_sort FROM b WHERE k <> 3 AND ext IN ('.epub', '.EPUB')")
+def epub_opf(spark: SparkSession, sf: str) -> DataFrame:
+    """Package documents, read without the pages."""
+    held = readers.epub_contents(spark, _filed(spark, sf), text=False)
+    made = held.select(F.regexp_extract("path", r"p(\d+)\.[^.]*\z", 1).cast("long").alias("id"), M.opf(F.col("opf")).alias("m"))
+    return made.select("id", "m.title", "m.author", "m.author_sort")
+
+
+@query(f"WITH {_FILED} SELECT id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM b WHERE k <> 3 AND ext IN ('.epub', '.EPUB'))")
+def epub_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages without tags, read without the package documents."""
+    held = readers.epub_contents(spark, _filed(spark, sf), opf=False)
+    return held.select(F.regexp_extract("path", r"p(\d+)\.[^.]*\z", 1).cast("long").alias("id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 # ---- lists ----
 
 

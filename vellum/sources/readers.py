@@ -24,14 +24,14 @@ LISTED, READ = 8192, 64
 TORN = (zipfile.BadZipFile, zlib.error, struct.error, OSError, ValueError, NotImplementedError, RuntimeError, EOFError)
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str) -> str:
     """A path with its store, as `file:///books`."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     return re.sub(r"^file:/+", "file:///", full)
 
 
-def _store(uri: str):
+def open_store(uri: str):
     """The store of a path, and the path in it."""
     from pyarrow import fs
 
@@ -47,7 +47,7 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for uri in batch.column(0).to_pylist():
-            store, inside, prefix = _store(uri)
+            store, inside, prefix = open_store(uri)
             found = [x for x in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)) if not x.base_name.startswith(".") and x.type in (fs.FileType.File, fs.FileType.Directory)]
             for at in range(0, len(found), LISTED):
                 part = found[at : at + LISTED]
@@ -62,7 +62,7 @@ def walk(spark: SparkSession, path: str) -> DataFrame:
     next level, no more. Stores are those that pyarrow opens; names keep their characters.
     """
     ship(spark)
-    level = spark.createDataFrame([(_qualified(spark, path),)], "path string")
+    level = spark.createDataFrame([(qualified(spark, path),)], "path string")
     files = None
     while True:
         listed = cut(level.mapInArrow(_list_folders, "path string, folder boolean, size long, mod_time long"))
@@ -139,7 +139,7 @@ def read_books(files: DataFrame, opf: bool = True, text: bool = True) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                store, inside, _ = _store(uri)
+                store, inside, _ = open_store(uri)
                 try:
                     with store.open_input_file(inside) as file:
                         made = read_book(file, opf, text)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators.number import numbered
 from vellum.operators.skew import salted_join
-from vellum.session import drop_path, read_small, write_small
+from vellum.session import cut, drop_path, read_small, ship, write_small
+from vellum.sources.readers import open_store, qualified
 
 
 def write_sql(statements: DataFrame, path: str) -> None:
@@ -42,6 +47,38 @@ def read_sql(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("sql <> ''")
 
 
+def write_books(books: DataFrame, path: str) -> DataFrame:
+    """books (name, opf, pages) as archives below a folder, written by the executors; (name, size) of each.
+
+    A book is written beside its place and moved there, so readers see it whole and a repeated task changes nothing.
+    """
+    spark = books.sparkSession
+    ship(spark)
+    root = qualified(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside, _ = open_store(root)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, opf, pages in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    if opf is not None:
+                        z.writestr("content.opf", opf)
+                    for i, page in enumerate(pages or ()):
+                        z.writestr(f"page{i:06}.xhtml", page or "")
+                place = f"{inside}/{name}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                beside = f"{place.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside) as out:
+                    out.write(buffer.getvalue())
+                store.move(beside, place)
+                sizes.append(len(buffer.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
+
+    return cut(books.select("name", "opf", "pages").mapInArrow(run, "name string, size long"))
+
+
 def write_log(rows: DataFrame, path: str) -> None:
     """Tab-separated text; tabs and line breaks inside values become spaces."""
     columns = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]+", " ") for c in rows.columns]
