@@ -5,8 +5,8 @@ multiplicity. Each task turns its pieces into n-grams weighted by multiplicity,
 hash of language and n-gram to a bucket, where duckdb counts them out of core: its memory is bounded, and what does
 not fit goes to a scratch folder that lives as long as the task. A bucket keeps what stands often enough.
 
-A phrase that counts has no pair of words that counts less, so words and pairs are counted first, and longer n-grams are made
-only where every pair in them may be frequent: a filter of fixed size says so for each pair, never wrongly no.
+A phrase that counts has no word and no pair of words that counts less, so words are counted first, then pairs of words that may be
+frequent, then longer n-grams where every pair in them may be: a filter of fixed size says so, never wrongly no.
 Candidates then ask for the counts of their parts: a request goes to the part's bucket, the answer back to the phrase.
 
 Defined results: a null text has no pieces; a null language is `und`; a piece of any length is one row, cut into
@@ -41,7 +41,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD, BUCKET = 1 << 20, 1 << 22
 #: What duckdb may hold of a bucket in memory.
 MEMORY = "192MB"
-#: Bits of the filter of frequent pairs, whatever the corpus; a pair sets one by each of two halves of its hash.
+#: Bits of the filters of frequent words and pairs, whatever the corpus; each sets one by each of two halves of its hash.
 FILTER_BITS = 25
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 GRAMS = "lang string, gram string, size int, n long"
@@ -59,8 +59,8 @@ def _hashes(values: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, values.to_pylist()), np.uint64, len(values))
 
 
-def _pair(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The hash of a pair of words in a language."""
+def _run(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of a word (second: 0) or a pair of words in a language."""
     x = (lang * ODD[0] + first) * ODD[1]
     x = ((x ^ (x >> np.uint64(29))) + second) * ODD[2]
     return x ^ (x >> np.uint64(32))
@@ -84,15 +84,15 @@ class Stretch:
         self.times = np.repeat(times, lengths).astype(np.float64)
         self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.word))
 
-    def grams(self, sizes: range, allowed: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """The distinct n-grams of these sizes with their weights. allowed: the filter that each pair in them has to pass."""
+    def grams(self, sizes: range, allowed: np.ndarray | None, span: int = 0) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of these sizes with their weights. allowed: the filter that each run of `span` words in them, one or two, has to pass."""
         width = len(self.vocabulary)
         starts, number, chain = np.arange(len(self.word)), None, None
-        good = self._good(allowed) if allowed is not None else None
+        good = self._good(allowed, span) if allowed is not None else None
         for size in range(1, sizes.stop):
             stay = self.left[starts] >= max(size, sizes.start)
-            if good is not None:  # from the first size on, every pair that the shortest n-gram has
-                for at in range(max(size, sizes.start) - 1):
+            if good is not None:  # from the first size on, every run that the shortest n-gram has
+                for at in range(max(size, sizes.start) - span + 1):
                     stay[stay] = good[starts[stay] + at]
             starts = starts[stay]
             before = self.lang[starts] if number is None else number[stay]
@@ -101,14 +101,14 @@ class Stretch:
             if size in sizes and len(distinct):
                 yield from self._rows(chain, size, np.bincount(number, self.times[starts], len(distinct)))
 
-    def _good(self, allowed: np.ndarray) -> np.ndarray:
-        """Whether the pair that starts at a word passes the filter."""
+    def _good(self, allowed: np.ndarray, span: int) -> np.ndarray:
+        """Whether the run that starts at a word passes the filter."""
         lang, word = _hashes(self.langs)[self.lang], _hashes(self.vocabulary)[self.word]
-        ok = np.zeros(len(word), bool)
-        if len(word) > 1:
-            one, two = _bits(_pair(lang[:-1], word[:-1], word[1:]))
-            ok[:-1] = (self.left[:-1] > 1) & ((allowed[one >> 3] >> (one & 7)) & (allowed[two >> 3] >> (two & 7)) & 1).astype(bool)
-        return ok
+        after = np.zeros(len(word), np.uint64)
+        if span == 2:
+            after[:-1] = word[1:]
+        one, two = _bits(_run(lang, word, after))
+        return (self.left >= span) & ((allowed[one >> 3] >> (one & 7)) & (allowed[two >> 3] >> (two & 7)) & 1).astype(bool)
 
     def _rows(self, chain: tuple, size: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(weights), 1 << 16):
@@ -121,17 +121,17 @@ class Stretch:
             yield pa.RecordBatch.from_arrays([self.langs.take(pa.array(rows)), gram, pa.array(np.full(n, size, np.int32)), pa.array(weights[at : at + n].astype(np.int64))], ["lang", "gram", "size", "n"])
 
 
-def grams(folded: DataFrame, sizes: range, pairs: str | None = None) -> DataFrame:
-    """Weighted n-grams, folded within stretches of FOLD words; several rows of an n-gram may remain. pairs: the published filter."""
+def grams(folded: DataFrame, sizes: range, passing: str | None = None, span: int = 0) -> DataFrame:
+    """Weighted n-grams, folded within stretches of FOLD words; several rows of an n-gram may remain. passing: the published filter of runs of `span` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.memmap(SparkFiles.get(pairs), "u1", "r") if pairs else None
+        allowed = np.memmap(SparkFiles.get(passing), "u1", "r") if passing else None
         held, words = [], 0
 
         def fold() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
             lang, piece = (table[c].chunk(0).cast(pa.large_string()) for c in ("lang", "piece"))
-            yield from Stretch(lang, piece, table["times"].to_numpy()).grams(sizes, allowed)
+            yield from Stretch(lang, piece, table["times"].to_numpy()).grams(sizes, allowed, span)
 
         for batch in batches:
             if batch.num_rows:
@@ -175,20 +175,20 @@ def frequent(counted: DataFrame, buckets: int, least: int) -> DataFrame:
     return counted.repartition(buckets, "lang", "gram").mapInArrow(run, GRAMS)
 
 
-def pair_filter(pairs: DataFrame) -> str:
-    """Publish the filter of these pairs (lang, gram): 2^FILTER_BITS bits, of which the words that are not 0 come to the driver."""
+def run_filter(runs: DataFrame, span: int) -> str:
+    """Publish the filter of these runs of `span` words (lang, gram): 2^FILTER_BITS bits, of which the words that are not 0 come to the driver."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = pc.split_pattern(batch.column(1), " ").flatten()
-            hashes = _hashes(words)
-            for bits in _bits(_pair(_hashes(batch.column(0)), hashes[::2], hashes[1::2])):
+            hashes = _hashes(pc.split_pattern(batch.column(1), " ").flatten())
+            after = hashes[1::2] if span == 2 else np.zeros(len(hashes), np.uint64)
+            for bits in _bits(_run(_hashes(batch.column(0)), hashes[::span], after)):
                 yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], ["place", "mask"])
 
-    made = pairs.select("lang", "gram").mapInArrow(marks, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    made = runs.select("lang", "gram").mapInArrow(marks, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
     bits[made["place"].to_numpy()] = made["mask"].to_numpy()
-    return publish(pairs.sparkSession, bits.astype("<i8").tobytes(), ".pairs")[0]
+    return publish(runs.sparkSession, bits.astype("<i8").tobytes(), ".runs")[0]
 
 
 def _score(a: str, n: str, left: str, right: str) -> Column:
@@ -249,11 +249,11 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     totals = cut(folded.groupBy("lang").agg(F.sum(F.col("times") * n).alias("n")))
     words = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // BUCKET)
-    short = cut(frequent(grams(folded, range(1, 3)), buckets, least))
-    pairs = pair_filter(short.where("size = 2"))
-    long = cut(frequent(grams(folded, range(3, longest + 1), pairs), buckets, least))
+    found = cut(frequent(grams(folded, range(1, 2)), buckets, least))
+    pairs = cut(frequent(grams(folded, range(2, 3), run_filter(found, 1), 1), buckets, least))
+    long = cut(frequent(grams(folded, range(3, longest + 1), run_filter(pairs, 2), 2), buckets, least))
     drop_path(spark, path)
-    found = cut(scored(short.unionByName(long), totals))
+    found = cut(scored(found.unionByName(pairs).unionByName(long), totals))
     return first_of_each(undominated(found), first)
 
 
