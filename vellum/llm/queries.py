@@ -100,6 +100,7 @@ QUERIES = {
     "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_simhash_dedup": simhash.oracle_sql(),
     "op4_license_scan": licenses.oracle_sql(),
     "op5_bm25_topk": bm25.ORACLE_SQL,
     "op6_warc_roundtrip": warc.ORACLE_SQL,

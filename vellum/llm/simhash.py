@@ -264,3 +264,52 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     if unique:  # as rows are; else equal ones have to be brought together
         return held.select("row.*")
     return held.groupBy("one", "two").agg(F.any_value("row").alias("row")).select("row.*")
+
+
+# The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxh64_sql(source: str, seed: int = SEED) -> str:
+    """CTEs from source (g) to hashed (g, h): XXH64 in whole numbers of 128 bits, remainders of 2^64."""
+    one, two, three, four, five = (f"{p}::UHUGEINT" for p in PRIMES)
+    whole, size = 1 << 64, "18446744073709551616::UHUGEINT"
+    turned = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {size} + ({x}) // {1 << 64 - r}::UHUGEINT)"
+    # bytes in hexadecimal, the last one of a number first
+    number = lambda at, n: "CAST('0x' || " + " || ".join(f"x[{at} + {k}:{at} + {k + 1}]" for k in range(2 * n - 1, 0, -2)) + " AS UBIGINT)::UHUGEINT"
+    starts = ((seed + PRIMES[0] + PRIMES[1]) % whole, (seed + PRIMES[1]) % whole, seed, (seed - PRIMES[0]) % whole)
+    stripe = turned(f"(v + l * {two} % {size}) % {size}", 31) + f" * {one} % {size}"
+    sums = ", ".join(f"list_reduce(list_prepend({s}::UHUGEINT, list_transform(range(0, size // 32), lambda j: lanes[4 * j + {k + 1}])), lambda v, l: {stripe}) AS v{k}" for k, s in enumerate(starts))
+    first = " + ".join(turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18)))
+    lane = lambda x: turned(f"{x} * {two} % {size}", 31) + f" * {one} % {size}"
+    merges = "".join(f"y{k + 1} AS (SELECT *, CASE WHEN size < 32 THEN a{k} ELSE (xor(a{k}, {lane(f'v{k}')}) * {one} % {size} + {four}) % {size} END AS a{k + 1} FROM y{k}),\n" for k in range(4))
+    return f"""
+s0 AS (SELECT g, hex(encode(g)) AS x, CAST(octet_length(encode(g)) AS BIGINT) AS size FROM {source}),
+s1 AS (SELECT *, list_transform(range(0, size // 8), lambda i: {number("16 * i", 8)}) AS lanes FROM s0),
+s2 AS (SELECT *, {sums} FROM s1),
+y0 AS (SELECT *, CASE WHEN size < 32 THEN {(seed + PRIMES[4]) % whole}::UHUGEINT ELSE ({first}) % {size} END AS a0 FROM s2),
+{merges}s3 AS (SELECT *, list_reduce(list_prepend((a4 + size::UHUGEINT) % {size}, list_transform(lanes[4 * (size // 32) + 1:], lambda l: {lane("l")})), lambda h, k: ({turned("xor(h, k)", 27)} * {one} % {size} + {four}) % {size}) AS b FROM y4),
+s4 AS (SELECT *, CASE WHEN size % 8 >= 4 THEN ({turned(f"xor(b, {number('16 * (size // 8)', 4)} * {one} % {size})", 23)} * {two} % {size} + {three}) % {size} ELSE b END AS c FROM s3),
+s5 AS (SELECT *, list_reduce(list_prepend(c, list_transform(range(size - size % 4, size), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS UBIGINT)::UHUGEINT * {five} % {size})), lambda h, k: {turned("xor(h, k)", 11)} * {one} % {size}) AS e FROM s4),
+s6 AS (SELECT g, xor(e, e // {1 << 33}::UHUGEINT) * {two} % {size} AS e FROM s5),
+s7 AS (SELECT g, xor(e, e // {1 << 29}::UHUGEINT) * {three} % {size} AS e FROM s6),
+hashed AS (SELECT g, CAST(xor(e, e // {1 << 32}::UHUGEINT) AS UBIGINT) AS h FROM s7)"""
+
+
+def oracle_sql() -> str:
+    """All pairs of distinct fingerprints, and components as a recursion; for tables whose ids are unique and not null."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(CASE WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')) END) AS g FROM w WHERE len(words) > 0),
+t AS (SELECT doc_id, g, count(*) AS times FROM p GROUP BY ALL),
+distinct_texts AS (SELECT DISTINCT g FROM t),{_xxh64_sql("distinct_texts")},
+bits AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN times ELSE 0 END) * 2 > sum(times) AS one FROM t JOIN hashed USING (g), (SELECT CAST(unnest(range(0, 64)) AS UBIGINT) AS bit) GROUP BY ALL),
+prints AS (SELECT doc_id, bit_or(CASE WHEN one THEN CAST(1 AS UBIGINT) << bit ELSE CAST(0 AS UBIGINT) END) AS fp FROM bits GROUP BY doc_id),
+f AS MATERIALIZED (SELECT w.doc_id, coalesce(fp, CAST(0 AS UBIGINT)) AS fp FROM w LEFT JOIN prints USING (doc_id)),
+n AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+l AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM n a JOIN n b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {RADIUS}),
+m(fp, root) AS (SELECT fp, least FROM n UNION SELECT l.b, m.root FROM m JOIN l ON m.fp = l.a),
+z AS (SELECT fp, min(root) AS component_id FROM m GROUP BY fp)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN z USING (fp)
+"""
