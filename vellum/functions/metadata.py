@@ -39,14 +39,14 @@ def _character(code: Column) -> Column:
 
 def unescape(s: Column) -> Column:
     """HTML character references resolved: numbers, and all names that HTML defines, some of which need no semicolon."""
-    names = T.table(html5)
+    names, unclosed = T.table(html5), T.table({k: v for k, v in html5.items() if not k.endswith(";")})
 
     def one(entity: Column) -> Column:
         digits = F.regexp_extract(entity, r"&#[xX]?([0-9a-fA-F]+)", 1)
         number = F.when(F.length(digits) > 8, F.lit(0)).when(F.rlike(entity, F.lit("^&#[xX]")), F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long"))
         name = F.substring(entity, F.lit(2), F.length(entity))
         # of a name that is not defined whole, the longest beginning that is
-        begins = F.transform(F.sequence(F.lit(LONGEST_OPEN), F.lit(2), F.lit(-1)), lambda n: F.struct(F.try_element_at(names, F.substring(name, F.lit(1), n)).alias("c"), n.alias("n")))
+        begins = F.transform(F.sequence(F.lit(LONGEST_OPEN), F.lit(2), F.lit(-1)), lambda n: F.struct(F.try_element_at(unclosed, F.substring(name, F.lit(1), n)).alias("c"), n.alias("n")))
         best = F.get(F.filter(begins, lambda x: x["c"].isNotNull() & (x["n"] <= F.length(name))), F.lit(0))
         begun = F.concat(best["c"], F.substring(name, best["n"] + 1, F.length(name)))
         return F.when(digits != "", _character(number)).otherwise(F.coalesce(F.try_element_at(names, name), begun, entity))

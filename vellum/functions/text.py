@@ -158,8 +158,9 @@ def format_index(number: Column) -> Column:
 def left_bytes(s: Column, n: int) -> Column:
     """At most n bytes of UTF-8, cut at a character."""
     def held(s: Column) -> Column:
-        width = F.transform(F.split(s, ""), lambda c: F.octet_length(c))
-        fits = bind(width, lambda w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.aggregate(F.slice(w, F.lit(1), i), F.lit(0), lambda a, x: a + x) <= n)))
+        width = F.transform(F.split(F.substring(s, 1, n), ""), lambda c: F.octet_length(c))
+        count = lambda a, w: F.struct((a["bytes"] + w).alias("bytes"), (a["fit"] + F.when(a["bytes"] + w <= n, 1).otherwise(0)).alias("fit"))
+        fits = F.aggregate(width, F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("fit")), count, lambda a: a["fit"])
         return F.when(F.octet_length(s) <= n, s).when(F.octet_length(s) == F.length(s), F.substring(s, 1, n)).otherwise(F.substring(s, F.lit(1), fits))
 
     return bind(s, held)

@@ -14,6 +14,7 @@ from vellum.operators import postings as P
 from vellum.operators import series as SE
 from vellum.operators import signature as S
 from vellum.operators.graph import components
+from vellum.operators.skew import salted_join
 from vellum.plans import composed  # noqa: F401  (registers its queries)
 from vellum.plans import sql as Q
 from vellum.plans.registry import ORACLE_SQL, QUERIES, query
@@ -220,7 +221,7 @@ def better_copy_members(spark: SparkSession, sf: str) -> DataFrame:
     """Of each document whose signature an earlier one has, whether it would replace the first of these."""
     held = cut(S.keyed(S.signatures(_documents(spark, sf))))
     least = held.groupBy("key").agg(F.min("id").alias("rep"))
-    pairs = held.join(least, "key").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    pairs = salted_join(held, least, ["key"], ["id"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return _judged(read_table(spark, sf, "documents"), held, pairs)
 
 

@@ -76,14 +76,25 @@ def _joined(values: Column) -> Column:
 # ---- titles and names ----
 
 
-@query(f"WITH {BOOKS} SELECT id, 'O ' || title || ' de ' || series || ' II: A Arte da ' || series || ' - EUA' AS result FROM b")
+@query(
+    f"WITH {BOOKS} SELECT id, CASE id % 3 WHEN 0 THEN 'O ' || title || ' de ' || series || ' II: A Arte da ' || series || ' - EUA' WHEN 1 THEN 'A Luta pela ' || title || ' - Da ' || series || ' até o Fim (No ' || title || ')' ELSE 'BRASIL: URSS e EUA; O MIX de ' || title END AS result FROM b"
+)
 def title_case_pt(spark: SparkSession, sf: str) -> DataFrame:
-    return _books(spark, sf).select("id", N.unshout(_form("id", "O {^title} DE {^series} II: A ARTE DA {^series} - EUA")).alias("result"))
+    """Numerals and acronyms, small words within and at the start of a segment, and a word that looks like a numeral."""
+    shouted = _form("id", "O {^title} DE {^series} II: A ARTE DA {^series} - EUA", "A LUTA PELA {^title} - DA {^series} ATÉ O FIM (NO {^title})", "BRASIL: URSS E EUA; O MIX DE {^title}")
+    return _books(spark, sf).select("id", N.unshout(shouted).alias("result"))
 
 
-@query(f"WITH {BOOKS} SELECT id, title || ': ' || series || '_x' AS result FROM b")
+@query(f"""WITH {BOOKS} SELECT id, CASE id % 3 WHEN 0 THEN title || ': ' || series || '_x' WHEN 1 THEN title || '2:' || chr(9) || series || ' _ x' ELSE '"' || title || '": ' || series || '_' END AS result FROM b""")
 def restore_colon(spark: SparkSession, sf: str) -> DataFrame:
-    return _books(spark, sf).select("id", T.restore_colon(_form("id", "{title}_ {series}_x")).alias("result"))
+    """After letters, numbers and closing marks, before any white space; not after white space, nor at the end."""
+    return _books(spark, sf).select("id", T.restore_colon(_form("id", "{title}_ {series}_x", "{title}2_\t{series} _ x", '"{title}"_ {series}_')).alias("result"))
+
+
+@query(f"WITH {BOOKS} SELECT id, repeat('x', id % 5) || repeat('ção', (200 - id % 5) // 5) || CASE (200 - id % 5) % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 4 THEN 'çã' ELSE 'ç' END AS name FROM (SELECT CAST(id AS INTEGER) AS id FROM b)")
+def cut_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of characters of one and two bytes, cut to 200 bytes at a character."""
+    return _books(spark, sf).select("id", T.sanitize(F.concat(F.expr("repeat('x', CAST(id % 5 AS INT))"), F.expr("repeat('ção', 90)"))).alias("name"))
 
 
 @query(
