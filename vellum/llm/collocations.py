@@ -44,7 +44,7 @@ MEMORY = "192MB"
 #: Bits of the filter of frequent pairs, whatever the corpus; a pair sets one by each of two halves of its hash.
 FILTER_BITS = 25
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-GRAMS = "lang string, gram string, size int, n long"
+GRAMS = "lang string, gram string, n long"
 
 
 def pieces(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -111,14 +111,16 @@ class Stretch:
         return ok
 
     def _rows(self, chain: tuple, size: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(weights), 1 << 16):
-            words, step, rows = [], chain, np.arange(at, min(len(weights), at + (1 << 16)))
-            n = len(rows)
+        """In an order in which n-grams with the same beginning follow each other, so that the shuffle packs them well."""
+        order = np.lexsort((chain[1], chain[0]))
+        for at in range(0, len(order), 1 << 16):
+            here = order[at : at + (1 << 16)]
+            words, step, rows = [], chain, here
             while step is not None:
                 words.append(self.vocabulary.take(pa.array(step[1][rows])))
                 rows, step = step[0][rows], step[2]
             gram = words[0] if size == 1 else pc.binary_join_element_wise(*reversed(words), pa.scalar(" ", words[0].type))
-            yield pa.RecordBatch.from_arrays([self.langs.take(pa.array(rows)), gram, pa.array(np.full(n, size, np.int32)), pa.array(weights[at : at + n].astype(np.int64))], ["lang", "gram", "size", "n"])
+            yield pa.RecordBatch.from_arrays([self.langs.take(pa.array(rows)), gram, pa.array(weights[here].astype(np.int64))], ["lang", "gram", "n"])
 
 
 def grams(folded: DataFrame, sizes: range, pairs: str | None = None) -> DataFrame:
@@ -147,7 +149,7 @@ def grams(folded: DataFrame, sizes: range, pairs: str | None = None) -> DataFram
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+    kinds = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
     for batch in batches:
         yield batch.cast(kinds)
 
@@ -168,11 +170,12 @@ def frequent(counted: DataFrame, buckets: int, least: int) -> DataFrame:
         with tempfile.TemporaryDirectory(prefix="vellum-scratch-") as scratch:
             con = duckdb.connect(config={"memory_limit": MEMORY, "temp_directory": scratch, "threads": 1, "preserve_insertion_order": False})
             rows = pa.RecordBatchReader.from_batches(first.schema, chained())  # noqa: F841
-            made = con.sql(f"SELECT lang, gram, size, CAST(sum(n) AS BIGINT) AS n FROM rows GROUP BY lang, gram, size HAVING sum(n) >= {least}")
+            made = con.sql(f"SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM rows GROUP BY lang, gram HAVING sum(n) >= {least}")
             yield from made.to_arrow_reader(1 << 16)
             con.close()
 
-    return counted.repartition(buckets, "lang", "gram").mapInArrow(run, GRAMS)
+    held = counted.repartition(buckets, "lang", "gram").mapInArrow(run, GRAMS)
+    return held.select("lang", "gram", (F.length("gram") - F.length(F.translate("gram", " ", "")) + 1).alias("size"), "n")
 
 
 def pair_filter(pairs: DataFrame) -> str:
