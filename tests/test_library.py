@@ -521,7 +521,7 @@ def test_the_entry_stands_without_the_training_data_part(tmp_path, llm, pipeline
     names = ["__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])]
     done = subprocess.run([sys.executable, "-c", code, str(REPO), str(tmp_path), repr([] if llm else ["llm"]), repr(names)], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
-    assert done.stdout.strip() == ("10" if llm else "0")
+    assert done.stdout.strip() == ("13" if llm else "0")
 
 
 def test_nothing_else_imports_the_training_data_part():
