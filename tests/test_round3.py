@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
 from vellum.plans import catalog
 
 
@@ -23,3 +24,10 @@ def test_vetoes_of_large_keys(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/customer.parquet")
     found = same_as_sql(spark, "author_candidates", tmp_path, ["customer"])
     assert any(r[0] > 160_000 for r in found) and not any(r[0] % 100 == 1 for r in found)
+
+
+def test_sizes_half_way_between(spark, tmp_path):
+    spark.range(1, 5).select((F.col("id") * 262_144).alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert ("249.2 MB") in [r[1] for r in same_as_sql(spark, "human_size", tmp_path, ["orders"])]
+    made = spark.createDataFrame([(262_144 * 5,), (262_144 * 7,), (1_048_577,)], "n long").select(T.human_size(F.col("n")))
+    assert [r[0] for r in made.collect()] == ["1.2 MB", "1.8 MB", "1.0 MB"]

@@ -179,7 +179,7 @@ def safe_dir(s: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n > (1 << 20), F.format_string("%.1f MB", n / float(1 << 20))).when(n > (1 << 10), F.format_string("%d KB", F.bround(n / 1024.0, 0).cast("long"))).otherwise(F.format_string("%d B", n.cast("long")))
+    return F.when(n > (1 << 20), F.format_string("%.1f MB", F.bround(n / float(1 << 20), 1))).when(n > (1 << 10), F.format_string("%d KB", F.bround(n / 1024.0, 0).cast("long"))).otherwise(F.format_string("%d B", n.cast("long")))
 
 
 def truncate(s: Column, n: int) -> Column:
