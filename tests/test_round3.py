@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import authors as A
-from vellum.plans import catalog
+from vellum.plans import catalog, composed
 
 
 def same_as_sql(spark, name, folder, tables):
@@ -76,3 +76,7 @@ def test_sizes_half_way_between(spark, tmp_path):
     assert ("249.2 MB") in [r[1] for r in same_as_sql(spark, "human_size", tmp_path, ["orders"])]
     made = spark.createDataFrame([(262_144 * 5,), (262_144 * 7,), (1_048_577,)], "n long").select(T.human_size(F.col("n")))
     assert [r[0] for r in made.collect()] == ["1.2 MB", "1.8 MB", "1.0 MB"]
+
+
+def test_books_are_dealt_to_all_cores(spark):
+    assert composed._books(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
