@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import authors as A
+from vellum.operators import ingest as ING
+from vellum.operators import signature as S
 from vellum.plans import catalog, composed
 
 
@@ -78,5 +80,38 @@ def test_sizes_half_way_between(spark, tmp_path):
     assert [r[0] for r in made.collect()] == ["1.2 MB", "1.8 MB", "1.0 MB"]
 
 
+def test_what_comes_after_a_kept_one(spark):
+    """Against all pairs taken in order: chains, near copies, equal signatures, and signatures that share nothing."""
+    rnd = np.random.default_rng(7)
+    sigs = []
+    for _ in range(6):
+        base = rnd.integers(-(2**62), 2**62, 120)
+        sigs.append(base)
+        for step in range(8):
+            base = base.copy()
+            base[rnd.integers(0, 120, 5)] = rnd.integers(-(2**62), 2**62, 5)
+            sigs.append(base)
+    sigs += sigs[::10] + [rnd.integers(-(2**62), 2**62, 60) for _ in range(5)]
+    order = rnd.permutation(len(sigs))
+    sets = [(int(i), {int(x) for x in s}) for i, s in zip(order, sigs, strict=True)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    kept, expected = [], set()
+    for i, s in sorted(sets, key=lambda x: x[0]):
+        before = {(i, j, round(alike(s, t), 9)) for j, t in kept if alike(s, t) >= 0.85}
+        expected |= before
+        if not before:
+            kept.append((i, s))
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets], "id long, sig array<bigint>")
+    assert {(r.a, r.b, round(r.similarity, 9)) for r in S.come_after(rows).collect()} == expected and expected
+    assert {r.id for r in S.first_come(rows).where("kept").collect()} == {i for i, _ in kept}
+
+
+def test_matches_are_found_once_for_two_plans(spark, monkeypatch):
+    calls, find = [], ING.matches
+    monkeypatch.setattr(ING, "matches", lambda *args, **options: calls.append(1) or find(*args, **options))
+    catalog.QUERIES["ingest_formats"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_books_are_dealt_to_all_cores(spark):
     assert composed._books(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
