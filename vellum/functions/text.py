@@ -63,15 +63,19 @@ def norm_key(s: Column) -> Column:
 def tokens(s: Column) -> Column:
     """Words of a-z and 0-9. Letters that do not fold vanish without ending a word; anything else ends it."""
     def words(low: Column) -> Column:
-        # ASCII has no letters that fold or vanish, so one pass is enough for it
-        whole = F.regexp_replace(low, "[^a-z0-9]+", " ")
-        spaced = F.regexp_replace(deaccent(low), r"[^a-z0-9\p{L}\p{Nd}]+", " ")
-        kept = F.when(F.octet_length(low) == F.length(low), whole).otherwise(F.regexp_replace(spaced, "[^a-z0-9 ]", ""))
-        return F.filter(F.split(kept, " "), lambda w: w != "")
+        # ASCII has no letters that fold or vanish, so one pass is enough for it; of other texts, for their ASCII words
+        whole = F.split(F.regexp_replace(low, "[^a-z0-9]+", " "), " ")
+        spaced = F.split(F.regexp_replace(deaccent(low), r"[^a-z0-9\p{L}\p{Nd}]+", " "), " ")
+        kept = F.transform(spaced, lambda w: F.when(_ascii(w), w).otherwise(F.regexp_replace(w, "[^a-z0-9]", "")))
+        return F.filter(F.when(_ascii(low), whole).otherwise(kept), lambda w: w != "")
 
     return bind(F.lower(s), words)
 
 
+def _ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.length(s)
+
+
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]*>", " ")
 
