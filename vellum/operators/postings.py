@@ -1,6 +1,7 @@
 """A stored inverted index of signatures, from which a check reads only what its own hashes point at.
 
-Hashes are ordered: those that more than COMMON signatures have come last, the others by their value. The first few
+Hashes are ordered: those that more than COMMON signatures have, as counted over all of a small library and over drawn
+documents of a large one, come last, the others by their value. The first few
 of a signature in this order, so many that a similar one must have one of them among its own first, are its
 prefix. The index holds three tables: `postings` (h, id, n), the prefixes' hashes in folders by the hash; `entries`
 (id, sig) in folders by the id; and `common` (h, f), the frequent hashes with their document frequencies. A look-up
@@ -17,8 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators.skew import salted_join
-from vellum.operators.signature import THRESHOLD, near_sizes, prefix_length, verified
+from vellum.operators.signature import THRESHOLD, common_hashes, first_hashes, near_sizes, verified
 from vellum.session import cut, folder_bytes, read_small, write_small
 
 COMMON = 64
@@ -29,21 +29,13 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
-def _prefixes(sigs: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
-    """(h, id, n): the first hashes of each signature in the index's order."""
-    rows = sigs.select("id", F.size("sig").alias("n"), F.explode("sig").alias("h"))
-    marked = salted_join(rows, common.select("h", F.lit(True).alias("common")), ["h"], ["id"], "left")
-    ordered = marked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("common", F.lit(False)).alias("common"), "h"))).alias("hs"))
-    return ordered.select("id", "n", F.explode(F.slice("hs", F.lit(1), prefix_length(F.col("n"), threshold))).alias("e")).select("e.h", "id", "n")
-
-
 def save(sigs: DataFrame, path: str, threshold: float = THRESHOLD, buckets: int = BUCKETS, common: int = COMMON) -> None:
     """Store the index of (id, sig), ids unique; it answers checks at `threshold` or above. The manifest comes last, so a torn save leaves no index."""
     spark = sigs.sparkSession
     sigs = cut(sigs.where(F.size("sig") > 0).select("id", "sig"))
-    often = cut(sigs.select(F.explode("sig").alias("h")).groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") > common))
+    often = common_hashes(sigs, common)
     often.write.mode("overwrite").parquet(f"{path}/common")
-    postings = _prefixes(sigs, often, threshold).withColumn("bucket", _bucket(F.col("h"), buckets))
+    postings = first_hashes(sigs, often, threshold).withColumn("bucket", _bucket(F.col("h"), buckets))
     postings.repartition("bucket").sortWithinPartitions("bucket", "h", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     entries = sigs.withColumn("bucket", _bucket(F.col("id"), buckets))
     entries.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/entries")
@@ -76,7 +68,7 @@ def look_up(queries: DataFrame, path: str, threshold: float = THRESHOLD, seen: d
         raise ValueError(f"the index answers from {held['threshold']} on")
     queries = cut(queries.where(F.size("sig") > 0).select("id", "sig"))
     common = spark.read.schema("h long, f long").parquet(f"{path}/common")
-    asked = cut(_prefixes(queries, common, threshold).select("h", F.col("id").alias("a"), F.col("n").alias("na")))
+    asked = cut(first_hashes(queries, common, threshold).select("h", F.col("id").alias("a"), F.col("n").alias("na")))
     at = _buckets(asked.select("h"), held["buckets"])
     postings = _read(spark, path, "postings", f"h long, id {held['id']}, n int", at).select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
     found = cut(postings.join(asked, "h").where(near_sizes(threshold)).select("a", "b").distinct())
