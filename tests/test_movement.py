@@ -53,3 +53,8 @@ def test_a_rest_has_one_hash_whichever_key_it_is_of():
         made = {side: set(h.ravel().tolist()) for h, side in A.rests(code(key))}
         longer = {side: set(h.ravel().tolist()) for h, side in A.rests(code(key + "x"))}
         assert made[A.SHORTER] & longer[A.LONGER if len(key) < 20 else A.LONGER + A.EQUAL]
+
+
+def test_shelved_books_are_of_one_read(spark):
+    made = composed._shelved(spark, "/root/testdata/sf0.001")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString() and made.columns == ["path", "stem", "meta"]

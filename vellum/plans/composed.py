@@ -46,11 +46,11 @@ BOOKS = (
 )
 
 
-def _books(spark: SparkSession, sf: str) -> DataFrame:
+def _books(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
     author = F.get(F.array(*map(F.lit, AUTHORS)), (F.col("p_partkey") % 5).cast("int"))
     rows = spread(read_table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
     return rows.select(
-        F.col("p_partkey").alias("id"), F.initcap("p_name").alias("title"), F.initcap(F.lower("p_type")).alias("series"), F.col("p_brand").alias("brand"), author.alias("author"), F.col("p_size").cast("int").alias("n")
+        F.col("p_partkey").alias("id"), F.initcap("p_name").alias("title"), F.initcap(F.lower("p_type")).alias("series"), F.col("p_brand").alias("brand"), author.alias("author"), F.col("p_size").cast("int").alias("n"), *more
     )
 
 
@@ -493,13 +493,14 @@ def author_candidates(spark: SparkSession, sf: str) -> DataFrame:
 # ---- series ----
 
 
-def _titled(spark: SparkSession, sf: str) -> DataFrame:
+def _titled(spark: SparkSession, sf: str, **more: Column) -> DataFrame:
     """Titles with a word of their own and the name of a series, under the brand as author."""
     word = F.lpad(F.col("id").cast("string"), 6, "0")
     for digit, syllable in enumerate(SYLLABLES):
         word = F.replace(word, F.lit(str(digit)), F.lit(syllable))
     title = F.concat(F.lit("The "), F.initcap(word), F.lit(" of "), F.when(F.col("id") % 5 == 0, F.upper("series")).otherwise(F.col("series")))
-    return _books(spark, sf).select(F.col("id").cast("string").alias("path"), title.alias("title"), F.col("brand").alias("author"))
+    books = _books(spark, sf, *(c.alias(name) for name, c in more.items()))
+    return books.select(F.col("id").cast("string").alias("path"), title.alias("title"), F.col("brand").alias("author"), *more)
 
 
 _WORDS = _SPELLED
@@ -534,8 +535,8 @@ def series_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _shelved(spark: SparkSession, sf: str) -> DataFrame:
     """The titles of `_titled` as books without a series, under the labels of their parts."""
-    tags = read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.array("p_type", "p_brand"), F.split("p_name", " ")).alias("tags"))
-    rows = _titled(spark, sf).join(tags, "path")
+    # of one read: a join of the table with itself sends a side of it to the driver as long as its file seems small
+    rows = _titled(spark, sf, tags=F.concat(F.array("p_type", "p_brand"), F.split("p_name", " ")))
     meta = book_meta(F.col("title"), F.col("author"), F.lit(""), F.lit(0.0)).withField("tags", F.col("tags"))
     return rows.select("path", F.concat_ws(" - ", "title", "author").alias("stem"), meta.alias("meta"))
 
