@@ -150,6 +150,32 @@ def test_a_shard_prunes_without_loss():
         assert sorted(((q, r, int(i), int(x) / 1e6) for r, (i, x) in enumerate(zip(ids, scores, strict=True), 1)), key=str) == expected
 
 
+def test_frequent_terms_are_read_for_few_rows(monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    texts = [" ".join([f"w{x}" for x in rnd.zipf(1.3, 60) % 2000] + [f"r{i % 100}x{j}" for j in range(8)]) for i in range(4000)]
+    shard = bm25._Shard()
+    for i, t in enumerate(texts):
+        shard.add(i, t)
+    row = shard.row().to_pylist()[0]
+    numbers = {t: i for i, t in enumerate(shard.numbers)}
+    df = np.zeros(len(numbers))
+    for t in texts:
+        for w in set(bm25.terms_of(t)):
+            df[numbers[w]] += 1
+    s = bm25.Searcher(row, numbers, np.log(1 + (4000 - df + 0.5) / (df + 0.5)), row["n_words"] / 4000)
+    left, held = [], bm25.Searcher._left
+    monkeypatch.setattr(bm25.Searcher, "_left", lambda *given: left.append(held(*given)) or left[-1])
+    for q in range(0, 4000, 800):
+        terms = np.array(sorted({numbers[w] for w in bm25.terms_of(texts[q])}), np.int64)
+        left.clear()
+        scores, ids, _ = s.best([terms], 10, [bm25.NOTHING])[0]
+        expected = slow_search(list(enumerate(texts)), [(q, texts[q])])
+        assert sorted(((q, r, int(i), int(x) / 1e6) for r, (i, x) in enumerate(zip(ids, scores, strict=True), 1)), key=str) == expected
+        assert 10 <= len(left[-1]) < 4000 / bm25.FEW
+
+
 def test_search_on_awkward_rows(spark, awkward, nothing):
     rows = [(a[0], a[1]) for a in AWKWARD]
     got = found(bm25.search(bm25.build_index(awkward), bm25.query_terms(awkward.where("doc_id in (2, 3, 5, 8)"))))

@@ -6,16 +6,16 @@ of bounded size, whatever their number: a block's terms get their document count
 every shard then answers the whole block under those global statistics, so that merging the shards' best
 k by score gives exactly the best k of the corpus. Each block's answer is appended to one table.
 
-Inside a shard each term keeps its largest contribution to every block of BLOCK_DOCS rows. For a query these sum
-to an upper bound for each block. The search goes through the shard in order of rows, a stretch of blocks at a
-time: a query's pivots are the blocks whose bound reaches its k-th score so far, a stretch without one is skipped by
-all its cursors, and in the others the rows of pivot blocks alone are scored; then the k-th score rises. A task
-carries the scores on from shard to shard. Queries are whole texts of hundreds of terms, so a step of an interpreter
-for each cursor would cost far more than the scoring it saves, and cursors move together: QUERIES_TOGETHER queries
-pass a stretch at once. Terms in COMMON of the shard's rows or more keep their postings as arrays with a place for
-every row, others as lists; the former's part in bounds, and in the scores of a stretch, is one matrix product for
-the queries that have a pivot there. Contributions are rounded to whole millionths, so sums do not depend on order
-and bounds are exact.
+Inside a shard each term in COMMON of the rows keeps its largest contribution to every block of BLOCK_DOCS rows, and
+each rarer one its largest to the shard. For a query these sum to an upper bound for each block, and a shard without a block
+whose bound reaches the query's k-th score so far is skipped. Queries are whole texts of hundreds of terms, and a text
+shares frequent words with every other, so bounds over all terms leave most blocks; what prunes is their order. Rare terms
+give their part to all rows from posting lists, and terms in COMMON of the rows from arrays with a place for every row,
+the rarest group first. Before each group a row stays only if its score so far and its block's bound for the groups still
+to come reach the k-th score; the most frequent terms are thus read for few rows. Partial scores are scores that k rows have
+at least, so they raise the k-th score where a task has none yet. A task carries the scores on from shard to shard.
+Contributions are rounded to whole millionths, so sums do not depend on order and bounds are exact; they are held in 32
+bits, and in 64 for a query whose bound does not fit.
 
 score(q, d) = sum over q's distinct terms of round(1e6 * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)))
 / 1e6, with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Terms: runs of 0-9, a-z after lower-casing A-Z, and
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,9 +47,11 @@ K1, B = 1.2, 0.75
 UNIT = 1_000_000
 SHARD_DOCS, SHARD_WORDS = 8_192, 8_000_000
 BLOCK_DOCS = 32
-STRETCH = 64
 QUERIES_TOGETHER = 64
-COMMON = 1 / 24
+#: Groups of common terms, by the share of a shard's rows that have them at least; terms that are kept as arrays at most.
+COMMON, MOST_ARRAYS = (1 / 4, 1 / 8, 1 / 24), 4_096
+#: Before this group, partial scores raise the least score; rows are taken one by one once fewer than one in FEW are left.
+RAISED, FEW = 1, 8
 QUERIES_AT_ONCE, CHARACTERS_AT_ONCE = 4_096, 16_000_000
 
 _INDEX = "n_docs int, n_words long, ids binary, known binary, lengths binary, n_terms int, terms binary, ends binary, offsets binary, docs binary, freqs binary"
@@ -128,26 +131,17 @@ def query_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("query_id"), F.col(text_col).alias("text")).mapInArrow(run, "query_id long, terms array<binary>, characters long")
 
 
-def _names(data: bytes, ends: np.ndarray) -> list[bytes]:
-    at, out = 0, []
-    for end in ends.tolist():
-        out.append(data[at:end])
-        at = end
-    return out
+def _numbered(row: dict, numbers: dict[bytes, int]) -> np.ndarray:
+    """Of each of a shard's terms: its number among a block's terms, which are numbered in their order; -1 for one that no query has."""
+    offsets = np.concatenate([[0], np.frombuffer(row["ends"], np.int32)]).astype(np.int32)
+    names = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(row["terms"])])
+    return pc.index_in(names, value_set=pa.array(list(numbers), pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges [start, start + size), one after another."""
-    total = int(sizes.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    out = np.ones(total, np.int64)
-    filled = sizes > 0
-    starts, sizes = starts[filled], sizes[filled]
-    first = np.cumsum(sizes) - sizes
-    out[first] = starts
-    out[first[1:]] -= starts[:-1] + sizes[:-1] - 1
-    return np.cumsum(out)
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
 
 
 #: No score yet: scores, ids (0 for none), and whether there is an id.
@@ -155,79 +149,84 @@ NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 class Searcher:
-    """One shard, prepared for a block of queries: postings of their terms, and the runs of these that share a block of rows."""
+    """One shard, prepared for a block of queries: arrays of their common terms, postings of the others, and the largest contributions of both."""
 
     def __init__(self, row: dict, numbers: dict[bytes, int], idf: np.ndarray, average: float):
         self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8).astype(bool)
         lengths = np.frombuffer(row["lengths"], np.int32)
         offsets = np.frombuffer(row["offsets"], np.int32).astype(np.int64)
-        wanted = np.array([numbers.get(t, -1) for t in _names(row["terms"], np.frombuffer(row["ends"], np.int32))], np.int64)
+        wanted = _numbered(row, numbers)
         here = np.flatnonzero(wanted >= 0)
+        here = here[np.argsort(offsets[here] - offsets[here + 1], kind="stable")]  # most frequent ones first
         sizes = (offsets[1:] - offsets[:-1])[here]
-        here = here[np.argsort(sizes < len(self.ids) * COMMON, kind="stable")]  # common ones first
-        sizes = (offsets[1:] - offsets[:-1])[here]
-        self.n_common = int((sizes >= len(self.ids) * COMMON).sum())
+        self.groups = [min(int((sizes >= len(self.ids) * share).sum()), MOST_ARRAYS) for share in COMMON]  # where each ends
+        self.n_common = n_common = self.groups[-1]
         self.place = np.full(len(idf), -1, np.int64)  # of a block's term: its number in this shard
         self.place[wanted[here]] = np.arange(len(here))
         take = _runs(offsets[:-1][here], sizes)
-        docs = np.frombuffer(row["docs"], np.uint16)[take].astype(np.int64)
+        docs = np.frombuffer(row["docs"], np.uint16)[take]
         tf = np.frombuffer(row["freqs"], np.int32)[take].astype(np.float64)
-        term = np.repeat(np.arange(len(here)), sizes)
-        gain = np.rint(UNIT * idf[wanted[here]][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / average)))
+        idfs = np.repeat(idf[wanted[here]], sizes)
+        gain = np.rint(UNIT * idfs * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[docs] / average)))
         self.n_blocks = (len(self.ids) + BLOCK_DOCS - 1) // BLOCK_DOCS
-        dense = int(sizes[: self.n_common].sum())
-        self.rows = np.zeros((self.n_common, self.n_blocks * BLOCK_DOCS))
-        self.rows[term[:dense], docs[:dense]] = gain[:dense]
-        self.most = self.rows.reshape(self.n_common, self.n_blocks, BLOCK_DOCS).max(2)
-        self.docs, self.gain, term = docs[dense:], gain[dense:], term[dense:] - self.n_common
-        block = self.docs // BLOCK_DOCS
-        starts = np.flatnonzero(np.diff(term * self.n_blocks + block, prepend=-1)) if len(term) else np.zeros(0, np.int64)
-        self.run_start, self.run_size = starts, np.diff(starts, append=len(term))
-        self.run_block = block[starts]
-        self.run_most = np.maximum.reduceat(self.gain, starts) if len(starts) else np.zeros(0)
-        self.term_runs = np.searchsorted(term[starts], np.arange(len(here) - self.n_common + 1))
+        dense = int(sizes[:n_common].sum())
+        self.rows = np.zeros((n_common, self.n_blocks * BLOCK_DOCS), np.int32)
+        self.rows[np.repeat(np.arange(n_common), sizes[:n_common]), docs[:dense]] = gain[:dense]
+        self.most = self.rows.reshape(n_common, self.n_blocks, BLOCK_DOCS).max(2).astype(np.float64)
+        self.docs, self.gain, self.size = docs[dense:], gain[dense:].astype(np.int32), sizes[n_common:]
+        self.start = np.cumsum(self.size) - self.size
+        self.list_most = np.maximum.reduceat(self.gain, self.start) if len(self.start) else np.zeros(0)
 
     def best(self, queries: list[np.ndarray], k: int, tops: list[tuple]) -> list[tuple]:
         """For each query the best k of this shard and of its `top`, which is ordered and may be shorter than k."""
-        tops, chosen, lists = list(tops), np.zeros((len(queries), self.n_common)), []
-        bounds = np.zeros((len(queries), self.n_blocks))
+        tops = list(tops)
+        chosen, lists = np.zeros((len(queries), self.n_common)), []
         for q, terms in enumerate(queries):
             at = self.place[terms]
             chosen[q, at[(at >= 0) & (at < self.n_common)]] = 1
-            rare = at[at >= self.n_common] - self.n_common
-            runs = _runs(self.term_runs[rare], self.term_runs[rare + 1] - self.term_runs[rare])
-            blocks = self.run_block[runs]
-            lists.append((runs, blocks))
-            bounds[q] = np.bincount(blocks, self.run_most[runs], self.n_blocks)
-        bounds += chosen @ self.most
-        least = np.array([top[0][-1] if len(top[0]) == k else 1 for top in tops])
-        for low in range(0, self.n_blocks, STRETCH):
-            pivots = bounds[:, low : low + STRETCH] >= least[:, None]
-            asked = np.flatnonzero(pivots.any(1))
-            if not len(asked):
-                continue
-            first, last = low * BLOCK_DOCS, min(low + STRETCH, self.n_blocks) * BLOCK_DOCS
-            sums = chosen[asked] @ self.rows[:, first:last]
-            for q, common in zip(asked.tolist(), sums, strict=True):
-                tops[q] = self._score(lists[q], low, pivots[q], common, k, tops[q])
-                least[q] = tops[q][0][-1] if len(tops[q][0]) == k else 1
+            lists.append(at[at >= self.n_common] - self.n_common)
+        starts = [0, *self.groups[:-1]]
+        # for each query and block: what a group and those of more frequent terms give a row at most
+        bounds = np.cumsum([chosen[:, a:b] @ self.most[a:b] for a, b in zip(starts, self.groups, strict=True)], axis=0)
+        for q, top in enumerate(tops):
+            most = bounds[-1, q].max(initial=0) + self.list_most[lists[q]].sum()
+            if most >= (top[0][-1] if len(top[0]) == k else 1):
+                common = np.flatnonzero(chosen[q])
+                groups = [common[a:b] for a, b in zip(*(np.searchsorted(common, x) for x in (starts, self.groups)), strict=True)]
+                tops[q] = self._score(groups, lists[q], bounds[:, q], np.int32 if most < 1 << 31 else np.int64, k, top)
         return tops
 
-    def _score(self, postings: tuple, low: int, pivots: np.ndarray, sums: np.ndarray, k: int, top: tuple) -> tuple:
-        """The best k of `top` and the rows of a stretch's pivot blocks; sums: what common terms give its rows."""
-        runs, blocks = postings
-        inside = np.zeros(self.n_blocks, bool)
-        inside[low : low + len(pivots)] = pivots
-        part = runs[inside[blocks]]
-        taken = _runs(self.run_start[part], self.run_size[part])
-        sums = sums + np.bincount(self.docs[taken] - low * BLOCK_DOCS, self.gain[taken], len(sums))
-        at = np.flatnonzero((sums >= (top[0][-1] if len(top[0]) == k else 1)) & np.repeat(pivots, BLOCK_DOCS))
-        if len(at) > k:  # the k-th largest, and all its ties
-            at = at[sums[at] >= np.partition(sums[at], len(at) - k)[len(at) - k]]
-        if not len(at):
+    def _left(self, sums: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The rows that have at least what their block asks for."""
+        return np.flatnonzero(sums.reshape(self.n_blocks, BLOCK_DOCS) >= least.astype(sums.dtype)[:, None])
+
+    def _score(self, groups: list[np.ndarray], lists: np.ndarray, bounds: np.ndarray, kind: type, k: int, top: tuple) -> tuple:
+        """The best k of `top` and this shard's rows. bounds: of each group and block, what is still to come before it; kind: whole numbers that hold a score."""
+        least = top[0][-1] if len(top[0]) == k else 1
+        taken = _runs(self.start[lists], self.size[lists])
+        sums = np.bincount(self.docs.take(taken), self.gain.take(taken), self.n_blocks * BLOCK_DOCS).astype(kind)
+        at = None  # the rows that are left, once they are few
+        for g in reversed(range(len(groups))):
+            if at is None:
+                left = self._left(sums, least - bounds[g])
+                if g == RAISED and len(left) * FEW >= len(sums) > k:  # k rows have a score already
+                    least = max(least, np.partition(sums, len(sums) - k)[len(sums) - k])
+                    left = self._left(sums, least - bounds[g])
+                if len(left) * FEW < len(sums):
+                    at, sums = left, sums[left]
+            else:
+                left = sums >= (least - bounds[g])[at // BLOCK_DOCS]
+                at, sums = at[left], sums[left]
+            for term in groups[g].tolist():
+                np.add(sums, self.rows[term] if at is None else self.rows[term].take(at), out=sums)
+        found = sums >= least
+        docs, sums = np.flatnonzero(found) if at is None else at[found], sums[found]
+        if len(docs) > k:  # the k-th largest, and all its ties
+            kept = sums >= np.partition(sums, len(sums) - k)[len(sums) - k]
+            docs, sums = docs[kept], sums[kept]
+        if not len(docs):
             return top
-        docs = at + low * BLOCK_DOCS
-        scores, ids, known = (np.concatenate(x) for x in zip(top, (sums[at].astype(np.int64), self.ids[docs], self.known[docs]), strict=True))
+        scores, ids, known = (np.concatenate(x) for x in zip(top, (sums.astype(np.int64), self.ids[docs], self.known[docs]), strict=True))
         keep = np.lexsort((ids, known, -scores))[:k]
         return scores[keep], ids[keep], known[keep]
 
@@ -247,7 +246,7 @@ def _answer(index: DataFrame, queries: list[tuple[int | None, list[bytes]]], n_d
         for batch in batches:
             for row in batch.to_pylist():
                 offsets = np.frombuffer(row["offsets"], np.int32)
-                found = np.array([held.value.get(t, -1) for t in _names(row["terms"], np.frombuffer(row["ends"], np.int32))], np.int64)
+                found = _numbered(row, held.value)
                 here = found >= 0
                 total[found[here]] += (offsets[1:] - offsets[:-1])[here]
         some = np.flatnonzero(total)
