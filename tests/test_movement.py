@@ -5,6 +5,8 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from vellum.functions import metadata as M
+from vellum.functions import text as T
 from vellum.operators import authors as A
 from vellum.operators import ingest as ING
 from vellum.operators import signature as S
@@ -58,3 +60,15 @@ def test_a_rest_has_one_hash_whichever_key_it_is_of():
 def test_shelved_books_are_of_one_read(spark):
     made = composed._shelved(spark, "/root/testdata/sf0.001")
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString() and made.columns == ["path", "stem", "meta"]
+
+
+def test_a_package_document_is_put_together_once(spark):
+    from html.entities import html5
+
+    xml = F.concat(F.lit("<dc:title>"), F.col("t"), F.lit("</dc:title><dc:publisher>"), F.col("t"), F.lit("</dc:publisher>"))
+    df = spark.createDataFrame([(" &eacute;&#233; &notit; &zz; &amp&lt; a",), (None,), ("&NotEqualTilde;",)], "t string").select(M.opf(xml).alias("m"))
+    assert [(r.m.title, r.m.publisher) for r in df.collect()] == [("éé ¬it; &zz; &< a",) * 2, (None,) * 2, (html5["NotEqualTilde;"],) * 2]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(<dc:title>") == 1
+    held = spark.range(1).select(T.tables(html5, M.INITIALS).alias("m")).first().m
+    assert {k: v for x in held.values() for k, v in x.items()} == html5 and len(held) + max(map(len, held.values())) < len(html5) / 4
