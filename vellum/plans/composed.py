@@ -432,7 +432,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 6 == 0, record(5, F.concat(F.lit("Maria J. "), name), F.lit(1))),
         F.when(key % 9 == 0, record(6, F.lit("Autor Desconhecido"), F.lit(9))),
     )
-    rows = read_table(spark, sf, "customer").select(F.explode(F.filter(forms, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    rows = spread(read_table(spark, sf, "customer").select("c_custkey")).select(F.explode(F.filter(forms, lambda r: r.isNotNull())).alias("r")).select("r.*")
     return rows.select("ord", F.col("ord").cast("string").alias("id"), "books", "name")
 
 

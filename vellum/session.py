@@ -18,6 +18,8 @@ PACKAGE = Path(__file__).resolve().parent
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: To how many partitions `deal` deals rows.
 SCAN_PARTITIONS = "spark.vellum.scan.partitions"
+#: So many times as large as its compressed checkpoint is a table taken to be: of ids three, of hashes one.
+COMPRESSED = 4
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -69,9 +71,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a plan's rows to the shared folder and go on from there; a lost executor loses none of them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a plan's rows to the shared folder and go on from there; a lost executor loses none of them.
+
+    A checkpoint keeps the size that was guessed for its plan from the files that it read, which knows nothing of rows that were
+    made on the way; a join would send such a table whole to the driver as a small one. So the plan gets the size of what was written, times COMPRESSED.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    held = df.checkpoint(eager=True)
+    plan, jvm = held._jdf.queryExecution().analyzed(), spark._jvm
+    size = COMPRESSED * folder_bytes(spark, plan.rdd().getCheckpointFile().get())
+    # a range of longs says eight bytes a number
+    known, nothing = jvm.scala.Some(spark.range(size // 8 + 1)._jdf.queryExecution().analyzed().stats()), getattr(getattr(jvm.scala, "None$"), "MODULE$")
+    sized = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, nothing, spark._jsparkSession, known, nothing)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sized), spark)
 
 
 def shared_path(spark: SparkSession, stem: str) -> str:
